@@ -124,14 +124,25 @@ def may_link(n_a: int, n_b: int, sig_a: bytes, sig_b: bytes, percent: int) -> bo
 
 
 def signatures(docs: DataFrame, k: int = 5) -> DataFrame:
-    """(doc_id, n, sig, body): parity signature and sorted shingle hashes of each document with words."""
+    """(doc_id, n, sig): set size and parity signature of each document with words."""
 
     def run(piece):
         values, at = _sets(piece, k)
-        own = [values[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
-        return pa.RecordBatch.from_arrays([piece.column(0), pa.array(np.diff(at)), pa.array([parity(v) for v in own], pa.binary()), pa.array([v.tobytes() for v in own], pa.binary())], ["doc_id", "n", "sig", "body"])
+        sigs = [parity(values[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+        return pa.RecordBatch.from_arrays([piece.column(0), pa.array(np.diff(at)), pa.array(sigs, pa.binary())], ["doc_id", "n", "sig"])
 
-    return docs.mapInArrow(by_steps("text", run), "doc_id long, n long, sig binary, body binary").where("n > 0")
+    return docs.mapInArrow(by_steps("text", run), "doc_id long, n long, sig binary").where("n > 0")
+
+
+def bodies(docs: DataFrame, k: int = 5) -> DataFrame:
+    """(doc_id, body): the sorted shingle hashes of each document with words."""
+
+    def run(piece):
+        values, at = _sets(piece, k)
+        own = [values[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
+        return pa.RecordBatch.from_arrays([piece.column(0), pa.array(own, pa.binary())], ["doc_id", "body"])
+
+    return docs.mapInArrow(by_steps("text", run), "doc_id long, body binary").where("length(body) > 0")
 
 
 def fits(n_a, n_b, percent: int):
@@ -139,8 +150,14 @@ def fits(n_a, n_b, percent: int):
     return (F.least(n_a, n_b) * 100) >= (F.greatest(n_a, n_b) * percent)
 
 
-def verify(scratch: Scratch, pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The links among candidate ``pairs`` (a, b), by bitmap bound and then exactly."""
+def with_sides(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
+    for side in "ab":
+        pairs = pairs.join(sets.select(F.col("doc_id").alias(side), *[F.col(x).alias(f"{x}_{side}") for x in columns]), side)
+    return pairs
+
+
+def verify(scratch: Scratch, rows: DataFrame, pairs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
+    """The links among candidate ``pairs`` (a, b): the bitmap bound first, then arrays of the survivors' texts."""
 
     def bound(batches):
         for batch in batches:
@@ -159,14 +176,12 @@ def verify(scratch: Scratch, pairs: DataFrame, sets: DataFrame, percent: int) ->
                 keep.append(100 * both >= percent * (len(p) + len(q) - both))
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
-    def with_sides(df, *columns):
-        for side in "ab":
-            df = df.join(sets.select(F.col("doc_id").alias(side), *[F.col(x).alias(f"{x}_{side}") for x in columns]), side)
-        return df
-
-    likely = scratch.put("likely", with_sides(pairs, "n", "sig").select("a", "b", "n_a", "n_b", "sig_a", "sig_b").mapInArrow(bound, "a long, b long"))
-    links = with_sides(likely, "body").select("a", "b", "body_a", "body_b").mapInArrow(exact, "a long, b long")
-    return scratch.put("linked", links.distinct())
+    likely = scratch.put("likely", with_sides(pairs, sets, "n", "sig").select("a", "b", "n_a", "n_b", "sig_a", "sig_b").mapInArrow(bound, "a long, b long"))
+    ids = scratch.put("ids", likely.select(F.col("a").alias("doc_id")).unionByName(likely.select(F.col("b").alias("doc_id"))).distinct())
+    arrays = scratch.put("arrays", bodies(filter_ids(rows, ids, ids.count(), True), k))
+    links = scratch.put("linked", with_sides(likely, arrays, "body").select("a", "b", "body_a", "body_b").mapInArrow(exact, "a long, b long").distinct())
+    scratch.drop(arrays, likely, ids)
+    return links
 
 
 def _across_blocks(percent: int):
@@ -226,22 +241,29 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     heads_n = heads.count()
 
     lead = scratch.put("prefixes", prefixes(rows, rank, k, percent))
-    lead = filter_ids(lead, heads, heads_n, True)
-    members = scratch.put("tokens", lead.select("doc_id", "n", F.explode("tokens").alias("token")))
-    shared = members.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("doc_id", "n")).alias("head")).where("size > 1")
-    tiles = scratch.put("tiles", members.join(shared, "token").select("token", "doc_id", "n", "size", F.col("head.doc_id").alias("head"), F.col("head.n").alias("head_n")))
-    scratch.drop(members)
-
-    wanted = scratch.put("wanted", tiles.select("doc_id").distinct())
-    sets = scratch.put("bodies", signatures(filter_ids(rows, wanted, wanted.count(), True), k))
-    stars = tiles.where(F.col("doc_id") > F.col("head")).where(fits(F.col("n"), F.col("head_n"), percent))
-    stars = scratch.put("stars", stars.select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct())
-    links = verify(scratch, stars, sets, percent)
+    members = filter_ids(lead, heads, heads_n, True).select("doc_id", F.explode("tokens").alias("token"))
+    shared = members.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("doc_id").alias("head"), F.max("doc_id").alias("last"))
+    shared = scratch.put("shared", shared.where("size > 1"))
+    # two members are a pair already; only larger tiles need their members listed
+    large = shared.where("size > 2").select("token", "size", "head")
+    listed = F.broadcast(large) if large.count() <= BROADCAST_ROWS else large
+    tiles = scratch.put("tiles", members.join(listed, "token").select("token", "doc_id", "size", "head"))
+    scratch.drop(lead)
+
+    pairs = shared.where("size = 2").select(F.col("head").alias("a"), F.col("last").alias("b"))
+    pairs = pairs.unionByName(tiles.where(F.col("doc_id") > F.col("head")).select(F.col("head").alias("a"), F.col("doc_id").alias("b"))).distinct()
+    sizes = summary.select("doc_id", "n").where("n > 0").dropDuplicates(["doc_id"])
+    sized = with_sides(pairs, sizes, "n")
+    stars = scratch.put("stars", sized.where(fits(F.col("n_a"), F.col("n_b"), percent)).select("a", "b"))
+    wanted = stars.select(F.col("a").alias("doc_id")).unionByName(stars.select(F.col("b").alias("doc_id"))).unionByName(tiles.select("doc_id")).distinct()
+    wanted = scratch.put("wanted", wanted)
+    sets = scratch.put("signatures", signatures(filter_ids(rows, wanted, wanted.count(), True), k))
+    links = verify(scratch, rows, stars, sets, k, percent)
     comps = connected_components(scratch, links)
     comps = scratch.put("parts", comps.withColumnRenamed("node", "doc_id"))
     more = scratch.put("more", residual_pairs(scratch, tiles, comps, sets, stars, percent))
     if more.take(1):
-        more = verify(scratch, more, sets, percent)
+        more = verify(scratch, rows, more, sets, k, percent)
         links = scratch.put("links", links.unionByName(more).distinct())
         if more.take(1):
             comps = connected_components(scratch, links).withColumnRenamed("node", "doc_id")
@@ -270,14 +292,13 @@ with recursive w as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents
 ), sets as (
   select doc_id, case when len(ws) = 0 then [] when len(ws) < 5 then [array_to_string(ws, ' ')]
-    else list_distinct(list_transform(range(1, len(ws) - 3), i -> array_to_string(ws[i:i + 4], ' '))) end as s from w
+    else list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) end as s from w
 ), sized as (select doc_id, len(s) as n, s from sets), flat as (select doc_id, n, unnest(s) as g from sized),
 links as (
   select a.doc_id as a, b.doc_id as b from flat a join flat b on a.g = b.g and a.doc_id < b.doc_id
   group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 80 * (a.n + b.n - count(*))
-), both as (select a, b from links union all select b, a from links),
-reach as (select doc_id as a, doc_id as b from documents union select r.a, l.b from reach r join both l on r.b = l.a),
-degree as (select a, count(*) as n_links from both group by a)
+), sym as (select a, b from links union all select b, a from links),
+reach as (select doc_id as a, doc_id as b from documents union select r.a, l.b from reach r join sym l on r.b = l.a)
 select s.doc_id, s.n::bigint as n_shingles, min(r.b) as component_id
 from sized s join reach r on s.doc_id = r.a group by s.doc_id, s.n
 """
