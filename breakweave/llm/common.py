@@ -116,12 +116,12 @@ def steps(batch: pa.RecordBatch, column: str, most: int = STEP_BYTES) -> Iterato
         first = last
 
 
-def by_steps(column: str, work: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable:
+def by_steps(column: str, work: Callable[[pa.RecordBatch], pa.RecordBatch], most: int = STEP_BYTES) -> Callable:
     """A mapInArrow function that applies ``work`` to bounded pieces."""
 
     def run(batches):
         for batch in batches:
-            for piece in steps(batch, column):
+            for piece in steps(batch, column, most):
                 yield work(piece)
 
     return run
