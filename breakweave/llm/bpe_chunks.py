@@ -167,9 +167,17 @@ def encode_texts(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
     return text_rows(docs, text, doc_id).mapInArrow(by_steps("text", run, 1 << 20), schema)
 
 
+def _sha(x: bytes) -> str:
+    return hashlib.sha256(x[:-1]).hexdigest()
+
+
 def _digests(ids: pa.Array, found: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
-    sha = lambda x: hashlib.sha256(x[:-1]).hexdigest()
-    return pa.RecordBatch.from_arrays([ids, pa.array([x[0] for x in found], pa.int64()), pa.array([sha(x[1]) for x in found], pa.string()), pa.array([sha(x[2]) for x in found], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+    return pa.RecordBatch.from_arrays([ids, pa.array([x[0] for x in found], pa.int64()), pa.array([_sha(x[1]) for x in found], pa.string()), pa.array([_sha(x[2]) for x in found], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+
+def _ids(ids: pa.Array, found: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
+    plain, told = _plain(ids, found), _digests(ids, found)
+    return pa.RecordBatch.from_arrays([ids, told.column(1), plain.column(1), told.column(2), told.column(3)], ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"])
 
 
 def encoded_digests(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -177,7 +185,13 @@ def encoded_digests(docs: DataFrame, path: str, doc_id: str = "doc_id", text: st
     return encode_texts(docs, path, doc_id, text, _digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def encoded_ids(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The ids themselves beside their number and digests."""
+    return encode_texts(docs, path, doc_id, text, _ids, "doc_id long, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string")
+
+
 def default_path() -> str:
+    """The tokenizer file of the registered queries."""
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")

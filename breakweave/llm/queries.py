@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_chunks, exact_dedup, ngram_jaccard, quality
+from . import bpe_chunks, exact_dedup, mixing, ngram_jaccard, quality
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op3_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op6_mixing(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return quality.scores(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
@@ -23,5 +27,5 @@ def op9_bpe_chunks(spark, sf_dir):
     return bpe_chunks.encoded_digests(table(spark, sf_dir, "documents"), bpe_chunks.default_path())
 
 
-QUERIES = {"op2_ngram_jaccard": op2_ngram_jaccard, "op3_exact_dedup": op3_exact_dedup, "op7_quality": op7_quality, "op9_bpe_chunks": op9_bpe_chunks}
-SQL = {"op2_ngram_jaccard": ngram_jaccard.SQL, "op3_exact_dedup": exact_dedup.SQL}
+QUERIES = {"op2_ngram_jaccard": op2_ngram_jaccard, "op3_exact_dedup": op3_exact_dedup, "op6_mixing": op6_mixing, "op7_quality": op7_quality, "op9_bpe_chunks": op9_bpe_chunks}
+SQL = {"op2_ngram_jaccard": ngram_jaccard.SQL, "op3_exact_dedup": exact_dedup.SQL, "op6_mixing": mixing.sql()}
