@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_chunks, exact_dedup, mixing, ngram_jaccard, quality
+from . import bpe_chunks, exact_dedup, mixing, ngram_jaccard, quality, token_rollup, url_rules
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op3_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op4_token_rollup(spark, sf_dir):
+    return token_rollup.rollup_of(table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -23,9 +27,19 @@ def op7_quality(spark, sf_dir):
     return quality.scores(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op8_url_rules(spark, sf_dir):
+    return url_rules.judge(table(spark, sf_dir, "pages"))
+
+
 def op9_bpe_chunks(spark, sf_dir):
     return bpe_chunks.encoded_digests(table(spark, sf_dir, "documents"), bpe_chunks.default_path())
 
 
-QUERIES = {"op2_ngram_jaccard": op2_ngram_jaccard, "op3_exact_dedup": op3_exact_dedup, "op6_mixing": op6_mixing, "op7_quality": op7_quality, "op9_bpe_chunks": op9_bpe_chunks}
-SQL = {"op2_ngram_jaccard": ngram_jaccard.SQL, "op3_exact_dedup": exact_dedup.SQL, "op6_mixing": mixing.sql()}
+QUERIES = {f.__name__: f for f in (op2_ngram_jaccard, op3_exact_dedup, op4_token_rollup, op6_mixing, op7_quality, op8_url_rules, op9_bpe_chunks)}
+SQL = {
+    "op2_ngram_jaccard": ngram_jaccard.SQL,
+    "op3_exact_dedup": exact_dedup.SQL,
+    "op4_token_rollup": token_rollup.SQL,
+    "op6_mixing": mixing.sql(),
+    "op8_url_rules": url_rules.SQL,
+}
