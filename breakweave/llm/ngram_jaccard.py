@@ -77,27 +77,6 @@ def _least_overlap(n: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * n // 100)
 
 
-def prefixes(docs: DataFrame, rank: bytes, k: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n, tokens): the rarest shingles of each document that has any."""
-
-    def run(piece):
-        common = np.frombuffer(rank, np.uint8)
-        values, at = _sets(piece, k)
-        n = np.diff(at)
-        kept = n - _least_overlap(n, percent) + (n > 0)
-        lead = common[values & np.uint64(SKETCH - 1)]
-        out = []
-        for a, b, p in zip(at[:-1], at[1:], kept, strict=True):
-            # values ascend, so a stable sort by class orders by (class, value)
-            out.append(values[a:b][np.argsort(lead[a:b], kind="stable")[:p]])
-        ends = np.zeros(len(n) + 1, np.int32)
-        np.cumsum(kept, out=ends[1:])
-        flat = np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
-        return pa.RecordBatch.from_arrays([piece.column(0), pa.array(n), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["doc_id", "n", "tokens"])
-
-    return docs.mapInArrow(by_steps("text", run), "doc_id long, n long, tokens array<long>").where("n > 0")
-
-
 def _width(n: int) -> int:
     """Bits of a parity signature: the power of two from 64 up that is at least the set's size."""
     return max(64, 1 << (int(n) - 1).bit_length()) if n > 1 else 64
@@ -123,15 +102,27 @@ def may_link(n_a: int, n_b: int, sig_a: bytes, sig_b: bytes, percent: int) -> bo
     return 100 * most >= percent * (n_a + n_b - most)
 
 
-def signatures(docs: DataFrame, k: int = 5) -> DataFrame:
-    """(doc_id, n, sig): set size and parity signature of each document with words."""
+def prefixes(docs: DataFrame, rank: bytes, k: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n, tokens, sig): the rarest shingles and the parity signature of each document that has any."""
 
     def run(piece):
+        common = np.frombuffer(rank, np.uint8)
         values, at = _sets(piece, k)
-        sigs = [parity(values[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
-        return pa.RecordBatch.from_arrays([piece.column(0), pa.array(np.diff(at)), pa.array(sigs, pa.binary())], ["doc_id", "n", "sig"])
+        n = np.diff(at)
+        kept = n - _least_overlap(n, percent) + (n > 0)
+        lead = common[values & np.uint64(SKETCH - 1)]
+        out, sigs = [], []
+        for a, b, p in zip(at[:-1], at[1:], kept, strict=True):
+            # values ascend, so a stable sort by class orders by (class, value)
+            out.append(values[a:b][np.argsort(lead[a:b], kind="stable")[:p]])
+            sigs.append(parity(values[a:b]))
+        ends = np.zeros(len(n) + 1, np.int32)
+        np.cumsum(kept, out=ends[1:])
+        flat = np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
+        tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+        return pa.RecordBatch.from_arrays([piece.column(0), pa.array(n), tokens, pa.array(sigs, pa.binary())], ["doc_id", "n", "tokens", "sig"])
 
-    return docs.mapInArrow(by_steps("text", run), "doc_id long, n long, sig binary").where("n > 0")
+    return docs.mapInArrow(by_steps("text", run), "doc_id long, n long, tokens array<long>, sig binary").where("n > 0")
 
 
 def bodies(docs: DataFrame, k: int = 5) -> DataFrame:
@@ -246,18 +237,14 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     shared = scratch.put("shared", shared.where("size > 1"))
     # two members are a pair already; only larger tiles need their members listed
     large = shared.where("size > 2").select("token", "size", "head")
-    listed = F.broadcast(large) if large.count() <= BROADCAST_ROWS else large
-    tiles = scratch.put("tiles", members.join(listed, "token").select("token", "doc_id", "size", "head"))
+    tiles = scratch.put("tiles", members.join(large, "token").select("token", "doc_id", "size", "head"))
+    sets = scratch.put("signatures", filter_ids(lead, heads, heads_n, True).select("doc_id", "n", "sig"))
     scratch.drop(lead)
 
     pairs = shared.where("size = 2").select(F.col("head").alias("a"), F.col("last").alias("b"))
     pairs = pairs.unionByName(tiles.where(F.col("doc_id") > F.col("head")).select(F.col("head").alias("a"), F.col("doc_id").alias("b"))).distinct()
-    sizes = summary.select("doc_id", "n").where("n > 0").dropDuplicates(["doc_id"])
-    sized = with_sides(pairs, sizes, "n")
+    sized = with_sides(pairs, sets, "n")
     stars = scratch.put("stars", sized.where(fits(F.col("n_a"), F.col("n_b"), percent)).select("a", "b"))
-    wanted = stars.select(F.col("a").alias("doc_id")).unionByName(stars.select(F.col("b").alias("doc_id"))).unionByName(tiles.select("doc_id")).distinct()
-    wanted = scratch.put("wanted", wanted)
-    sets = scratch.put("signatures", signatures(filter_ids(rows, wanted, wanted.count(), True), k))
     links = verify(scratch, rows, stars, sets, k, percent)
     comps = connected_components(scratch, links)
     comps = scratch.put("parts", comps.withColumnRenamed("node", "doc_id"))
