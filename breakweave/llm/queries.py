@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_chunks, exact_dedup, mixing, ngram_jaccard, quality, token_rollup, url_rules
+from . import bpe_chunks, exact_dedup, language_id, mixing, ngram_jaccard, quality, token_rollup, toxicity, url_rules
 from .common import table
 
 
@@ -18,6 +18,11 @@ def op4_token_rollup(spark, sf_dir):
     return token_rollup.rollup_of(table(spark, sf_dir, "documents"))
 
 
+def op5_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.fit(docs))
+
+
 def op6_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -35,7 +40,12 @@ def op9_bpe_chunks(spark, sf_dir):
     return bpe_chunks.encoded_digests(table(spark, sf_dir, "documents"), bpe_chunks.default_path())
 
 
-QUERIES = {f.__name__: f for f in (op2_ngram_jaccard, op3_exact_dedup, op4_token_rollup, op6_mixing, op7_quality, op8_url_rules, op9_bpe_chunks)}
+def op10_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.scores(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+QUERIES = {f.__name__: f for f in (op2_ngram_jaccard, op3_exact_dedup, op4_token_rollup, op5_language_id, op6_mixing, op7_quality, op8_url_rules, op9_bpe_chunks, op10_toxicity)}
 SQL = {
     "op2_ngram_jaccard": ngram_jaccard.SQL,
     "op3_exact_dedup": exact_dedup.SQL,

@@ -26,14 +26,14 @@ from .common import Scratch, by_steps, id_crc, joined_bytes, text_rows, tree_sum
 from .wordhash import Words, mix
 
 #: Hash buckets of features, most features of the linear classifier, and most labelled rows for fitting.
-BUCKETS, FEATURES, TRAIN_ROWS = 1 << 19, 16_384, 100_000
+BUCKETS, FEATURES, TRAIN_ROWS = 1 << 19, 16_384, 40_000
 #: A text is called toxic from this score on.
 THRESHOLD = 0.3
 #: Seed lexicon: common insults.
 SEED = "idiot moron stupid dumb loser pathetic worthless trash scum disgusting clown fool jerk ugly garbage imbecile hate shut".split()
 #: Beginnings of words, in bytes.
-STEMS = (4, 5)
-_SALT = (np.uint64(0x6A09E667F3BCC909), np.uint64(0xBB67AE8584CAA73B), np.uint64(0x3C6EF372FE94F82B))
+STEMS = (4, 5, 6, 7, 8)
+_SALT = tuple(np.uint64((0x6A09E667F3BCC909 * (2 * i + 1)) % 2**64) for i in range(1 + len(STEMS)))
 
 
 def _pairs(data: np.ndarray, at: np.ndarray, mask: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, Words]:
@@ -72,9 +72,11 @@ class Voters:
 
     def __init__(self, toxic: np.ndarray, clean: np.ndarray, n_toxic: float, n_clean: float):
         odds = np.log((toxic + 0.5) / (n_toxic + 1)) - np.log((clean + 0.5) / (n_clean + 1))
-        common = toxic >= max(4, 0.002 * n_toxic)
+        chance = (toxic + clean) * n_toxic / max(n_toxic + n_clean, 1)
+        excess = (toxic - chance) / np.sqrt(chance + 0.25)
+        common = (toxic >= 3) & (odds >= 1.5)
         self.of = np.full(BUCKETS, -1, np.int8)
-        strength = np.digitize(odds, [1.5, 2.5, 4.0]) - 1
+        strength = np.digitize(excess, [3.5, 5.0, 9.0]) - 1
         mined = common & (strength >= 0)
         self.of[mined] = (1 + strength[mined] * 4 + (np.flatnonzero(mined) % 4)).astype(np.int8)
         self.seed = np.zeros(BUCKETS, bool)
@@ -189,7 +191,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int =
     # features that tell most: the largest standardised difference of rates
     rate = (toxic + clean) / (n_toxic + n_clean)
     z = np.abs(toxic / n_toxic - clean / n_clean) / np.sqrt(np.maximum(rate * (1 - rate), 1e-9))
-    z[toxic + clean < 4] = 0
+    z *= np.sqrt(n_toxic * n_clean / (n_toxic + n_clean))  # in standard errors
+    z[(toxic + clean < 3) | (z < 2.5)] = 0
     keep = np.zeros(BUCKETS, bool)
     keep[np.argsort(-z, kind="stable")[:FEATURES]] = True
     keep &= z > 0
@@ -215,7 +218,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int =
         out = np.append(weight, bias) * len(data)
         yield pa.RecordBatch.from_arrays([pa.array([np.append(out, len(data)).astype(np.float32).tobytes()], pa.binary())], ["s"])
 
-    s = tree_sum(rows.where("fold <> 0").coalesce(8).mapInArrow(learn, "s binary"), "s", BUCKETS + 2, "float32").astype(float)
+    s = tree_sum(rows.where("fold <> 0").coalesce(int(min(8, 1 + (n_toxic + n_clean) // 4000))).mapInArrow(learn, "s binary"), "s", BUCKETS + 2, "float32").astype(float)
     mean = s[:-1] / max(s[-1], 1)
     model = Model(np.where(keep, mean[:-1], 0.0), float(mean[-1]), Isotonic(0, 1, np.zeros(1), np.zeros(1)), told)
 
@@ -225,7 +228,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int =
         total += np.concatenate([np.bincount(k, minlength=BINS), np.bincount(k, y == 1, BINS)])
 
     own = summed(rows.where("fold = 0"), curve, 2 * BINS)
-    own = own if own[:BINS].sum() else summed(rows, curve, 2 * BINS)
+    # with few toxic rows set apart, all rows calibrate
+    own = own if own[BINS:].sum() >= 50 else summed(rows, curve, 2 * BINS)
     model.curve = Isotonic(0, 1, own[:BINS], own[BINS:])
     return model
 
