@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe_chunks, exact_dedup, language_id, mixing, ngram_jaccard, quality, token_rollup, toxicity, url_rules
+from . import bpe_chunks, exact_dedup, language_id, media, mixing, ngram_jaccard, quality, token_rollup, toxicity, url_rules
 from .common import table
 
 
+def op1_webp_media(spark, sf_dir):
+    return media.digests(table(spark, sf_dir, "documents"))
+
+
 def op2_ngram_jaccard(spark, sf_dir):
     return ngram_jaccard.jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
@@ -45,7 +49,7 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.scores(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op2_ngram_jaccard, op3_exact_dedup, op4_token_rollup, op5_language_id, op6_mixing, op7_quality, op8_url_rules, op9_bpe_chunks, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_webp_media, op2_ngram_jaccard, op3_exact_dedup, op4_token_rollup, op5_language_id, op6_mixing, op7_quality, op8_url_rules, op9_bpe_chunks, op10_toxicity)}
 SQL = {
     "op2_ngram_jaccard": ngram_jaccard.SQL,
     "op3_exact_dedup": exact_dedup.SQL,
