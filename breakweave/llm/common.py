@@ -5,7 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one vectorised step holds at a time; a step needs about 40 times as much memory.
-STEP_BYTES = 1 << 21
+STEP_BYTES = 1 << 20
 #: Rows of (long key, few bytes) up to which an id list may be broadcast; about 40 MB on each executor.
 BROADCAST_ROWS = 1_000_000
 
@@ -31,6 +33,26 @@ def shared_dir(spark: SparkSession) -> str:
     return _fallback.setdefault("dir", tempfile.mkdtemp(prefix="breakweave-"))
 
 
+#: Arrow batches between the JVM and Python: rows and bytes, so that long texts don't add up.
+ARROW_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+
+
+def ship(spark: SparkSession) -> None:
+    """Bounds Arrow batches, and gives executors this package, once per context, where they may not have it on their path."""
+    for name, value in ARROW_BATCH.items():
+        spark.conf.set(name, value)
+    context = spark.sparkContext
+    if getattr(context, "_breakweave_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[2]
+    to = Path(tempfile.mkdtemp(prefix="breakweave-code-")) / "breakweave.zip"
+    with zipfile.ZipFile(to, "w") as z:
+        for f in sorted((root / "breakweave").rglob("*.py")):
+            z.write(f, f.relative_to(root).as_posix())
+    context.addPyFile(str(to))
+    context._breakweave_shipped = True
+
+
 class Scratch:
     """Tables written in the shared folder, so that lineage is cut and a lost executor loses nothing.
 
@@ -38,6 +60,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, what: str):
+        ship(spark)
         self.spark, self.at, self.kept = spark, f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex[:12]}", []
         atexit.register(self.close)
 
@@ -68,6 +91,7 @@ class Scratch:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -88,6 +112,7 @@ def filter_ids(docs: DataFrame, ids: DataFrame, n_ids: int, keep: bool, key: str
 
 def text_rows(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Only what a text pass needs: id and text, null text as empty."""
+    ship(docs.sparkSession)
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
 

@@ -32,8 +32,8 @@ from .wordhash import Words, distinct, mix, shingles
 
 #: Counters of the sketch that orders shingles; a fixed half megabyte.
 SKETCH = 1 << 17
-#: Members of a block of a residual tile.
-BLOCK = 512
+#: Members of a block of a residual tile, and tiles that are small enough to list their pairs.
+BLOCK, SMALL = 512, 32
 
 
 def _sets(piece: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -98,7 +98,7 @@ def may_link(n_a: int, n_b: int, sig_a: bytes, sig_b: bytes, percent: int) -> bo
     a, b = np.frombuffer(sig_a, np.uint8), np.frombuffer(sig_b, np.uint8)
     size = min(len(a), len(b))
     bits = int(np.bitwise_count(fold(a, size) ^ fold(b, size)).sum())
-    most = (n_a + n_b - bits) // 2
+    most = min((n_a + n_b - bits) // 2, n_a, n_b)
     return 100 * most >= percent * (n_a + n_b - most)
 
 
@@ -175,46 +175,71 @@ def verify(scratch: Scratch, rows: DataFrame, pairs: DataFrame, sets: DataFrame,
     return links
 
 
+def _across_members(batches):
+    """All pairs of a small tile's members that lie in different components."""
+    for batch in batches:
+        out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for row in batch.column(0):
+            members = row.values
+            ids, comps = np.asarray(members.field("doc_id")), np.asarray(members.field("comp"))
+            i, j = np.triu_indices(len(ids), 1)
+            apart = comps[i] != comps[j]
+            out_a.append(np.minimum(ids[i], ids[j])[apart])
+            out_b.append(np.maximum(ids[i], ids[j])[apart])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "b"])
+
+
 def _across_blocks(percent: int):
-    """Compares one block of members (left, outside the main component) with another, across components only."""
+    """Compares one block of members (left, outside the main component) with another by bitmap, across components only."""
+
+    def members(row):
+        own = row.values
+        return (*(np.asarray(own.field(x)) for x in ("doc_id", "comp", "n")), own.field("sig").to_pylist())
 
     def run(batches):
         for batch in batches:
-            out_a, out_b = [], []
-            for left, right in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                by_width: dict[int, list] = {}
-                for m in right:
-                    by_width.setdefault(len(m["sig"]), []).append(m)
-                packs = {w: (np.array([m["doc_id"] for m in ms]), np.array([m["comp"] for m in ms]), np.array([m["n"] for m in ms]), np.frombuffer(b"".join(m["sig"] for m in ms), np.uint8).reshape(len(ms), w)) for w, ms in by_width.items()}
-                for m in left:
-                    sig = np.frombuffer(m["sig"], np.uint8)
-                    for w, (ids, comps, sizes, sigs) in packs.items():
-                        size = min(w, len(sig))
-                        other = np.bitwise_xor.reduce(sigs.reshape(len(ids), -1, size), axis=1) if w > size else sigs
-                        bits = np.bitwise_count(other ^ fold(sig, size)).sum(axis=1, dtype=np.int64)
-                        most = (sizes + m["n"] - bits) // 2
-                        ok = (100 * most >= percent * (sizes + m["n"] - most)) & (comps != m["comp"]) & (100 * np.minimum(sizes, m["n"]) >= percent * np.maximum(sizes, m["n"]))
-                        for other_id in ids[ok].tolist():
-                            out_a.append(min(m["doc_id"], other_id))
-                            out_b.append(max(m["doc_id"], other_id))
-            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
+            for k in range(batch.num_rows):
+                out_a, out_b = [], []
+                ids, comps, sizes, sigs = members(batch.column(1)[k])
+                width = np.array([len(s) for s in sigs])
+                packs = [(np.flatnonzero(width == w), int(w)) for w in np.unique(width)]
+                packs = [(at, w, np.frombuffer(b"".join(sigs[i] for i in at), np.uint8).reshape(len(at), w)) for at, w in packs]
+                for doc_id, comp, n, sig in zip(*members(batch.column(0)[k]), strict=True):
+                    own = np.frombuffer(sig, np.uint8)
+                    for at, w, bits in packs:
+                        size = min(w, len(own))
+                        other = np.bitwise_xor.reduce(bits.reshape(len(at), -1, size), axis=1) if w > size else bits
+                        apart = np.bitwise_count(other ^ fold(own, size)).sum(axis=1, dtype=np.int64)
+                        most = np.minimum((sizes[at] + n - apart) // 2, np.minimum(sizes[at], n))
+                        for x in ids[at][(100 * most >= percent * (sizes[at] + n - most)) & (comps[at] != comp)].tolist():
+                            out_a.append(min(doc_id, x))
+                            out_b.append(max(doc_id, x))
+                yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
 
     return run
 
 
 def residual_pairs(scratch: Scratch, tiles: DataFrame, comps: DataFrame, sets: DataFrame, seen: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) inside tiles of three and more members that are not one component yet."""
-    member = tiles.where("size > 2").select("token", "doc_id", "size").join(comps, "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
+    """Candidate pairs (a, b) inside tiles of three and more members that are not one component yet.
+
+    Tiles of up to ``SMALL`` members give their pairs across components; tiles with the same members count once.
+    Larger ones are cut into blocks that carry bitmaps.
+    """
+    member = tiles.select("token", "doc_id", "size").join(comps, "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
     member = scratch.put("members", member)
-    per = member.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("rows"))
+    per = member.where(F.col("size") > SMALL).groupBy("token", "comp").agg(F.count(F.lit(1)).alias("rows"))
     mixed = per.groupBy("token").agg(F.max_by("comp", F.struct("rows", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1").drop("comps")
-    inside = member.join(mixed, "token").join(sets.select("doc_id", "n", "sig"), "doc_id")
+    inside = member.join(mixed, "token").join(sets, "doc_id")
     inside = inside.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("size") / BLOCK)))
     blocks = inside.groupBy("token", (F.col("comp") == F.col("main")).alias("of_main"), "block").agg(F.collect_list(F.struct("doc_id", "comp", "n", "sig")).alias("members"))
     blocks = scratch.put("blocks", blocks)
     left = blocks.where("not of_main").select("token", F.col("members").alias("lhs"))
     right = blocks.select("token", F.col("members").alias("rhs"))
-    found = left.join(right, "token").select("lhs", "rhs").mapInArrow(_across_blocks(percent), "a long, b long").distinct()
+    found = left.join(right, "token").select("lhs", "rhs").mapInArrow(_across_blocks(percent), "a long, b long")
+
+    lists = member.where(F.col("size") <= SMALL).groupBy("token").agg(F.array_sort(F.collect_list(F.struct("doc_id", "comp"))).alias("members"))
+    lists = lists.where(F.size(F.array_distinct("members.comp")) > 1).select("members").distinct()
+    found = found.unionByName(lists.mapInArrow(_across_members, "a long, b long")).distinct()
     return found.join(seen, ["a", "b"], "left_anti")
 
 

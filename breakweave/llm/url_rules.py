@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import ship
+
 #: Most rules in one sweep.
 RULES = 100_000
 _SEP = "\x01"
@@ -98,6 +100,7 @@ def sweep(rules: list[Rule]):
 
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = QUERY_RULES, page_id: str = "page_id", url: str = "url", default: str = "allow") -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict."""
+    ship(pages.sparkSession)
     host, path = host_and_path(F.col(url).cast("string"))
     base = pages.select(F.col(page_id).cast("long").alias("page_id"), host.alias("host"), path.alias("path"), F.monotonically_increasing_id().alias("row"))
     ranked = sorted(rules, key=lambda r: r.rank)
