@@ -10,32 +10,33 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .schemas import ALIGNMENTS
+from .variants import read_lines
 
 _OPS = "MIDNSHP=X"
 
 
-def read_sam(spark: SparkSession, path: str) -> DataFrame:
-    """Records of SAM text in file order of record_ordinal; sequences and qualities are reduced to a length at once.
-
-    A plain file is split; record_ordinal is the split's offset plus the row's number in it.
-    """
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("n"))
+def sam_columns(lines: DataFrame) -> DataFrame:
+    """Records of SAM lines (value, ordinal); sequences and qualities are reduced to a length at once."""
     lines = lines.where(~F.col("value").startswith("@") & (F.col("value") != ""))
     f = F.split("value", "\t")
     tag = lambda kind: F.nullif(F.regexp_extract("value", rf"\t{kind}:([^\t]*)", 1), F.lit(""))
     star = lambda c: F.when(c != "*", c)
     return lines.select(
-        (F.col("at") + F.col("n")).alias("record_ordinal"), f[0].alias("qname"), f[1].cast("int").alias("flag"), star(f[2]).alias("rname"),
+        F.col("ordinal").alias("record_ordinal"), f[0].alias("qname"), f[1].cast("int").alias("flag"), star(f[2]).alias("rname"),
         F.when(f[3].cast("bigint") > 0, f[3].cast("bigint") - 1).alias("pos"), f[4].cast("bigint").alias("mapq"), star(f[5]).alias("cigar"),
         F.when(f[9] == "*", 0).otherwise(F.length(f[9])).cast("bigint").alias("seq_len"), tag("SA:Z").alias("sa"), tag("NM:i").cast("bigint").alias("nm"),
     )
 
 
-def sam_contigs(spark: SparkSession, path: str) -> DataFrame:
-    """(chrom, length, ordinal) of the header; no header, no rows."""
-    lines = spark.read.text(path).where(F.col("value").startswith("@SQ"))
+def read_sam(spark: SparkSession, path: str) -> DataFrame:
+    """Records of SAM text, record_ordinal rising with the place in the file."""
+    return sam_columns(read_lines(spark, path))
+
+
+def contig_columns(lines: DataFrame) -> DataFrame:
+    """(chrom, length, ordinal) of header lines (value, ordinal)."""
     field = lambda k: F.regexp_extract("value", rf"\t{k}:([^\t]*)", 1)
-    out = lines.select(field("SN").alias("chrom"), field("LN").try_cast("bigint").alias("length"), F.monotonically_increasing_id().alias("ordinal"))
+    out = lines.where(F.col("value").startswith("@SQ")).select(field("SN").alias("chrom"), field("LN").try_cast("bigint").alias("length"), "ordinal")
     return out.where((F.col("chrom") != "") & F.col("length").isNotNull())
 
 
@@ -141,7 +142,7 @@ def contig_lengths(spark: SparkSession, path: str) -> dict[str, int]:
     """Contig -> length from the header, an empty dict if it can't be read."""
     try:
         if path.endswith((".sam", ".sam.gz")):
-            return {r.chrom: r.length for r in sam_contigs(spark, path).orderBy("ordinal").collect()}
+            return {r.chrom: r.length for r in contig_columns(read_lines(spark, path)).orderBy("ordinal").collect()}
         with gzip.open(path, "rb") as stream:
             return dict(_header(stream))
     except (OSError, ValueError, EOFError):
