@@ -123,7 +123,7 @@ def first_size(*columns) -> Column:
 def row_size(df_columns, start="start", end="end") -> Column:
     """First non-zero of median_svlen, svlen, size; else the span."""
     have = [c for c in ("median_svlen", "svlen", "size") if c in df_columns]
-    span = F.abs(whole(end) - whole(start))
+    span = F.abs(whole(end) - whole(start)) if not isinstance(end, str) or end in df_columns else F.lit(0).cast("bigint")
     return F.coalesce(first_size(*have), span) if have else span
 
 

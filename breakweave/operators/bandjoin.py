@@ -7,6 +7,7 @@ touch. A hot bin is an ordinary skewed join key for adaptive execution.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,14 +60,14 @@ def _all(conditions: list[Column]) -> Column:
 def global_ordinal(df: DataFrame, name: str, order: list[Column], parts: int | None = None) -> DataFrame:
     """0-based position of each row in the order of ``order``: a range sort, then partition offsets.
 
-    The sorted exchange is used by both branches of one plan, so partitions are the same in both.
+    The sorted rows are kept, because sampled range bounds must be the same for the offsets and for the rows.
     """
     parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
-    placed = placed.withColumn("_part", F.shiftright("_at", 33)).withColumn("_in", F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_at")
-    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
+    placed = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()).persist(StorageLevel.MEMORY_AND_DISK)
+    part = F.shiftright("_at", 33).alias("_part")
+    sizes = placed.groupBy(part).agg(F.count(F.lit(1)).alias("_size"))
     before = F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = sizes.select("_part", before.alias("_before"))
     # one row per partition: bounded by ``parts``
-    out = placed.join(F.broadcast(offsets), "_part")
-    return out.select(*df.columns, (F.col("_in") + F.col("_before")).cast("bigint").alias(name))
+    out = placed.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+    return out.select(*df.columns, (F.col("_at").bitwiseAND((1 << 33) - 1) + F.col("_before")).cast("bigint").alias(name))

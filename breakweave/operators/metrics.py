@@ -21,7 +21,8 @@ def _count(c: Column) -> Column:
     return F.count_if(c)
 
 
-def confusion_columns(positive: Column, label: Column = F.col("label")) -> list[Column]:
+def confusion_columns(positive: Column, label: str = "label") -> list[Column]:
+    label = F.col(label)
     return [
         _count((label == 1) & positive).alias("tp"), _count((label == 0) & positive).alias("fp"),
         _count((label == 1) & ~positive).alias("fn"), _count((label == 0) & ~positive).alias("tn"),

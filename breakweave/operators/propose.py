@@ -16,19 +16,21 @@ def _proposal(position: Column, svtype: Column, size: Column, source: str, chrom
 
 def softclip_proposal(columns, min_size: int = 50) -> Column:
     """An insertion where reads are clipped; the clip's length is its size."""
-    chrom, pos, told = X.first_filled(columns, ("src_chrom", "chrom")), X.whole("event_pos", None), X.whole("event_len", 0)
-    side = F.when(F.col("evidence_type") == "SOFTCLIP_LEFT", X.whole("softclip_left", 0)).otherwise(X.whole("softclip_right", 0))
-    size = F.when(told > 0, told).otherwise(side)
+    chrom, pos, told = X.first_filled(columns, ("src_chrom", "chrom")), F.col("event_pos"), F.coalesce("event_len", F.lit(0))
+    side = F.when(F.col("evidence_type") == "SOFTCLIP_LEFT", F.col("softclip_left")).otherwise(F.col("softclip_right"))
+    size = F.when(told > 0, told).otherwise(F.coalesce(side, F.lit(0)))
     return F.when(size >= min_size, _proposal(pos, F.lit("INS"), size, "SOFTCLIP", chrom))
 
 
 def sa_proposal(columns, min_size: int = 50) -> Column:
     """A deletion between two parts of one read that align in the same direction on one chromosome."""
-    s0, s1, d0, d1 = (X.whole(c, None) for c in ("src_start", "src_end", "dst_start", "dst_end"))
     chrom = X.first_filled(columns, ("src_chrom", "chrom"))
-    fits = (chrom == F.col("dst_chrom")) & (X.whole("orientation_change", 0) == 0) & s0.isNotNull() & s1.isNotNull() & d0.isNotNull() & d1.isNotNull()
-    ahead, behind = d0 - s1, s0 - d1
-    return F.when(fits & (ahead >= min_size), _proposal(s1, F.lit("DEL"), ahead, "SA", chrom)).when(fits & (behind >= min_size), _proposal(d1, F.lit("DEL"), behind, "SA", chrom))
+    fits = (chrom == F.col("dst_chrom")) & (F.coalesce("orientation_change", F.lit(0)) == 0)
+    # a missing breakpoint makes a difference null, which is no proposal
+    ahead, behind = F.col("dst_start") - F.col("src_end"), F.col("src_start") - F.col("dst_end")
+    fits = fits & ahead.isNotNull() & behind.isNotNull() & ((ahead >= min_size) | (behind >= min_size))
+    forward = ahead >= min_size
+    return F.when(fits, _proposal(F.when(forward, F.col("src_end")).otherwise(F.col("dst_end")), F.lit("DEL"), F.when(forward, ahead).otherwise(behind), "SA", chrom))
 
 
 def supplementary_proposal(columns, min_size: int = 50) -> Column:
@@ -36,8 +38,8 @@ def supplementary_proposal(columns, min_size: int = 50) -> Column:
     own = [c for c in ("svtype", "SVTYPE") if c in columns]
     if not own:
         return F.lit(None).cast(f"struct<{_SCHEMA.replace(' ', ':').replace(',:', ',')}>")
-    svtype, size = F.upper(X.first_filled(columns, own)), F.abs(X.whole("event_len", 0))
-    return F.when(svtype.isin("DEL", "INS") & (size >= min_size), _proposal(X.whole("event_pos", None), svtype, size, "SUPPLEMENTARY", X.first_filled(columns, ("src_chrom", "chrom"))))
+    svtype, size = F.upper(X.first_filled(columns, own)), F.abs(F.coalesce("event_len", F.lit(0)))
+    return F.when(svtype.isin("DEL", "INS") & (size >= min_size), _proposal(F.col("event_pos"), svtype, size, "SUPPLEMENTARY", X.first_filled(columns, ("src_chrom", "chrom"))))
 
 
 def proposals(extra: DataFrame, min_size: int = 50) -> DataFrame:
@@ -45,10 +47,14 @@ def proposals(extra: DataFrame, min_size: int = 50) -> DataFrame:
     if "evidence_type" not in extra.columns:
         return extra.sparkSession.createDataFrame([], _SCHEMA)
     kind, columns = F.col("evidence_type"), extra.columns
-    for c in ("src_start", "src_end", "dst_start", "dst_end", "dst_chrom", "orientation_change", "event_pos", "event_len", "softclip_left", "softclip_right"):
-        if c not in columns:
-            extra = extra.withColumn(c, F.lit(None).cast("string"))
+    kinds = dict(extra.dtypes)
+    for c in ("src_start", "src_end", "dst_start", "dst_end", "orientation_change", "event_pos", "event_len", "softclip_left", "softclip_right"):
+        if kinds.get(c) not in ("bigint", "int"):
+            extra = extra.withColumn(c, X.whole(c, None) if c in kinds else F.lit(None).cast("bigint"))
+    if "dst_chrom" not in columns:
+        extra = extra.withColumn("dst_chrom", F.lit(None).cast("string"))
     p = F.when(kind.isin("SOFTCLIP_LEFT", "SOFTCLIP_RIGHT"), softclip_proposal(columns, min_size)).when(kind == "SA_CONNECTION", sa_proposal(columns, min_size))
     p = p.when(kind == "SUPPLEMENTARY", supplementary_proposal(columns, min_size))
-    out = extra.select(p.alias("p")).where("p is not null").select("p.*")
+    # a generator keeps the case distinction from being repeated for each field and filter
+    out = extra.select(F.inline(F.array_compact(F.array(p))))
     return out.where((F.col("chrom") != "") & F.col("position").isNotNull() & (F.col("size") > 0))
