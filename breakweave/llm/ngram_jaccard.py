@@ -175,18 +175,27 @@ def verify(scratch: Scratch, rows: DataFrame, pairs: DataFrame, sets: DataFrame,
     return links
 
 
-def _across_members(batches):
-    """All pairs of a small tile's members that lie in different components."""
-    for batch in batches:
-        out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for row in batch.column(0):
-            members = row.values
-            ids, comps = np.asarray(members.field("doc_id")), np.asarray(members.field("comp"))
-            i, j = np.triu_indices(len(ids), 1)
-            apart = comps[i] != comps[j]
-            out_a.append(np.minimum(ids[i], ids[j])[apart])
-            out_b.append(np.maximum(ids[i], ids[j])[apart])
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "b"])
+def _across_members(percent: int):
+    """Pairs of a small tile's members in different components that its shingle can still make link.
+
+    The first shingle that two documents share has all their other shared ones behind it. A pair is left to another
+    tile, or can't link, where too few shingles follow in one of the two.
+    """
+
+    def run(batches):
+        for batch in batches:
+            out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for row in batch.column(0):
+                ids, comps, n, pos = (np.asarray(row.values.field(x), np.int64) for x in ("doc_id", "comp", "n", "pos"))
+                i, j = np.triu_indices(len(ids), 1)
+                # overlap o links if 100 o >= percent (n_i + n_j - o)
+                least = -(-percent * (n[i] + n[j]) // (100 + percent))
+                ok = (comps[i] != comps[j]) & (n[i] - pos[i] >= least) & (n[j] - pos[j] >= least)
+                out_a.append(np.minimum(ids[i], ids[j])[ok])
+                out_b.append(np.maximum(ids[i], ids[j])[ok])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "b"])
+
+    return run
 
 
 def _across_blocks(percent: int):
@@ -222,14 +231,13 @@ def _across_blocks(percent: int):
 def residual_pairs(scratch: Scratch, tiles: DataFrame, comps: DataFrame, sets: DataFrame, seen: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs (a, b) inside tiles of three and more members that are not one component yet.
 
-    Tiles of up to ``SMALL`` members give their pairs across components; tiles with the same members count once.
-    Larger ones are cut into blocks that carry bitmaps.
+    Tiles of up to ``SMALL`` members give their pairs across components as far as the shingle's places allow. Larger ones are cut into blocks that carry bitmaps.
     """
-    member = tiles.select("token", "doc_id", "size").join(comps, "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
+    member = tiles.select("token", "doc_id", "n", "pos", "size").join(comps, "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
     member = scratch.put("members", member)
     per = member.where(F.col("size") > SMALL).groupBy("token", "comp").agg(F.count(F.lit(1)).alias("rows"))
     mixed = per.groupBy("token").agg(F.max_by("comp", F.struct("rows", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1").drop("comps")
-    inside = member.join(mixed, "token").join(sets, "doc_id")
+    inside = member.drop("n").join(mixed, "token").join(sets, "doc_id")
     inside = inside.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("size") / BLOCK)))
     blocks = inside.groupBy("token", (F.col("comp") == F.col("main")).alias("of_main"), "block").agg(F.collect_list(F.struct("doc_id", "comp", "n", "sig")).alias("members"))
     blocks = scratch.put("blocks", blocks)
@@ -237,9 +245,9 @@ def residual_pairs(scratch: Scratch, tiles: DataFrame, comps: DataFrame, sets: D
     right = blocks.select("token", F.col("members").alias("rhs"))
     found = left.join(right, "token").select("lhs", "rhs").mapInArrow(_across_blocks(percent), "a long, b long")
 
-    lists = member.where(F.col("size") <= SMALL).groupBy("token").agg(F.array_sort(F.collect_list(F.struct("doc_id", "comp"))).alias("members"))
-    lists = lists.where(F.size(F.array_distinct("members.comp")) > 1).select("members").distinct()
-    found = found.unionByName(lists.mapInArrow(_across_members, "a long, b long")).distinct()
+    lists = member.where(F.col("size") <= SMALL).groupBy("token").agg(F.array_sort(F.collect_list(F.struct("doc_id", "comp", "n", "pos"))).alias("members"))
+    lists = lists.where(F.size(F.array_distinct("members.comp")) > 1).select("members")
+    found = found.unionByName(lists.mapInArrow(_across_members(percent), "a long, b long")).distinct()
     return found.join(seen, ["a", "b"], "left_anti")
 
 
@@ -257,12 +265,12 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     heads_n = heads.count()
 
     lead = scratch.put("prefixes", prefixes(rows, rank, k, percent))
-    members = filter_ids(lead, heads, heads_n, True).select("doc_id", F.explode("tokens").alias("token"))
+    members = filter_ids(lead, heads, heads_n, True).select("doc_id", "n", F.posexplode("tokens").alias("pos", "token"))
     shared = members.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("doc_id").alias("head"), F.max("doc_id").alias("last"))
     shared = scratch.put("shared", shared.where("size > 1"))
     # two members are a pair already; only larger tiles need their members listed
     large = shared.where("size > 2").select("token", "size", "head")
-    tiles = scratch.put("tiles", members.join(large, "token").select("token", "doc_id", "size", "head"))
+    tiles = scratch.put("tiles", members.join(large, "token").select("token", "doc_id", "n", "pos", "size", "head"))
     sets = scratch.put("signatures", filter_ids(lead, heads, heads_n, True).select("doc_id", "n", "sig"))
     scratch.drop(lead)
 
