@@ -22,13 +22,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import by_steps, joined_bytes, text_rows
+from .common import by_steps, joined_bytes, text_rows, worker_caches
 
 #: A chunk ends where the top bits of the rolling hash are zero: 1 in 2**CUT_BITS bytes on average.
 CUT_BITS = 10
 _CUT = np.uint64(0xD6E8FEB86659FD93)
 #: Bounds of a worker's caches.
-WORD_ENTRIES, CHUNK_BYTES = 300_000, 64 << 20
+WORD_ENTRIES, CHUNK_BYTES = 250_000, 32 << 20
 
 
 def cut_points(data: np.ndarray, first: int, last: int) -> list[int]:
@@ -139,6 +139,7 @@ def encoder(path: str) -> Encoder:
     """The worker's encoder for a tokenizer file."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
+    worker_caches["bpe"] = _encoders.clear
     return _encoders[path]
 
 
@@ -164,7 +165,7 @@ def encode_texts(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
             texts.append([body[a:b] for a, b in zip([first, *cuts[:-1]], cuts, strict=True)])
         return finish(piece.column(0), own.encode(texts))
 
-    return text_rows(docs, text, doc_id).mapInArrow(by_steps("text", run, 1 << 20), schema)
+    return text_rows(docs, text, doc_id).mapInArrow(by_steps("text", run, 1 << 20, "bpe"), schema)
 
 
 def _sha(x: bytes) -> str:

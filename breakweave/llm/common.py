@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -128,8 +131,24 @@ def joined_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def steps(batch: pa.RecordBatch, column: str, most: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
+#: Caches that outlive a task in a Python worker: owner -> how to empty it.
+worker_caches: dict[str, Callable[[], None]] = {}
+
+
+def release(owner: str | None) -> None:
+    """Empties the caches of other operators, whose tasks this worker ran before, and gives the memory back."""
+    others = [k for k in worker_caches if k != owner]
+    for k in others:
+        worker_caches.pop(k)()
+    if others:
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+
+def steps(batch: pa.RecordBatch, column: str, most: int = STEP_BYTES, owner: str | None = None) -> Iterator[pa.RecordBatch]:
     """The batch in pieces of about ``most`` text bytes, a longer row by itself."""
+    release(owner)
     if not batch.num_rows:
         return
     col = batch.column(batch.schema.get_field_index(column))
@@ -141,12 +160,12 @@ def steps(batch: pa.RecordBatch, column: str, most: int = STEP_BYTES) -> Iterato
         first = last
 
 
-def by_steps(column: str, work: Callable[[pa.RecordBatch], pa.RecordBatch], most: int = STEP_BYTES) -> Callable:
+def by_steps(column: str, work: Callable[[pa.RecordBatch], pa.RecordBatch], most: int = STEP_BYTES, owner: str | None = None) -> Callable:
     """A mapInArrow function that applies ``work`` to bounded pieces."""
 
     def run(batches):
         for batch in batches:
-            for piece in steps(batch, column, most):
+            for piece in steps(batch, column, most, owner):
                 yield work(piece)
 
     return run
