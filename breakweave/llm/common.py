@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one vectorised step holds at a time; a step needs about 40 times as much memory.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 19
 #: Rows of (long key, few bytes) up to which an id list may be broadcast; about 40 MB on each executor.
 BROADCAST_ROWS = 1_000_000
 
@@ -135,15 +135,20 @@ def joined_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 worker_caches: dict[str, Callable[[], None]] = {}
 
 
+def trim() -> None:
+    """Gives freed memory back to the system, where the C library can."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def release(owner: str | None) -> None:
     """Empties the caches of other operators, whose tasks this worker ran before, and gives the memory back."""
     others = [k for k in worker_caches if k != owner]
     for k in others:
         worker_caches.pop(k)()
     if others:
-        gc.collect()
-        with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL(None).malloc_trim(0)
+        trim()
 
 
 def steps(batch: pa.RecordBatch, column: str, most: int = STEP_BYTES, owner: str | None = None) -> Iterator[pa.RecordBatch]:
@@ -167,12 +172,16 @@ def by_steps(column: str, work: Callable[[pa.RecordBatch], pa.RecordBatch], most
         for batch in batches:
             for piece in steps(batch, column, most, owner):
                 yield work(piece)
+        trim()
 
     return run
 
 
-def tree_sum(df: DataFrame, column: str, size: int, dtype: str = "float64", fan: int = 16) -> np.ndarray:
-    """Sum over rows of arrays held as bytes, all of one size: in the tasks, then in ``fan`` tasks, then of at most ``fan`` rows here."""
+def tree_sum(df: DataFrame, column: str, size: int, dtype: str = "float64", fan: int = 16, sums: bool = False) -> np.ndarray:
+    """Sum over rows of arrays held as bytes, all of one size: in the tasks, then in ``fan`` tasks, then of at most ``fan`` rows here.
+
+    ``sums``: Python made one row per task already, so a second Python worker in the same tasks would gain nothing.
+    """
 
     def add(batches):
         total = np.zeros(size, dtype)
@@ -185,7 +194,8 @@ def tree_sum(df: DataFrame, column: str, size: int, dtype: str = "float64", fan:
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], [column])
 
-    part = df.select(column).where(F.col(column).isNotNull()).mapInArrow(add, f"{column} binary")
+    part = df.select(column).where(F.col(column).isNotNull())
+    part = part if sums else part.mapInArrow(add, f"{column} binary")
     total = np.zeros(size, dtype)
     for row in part.repartition(fan).mapInArrow(add, f"{column} binary").collect():
         total += np.frombuffer(row[0], dtype)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, Scratch, by_steps, filter_ids, joined_bytes, steps, text_rows, tree_sum
+from .common import BROADCAST_ROWS, Scratch, by_steps, filter_ids, joined_bytes, steps, text_rows, tree_sum, trim
 from .components import connected_components
 from .wordhash import Words, distinct, mix, shingles
 
@@ -68,6 +68,7 @@ def set_summaries(docs: DataFrame, k: int = 5) -> DataFrame:
         if sketch.any():
             none = pa.nulls(1, pa.int64())
             yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array([sketch.astype(np.uint64).tobytes()], pa.binary())], schema=shape)
+        trim()
 
     return docs.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, sketch binary")
 

@@ -156,7 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int
             if total is not None:
                 yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["s"])
 
-        return tree_sum(part.mapInArrow(run, "s binary"), "s", size)
+        return tree_sum(part.mapInArrow(run, "s binary"), "s", size, sums=True)
 
     m = summed(rows, lambda x, y: np.concatenate([[len(x)], x.sum(axis=0), (x**2).sum(axis=0)]), 1 + 2 * N_STATS)
     n = max(m[0], 1)
@@ -206,10 +206,8 @@ def scores(docs: DataFrame, model: Model, modulus: int = 3, held: int = 1, doc_i
 def accepted(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.5) -> DataFrame:
     """The documents that score at least ``threshold``, whole rows, decided where they are read."""
 
-    def run(batches):
-        for batch in batches:
-            for piece in by_steps(text, lambda p: p.filter(pa.array(model.score(statistics(*joined_bytes(p.column(p.schema.get_field_index(text))))) >= threshold)))([batch]):
-                if piece.num_rows:
-                    yield piece
+    def keep(piece):
+        data = joined_bytes(piece.column(piece.schema.get_field_index(text)))
+        return piece.filter(pa.array(model.score(statistics(*data)) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(by_steps(text, keep), docs.schema)

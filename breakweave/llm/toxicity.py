@@ -169,7 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int =
                     of(total, *arrays(b))
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["s"])
 
-        return tree_sum(part.mapInArrow(run, "s binary"), "s", size, dtype)
+        return tree_sum(part.mapInArrow(run, "s binary"), "s", size, dtype, sums=True)
 
     def count(total, y, words, doc, bucket):
         total[: 2 * BUCKETS] += np.bincount(bucket + BUCKETS * (y[doc] == 1), minlength=2 * BUCKETS).astype(np.float32)
@@ -218,7 +218,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int =
         out = np.append(weight, bias) * len(data)
         yield pa.RecordBatch.from_arrays([pa.array([np.append(out, len(data)).astype(np.float32).tobytes()], pa.binary())], ["s"])
 
-    s = tree_sum(rows.where("fold <> 0").coalesce(int(min(8, 1 + (n_toxic + n_clean) // 4000))).mapInArrow(learn, "s binary"), "s", BUCKETS + 2, "float32").astype(float)
+    s = tree_sum(rows.where("fold <> 0").coalesce(int(min(8, 1 + (n_toxic + n_clean) // 4000))).mapInArrow(learn, "s binary"), "s", BUCKETS + 2, "float32", sums=True).astype(float)
     mean = s[:-1] / max(s[-1], 1)
     model = Model(np.where(keep, mean[:-1], 0.0), float(mean[-1]), Isotonic(0, 1, np.zeros(1), np.zeros(1)), told)
 
