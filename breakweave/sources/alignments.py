@@ -18,7 +18,8 @@ _OPS = "MIDNSHP=X"
 def sam_columns(lines: DataFrame) -> DataFrame:
     """Records of SAM lines (value, ordinal); sequences and qualities are reduced to a length at once."""
     lines = lines.where(~F.col("value").startswith("@") & (F.col("value") != ""))
-    f = F.split("value", "\t")
+    fields = F.split("value", "\t")
+    f = [F.get(fields, F.lit(i)) for i in range(11)]
     tag = lambda kind: F.nullif(F.regexp_extract("value", rf"\t{kind}:([^\t]*)", 1), F.lit(""))
     star = lambda c: F.when(c != "*", c)
     return lines.select(
