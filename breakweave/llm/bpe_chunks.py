@@ -161,8 +161,8 @@ def encode_texts(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
         own = encoder(path)
         texts = []
         for first, last in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-            cuts = cut_points(data, first, last)
-            texts.append([body[a:b] for a, b in zip([first, *cuts[:-1]], cuts, strict=True)])
+            cuts = [first, *cut_points(data, first, last)]
+            texts.append([body[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
         return finish(piece.column(0), own.encode(texts))
 
     return text_rows(docs, text, doc_id).mapInArrow(by_steps("text", run, 1 << 20, "bpe"), schema)
