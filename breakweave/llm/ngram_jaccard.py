@@ -33,7 +33,7 @@ from .wordhash import Words, distinct, mix, shingles
 #: Counters of the sketch that orders shingles; a fixed half megabyte.
 SKETCH = 1 << 17
 #: Members of a block of a residual tile, and tiles that are small enough to list their pairs.
-BLOCK, SMALL = 512, 32
+BLOCK, SMALL = 512, 16
 
 
 def _sets(piece: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -186,8 +186,8 @@ def _across_members(percent: int):
     def run(batches):
         for batch in batches:
             out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for row in batch.column(0):
-                ids, comps, n, pos = (np.asarray(row.values.field(x), np.int64) for x in ("doc_id", "comp", "n", "pos"))
+            for k in range(batch.num_rows):
+                ids, comps, n, pos = (np.asarray(c[k].values, np.int64) for c in batch.columns)
                 i, j = np.triu_indices(len(ids), 1)
                 # overlap o links if 100 o >= percent (n_i + n_j - o)
                 least = -(-percent * (n[i] + n[j]) // (100 + percent))
@@ -247,7 +247,10 @@ def residual_pairs(scratch: Scratch, tiles: DataFrame, comps: DataFrame, sets: D
     found = left.join(right, "token").select("lhs", "rhs").mapInArrow(_across_blocks(percent), "a long, b long")
 
     lists = member.where(F.col("size") <= SMALL).groupBy("token").agg(F.array_sort(F.collect_list(F.struct("doc_id", "comp", "n", "pos"))).alias("members"))
-    lists = lists.where(F.size(F.array_distinct("members.comp")) > 1).select("members")
+    lists = lists.where(F.size(F.array_distinct("members.comp")) > 1)
+    # Tiles with the same members count once, at the earliest of their shingles: the order of shingles is the same in
+    # every document, so the least array of places is the least in each place.
+    lists = lists.groupBy(F.col("members.doc_id").alias("ids")).agg(F.first("members.comp").alias("comps"), F.first("members.n").alias("sizes"), F.min("members.pos").alias("places"))
     found = found.unionByName(lists.mapInArrow(_across_members(percent), "a long, b long")).distinct()
     return found.join(seen, ["a", "b"], "left_anti")
 
