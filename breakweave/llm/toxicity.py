@@ -1,7 +1,7 @@
 """Toxicity by weak supervision.
 
 Many voters look at a text: a seed lexicon, lexicons mined from the labelled documents (whole words and word
-beginnings, by strength and by hash), and patterns over their hits (several different hits, dense hits). Each says yes
+beginnings, by strength and by hash, copies counted once), and patterns over their hits (several different hits, dense hits). Each says yes
 or nothing. A generative label model over the vote patterns estimates each voter's rates given the hidden label by
 expectation maximisation, without looking at labels; correlations of votes that the hidden label does not explain
 lower the weight of voters that repeat each other. A linear classifier over hashed words and word beginnings is then
@@ -74,14 +74,14 @@ class Voters:
         odds = np.log((toxic + 0.5) / (n_toxic + 1)) - np.log((clean + 0.5) / (n_clean + 1))
         chance = (toxic + clean) * n_toxic / max(n_toxic + n_clean, 1)
         excess = (toxic - chance) / np.sqrt(chance + 0.25)
-        common = (toxic >= 3) & (odds >= 1.5)
+        common = (toxic >= 3) & (odds >= 2.5)
         self.of = np.full(BUCKETS, -1, np.int8)
-        strength = np.digitize(excess, [3.5, 5.0, 9.0]) - 1
+        strength = np.digitize(excess, [4.0, 7.0, 12.0]) - 1
         mined = common & (strength >= 0)
         self.of[mined] = (1 + strength[mined] * 4 + (np.flatnonzero(mined) % 4)).astype(np.int8)
         self.seed = np.zeros(BUCKETS, bool)
         self.seed[_seed_buckets()] = True
-        self.strong = mined & (strength >= 1)
+        self.strong = mined
 
     def patterns(self, doc: np.ndarray, bucket: np.ndarray, n_docs: int, n_words: np.ndarray) -> np.ndarray:
         out = np.zeros(n_docs, np.int64)
@@ -94,24 +94,29 @@ class Voters:
         return out
 
 
-def label_model(counts: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, dict]:
-    """Posterior of the hidden label for each vote pattern, from how often each occurs; and what was estimated."""
+def label_model(counts: np.ndarray, balance: float | None = None, most_false: np.ndarray | float = 0.5, rounds: int = 60) -> tuple[np.ndarray, dict]:
+    """Posterior of the hidden label for each vote pattern, from how often each occurs; and what was estimated.
+
+    ``balance`` is the share of toxic texts if it is known, else it is estimated too; ``most_false`` bounds each voter's
+    rate among clean texts, so that texts with a single hit do not make up a clean class of their own.
+    """
     seen = np.flatnonzero(counts)
     n, votes = counts[seen], (seen[:, None] >> np.arange(Voters.N)) & 1
-    prior, yes, no = 0.1, np.full(Voters.N, 0.5), np.full(Voters.N, 0.05)
+    prior, yes, no = 0.1 if balance is None else balance, np.full(Voters.N, 0.5), np.full(Voters.N, 0.05)
     weight, corr = np.full(Voters.N, 1.0), np.eye(Voters.N)
     spread = n / max(n.sum(), 1)
     rate = spread @ votes
-    no = np.clip(rate * 0.5, 1e-4, 0.3)
+    no = np.clip(rate * 0.5, 1e-4, np.minimum(most_false, 0.3))
     post = np.zeros(len(seen))
     for r in range(rounds):
         llr = np.where(votes == 1, np.log(yes / no), np.log((1 - yes) / (1 - no)))
         logit = np.log(prior / (1 - prior)) + llr @ weight
         post = 1 / (1 + np.exp(-np.clip(logit, -40, 40)))
         a, b = n * post, n * (1 - post)
-        prior = np.clip((a.sum() + 1) / (n.sum() + 10), 1e-3, 0.5)
+        if balance is None:
+            prior = np.clip((a.sum() + 1) / (n.sum() + 10), 1e-3, 0.5)
         yes = np.clip((a @ votes + 1) / (a.sum() + 2), 1e-3, 1 - 1e-3)
-        no = np.clip((b @ votes + 0.1) / (b.sum() + 2), 1e-5, yes * 0.9)
+        no = np.clip((b @ votes + 0.1) / (b.sum() + 2), 1e-5, np.minimum(most_false, yes * 0.9))
         if r in (10, 20, 30):  # correlations that the label does not explain
             dev = votes - (post[:, None] * yes + (1 - post[:, None]) * no)
             cov = (dev * n[:, None]).T @ dev / max(n.sum(), 1)
@@ -150,11 +155,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int =
         ends = np.zeros(piece.num_rows + 1, np.int32)
         ends[1:] = np.cumsum(np.bincount(doc, minlength=piece.num_rows))
         own = pa.ListArray.from_arrays(pa.array(ends), pa.array(bucket.astype(np.int32)))
-        return pa.RecordBatch.from_arrays([piece.column(2), piece.column(3), pa.array(w.count.astype(np.int32)), own], ["label", "fold", "words", "buckets"])
+        return pa.RecordBatch.from_arrays([piece.column(2), piece.column(3), pa.array(w.count.astype(np.int32)), own, piece.column(4)], ["label", "fold", "words", "buckets", "text_hash"])
 
-    rows = labelled(docs, labels, label, modulus, held, bound, doc_id, text)
-    rows = rows.mapInArrow(by_steps("text", extract), "label int, fold int, words int, buckets array<int>")
-    rows = scratch.put("features", rows.repartition(16))
+    rows = labelled(docs, labels, label, modulus, held, bound, doc_id, text).withColumn("text_hash", F.xxhash64("text"))
+    rows = rows.mapInArrow(by_steps("text", extract), "label int, fold int, words int, buckets array<int>, text_hash long")
+    # copies of one text would make its own words look telling
+    rows = rows.repartition(16, "text_hash").dropDuplicates(["text_hash"]).drop("text_hash")
+    rows = scratch.put("features", rows)
 
     def arrays(batch):
         lists = batch.column(3)
@@ -184,9 +191,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int =
     voters = Voters(toxic, clean, n_toxic, n_clean)
 
     def tally(total, y, words, doc, bucket):
-        total += np.bincount(voters.patterns(doc, bucket, len(y), words), minlength=1 << Voters.N)
+        total += np.bincount(voters.patterns(doc, bucket, len(y), words) + (y == 1) * (1 << Voters.N), minlength=2 << Voters.N)
 
-    posterior, told = label_model(summed(rows, tally, 1 << Voters.N))
+    tallied = summed(rows, tally, 2 << Voters.N).reshape(2, -1)
+    bits = (np.arange(1 << Voters.N)[:, None] >> np.arange(Voters.N)) & 1
+    most_false = (1.5 * (tallied[0] @ bits) + 1) / (tallied[0].sum() + 1)
+    posterior, told = label_model(tallied.sum(axis=0), float(np.clip(n_toxic / (n_toxic + n_clean), 1e-3, 0.5)), most_false)
 
     # features that tell most: the largest standardised difference of rates
     rate = (toxic + clean) / (n_toxic + n_clean)
