@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import ctypes
 import gc
+import io
 import tempfile
 import uuid
 import zipfile
@@ -48,11 +49,20 @@ def ship(spark: SparkSession) -> None:
     if getattr(context, "_breakweave_shipped", False):
         return
     root = Path(__file__).resolve().parents[2]
-    to = Path(tempfile.mkdtemp(prefix="breakweave-code-")) / "breakweave.zip"
-    with zipfile.ZipFile(to, "w") as z:
+    code = io.BytesIO()
+    with zipfile.ZipFile(code, "w") as z:
         for f in sorted((root / "breakweave").rglob("*.py")):
             z.write(f, f.relative_to(root).as_posix())
-    context.addPyFile(str(to))
+    if context.master.startswith("local"):
+        to = str(Path(tempfile.mkdtemp(prefix="breakweave-code-")) / "breakweave.zip")
+        Path(to).write_bytes(code.getvalue())
+    else:
+        to = f"{shared_dir(spark)}/code-{uuid.uuid4().hex[:12]}/breakweave.zip"
+        at = context._jvm.org.apache.hadoop.fs.Path(to)
+        out = at.getFileSystem(context._jsc.hadoopConfiguration()).create(at, True)
+        out.write(bytearray(code.getvalue()))
+        out.close()
+    context.addPyFile(to)
     context._breakweave_shipped = True
 
 
