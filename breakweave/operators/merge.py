@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from .bandjoin import band_join, best_of, numbered
+from .bandjoin import band_join, best_of, global_ordinal
 
 ADDED = ("candidate_source", "extra_support", "matched_extra_count", "extra_source")
 COMPAT = ("candidate_id", "chrom", "start", "end", "svtype", "median_svlen", "support_read_count", "mean_mapq", "std_pos", "std_svlen", "read_names", "signal_indices")
@@ -71,7 +71,7 @@ def merge_candidates(cigar: DataFrame, extra: DataFrame, window: int = 500, min_
     passed = [c for c in cigar.columns if c != "ordinal" and c not in ADDED]
     columns = [*passed, *[c for c in COMPAT if c not in passed], *ADDED]
     rest = extra.join(match, "extra_ordinal", "left_anti").where(F.col("support") >= min_extra_only_support)
-    rest = numbered(rest.withColumn("_one", F.lit(1)), "_n", ["_one"], [F.min("_one")], [F.col("extra_ordinal")], 1)
+    rest = global_ordinal(rest, "_n", [F.col("extra_ordinal")]).withColumn("_n", F.col("_n") + 1)
     alone = F.greatest(F.lit(1).cast("bigint"), F.col("support"))
     values = {
         "candidate_id": F.format_string("EXTRA_%06d", "_n"), "chrom": F.col("chrom"), "start": F.col("start"), "end": F.col("end"), "svtype": F.col("svtype"),

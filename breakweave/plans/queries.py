@@ -608,7 +608,7 @@ def dedup_summary(spark, sf_dir):
 
 
 @query(
-    """select p.candidate_id, coalesce(p.candidate_source, case when l.ordinal is not null then 'FROM_TABLE' end) as candidate_source, case when l.ordinal is not null then l.ordinal % 10 end as extra_support
+    """select p.candidate_id, coalesce(p.candidate_source, case when l.ordinal is not null then 'FROM_TABLE' end) as candidate_source, case when l.ordinal is not null then l.ordinal % 10 else -1 end as extra_support
 from predictions p left join (select * from predictions where ordinal % 2 = 1) l using (candidate_id)""",
     "predictions",
 )
@@ -616,7 +616,7 @@ def supplement_labeled(spark, sf_dir):
     p = _preds(spark, sf_dir)
     labeled = p.where("ordinal % 2 = 1").select("candidate_id", F.lit("FROM_TABLE").alias("candidate_source"), (F.col("ordinal") % 10).alias("extra_support"), "ordinal")
     labeled = labeled.unionByName(labeled.withColumn("candidate_source", F.lit("LATER")).withColumn("ordinal", F.col("ordinal") + 1_000_000))
-    return select.supplement(p, labeled).select("candidate_id", "candidate_source", "extra_support")
+    return select.supplement(p, labeled).select("candidate_id", "candidate_source", F.coalesce("extra_support", F.lit(-1)).alias("extra_support"))
 
 
 # --- metrics
@@ -633,12 +633,12 @@ def confusion(spark, sf_dir):
 @query(
     f"""c as (select 'Raw' as name, {_CONF.format("true")} from predictions union all select 'GNN', {_CONF.format("gnn_prob >= 0.5")} from predictions), d as (select *, {_PRF} from c), w as (select tp as rt, fp as rf from c where name = 'Raw')
 select name, tp, fp, fn, tn, round(p, 6) as precision, round(r, 6) as recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 6) as f1,
-  case when name = 'GNN' then rf - fp end as fp_reduction, case when name = 'GNN' then round((rf - fp) / rf, 6) end as fp_reduction_rate, case when name = 'GNN' then rt - tp end as tp_loss, case when name = 'GNN' then round((rt - tp) / rt, 6) end as tp_loss_rate
+  case when name = 'GNN' then rf - fp else 0 end as fp_reduction, case when name = 'GNN' then round((rf - fp) / rf, 6) else 0 end as fp_reduction_rate, case when name = 'GNN' then rt - tp else 0 end as tp_loss, case when name = 'GNN' then round((rt - tp) / rt, 6) else 0 end as tp_loss_rate
 from d, w""",
     "predictions",
 )
 def prf_raw_vs_filtered(spark, sf_dir):
-    return metrics.evaluation(_preds(spark, sf_dir))
+    return metrics.evaluation(_preds(spark, sf_dir)).na.fill(0)
 
 
 @query(
