@@ -66,6 +66,18 @@ def ship(spark: SparkSession) -> None:
     context._breakweave_shipped = True
 
 
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """Smaller Arrow batches for what is written inside, where rows are large."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class Scratch:
     """Tables written in the shared folder, so that lineage is cut and a lost executor loses nothing.
 

@@ -26,14 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, Scratch, by_steps, filter_ids, joined_bytes, steps, text_rows, tree_sum, trim
+from .common import BROADCAST_ROWS, Scratch, arrow_rows, by_steps, filter_ids, joined_bytes, steps, text_rows, tree_sum, trim
 from .components import connected_components
 from .wordhash import Words, distinct, mix, shingles
 
 #: Counters of the sketch that orders shingles; a fixed half megabyte.
 SKETCH = 1 << 17
 #: Members of a block of a residual tile, and tiles that are small enough to list their pairs.
-BLOCK, SMALL = 512, 16
+BLOCK, SMALL = 256, 16
 
 
 def _sets(piece: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -237,10 +237,12 @@ def residual_pairs(scratch: Scratch, tiles: DataFrame, comps: DataFrame, sets: D
     member = tiles.select("token", "doc_id", "n", "pos", "size").join(comps, "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
     member = scratch.put("members", member)
     per = member.where(F.col("size") > SMALL).groupBy("token", "comp").agg(F.count(F.lit(1)).alias("rows"))
-    mixed = per.groupBy("token").agg(F.max_by("comp", F.struct("rows", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1").drop("comps")
+    mixed = per.groupBy("token").agg(F.max_by("comp", F.struct("rows", "comp")).alias("main"), F.max("rows").alias("inner"), F.sum("rows").alias("rows")).where("rows > inner")
     inside = member.drop("n").join(mixed, "token").join(sets, "doc_id")
-    inside = inside.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("size") / BLOCK)))
-    blocks = inside.groupBy("token", (F.col("comp") == F.col("main")).alias("of_main"), "block").agg(F.collect_list(F.struct("doc_id", "comp", "n", "sig")).alias("members"))
+    inside = inside.withColumn("of_main", F.col("comp") == F.col("main"))
+    held = F.when(F.col("of_main"), F.col("inner")).otherwise(F.col("rows") - F.col("inner"))
+    inside = inside.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.ceil(held / BLOCK)))
+    blocks = inside.groupBy("token", "of_main", "block").agg(F.collect_list(F.struct("doc_id", "comp", "n", "sig")).alias("members"))
     blocks = scratch.put("blocks", blocks)
     left = blocks.where("not of_main").select("token", F.col("members").alias("lhs"))
     right = blocks.select("token", F.col("members").alias("rhs"))
@@ -285,7 +287,8 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     links = verify(scratch, rows, stars, sets, k, percent)
     comps = connected_components(scratch, links)
     comps = scratch.put("parts", comps.withColumnRenamed("node", "doc_id"))
-    more = scratch.put("more", residual_pairs(scratch, tiles, comps, sets, stars, percent))
+    with arrow_rows(spark, 64):  # a row may hold two blocks
+        more = scratch.put("more", residual_pairs(scratch, tiles, comps, sets, stars, percent))
     if more.take(1):
         more = verify(scratch, rows, more, sets, k, percent)
         links = scratch.put("links", links.unionByName(more).distinct())
