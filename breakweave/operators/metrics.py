@@ -12,6 +12,9 @@ SEARCH = tuple(0.05 + i * 0.05 for i in range(19))
 SWEEP = (0.50, 0.55, 0.60, 0.65, 0.70, 0.75, 0.80, 0.85, 0.90)
 
 
+_COUNTS = ("tp", "fp", "fn", "tn")
+
+
 def usable(pred: DataFrame) -> DataFrame:
     """Rows whose label is 0 or 1."""
     return pred.where(F.col("label").try_cast("int").isin(0, 1)).withColumn("label", F.col("label").try_cast("int"))
@@ -48,15 +51,17 @@ def confusion(pred: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 def evaluation(pred: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Two rows, everything taken as positive and filtered, and what filtering saves and costs."""
-    rows = usable(pred)
-    raw = rows.agg(*confusion_columns(F.lit(True))).withColumn("name", F.lit("Raw"))
-    own = rows.agg(*confusion_columns(X.number_or("gnn_prob") >= threshold)).withColumn("name", F.lit("GNN"))
-    both = raw.select(F.col("fp").alias("raw_fp"), F.col("tp").alias("raw_tp")).crossJoin(own)  # one row each
-    gain = both.select(
-        "name", (F.col("raw_fp") - F.col("fp")).alias("fp_reduction"), F.round(_ratio(F.col("raw_fp") - F.col("fp"), F.col("raw_fp")), 6).alias("fp_reduction_rate"),
-        (F.col("raw_tp") - F.col("tp")).alias("tp_loss"), F.round(_ratio(F.col("raw_tp") - F.col("tp"), F.col("raw_tp")), 6).alias("tp_loss_rate"),
+    keep = X.number_or("gnn_prob") >= threshold
+    named = lambda prefix, positive: [c.alias(f"{prefix}_{n}") for n, c in zip(_COUNTS, confusion_columns(positive), strict=True)]
+    one = usable(pred).agg(*named("raw", F.lit(True)), *named("gnn", keep))
+    row = lambda name, prefix: F.struct(F.lit(name).alias("name"), *[F.col(f"{prefix}_{n}").alias(n) for n in _COUNTS])
+    gain = [F.col("raw_fp") - F.col("gnn_fp"), F.col("raw_tp") - F.col("gnn_tp")]
+    out = one.select(
+        gain[0].alias("fp_reduction"), F.round(_ratio(gain[0], F.col("raw_fp")), 6).alias("fp_reduction_rate"), gain[1].alias("tp_loss"),
+        F.round(_ratio(gain[1], F.col("raw_tp")), 6).alias("tp_loss_rate"), F.explode(F.array(row("Raw", "raw"), row("GNN", "gnn"))).alias("r"),
     )
-    return with_prf(raw.unionByName(own)).join(gain, "name", "left").select("name", "tp", "fp", "fn", "tn", "precision", "recall", "f1", "fp_reduction", "fp_reduction_rate", "tp_loss", "tp_loss_rate")
+    gains = ("fp_reduction", "fp_reduction_rate", "tp_loss", "tp_loss_rate")
+    return with_prf(out.select("r.*", *[F.when(F.col("r.name") == "GNN", F.col(g)).alias(g) for g in gains])).select("name", *_COUNTS, "precision", "recall", "f1", *gains)
 
 
 def evaluation_report(pred: DataFrame, threshold: float = 0.5) -> str:
@@ -91,14 +96,16 @@ def sweep(pred: DataFrame, thresholds=SWEEP, digits: int | None = 6) -> DataFram
     rows = usable(pred).select("label", X.number_or("gnn_prob").alias("p"))
     reached = F.size(F.filter(F.array(*[F.lit(float(t)) for t in thresholds]), lambda t: t <= F.col("p")))
     per = rows.groupBy(reached.alias("reached")).agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg"))
-    total = per.agg(F.coalesce(F.sum("pos"), F.lit(0)).alias("all_pos"), F.coalesce(F.sum("neg"), F.lit(0)).alias("all_neg"))
     # thresholds are given in ascending order: a row that reaches k of them reaches the first k
-    each = per.select(F.explode(F.sequence(F.lit(0), F.col("reached"))).alias("k"), "pos", "neg").where("k > 0").groupBy("k").agg(F.sum("pos").alias("tp"), F.sum("neg").alias("fp"))
-    base = pred.sparkSession.createDataFrame([(i + 1, float(t)) for i, t in enumerate(thresholds)], "k int, threshold double")
-    out = base.join(each, "k", "left").crossJoin(F.broadcast(total))  # one row
-    out = out.select("k", "threshold", F.coalesce("tp", F.lit(0)).alias("tp"), F.coalesce("fp", F.lit(0)).alias("fp"), "all_pos", "all_neg")
-    out = out.select("k", "threshold", "tp", "fp", (F.col("all_pos") - F.col("tp")).alias("fn"), (F.col("all_neg") - F.col("fp")).alias("tn"))
-    return with_prf(out, digits)
+    all_ = per.agg(F.collect_list(F.struct("reached", "pos", "neg")).alias("c"))
+    points = F.explode(F.array(*[F.struct(F.lit(i + 1).alias("k"), F.lit(float(t)).alias("threshold")) for i, t in enumerate(thresholds)])).alias("t")
+
+    def total(field: str, least: Column) -> Column:
+        return F.aggregate(F.filter("c", lambda x: x["reached"] >= least), F.lit(0).cast("bigint"), lambda s, x: s + x[field])
+
+    out = all_.select("c", points).select("c", "t.*")
+    out = out.select("k", "threshold", total("pos", F.col("k")).alias("tp"), total("neg", F.col("k")).alias("fp"), total("pos", F.lit(0)).alias("p"), total("neg", F.lit(0)).alias("n"))
+    return with_prf(out.select("k", "threshold", "tp", "fp", (F.col("p") - F.col("tp")).alias("fn"), (F.col("n") - F.col("fp")).alias("tn")), digits)
 
 
 def best_threshold(pred: DataFrame, thresholds=SEARCH) -> DataFrame:

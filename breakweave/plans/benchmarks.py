@@ -86,8 +86,11 @@ def native_match(calls: DataFrame, truth: DataFrame, refdist: int = REFDIST, pct
     t = truth.select("truth_ordinal", "chrom", "svtype", F.col("pos").alias("t_pos"), F.col("svlen").alias("t_len"))
     pairs = band_join(c, t, ["chrom", "svtype"], "c_pos", "t_pos", refdist).where(X.size_similarity("c_len", "t_len") >= pctsize)
     found = pairs.agg(F.count_distinct("call_id").alias("tp"), F.count_distinct("truth_ordinal").alias("tp_base"))
-    n = calls.agg(F.count(F.lit(1)).alias("calls")).crossJoin(truth.agg(F.count(F.lit(1)).alias("truths")))  # one row each
-    out = found.crossJoin(n)  # one row each
+    zero = F.lit(0).cast("bigint")
+    found = found.select("tp", "tp_base", zero.alias("calls"), zero.alias("truths"))
+    found = found.unionByName(calls.agg(F.count(F.lit(1)).alias("calls")).select(zero.alias("tp"), zero.alias("tp_base"), "calls", zero.alias("truths")))
+    found = found.unionByName(truth.agg(F.count(F.lit(1)).alias("truths")).select(zero.alias("tp"), zero.alias("tp_base"), zero.alias("calls"), "truths"))
+    out = found.agg(*[F.sum(c).alias(c) for c in ("tp", "tp_base", "calls", "truths")])
     out = out.select("tp", "tp_base", (F.col("calls") - F.col("tp")).alias("fp"), (F.col("truths") - F.col("tp_base")).alias("fn"))
     return with_prf(out)
 

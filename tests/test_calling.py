@@ -178,3 +178,12 @@ def test_caller_vcf_filter(spark, tmp_path):
     lines = (tmp_path / "o.vcf").read_text().splitlines()
     assert lines[1] == variants.GT_HEADER and [x.split("\t")[2] for x in lines[3:]] == ["a", "b"]
     assert variants.header_with_gt(["##a"]) == ["##a", variants.GT_HEADER]
+
+
+def test_native_match(spark, signals):
+    from breakweave.plans.benchmarks import native_match
+
+    calls_ = spark.createDataFrame([(1, "c", "DEL", 100, -60), (2, "c", "DEL", 9000, 60)], "call_id bigint, chrom string, svtype string, start bigint, median_svlen bigint")
+    truth = spark.createDataFrame([("t", "c", 120, "DEL", 70, 0), ("u", "c", 500000, "DEL", 70, 1), ("v", "c", 130, "DEL", 50, 2)], "truth_id string, chrom string, pos bigint, svtype string, svlen bigint, truth_ordinal bigint")
+    row = native_match(calls_, truth).first()
+    assert (row.tp, row.tp_base, row.fp, row.fn) == (1, 2, 1, 1)
