@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..operators import cluster, extract, gnn, graph, merge, metrics, propose, select
-from ..operators.bandjoin import numbered
+from ..operators.bandjoin import global_ordinal
 from ..sources import alignments, variants, vcf_out
 from .adapters import SQL as TABLES
 from .adapters import adapter
@@ -708,8 +708,8 @@ def vcf_records_sweep(spark, sf_dir):
 
 @query(f"select chrom, row_number() over (order by {_KEY}) as place from (select distinct chrom from predictions)", "predictions")
 def chrom_sort(spark, sf_dir):
-    d = _preds(spark, sf_dir).select("chrom").distinct().withColumn("one", F.lit(1))
-    return numbered(d, "place", ["one"], [F.min("one")], [X.chrom_key("chrom")], 1).select("chrom", "place")
+    d = global_ordinal(_preds(spark, sf_dir).select("chrom").distinct(), "place", [X.chrom_key("chrom")])
+    return d.select("chrom", (F.col("place") + 1).alias("place"))
 
 
 @query("select svtype, candidate_source, count(*) as n from predictions group by all", "predictions")
