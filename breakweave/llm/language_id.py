@@ -8,8 +8,11 @@ language with the lowest cross-entropy per symbol wins. Its margin is turned int
 calibration on a bounded sample of training texts, and a text whose cross-entropy lies far above what the language's
 own texts show is marked as rejected.
 
-The model keeps the n-grams whose count reaches a power of two such that at most ``GRAMS`` rows remain; that bounds
-what is broadcast.
+Every n-gram of the training texts stays in the model. Beyond ``GRAMS`` (language, 4-gram) rows the model is cut into
+shards by the two middle symbols of a 4-gram: all that a 4-gram's probability needs, its context, its 3-gram and 2-gram
+and their contexts, lies in one shard, with discounts and continuation counts of the whole table. Shards are built one
+after the other and broadcast, and a task loads one at a time, so driver and tasks hold about one shard however large
+the model is.
 
 Defined results: a null text or one without letters is 'und' with score 0 and rejected; with nothing to learn from,
 every text is 'und'; rows without language are not learned from; other columns are ignored.
@@ -27,7 +30,7 @@ from .common import Scratch, id_crc, joined_bytes, steps, tree_sum
 from .wordhash import mix
 
 ORDER = 4
-#: Most (language, 4-gram) rows of a model, and most training texts that calibrate it.
+#: Most (language, 4-gram) rows of a shard of the model, and most training texts that calibrate it.
 GRAMS, CALIBRATION_ROWS = 1_000_000, 20_000
 #: Standard deviations above the mean cross-entropy of a language's own texts from which a text is rejected.
 REJECT = 4.0
@@ -112,17 +115,25 @@ class SortedHashes:
         return out
 
 
-def _kneser_ney(keys: np.ndarray, counts: np.ndarray) -> list[dict]:
-    """Per order 1 to 4: n-grams, their interpolated probability, contexts and their back-off weight, for one language."""
+def _discount(n1: int, n2: int) -> float:
+    return float(np.clip(n1 / max(n1 + 2 * n2, 1), 0.1, 0.9))
+
+
+def _kneser_ney(keys: np.ndarray, counts: np.ndarray, low: dict[int, tuple[np.ndarray, np.ndarray]] | None = None, discounts: dict[int, float] | None = None) -> list[dict]:
+    """Per order 1 to 4: n-grams, their interpolated probability, contexts and their back-off weight, for one language.
+
+    A shard gives what its own 4-grams don't tell: n-grams and continuation counts of the ``low`` orders, and discounts.
+    """
     levels = [(keys, counts.astype(float))]
     for order in range(ORDER - 1, 0, -1):
-        low = keys_of = levels[-1][0] & np.uint64((1 << (16 * order)) - 1)
-        low, n = np.unique(keys_of, return_counts=True)
-        levels.append((low, n.astype(float)))
+        if low and order in low:
+            levels.append((low[order][0], low[order][1].astype(float)))
+            continue
+        keys_of, n = np.unique(levels[-1][0] & np.uint64((1 << (16 * order)) - 1), return_counts=True)
+        levels.append((keys_of, n.astype(float)))
     out: list[dict] = []
     for order, (k, c) in zip(range(1, ORDER + 1), reversed(levels), strict=True):
-        n1, n2 = np.sum(c == 1), np.sum(c == 2)
-        d = float(np.clip(n1 / max(n1 + 2 * n2, 1), 0.1, 0.9))
+        d = discounts[order] if discounts else _discount(np.sum(c == 1), np.sum(c == 2))
         ctx, inv = np.unique(k >> np.uint64(16), return_inverse=True)
         total, kinds = np.bincount(inv, c), np.bincount(inv)
         back = d * kinds / total
@@ -140,6 +151,9 @@ def _kneser_ney(keys: np.ndarray, counts: np.ndarray) -> list[dict]:
 class Model:
     """All languages' models over shared sorted hash arrays, with calibration."""
 
+    #: Text bytes that are judged at a time.
+    piece = _PIECE
+
     def __init__(self, langs: list[str], tables: list[list[dict]]):
         self.langs = langs
         self.grams: list[SortedHashes] = []
@@ -201,6 +215,36 @@ class Model:
         return best, raw, two[:, 0], rejected
 
 
+def _middle(keys: np.ndarray) -> np.ndarray:
+    """The two middle symbols of 4-grams, the third one first."""
+    return (keys >> np.uint64(16) & np.uint64(0xFFFF)) << np.uint64(16) | keys >> np.uint64(32) & np.uint64(0xFFFF)
+
+
+class Sharded(Model):
+    """A model in shards: broadcast models of the 4-grams whose middle symbols lie between two of ``cuts``."""
+
+    #: Larger, so that loading shards costs little beside judging.
+    piece = 4 * _PIECE
+
+    def __init__(self, langs: list[str], cuts: list[int], shards: list):
+        self.langs, self.cuts, self.shards = langs, np.array(cuts, np.uint64), shards
+        self.curve, self.mean, self.sd = None, np.zeros(len(langs)), np.full(len(langs), np.inf)
+
+    def log_probs(self, keys: np.ndarray, order: int = ORDER) -> np.ndarray:
+        if order != ORDER:
+            raise ValueError("shards are found by 4-grams")
+        of = np.searchsorted(self.cuts, _middle(keys), "right")
+        out = np.empty((len(keys), len(self.langs)), np.float32)
+        by = np.argsort(of, kind="stable")
+        first = np.searchsorted(of[by], np.arange(len(self.shards) + 1))
+        for k, shard in enumerate(self.shards):
+            own = by[first[k] : first[k + 1]]
+            if len(own):
+                out[own] = shard.value.log_probs(keys[own])
+                shard.__dict__.pop("_value", None)  # the next shard takes its place
+        return out
+
+
 def _texts(docs: DataFrame, doc_id: str, text: str, *more) -> DataFrame:
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), *more)
 
@@ -238,20 +282,12 @@ def fit(docs: DataFrame, modulus: int = 4, held: int = 2, doc_id: str = "doc_id"
 
     counted = train.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counted = scratch.put("grams", counted)
-    sizes = dict(counted.groupBy(F.floor(F.log2("n")).cast("int").alias("b")).count().collect())
-    if not sizes:
+    langs = sorted(r[0] for r in counted.select("lang").distinct().collect())
+    if not langs:
         return None
-    floor, rows = max(sizes) + 1, 0
-    while floor > 0 and rows + sizes.get(floor - 1, 0) <= most:
-        floor -= 1
-        rows += sizes.get(floor, 0)
-    kept = counted.where(F.col("n") >= (1 << floor))
-    langs = sorted(r[0] for r in kept.select("lang").distinct().collect())
     number = F.create_map(*[F.lit(x) for i, v in enumerate(langs) for x in (v, i)])
-    t = kept.select(number[F.col("lang")].alias("l"), "gram", "n").toPandas()
-    own = [t[t.l == i].sort_values("gram") for i in range(len(langs))]
-    tables = [_kneser_ney(*_sorted(x.gram.to_numpy(np.int64).view(np.uint64), x.n.to_numpy(np.int64))) for x in own]
-    model = Model(langs, tables)
+    counted = counted.select(number[F.col("lang")].alias("l"), "gram", "n")
+    model = Model(langs, [_kneser_ney(*x) for x in _by_language(counted, len(langs))]) if counted.count() <= most else _sharded(scratch, counted, langs, most)
 
     part = train.orderBy(F.xxhash64("doc_id"), "doc_id").select("doc_id", "lang").limit(CALIBRATION_ROWS)
     few = train.join(F.broadcast(part.select("doc_id")), "doc_id", "left_semi").select("doc_id", "text", "lang")
@@ -260,7 +296,7 @@ def fit(docs: DataFrame, modulus: int = 4, held: int = 2, doc_id: str = "doc_id"
     def calibrate(batches):
         total = np.zeros(2 * BINS + 3 * n)
         for batch in batches:
-            for piece in steps(batch, "text", _PIECE):
+            for piece in steps(batch, "text", model.piece):
                 best, raw, ce, _ = model.judge(*joined_bytes(piece.column(1)))
                 true = np.array([langs.index(x) if x in langs else -2 for x in piece.column(2).to_pylist()])
                 use = best >= 0
@@ -279,9 +315,42 @@ def fit(docs: DataFrame, modulus: int = 4, held: int = 2, doc_id: str = "doc_id"
     return model
 
 
-def _sorted(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys)
-    return keys[order], counts[order]
+def _by_language(rows: DataFrame, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Sorted n-grams and counts of each language."""
+    t = rows.select("l", "gram", "n").toPandas()
+    l, keys, counts = t.l.to_numpy(), t.gram.to_numpy(np.int64).view(np.uint64), t.n.to_numpy(np.int64)
+    order = np.lexsort((keys, l))
+    at = np.searchsorted(l[order], np.arange(n + 1))
+    return [(keys[order[a:b]], counts[order[a:b]]) for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
+def _sharded(scratch: Scratch, counted: DataFrame, langs: list[str], most: int) -> Sharded:
+    """The model of all ``counted`` rows (l, gram, n) in shards of ``most`` rows; more where two middle symbols have more."""
+    levels = {ORDER: counted}
+    for order in range(ORDER - 1, 0, -1):
+        low = levels[order + 1].groupBy("l", F.col("gram").bitwiseAND(F.lit((1 << (16 * order)) - 1)).alias("gram"))
+        levels[order] = scratch.put(f"order{order}", low.agg(F.count(F.lit(1)).alias("n")))
+    discounts: list[dict[int, float]] = [{} for _ in langs]
+    for order, t in levels.items():
+        for l, n1, n2 in t.groupBy("l").agg(F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).collect():
+            discounts[l][order] = _discount(n1, n2)
+    third, second = (F.shiftrightunsigned("gram", k).bitwiseAND(F.lit(0xFFFF)) for k in (16, 32))
+    placed = counted.withColumn("middle", F.shiftleft(third, 16).bitwiseOR(second))
+    per = placed.groupBy("middle").agg(F.count(F.lit(1)).alias("rows")).orderBy("middle").toPandas()
+    cuts, held = [], 0
+    for middle, rows in zip(per.middle.tolist(), per.rows.tolist(), strict=True):
+        if held and held + rows > most:
+            cuts.append(middle)
+            held = 0
+        held += rows
+    one = _by_language(levels[1], len(langs))
+    shards = []
+    for a, b in zip([0, *cuts], [*cuts, 1 << 32], strict=True):
+        own = _by_language(placed.where(F.col("middle").between(a, b - 1)), len(langs))
+        two = _by_language(levels[2].where(F.shiftrightunsigned("gram", 16).between(a >> 16, (b - 1) >> 16)), len(langs))
+        tables = [_kneser_ney(*own[j], {2: two[j], 1: one[j]}, discounts[j]) for j in range(len(langs))]
+        shards.append(scratch.spark.sparkContext.broadcast(Model(langs, tables)))
+    return Sharded(langs, cuts, shards)
 
 
 def identify(docs: DataFrame, model: Model | None, modulus: int = 4, held: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -289,7 +358,7 @@ def identify(docs: DataFrame, model: Model | None, modulus: int = 4, held: int =
 
     def run(batches):
         for batch in batches:
-            for piece in steps(batch, "text", _PIECE):
+            for piece in steps(batch, "text", model.piece if model else _PIECE):
                 m = piece.num_rows
                 if model is None:
                     name, score, ce, rejected = ["und"] * m, np.zeros(m), np.zeros(m), np.ones(m, bool)

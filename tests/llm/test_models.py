@@ -99,6 +99,19 @@ def test_language(corpus, make):
     assert {r.lang_pred for r in language_id.identify(docs, language_id.fit(docs.withColumn("lang", F.lit(None).cast("string")))).collect()} == {"und"}
 
 
+def test_language_keeps_all_ngrams_in_shards(make):
+    rng = random.Random(3)
+    en, ja = "the of and water house field walk home".split(), [chr(0x4E00 + i) for i in range(900)]
+    texts = [" ".join(rng.choice(en) for _ in range(60)) for _ in range(60)] + ["".join(rng.choice(ja) for _ in range(30)) for _ in range(8)]
+    docs = make(texts, ["en"] * 60 + ["ja"] * 8)
+    whole, cut = (language_id.fit(docs, most=most) for most in (1_000_000, 40))
+    assert type(whole) is language_id.Model and len(cut.shards) > 5 and cut.langs == whole.langs == ["en", "ja"]
+    a, b = ({r.doc_id: r for r in language_id.identify(docs, m).collect()} for m in (whole, cut))
+    assert {r.lang_pred for r in b.values() if r.doc_id >= 60} == {"ja"}
+    for i, r in a.items():
+        assert b[i].lang_pred == r.lang_pred and b[i].cross_entropy == pytest.approx(r.cross_entropy, abs=2e-4) and b[i].score == pytest.approx(r.score, abs=1e-4)
+
+
 def test_kneser_ney_sums_to_one():
     text = "abab abba aab bba ab"
     raw = np.frombuffer(text.encode(), np.uint8)
