@@ -12,8 +12,11 @@ Two documents link when 100 * |A and B| >= 80 * |A or B| for their sets of disti
    half of |A| + |B| - bits), then the intersection of sorted arrays decides.
 4. Tiles whose members are not yet one component are cut into blocks of bounded size; the blocks that hold members
    outside the tile's main component meet all blocks, compare only across components by bitmap, and the survivors
-   are decided exactly. Members that are already connected need no further comparison, which keeps groups of near
-   copies linear in their size.
+   are decided exactly. Members that are already connected need no further comparison for components, which keeps
+   groups of near copies linear in their size.
+5. All links lie within components. Where links are counted, the members of each component are cut into blocks of
+   bounded size, and every two blocks of a component meet in one task that decides all their pairs by the exact
+   overlap and gives one count per member. That work grows with the square of a component's size, its rows don't.
 
 Defined results: null and empty text and text without words have size 0 and link with nothing; rows that share a
 doc_id count as linked; an empty table gives an empty table; clashing or extra columns are ignored.
@@ -34,6 +37,8 @@ from .wordhash import Words, distinct, mix, shingles
 SKETCH = 1 << 17
 #: Members of a block of a residual tile, and tiles that are small enough to list their pairs.
 BLOCK, SMALL = 256, 16
+#: Shingles of a block whose links are counted, on average.
+BLOCK_VALUES = 1 << 19
 
 
 def _sets(piece: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -257,8 +262,70 @@ def residual_pairs(scratch: Scratch, tiles: DataFrame, comps: DataFrame, sets: D
     return found.join(seen, ["a", "b"], "left_anti")
 
 
-def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, n_links of its class to other classes that were decided."""
+def _links_between(lhs, rhs, percent: int):
+    """Ids of both blocks and how many ids of the other block each links with; of one block alone if ``rhs`` is null."""
+
+    def members(row):
+        ids, values = np.asarray(row.values.field("doc_id"), np.int64), [np.frombuffer(x.as_buffer(), np.uint64) for x in row.values.field("body")]
+        order = np.argsort(ids, kind="stable")
+        values = [values[i] for i in order]
+        return ids[order], values, np.cumsum([0, *[len(v) for v in values]])
+
+    a_ids, a_values, a_at = members(lhs)
+    b_ids, b_values, b_at = members(rhs) if rhs.is_valid else (a_ids, [], a_at)
+    known, places = np.unique(np.concatenate([*a_values, *b_values]), return_inverse=True)
+    of_b = places[a_at[-1] :] if rhs.is_valid else places
+    held, b_n = np.zeros(len(known), np.int32), np.diff(b_at)
+    linked = np.zeros((len(a_ids), len(b_ids)), bool)
+    for i, (a, b) in enumerate(zip(a_at[:-1], a_at[1:], strict=True)):
+        held[places[a:b]] = 1
+        both = np.add.reduceat(held[of_b], b_at[:-1])
+        linked[i] = 100 * both >= percent * (b - a + b_n - both)
+        held[places[a:b]] = 0
+    # rows that share a doc_id count as one
+    (a_ids, a_first), (b_ids, b_first) = (np.unique(x, return_index=True) for x in (a_ids, b_ids))
+    linked = np.logical_or.reduceat(np.logical_or.reduceat(linked, a_first, axis=0), b_first, axis=1) & (a_ids[:, None] != b_ids)
+    if not rhs.is_valid:
+        return a_ids, linked.sum(axis=1)
+    return np.concatenate([a_ids, b_ids]), np.concatenate([linked.sum(axis=1), linked.sum(axis=0)])
+
+
+def link_counts(scratch: Scratch, rows: DataFrame, comps: DataFrame, k: int, percent: int) -> DataFrame:
+    """(rep, n_links): with how many others each member of a component (doc_id, component) links."""
+    ids = comps.select("doc_id")
+    arrays = bodies(filter_ids(rows, ids, ids.count(), True), k).join(comps, "doc_id")
+    arrays = scratch.put("members", arrays)
+    per = arrays.groupBy("component").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.length("body") / 8).alias("values"))
+    per = per.select("component", F.ceil(F.greatest(F.col("rows") / BLOCK, F.col("values") / BLOCK_VALUES)).cast("int").alias("blocks")).where("blocks > 1")
+    # only components of more than one block: at most one in BLOCK members, or in BLOCK_VALUES shingles
+    sides = arrays.join(F.broadcast(per), "component", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    sides = sides.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    sides = scratch.put("sides", sides.groupBy("component", "blocks", "block").agg(F.collect_list(F.struct("doc_id", "body")).alias("members")))
+    scratch.drop(arrays)
+    alone = sides.select(F.col("members").alias("lhs"), F.lit(None).cast(sides.schema["members"].dataType).alias("rhs"))
+    many = sides.where("blocks > 1")
+    left = many.where("block + 1 < blocks").select("component", F.col("block").alias("i"), F.explode(F.sequence(F.col("block") + 1, F.col("blocks") - 1)).alias("j"), F.col("members").alias("lhs"))
+    right = many.where("block > 0").select("component", F.explode(F.sequence(F.lit(0), F.col("block") - 1)).alias("i"), F.col("block").alias("j"), F.col("members").alias("rhs"))
+
+    def run(batches):
+        for batch in batches:
+            for lhs, rhs in zip(batch.column(0), batch.column(1), strict=True):
+                found, n = _links_between(lhs, rhs, percent)
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64))], ["rep", "n"])
+        trim()
+
+    with arrow_rows(scratch.spark, 16):  # a row may hold two blocks
+        found = alone.mapInArrow(run, "rep long, n long").unionByName(left.join(right, ["component", "i", "j"]).select("lhs", "rhs").mapInArrow(run, "rep long, n long"))
+        out = scratch.put("n_links", found.groupBy("rep").agg(F.sum("n").alias("n_links")))
+    scratch.drop(sides)
+    return out
+
+
+def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, count_links: bool = True) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, and n_links, with how many other classes its class links.
+
+    Without ``count_links`` there is no n_links, and members of one component are not compared again.
+    """
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngram-jaccard")
     rows = text_rows(docs, text, doc_id)
@@ -296,21 +363,20 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
             comps = connected_components(scratch, links).withColumnRenamed("node", "doc_id")
             comps = scratch.put("parts", comps)
     scratch.drop(sets, tiles)
-    degree = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
-    classes = classes.join(comps.withColumnRenamed("doc_id", "rep"), "rep", "left").join(degree, "rep", "left")
-    out = summary.join(classes.select("h1", "h2", "n", "rep", "component", "n_links"), ["h1", "h2", "n"], "left")
-    return out.select(
-        "doc_id",
-        F.col("n").alias("n_shingles"),
-        F.coalesce("component", "rep", "doc_id").alias("component_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-    )
+    found = classes.join(comps.withColumnRenamed("doc_id", "rep"), "rep", "left")
+    if count_links:
+        found = found.join(link_counts(scratch, rows, comps, k, percent), "rep", "left")
+    else:
+        found = found.withColumn("n_links", F.lit(None))
+    out = summary.join(found.select("h1", "h2", "n", "rep", "component", "n_links"), ["h1", "h2", "n"], "left")
+    counted = [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if count_links else []
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"), *counted)
 
 
 def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with the smallest doc_id of each component; documents that link with nothing all stay."""
     scratch = Scratch(docs.sparkSession, "near-dedup")
-    gone = scratch.put("gone", jaccard_components(docs, doc_id, text, k, percent).where("doc_id <> component_id").select("doc_id"))
+    gone = scratch.put("gone", jaccard_components(docs, doc_id, text, k, percent, count_links=False).where("doc_id <> component_id").select("doc_id"))
     return filter_ids(docs, gone, gone.count(), False, doc_id, BROADCAST_ROWS)
 
 

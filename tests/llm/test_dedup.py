@@ -101,6 +101,24 @@ def test_a_chain_of_near_copies_is_one_component(make, monkeypatch, small):
     assert near(make(texts)) == want and len({c for _, c in want.values()}) < len(texts) - 10
 
 
+@pytest.mark.parametrize("block", [3, 256])
+def test_links_inside_components_are_counted(make, texts, monkeypatch, block):
+    """Three mutual near copies have two links each, however the component was found; copies count with their class."""
+    monkeypatch.setattr(ngram_jaccard, "BLOCK", block)
+    words = [f"w{i}" for i in range(60)]
+    own = [" ".join([*words, f"end{k}"]) for k in range(3)]
+    own = [*own, own[0], "far " * 3, *texts]
+    sets = []
+    for t in own:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append(frozenset({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()))
+    kinds = set(sets) - {frozenset()}
+    want = {i: sum(a != b and 100 * len(a & b) >= 80 * len(a | b) for b in kinds) if a else 0 for i, a in enumerate(sets)}
+    got = {r.doc_id: r.n_links for r in ngram_jaccard.jaccard_components(make(own)).collect()}
+    assert got == want and [got[i] for i in range(5)] == [2, 2, 2, 2, 0] and max(want.values()) > 2
+    assert "n_links" not in ngram_jaccard.jaccard_components(make(own), count_links=False).columns
+
+
 def test_bitmap_bound_never_rejects_a_link():
     rng = np.random.default_rng(3)
     for _ in range(200):
