@@ -5,7 +5,7 @@ all training texts; counts are summed by shuffle. From the 4-gram counts follow
 orders and one interpolated Kneser-Ney model per language. Models are stored together in sorted hash arrays: for each
 order, the sorted hashes of all n-grams that any language knows and one row of log probabilities per n-gram. The
 language with the lowest cross-entropy per symbol wins. Its margin is turned into a probability by isotonic
-calibration on a bounded sample of training texts, and a text whose cross-entropy lies far above what the language's
+calibration on all training texts, and a text whose cross-entropy lies far above what the language's
 own texts show is marked as rejected.
 
 Every n-gram of the training texts stays in the model. Beyond ``GRAMS`` (language, 4-gram) rows the model is cut into
@@ -30,8 +30,8 @@ from .common import Scratch, id_crc, joined_bytes, steps, tree_sum
 from .wordhash import mix
 
 ORDER = 4
-#: Most (language, 4-gram) rows of a shard of the model, and most training texts that calibrate it.
-GRAMS, CALIBRATION_ROWS = 1_000_000, 20_000
+#: Most (language, 4-gram) rows of a shard of the model.
+GRAMS = 1_000_000
 #: Standard deviations above the mean cross-entropy of a language's own texts from which a text is rejected.
 REJECT = 4.0
 _PIECE = 1 << 20
@@ -289,8 +289,6 @@ def fit(docs: DataFrame, modulus: int = 4, held: int = 2, doc_id: str = "doc_id"
     counted = counted.select(number[F.col("lang")].alias("l"), "gram", "n")
     model = Model(langs, [_kneser_ney(*x) for x in _by_language(counted, len(langs))]) if counted.count() <= most else _sharded(scratch, counted, langs, most)
 
-    part = train.orderBy(F.xxhash64("doc_id"), "doc_id").select("doc_id", "lang").limit(CALIBRATION_ROWS)
-    few = train.join(F.broadcast(part.select("doc_id")), "doc_id", "left_semi").select("doc_id", "text", "lang")
     n = len(langs)
 
     def calibrate(batches):
@@ -307,8 +305,9 @@ def fit(docs: DataFrame, modulus: int = 4, held: int = 2, doc_id: str = "doc_id"
                     total[2 * BINS + j * n : 2 * BINS + (j + 1) * n] += np.bincount(best[use][right], w, n)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["s"])
 
-    s = tree_sum(few.mapInArrow(calibrate, "s binary"), "s", 2 * BINS + 3 * n, sums=True)
+    s = tree_sum(train.select("doc_id", "text", "lang").mapInArrow(calibrate, "s binary"), "s", 2 * BINS + 3 * n, sums=True)
     model.curve = Isotonic(0, 1, s[:BINS], s[BINS : 2 * BINS])
+    model.counted = int(s[:BINS].sum())
     c, x, xx = s[2 * BINS :].reshape(3, n)
     model.mean = x / np.maximum(c, 1)
     model.sd = np.where(c > 1, np.sqrt(np.maximum(xx / np.maximum(c, 1) - model.mean**2, 0.01)), np.inf)

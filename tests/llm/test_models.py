@@ -112,6 +112,15 @@ def test_language_keeps_all_ngrams_in_shards(make):
         assert b[i].lang_pred == r.lang_pred and b[i].cross_entropy == pytest.approx(r.cross_entropy, abs=2e-4) and b[i].score == pytest.approx(r.score, abs=1e-4)
 
 
+def test_language_calibrates_on_all_training_texts(make):
+    """A language too rare for a sample of 20,000 texts has its own spread of cross-entropy."""
+    n, rare = 28_000, ["der wald und das haus " * 3, "die leute gehen heim " * 4]
+    docs = make(["the house"] * n + rare * 6, ["en"] * n + ["de"] * 12)
+    model = language_id.fit(docs)
+    used = sum(not held(i, 4, 2) for i in range(n + 12))
+    assert model.langs == ["de", "en"] and np.isfinite(model.sd).all() and model.counted == used > 20_000
+
+
 def test_kneser_ney_sums_to_one():
     text = "abab abba aab bba ab"
     raw = np.frombuffer(text.encode(), np.uint8)
