@@ -50,10 +50,14 @@ def strict_int(x, default: int = 0) -> Column:
     return F.coalesce(F.when(text.rlike(r"^[+-]?\d+$"), text.try_cast("bigint")), F.lit(default).cast("bigint"))
 
 
-def first_int(x, default: int = 0) -> Column:
+def decimal_text(x) -> Column:
+    """Double of a text that is a plain decimal number, with blanks around it allowed; else null ('5d' and '0x1' are no numbers)."""
+    return F.when(_c(x).rlike(r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*$"), F.trim(_c(x)).try_cast("double"))
+
+
+def first_int(x, default: int | None = 0) -> Column:
     """First comma field, truncated toward zero."""
-    head = F.split_part(_c(x), F.lit(","), F.lit(1)).try_cast("double")
-    return F.coalesce(F.nanvl(head, F.lit(None).cast("double")).cast("bigint"), F.lit(default).cast("bigint"))
+    return F.coalesce(decimal_text(F.split_part(_c(x), F.lit(","), F.lit(1))).cast("bigint"), F.lit(default).cast("bigint"))
 
 
 def flag(x) -> Column:
@@ -71,7 +75,7 @@ def is_missing(x) -> Column:
 
 def first_filled(df_columns, names, default: str = "") -> Column:
     """The first of several columns, where present, that is not empty."""
-    have = [F.when(F.trim(F.col(n).cast("string")) != "", F.col(n).cast("string")) for n in names if n in df_columns]
+    have = [F.when(F.col(n).cast("string") != "", F.col(n).cast("string")) for n in names if n in df_columns]
     return F.coalesce(*have, F.lit(default)) if have else F.lit(default)
 
 
@@ -115,25 +119,26 @@ def index_list(x) -> Column:
     return F.array_compact(F.transform(F.split(_c(x), ","), lambda t: F.when(F.trim(t).rlike(r"^[+-]?\d+$"), F.trim(t).try_cast("bigint"))))
 
 
-def first_size(*columns) -> Column:
-    """The first absolute value that is not zero."""
-    return F.coalesce(*[F.nullif(F.abs(whole(c, None)), F.lit(0)) for c in columns])
+def _lengths(df_columns) -> list[tuple[str, Column]]:
+    """The length columns a table has, each null where it is missing, unreadable or 0."""
+    return [(c, F.nullif(number_or(c, None), F.lit(0.0))) for c in ("median_svlen", "svlen", "size") if c in df_columns]
+
 
+def row_size(df_columns, start: float | None = None) -> Column:
+    """First non-zero absolute length, fractions kept; else the span where both ends are known; else 0.
 
-def row_size(df_columns, start="start", end="end") -> Column:
-    """First non-zero of median_svlen, svlen, size; else the span."""
-    have = [c for c in ("median_svlen", "svlen", "size") if c in df_columns]
-    span = F.abs(whole(end) - whole(start)) if not isinstance(end, str) or end in df_columns else F.lit(0).cast("bigint")
-    return F.coalesce(first_size(*have), span) if have else span
+    ``start`` stands for a missing start.
+    """
+    span = [F.abs(number_or("end", None) - number_or("start", start))] if {"start", "end"} <= set(df_columns) else []
+    return F.coalesce(*[F.abs(v) for _, v in _lengths(df_columns)], *span, F.lit(0.0))
 
 
 def signed_length(df_columns, svtype="svtype") -> Column:
-    """First non-zero length with its sign; ``size`` and the span count as negative for deletions."""
-    sign = F.when(F.upper(_c(svtype)) == "DEL", -1).otherwise(1)
-    have = [F.nullif(whole(c, None), F.lit(0)) for c in ("median_svlen", "svlen") if c in df_columns]
-    if "size" in df_columns:
-        have.append(F.nullif(F.abs(whole("size", None)), F.lit(0)) * sign)
-    return F.coalesce(*have, row_size(df_columns) * sign)
+    """First non-zero length with its sign, rounded; for deletions ``size`` and the span are negative."""
+    deletion = F.upper(_c(svtype)) == "DEL"
+    signed = [F.when(deletion & (c == "size"), -F.abs(v)).otherwise(v) for c, v in _lengths(df_columns)]
+    size = row_size(df_columns)
+    return half_even(F.coalesce(*signed, F.when(deletion, -size).otherwise(size)))
 
 
 def export_length(median="median_svlen", start="start", end="end") -> Column:
@@ -183,15 +188,19 @@ def end_clip(cigar, left: bool, behind_hard: bool = False) -> Column:
 
 
 def info_map(info) -> Column:
-    """INFO as a map; a bare flag maps to null."""
-    text = F.trim(_c(info))
-    pairs = F.filter(F.split(text, ";"), lambda p: (p != "") & (p != "."))
+    """INFO as a map; a bare flag maps to null, a lone dot is no entry."""
+    pairs = F.filter(F.split(F.when(_c(info) == ".", "").otherwise(_c(info)), ";"), lambda p: p != "")
     deduped = F.array_distinct(F.transform(pairs, lambda p: F.split_part(p, F.lit("="), F.lit(1))))
     last = lambda k: F.element_at(F.filter(pairs, lambda p: F.split_part(p, F.lit("="), F.lit(1)) == k), -1)
     value = lambda p: F.when(F.instr(p, "=") > 0, F.substring(p, F.instr(p, "=") + 1, F.length(p)))
     return F.map_from_arrays(deduped, F.transform(deduped, lambda k: value(last(k))))
 
 
+def info_text(info, key: str) -> Column:
+    """A field's text, '' where it is absent; a bare flag is the word True."""
+    return F.when(F.map_contains_key(info, key), F.coalesce(info[key], F.lit("True"))).otherwise("")
+
+
 def sixes(x) -> Column:
     """Six decimals as text."""
     return F.format_string("%.6f", _c(x).cast("double"))

@@ -44,8 +44,8 @@ def _fold(window: int, min_ratio: float):
             firsts, numbers = [], []
             for chrom, svtype, island, pos, length, index in zip(pdf.chrom, pdf.svtype, pdf.island, pdf.event_pos, pdf.svlen, pdf.signal_index, strict=True):
                 here = (chrom, svtype, island)
-                mid = median(lengths) if lengths and here == key else None
-                alike = mid is None or length <= 0 or mid <= 0 or min(length, mid) / max(length, mid) >= min_ratio
+                mid, size = abs(median(lengths)) if lengths and here == key else 0, abs(length)
+                alike = not mid or not size or min(size, mid) / max(size, mid) >= min_ratio
                 if here != key or pos - last > window or not alike:
                     key, first, lengths, number = here, index, [], 0
                 insort(lengths, length)
@@ -61,9 +61,10 @@ def _fold(window: int, min_ratio: float):
 def cigar_clusters(signals: DataFrame, window: int = 500, min_ratio: float = 0.5) -> DataFrame:
     """Signals with ``cluster`` (signal_index of its first member) and ``member`` (0-based place in it).
 
-    Rows without chrom, svtype, position or length are dropped.
+    Rows without chrom, svtype, position or length are dropped; a missing mapping quality is 0.
     """
-    rows = signals.select("read_name", "chrom", "svtype", F.col("event_pos").cast("bigint").alias("event_pos"), F.col("svlen").cast("bigint").alias("svlen"), "mapq", "signal_index")
+    whole = lambda c: X.number_or(c, None).cast("bigint").alias(c)
+    rows = signals.select("read_name", "chrom", "svtype", whole("event_pos"), whole("svlen"), X.number_or("mapq").alias("mapq"), "signal_index")
     rows = rows.dropna(subset=["chrom", "svtype", "event_pos", "svlen"])
     placed = gap_islands(rows, ["chrom", "svtype"], "event_pos", window)
     part = ["chrom", "svtype", "island"]

@@ -17,29 +17,38 @@ def _end(svtype: Column, start: Column, size: Column) -> Column:
 
 
 def normalize_cigar(cigar: DataFrame, ordinal: str = "ordinal") -> DataFrame:
-    """Missing ids, ends, lengths and statistics filled in; ``ordinal`` is the 0-based input order."""
-    cols = cigar.columns
-    svtype, size, start = F.upper("svtype"), X.row_size(cols, "start", "end" if "end" in cols else "start"), X.whole("start")
+    """Missing ids, ends, lengths and statistics filled in; ``ordinal`` is the 0-based input order.
+
+    A missing median is the signed length of the row's other columns. Fractions of a median that is there stay.
+    """
+    cols, kinds = cigar.columns, dict(cigar.dtypes)
+    svtype, start = F.upper("svtype"), X.whole("start")
     has = lambda c, kind: F.col(c).cast(kind) if c in cols else F.lit(None).cast(kind)
+    number = lambda c: X.number_or(c, None) if c in cols else F.lit(None).cast("double")
+    length = F.coalesce(number("median_svlen"), X.signed_length(cols).cast("double"))
     filled = {
-        "candidate_id": F.coalesce(F.nullif(has("candidate_id", "string"), F.lit("")), F.format_string("CIGAR_%06d", F.col(ordinal) + 1)),
-        "svtype": svtype, "start": start, "median_svlen": F.coalesce(X.whole("median_svlen", None) if "median_svlen" in cols else F.lit(None).cast("bigint"), size),
+        "candidate_id": F.coalesce(F.nullif(F.trim(has("candidate_id", "string")), F.lit("")), F.format_string("CIGAR_%06d", F.col(ordinal) + 1)),
+        "svtype": svtype, "start": start, "median_svlen": length if kinds.get("median_svlen") in ("double", "float", "string") else length.cast("bigint"),
+        "end": F.coalesce(X.half_even(number("end")), _end(svtype, start, X.half_even(X.row_size(cols)))),
+        "support_read_count": X.whole("support_read_count") if "support_read_count" in cols else F.lit(0).cast("bigint"),
     }
-    out = cigar.withColumns(filled)
-    more = {"end": F.coalesce(has("end", "bigint"), _end(F.col("svtype"), F.col("start"), size)), "support_read_count": F.coalesce(has("support_read_count", "bigint"), F.lit(0).cast("bigint"))}
-    more |= {c: F.coalesce(has(c, "double"), F.lit(0.0)) for c in ("mean_mapq", "std_pos", "std_svlen")}
-    more |= {c: F.coalesce(has(c, k), F.array().cast(k)) for c, k in (("read_names", "array<string>"), ("signal_indices", "array<bigint>"))}
-    return out.withColumns(more)
+    filled |= {c: F.coalesce(number(c), F.lit(0.0)) for c in ("mean_mapq", "std_pos", "std_svlen")}
+    filled |= {c: F.coalesce(has(c, k), F.array().cast(k)) for c, k in (("read_names", "array<string>"), ("signal_indices", "array<bigint>"))}
+    return cigar.withColumns(filled)
 
 
 def normalize_extra(extra: DataFrame) -> DataFrame:
-    """DEL and INS rows with signed median, positive size and end; other types are dropped."""
+    """DEL and INS rows with signed whole median, end and a support of at least 1; other types are dropped."""
     cols = extra.columns
-    size = X.row_size(cols, "start", "end" if "end" in cols else "start")
     out = extra.withColumn("svtype", F.upper("svtype")).where(F.col("svtype").isin("DEL", "INS"))
-    out = out.withColumns({"start": X.whole("start"), "median_svlen": X.signed_length(cols), "_size": size})
-    end = F.col("end").cast("bigint") if "end" in cols else F.lit(None).cast("bigint")
-    return out.withColumns({"end": F.coalesce(end, _end(F.col("svtype"), F.col("start"), F.col("_size"))), "support": X.whole("support", 0) if "support" in cols else F.lit(0).cast("bigint")})
+    out = out.withColumns({"start": X.whole("start"), "median_svlen": X.signed_length(cols)})
+    end = X.whole("end", None) if "end" in cols else F.lit(None).cast("bigint")
+    one = F.lit(1).cast("bigint")
+    out = out.withColumns({
+        "end": F.coalesce(end, _end(F.col("svtype"), F.col("start"), F.abs("median_svlen"))), "support": F.greatest(one, X.whole("support", 1)) if "support" in cols else one,
+        "source": F.when(F.lower(F.trim("source")) == "nan", "").otherwise(F.coalesce(F.trim("source"), F.lit(""))) if "source" in cols else F.lit(""),
+    })
+    return out.withColumn("_size", X.row_size(out.columns))
 
 
 def best_cigar_match(cigar: DataFrame, extra: DataFrame, window: int = 500, min_size_sim: float = 0.5) -> DataFrame:
@@ -58,9 +67,7 @@ def merge_candidates(cigar: DataFrame, extra: DataFrame, window: int = 500, min_
     """
     cigar, extra = normalize_cigar(cigar), normalize_extra(extra)
     match = best_cigar_match(cigar, extra, window, min_size_sim)
-    worth = F.greatest(F.lit(1).cast("bigint"), F.col("support"))
-    source = F.col("source") if "source" in extra.columns else F.lit("")
-    told = match.join(extra.select("extra_ordinal", worth.alias("w"), source.alias("s")), "extra_ordinal").groupBy("ordinal").agg(
+    told = match.join(extra.select("extra_ordinal", F.col("support").alias("w"), F.col("source").alias("s")), "extra_ordinal").groupBy("ordinal").agg(
         F.sum("w").alias("extra_support"), F.count(F.lit(1)).alias("matched_extra_count"),
         F.array_join(F.array_sort(F.collect_set(F.when(F.col("s") != "", F.col("s")))), ",").alias("extra_source"),
     )
@@ -72,12 +79,11 @@ def merge_candidates(cigar: DataFrame, extra: DataFrame, window: int = 500, min_
     columns = [*passed, *[c for c in COMPAT if c not in passed], *ADDED]
     rest = extra.join(match, "extra_ordinal", "left_anti").where(F.col("support") >= min_extra_only_support)
     rest = global_ordinal(rest, "_n", [F.col("extra_ordinal")]).withColumn("_n", F.col("_n") + 1)
-    alone = F.greatest(F.lit(1).cast("bigint"), F.col("support"))
     values = {
         "candidate_id": F.format_string("EXTRA_%06d", "_n"), "chrom": F.col("chrom"), "start": F.col("start"), "end": F.col("end"), "svtype": F.col("svtype"),
-        "median_svlen": F.col("median_svlen"), "support_read_count": alone, "mean_mapq": F.lit(0.0), "std_pos": F.lit(0.0), "std_svlen": F.lit(0.0),
+        "median_svlen": X.signed_length(extra.columns), "support_read_count": F.col("support"), "mean_mapq": F.lit(0.0), "std_pos": F.lit(0.0), "std_svlen": F.lit(0.0),
         "read_names": F.array().cast("array<string>"), "signal_indices": F.array().cast("array<bigint>"), "candidate_source": F.lit("EXTRA_ONLY"),
-        "extra_support": alone, "matched_extra_count": F.lit(1).cast("bigint"), "extra_source": F.coalesce(F.col("source") if "source" in extra.columns else F.lit(""), F.lit("")),
+        "extra_support": F.col("support"), "matched_extra_count": F.lit(0).cast("bigint"), "extra_source": F.col("source"),
     }
     kinds = dict(own.dtypes)
     lone = rest.select(*[values.get(c, F.lit(None)).cast(kinds[c]).alias(c) for c in columns], F.col("extra_ordinal").alias("_order"), F.lit(1).alias("_side"))

@@ -6,15 +6,18 @@ plain matcher of its own name for runs without it.
 
 from __future__ import annotations
 
+import subprocess
+from collections.abc import Callable
 from dataclasses import dataclass
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from ..operators.bandjoin import band_join
+from ..operators.bandjoin import band_join, best_of, interval_join
 from ..operators.metrics import with_prf
+from ..sources.stages import StageTables
 from ..sources.tables import write_text
 from ..sources.variants import SUMMARY_COUNTS, SUMMARY_FLOATS, read_summary
 
@@ -76,18 +79,44 @@ def matcher_command(base_vcf: str, call_vcf: str, outdir: str, bed: str | None =
     return ["truvari", "bench", "-b", base_vcf, "-c", call_vcf, "-o", outdir, *more, "--passonly", "--refdist", str(refdist), "--pctsize", str(pctsize), "--sizemin", str(sizemin), "--pctseq", str(pctseq)]
 
 
-def native_match(calls: DataFrame, truth: DataFrame, refdist: int = REFDIST, pctsize: float = PCTSIZE) -> DataFrame:
-    """Counts of a plain matcher: a call or truth row counts once it has any partner near and alike in size.
+def in_regions(rows: DataFrame, regions: DataFrame, start: str, end: Column) -> DataFrame:
+    """Rows whose whole span lies in one of the regions (chrom, start, end; half open); each row once."""
+    spans = regions.select("chrom", F.col("start").alias("_r_start"), (F.col("end") - 1).alias("_r_last"), F.col("end").alias("_r_end"))
+    keyed = rows.withColumns({"_row": F.struct(*rows.columns), "_s": F.col(start), "_e": end})
+    inside = interval_join(spans, keyed, ["chrom"], "_r_start", "_r_last", "_s").where(F.col("_e") <= F.col("_r_end"))
+    return inside.select("chrom", "_row").groupBy("_row").agg(F.first("chrom").alias("_c")).select("_row.*")
 
-    Not the external matcher: it pairs rows one to one; use it for trends only. ``calls`` has call_id, chrom, svtype,
-    start and median_svlen.
+
+def one_to_one(calls: DataFrame, truth: DataFrame, refdist: int = REFDIST, pctsize: float = PCTSIZE) -> DataFrame:
+    """(call_id, truth_ordinal): greedy one-to-one matches, nearest first, then the more similar, then by id.
+
+    A pair that is the best left for both of its rows is what the greedy walk would take next for them, so all such
+    pairs are taken at once, round after round, until no pair is left; every round takes the best pair of all at least.
     """
     c = calls.select("call_id", "chrom", "svtype", F.col("start").alias("c_pos"), F.abs("median_svlen").alias("c_len"))
     t = truth.select("truth_ordinal", "chrom", "svtype", F.col("pos").alias("t_pos"), F.col("svlen").alias("t_len"))
-    pairs = band_join(c, t, ["chrom", "svtype"], "c_pos", "t_pos", refdist).where(X.size_similarity("c_len", "t_len") >= pctsize)
-    found = pairs.agg(F.count_distinct("call_id").alias("tp"), F.count_distinct("truth_ordinal").alias("tp_base"))
+    pairs = band_join(c, t, ["chrom", "svtype"], "c_pos", "t_pos", refdist).withColumn("sim", X.size_similarity("c_len", "t_len")).where(F.col("sim") >= pctsize)
+    stage, taken, k = StageTables(calls.sparkSession), None, 0
+    left = stage.put("pairs0", pairs.select("call_id", "truth_ordinal", F.abs(F.col("c_pos") - F.col("t_pos")).alias("dist"), "sim"))
+    order = [F.col("dist"), -F.col("sim"), F.col("truth_ordinal"), F.col("call_id")]
+    while not left.isEmpty():
+        mutual = best_of(left, ["call_id"], order, ["truth_ordinal"]).join(best_of(left, ["truth_ordinal"], order, ["call_id"]), ["call_id", "truth_ordinal"])
+        mutual = stage.put(f"taken{k}", mutual.select("call_id", "truth_ordinal"))
+        taken, k = mutual if taken is None else taken.unionByName(mutual), k + 1
+        left = stage.put(f"pairs{k}", left.join(mutual.select("call_id"), "call_id", "left_anti").join(mutual.select("truth_ordinal"), "truth_ordinal", "left_anti"))
+    return left.select("call_id", "truth_ordinal") if taken is None else taken
+
+
+def native_match(calls: DataFrame, truth: DataFrame, refdist: int = REFDIST, pctsize: float = PCTSIZE, regions: DataFrame | None = None) -> DataFrame:
+    """Counts of a plain one-to-one matcher, within ``regions`` where they are given.
+
+    Not the external matcher; use it for trends only. ``calls`` has call_id, chrom, svtype, start and median_svlen.
+    """
+    if regions is not None:
+        span = lambda start, size: F.col(start) + F.when(F.col("svtype") == "DEL", F.abs(size)).otherwise(1)
+        calls, truth = in_regions(calls, regions, "start", span("start", "median_svlen")), in_regions(truth, regions, "pos", span("pos", "svlen"))
     zero = F.lit(0).cast("bigint")
-    found = found.select("tp", "tp_base", zero.alias("calls"), zero.alias("truths"))
+    found = one_to_one(calls, truth, refdist, pctsize).agg(F.count(F.lit(1)).alias("tp")).select("tp", F.col("tp").alias("tp_base"), zero.alias("calls"), zero.alias("truths"))
     found = found.unionByName(calls.agg(F.count(F.lit(1)).alias("calls")).select(zero.alias("tp"), zero.alias("tp_base"), "calls", zero.alias("truths")))
     found = found.unionByName(truth.agg(F.count(F.lit(1)).alias("truths")).select(zero.alias("tp"), zero.alias("tp_base"), zero.alias("calls"), "truths"))
     out = found.agg(*[F.sum(c).alias(c) for c in ("tp", "tp_base", "calls", "truths")])
@@ -149,23 +178,33 @@ def sweep_tsv(rows: list[dict]) -> str:
     return "\n".join(["\t".join(head), *["\t".join([f"{r['threshold']:.2f}", *[six(r[m]) for m in SUMMARY_FLOATS], *[str(r[m]) for m in SUMMARY_COUNTS]]) for r in rows]]) + "\n"
 
 
+_SUMMARY = "precision double, recall double, f1 double, `TP-comp` bigint, `TP-base` bigint, FP bigint, FN bigint, `base cnt` bigint, `comp cnt` bigint"
+
+
+def comparison(summaries: DataFrame) -> DataFrame:
+    """The comparison table of rows (chrom, tool, path, value, place), value being a summary's JSON text; absent metrics are 0."""
+    clean = F.regexp_replace("chrom", "(?i)^chr", "")
+    role = F.lit(OTHER_ROLE)
+    for chrom, name in ROLES.items():
+        role = F.when(clean == chrom, name).otherwise(role)
+    rows = summaries.select("*", clean.alias("_clean"), role.alias("Role"), F.from_json("value", _SUMMARY).alias("m"))
+    number = lambda c, zero: F.coalesce(F.col(f"m.`{c}`"), F.lit(zero))
+    return rows.orderBy("place").select(
+        F.concat(F.lit("chr"), "_clean").alias("Chromosome"), "Role", F.col("tool").alias("Tool"), *[X.sixes(number(m, 0.0)).alias(n) for m, n in (("precision", "Precision"), ("recall", "Recall"), ("f1", "F1"))],
+        *[number(c, 0).cast("bigint").alias(c) for c in SUMMARY_COUNTS], number("base cnt", 0).cast("bigint").alias("BaseCount"), number("comp cnt", 0).cast("bigint").alias("CompCount"), F.col("path").alias("Summary"),
+    )
+
+
 def collect_chromosomes(spark: SparkSession, found: list[tuple[str, str, str]]) -> DataFrame:
     """(chromosome, tool, summary path) triples as the comparison table over several chromosomes; a missing file raises."""
     for chrom, tool, path in found:
         if not Path(path).exists():
             raise FileNotFoundError(f"Missing {tool} chr{bare(chrom)} benchmark summary: {path}")
-    ends = {Path(p).resolve().as_uri(): (c, t, p) for c, t, p in found}
-    rows = spark.read.option("multiLine", True).schema("precision double, recall double, f1 double, `TP-comp` bigint, `TP-base` bigint, FP bigint, FN bigint, `base cnt` bigint, `comp cnt` bigint").json([p for _, _, p in found])
-    keys = spark.createDataFrame([(u, bare(c), role_of(c), t, p, i) for i, (u, (c, t, p)) in enumerate(ends.items())], "uri string, Chromosome string, Role string, Tool string, Summary string, place int")
-    rows = rows.withColumn("uri", F.regexp_replace(F.input_file_name(), "^file:/+", "file:///"))
-    number = lambda c: F.coalesce(F.col(f"`{c}`"), F.lit(0))
-    return rows.join(F.broadcast(keys), "uri").orderBy("place").select(  # as many rows as summaries were named
-        F.concat(F.lit("chr"), "Chromosome").alias("Chromosome"), "Role", "Tool", *[X.sixes(number(m)).alias(n) for m, n in (("precision", "Precision"), ("recall", "Recall"), ("f1", "F1"))],
-        *[number(c).alias(c) for c in SUMMARY_COUNTS], number("base cnt").alias("BaseCount"), number("comp cnt").alias("CompCount"), "Summary",
-    )
+    # a summary is a dozen numbers, and there are as many as were named
+    return comparison(spark.createDataFrame([(c, t, p, Path(p).read_text(), i) for i, (c, t, p) in enumerate(found)], "chrom string, tool string, path string, value string, place int"))
 
 
-# --- command lines of foreign callers
+# --- command lines of foreign callers, and running them
 
 
 def caller_command(tool: str, bam: str, reference: str, outdir: str, threads: int = 16, sizemin: int = SIZEMIN) -> list[str]:
@@ -177,3 +216,34 @@ def caller_command(tool: str, bam: str, reference: str, outdir: str, threads: in
     if tool == "svim":
         return ["svim", "alignment", outdir, bam, reference, "--min_sv_size", str(sizemin)]
     raise ValueError(f"unknown tool: {tool}")
+
+
+#: The file in its output folder that a caller writes.
+CALLER_VCF = {"sniffles": "sniffles.vcf", "cutesv": "cutesv.vcf", "svim": "variants.vcf"}
+
+
+def plan_runs(chroms: list[str], tools: list[str], templates: dict[str, str], reference: str, threads: int = 16, skip_existing: bool = False, **matcher) -> list[list[str]]:
+    """Command lines of all callers on all chromosomes, each with its matcher run after it.
+
+    ``templates`` are paths with {chrom}: bam, truth, bed, out. A caller whose VCF is there already is left out with
+    ``skip_existing``; its matcher runs all the same.
+    """
+    commands = []
+    for chrom in chroms:
+        at = {k: render(v, chrom) for k, v in templates.items()}
+        for tool in tools:
+            outdir = f"{at['out']}/{tool}"
+            vcf = f"{outdir}/{CALLER_VCF[tool]}"
+            if not (skip_existing and Path(vcf).exists()):
+                commands.append(caller_command(tool, at["bam"], reference, outdir, threads, matcher.get("sizemin", SIZEMIN)))
+            commands.append(matcher_command(at["truth"], vcf, f"{outdir}/bench", at.get("bed"), **matcher))
+    return commands
+
+
+def run_all(commands: list[list[str]], dry_run: bool = False, run: Callable[[list[str]], object] | None = None) -> list[str]:
+    """Runs command lines one after the other, the first failure raises; a dry run only tells them. Output folders are made."""
+    for command in [] if dry_run else commands:
+        for part in (c for c in command if c.endswith((".vcf", "/work"))):
+            Path(part).parent.mkdir(parents=True, exist_ok=True)
+        (run or (lambda c: subprocess.run(c, check=True)))(command)
+    return [" ".join(c) for c in commands]

@@ -16,6 +16,7 @@ from ..functions import exprs as X
 from ..operators import cluster, extract, gnn, graph, merge, metrics, propose, select
 from ..operators.bandjoin import global_ordinal
 from ..sources import alignments, variants, vcf_out
+from . import benchmarks
 from .adapters import SQL as TABLES
 from .adapters import adapter
 
@@ -131,30 +132,34 @@ def extra_union(spark, sf_dir):
     return _extra(spark, sf_dir).groupBy("evidence_type", "src_chrom").agg(F.count(F.lit(1)).alias("n"), F.sum("event_pos").alias("sum_pos"), F.sum("event_len").alias("sum_len"))
 
 
+#: INFO fields of the lines below by kind: {t} is the type, {n} the length, {e} the end. Kinds 4 and 14 have a literal ALT.
+_INFO = (
+    "IMPRECISE;SVTYPE={t};SVLEN=-{n}", "SVTYPE={t};END={e}", "SVLEN={n},99;SVTYPE={l}", "SVTYPE=DUP;SVLEN=100", "SVTYPE=INS", "SVTYPE={t};END=abc", "SVTYPE={t};END=-5",
+    "SVTYPE={t};SVLEN=bad;END={e}", "SVLEN={n}.7", "SVTYPE;SVLEN=100", "SVLEN={n}", "", "SVTYPE={t},X;SVLEN={n}", ".", "SVTYPE=INS;SVLEN=0", "SVTYPE={t};SVLEN={n}",
+)
+
+
 def _vcf_lines(spark, sf_dir) -> DataFrame:
-    """Truth rows as VCF lines of several kinds, with lines that a reader must skip."""
-    t, k = adapter(spark, sf_dir, "truth"), F.col("truth_ordinal") % 5
-    info = (
-        F.when(k == 0, F.concat(F.lit("IMPRECISE;SVTYPE="), "svtype", F.lit(";SVLEN="), (-F.col("svlen")).cast("string")))
-        .when(k == 1, F.concat(F.lit("SVTYPE="), "svtype", F.lit(";END="), (F.col("pos") + F.col("svlen")).cast("string")))
-        .when(k == 2, F.concat(F.lit("SVLEN="), F.col("svlen").cast("string"), F.lit(",99;SVTYPE="), F.lower("svtype")))
-        .when(k == 3, F.lit("SVTYPE=DUP;SVLEN=100"))
-        .otherwise(F.lit("NOTE"))
-    )
-    alt = F.when(k == 4, F.concat(F.lit("N"), F.repeat(F.lit("ACGT"), (F.col("svlen") % 40).cast("int")))).otherwise(F.concat(F.lit("<"), "svtype", F.lit(">")))
-    info = F.when(k == 4, F.lit("SVTYPE=INS")).otherwise(info)
-    line = F.concat_ws("\t", "chrom", (F.col("pos") + 1).cast("string"), F.when(F.col("truth_ordinal") % 3 == 0, ".").otherwise(F.col("truth_id")), F.lit("N"), alt, F.lit("."), F.lit("PASS"), info)
+    """Truth rows as VCF lines of sixteen kinds, with lines that a reader must skip: short ones, unreadable numbers and types."""
+    t, k = adapter(spark, sf_dir, "truth"), F.col("truth_ordinal") % len(_INFO)
+    info = F.element_at(F.array(*[F.lit(i) for i in _INFO]), (k + 1).cast("int"))
+    for mark, told in (("{t}", F.col("svtype")), ("{l}", F.lower("svtype")), ("{n}", F.col("svlen").cast("string")), ("{e}", (F.col("pos") + F.col("svlen")).cast("string"))):
+        info = F.replace(info, F.lit(mark), told)
+    literal = F.concat(F.lit("N"), F.repeat(F.lit("ACGT"), (F.col("svlen") % 40).cast("int")))
+    alt = F.when(k.isin(4, 14), literal).otherwise(F.concat(F.lit("<"), F.when(k == 10, F.lower("svtype")).otherwise(F.col("svtype")), F.lit(">")))
+    chrom = F.when((F.col("chrom") == "10") & (F.col("truth_ordinal") % 6 == 5), "CHR10").otherwise(F.col("chrom"))
+    pos = F.when(k == 15, "x1").otherwise((F.col("pos") + 1).cast("string"))
+    line = F.concat_ws("\t", chrom, pos, F.when(F.col("truth_ordinal") % 3 == 0, ".").otherwise(F.col("truth_id")), F.lit("N"), alt, F.lit("."), F.lit("PASS"), F.when(k != 11, info))
     head = t.limit(1).select(F.lit("##fileformat=VCFv4.2").alias("value"), F.lit(-1).cast("bigint").alias("ordinal"))
     return t.select(line.alias("value"), F.col("truth_ordinal").alias("ordinal")).unionByName(head)
 
 
-_KIND = "select *, truth_ordinal % 5 as k from truth"
+_KIND = "kinds as (select *, truth_ordinal % 16 as k, case when chrom = '10' and truth_ordinal % 6 = 5 then 'CHR10' else chrom end as ch from truth)"
 
 
 @query(
-    f"""v as (select *, case k when 4 then 'INS' else svtype end as ty, case k when 4 then 4 * (svlen % 40) when 1 then svlen else svlen end as le from ({_KIND}) where k <> 3)
-select case when truth_ordinal % 3 = 0 then concat_ws(':', chrom, (pos + 1)::varchar, ty) else truth_id end as truth_id, chrom, pos, ty as svtype,
-  case when k = 4 then greatest(1, le) when k = 1 then abs(pos + svlen - pos) else le end as svlen, truth_ordinal from v""",
+    f"""{_KIND}, v as (select *, case when k in (4, 14) then 'INS' else svtype end as ty, case when k in (4, 14) then 4 * (svlen % 40) when k in (1, 7) then case when pos + svlen > 0 then svlen else 0 end else svlen end as le from kinds where k in (0, 1, 4, 7, 8, 12, 14))
+select case when truth_ordinal % 3 = 0 then concat_ws(':', ch, (pos + 1)::varchar, ty) else truth_id end as truth_id, ch as chrom, pos, ty as svtype, le as svlen, truth_ordinal from v where le > 0""",
     "truth",
 )
 def vcf_truth_parse(spark, sf_dir):
@@ -163,7 +168,8 @@ def vcf_truth_parse(spark, sf_dir):
 
 @query(
     """select event_id as ordinal, 'k' as key, (event_id % 10)::varchar as value from events where event_id % 2 = 0
-union all select event_id, 'FLAG', null from events union all select event_id, 'k', 'last' from events where event_id % 2 = 1"""
+union all select event_id, 'FLAG', null from events union all select event_id, 'k', 'last' from events where event_id % 2 = 1
+union all select event_id, '.', null from events where event_id % 2 = 1"""
 )
 def vcf_info_map(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
@@ -173,13 +179,13 @@ def vcf_info_map(spark, sf_dir):
 
 
 @query(
-    """c as (select truth_ordinal as ordinal, chrom, pos + 1 as pos1, case truth_ordinal % 5 when 4 then 'INS' else svtype end as svtype,
-  case truth_ordinal % 5 when 0 then svlen when 1 then abs(svlen - 1) when 2 then svlen else 0 end as svlen, truth_ordinal % 5 as k from truth)
-select ordinal, chrom, pos1, svtype, svlen from c where k <> 3 and svlen >= 50 and lower(chrom) in ('10', 'chr10')""",
+    f"""{_KIND}, c as (select truth_ordinal as ordinal, ch as chrom, case when k <> 15 then pos + 1 else -1 end as pos1, svtype,
+  case when k in (0, 2, 8, 10, 15) then svlen when k in (1, 7) then abs(svlen - 1) when k = 6 then abs(-5 - (pos + 1)) else 0 end as svlen from kinds)
+select ordinal, chrom, pos1, svtype, svlen from c where svlen >= 50 and chrom in ('10', 'chr10')""",
     "truth",
 )
 def vcf_delins_filter(spark, sf_dir):
-    return variants.caller_columns(_vcf_lines(spark, sf_dir), "10").drop("value")
+    return variants.caller_columns(_vcf_lines(spark, sf_dir), "10").drop("value").withColumn("pos1", F.coalesce("pos1", F.lit(-1).cast("bigint")))
 
 
 # --- clustering
@@ -195,7 +201,7 @@ def gap_islands(spark, sf_dir):
     return cluster.gap_islands(adapter(spark, sf_dir, "signals"), ["chrom", "svtype"], "event_pos", WINDOW).select("signal_index", "island")
 
 
-_FOLD = f"""s as (select *, row_number() over (partition by chrom, svtype order by event_pos, svlen, read_name nulls last, signal_index) as rn from signals),
+_FOLD = f"""s as (select *, row_number() over (partition by chrom, svtype order by event_pos, svlen, read_name nulls last, signal_index) as rn from raw_signals where event_pos is not null and svlen is not null),
 f as (
   select chrom, svtype, rn, signal_index, event_pos, signal_index as cluster, 0::bigint as member, [svlen] as lens from s where rn = 1
   union all
@@ -205,13 +211,13 @@ f as (
 )"""
 
 
-@query(f"{_FOLD} select signal_index, cluster, member from f", "signals", recursive=True)
+@query(f"{_FOLD} select signal_index, cluster, member from f", "raw_signals", recursive=True)
 def cigar_clusters(spark, sf_dir):
-    return cluster.cigar_clusters(adapter(spark, sf_dir, "signals"), WINDOW).select("signal_index", "cluster", "member")
+    return cluster.cigar_clusters(adapter(spark, sf_dir, "raw_signals"), WINDOW).select("signal_index", "cluster", "member")
 
 
 _CANDS = f"""{_FOLD}, m as (select f.*, s.svlen, s.read_name, s.mapq from f join s using (signal_index)),
-g as (select chrom, svtype, cluster, round_even(median(event_pos), 0)::bigint as start, round_even(median(svlen), 0)::bigint as median_svlen, round(avg(mapq), 4) as mean_mapq,
+g as (select chrom, svtype, cluster, round_even(median(event_pos), 0)::bigint as start, round_even(median(svlen), 0)::bigint as median_svlen, round(avg(coalesce(mapq, 0)), 4) as mean_mapq,
     round(stddev_pop(event_pos), 4) as std_pos, round(stddev_pop(svlen), 4) as std_svlen, coalesce(list_sort(list(distinct read_name) filter (read_name is not null)), []) as read_names,
     list(signal_index order by member) as signal_indices, count(distinct coalesce(read_name, 'nan')) as reads, min(rn) as rn
   from m group by all),
@@ -222,11 +228,11 @@ c as (select *, row_number() over (order by grp, rn) as id from o where reads >=
 @query(
     _CANDS + """ select 'CAND_' || lpad(id::varchar, 6, '0') as candidate_id, chrom, start, start + case when svtype = 'DEL' then median_svlen else 1 end as "end", svtype, median_svlen,
   len(read_names)::bigint as support_read_count, mean_mapq, std_pos, std_svlen, array_to_string(read_names, ',') as read_names, array_to_string(signal_indices, ',') as signal_indices from c""",
-    "signals",
+    "raw_signals",
     recursive=True,
 )
 def cigar_candidates(spark, sf_dir):
-    out = cluster.candidates(adapter(spark, sf_dir, "signals"), WINDOW, 2)
+    out = cluster.candidates(adapter(spark, sf_dir, "raw_signals"), WINDOW, 2)
     return out.withColumns({c: F.array_join(F.col(c).cast("array<string>"), ",") for c in ("read_names", "signal_indices")})
 
 
@@ -290,52 +296,78 @@ def extra_candidates(spark, sf_dir):
     return cluster.extra_candidates(_proposals(spark, sf_dir), WINDOW, 50, cluster.source_support(softclip=3))
 
 
-_MATCH = f"""x as (select *, abs(median_svlen) as sz from extra_candidates), pr as (
-  select x.extra_ordinal, x.support, x.source, c.ordinal, abs(x.start - c.start) as dist, least(x.sz, c.median_svlen) / greatest(x.sz, c.median_svlen)::double as sim
-  from x join candidates c on x.chrom = c.chrom and x.svtype = c.svtype and abs(x.start - c.start) <= {WINDOW}
+# rows of both tables with what is missing filled in: the median by the signed length of other columns or of the span, the end by the length
+_FILL = """c0 as (select * replace (upper(svtype) as svtype), case when median_svlen <> 0 then abs(median_svlen) when svlen <> 0 then abs(svlen) else coalesce(abs(end_pos - start), 0) end as z from raw_candidates),
+c1 as (select ordinal, coalesce(candidate_id, 'CIGAR_' || lpad((ordinal + 1)::varchar, 6, '0')) as candidate_id, chrom, start, svtype, svlen, coalesce(support_read_count, 0) as support_read_count, coalesce(mean_mapq, 0)::double as mean_mapq,
+  coalesce(median_svlen, case when svlen <> 0 then round_even(svlen, 0) when svtype = 'DEL' then -round_even(z, 0) else round_even(z, 0) end)::double as median_svlen,
+  coalesce(end_pos, case when svtype = 'DEL' then start + round_even(z, 0) else start + 1 end)::bigint as end_pos from c0),
+c as (select *, case when median_svlen <> 0 then abs(median_svlen) when svlen <> 0 then abs(svlen) else abs(end_pos - start) end::double as sz from c1),
+x0 as (select * replace (upper(svtype) as svtype), coalesce(abs(end_pos - start), 0) as z from raw_extra_candidates where upper(svtype) in ('DEL', 'INS')),
+x1 as (select extra_ordinal, chrom, start, end_pos, svtype, size, case when svtype = 'DEL' then -1 else 1 end as sg, greatest(1, coalesce(support, 1)) as support, case when trim(source) = 'nan' then '' else trim(source) end as source,
+  (case when median_svlen <> 0 then round_even(median_svlen, 0) when size <> 0 then (case when svtype = 'DEL' then -1 else 1 end) * round_even(size, 0) else (case when svtype = 'DEL' then -1 else 1 end) * z end)::bigint as median_svlen from x0),
+x2 as (select * replace (coalesce(end_pos, case when svtype = 'DEL' then start + abs(median_svlen) else start + 1 end) as end_pos) from x1),
+x as (select *, case when median_svlen <> 0 then abs(median_svlen) when size <> 0 then size else abs(end_pos - start) end::double as sz from x2)"""
+_MATCH = f"""{_FILL}, pr as (
+  select x.extra_ordinal, x.support, x.source, c.ordinal, abs(x.start - c.start) as dist, coalesce(least(x.sz, c.sz) / nullif(greatest(x.sz, c.sz), 0), 0) as sim
+  from x join c on x.chrom = c.chrom and x.svtype = c.svtype and abs(x.start - c.start) <= {WINDOW}
 ), best as (select * from (select *, row_number() over (partition by extra_ordinal order by dist, -sim, ordinal) as k from pr where sim >= 0.5) where k = 1)"""
+_PAIR = ("raw_extra_candidates", "raw_candidates")
 
 
-@query(f"{_MATCH} select extra_ordinal, ordinal from best", "extra_candidates", "candidates")
+def _both(spark, sf_dir):
+    return adapter(spark, sf_dir, "raw_candidates"), adapter(spark, sf_dir, "raw_extra_candidates")
+
+
+@query(f"{_MATCH} select extra_ordinal, ordinal from best", *_PAIR)
 def merge_best_match(spark, sf_dir):
-    return merge.best_cigar_match(merge.normalize_cigar(adapter(spark, sf_dir, "candidates")), merge.normalize_extra(adapter(spark, sf_dir, "extra_candidates")), WINDOW)
+    cigar, extra = _both(spark, sf_dir)
+    return merge.best_cigar_match(merge.normalize_cigar(cigar), merge.normalize_extra(extra), WINDOW)
 
 
-@query(
-    "select extra_ordinal, start, median_svlen, case when svtype = 'DEL' then start + abs(median_svlen) else start + 1 end as \"end\", svtype, support from extra_candidates",
-    "extra_candidates",
-)
+@query(f'{_FILL} select extra_ordinal, start, median_svlen, end_pos as "end", svtype, support, source from x', *_PAIR)
 def normalize_candidates(spark, sf_dir):
-    return merge.normalize_extra(adapter(spark, sf_dir, "extra_candidates")).select("extra_ordinal", "start", "median_svlen", "end", "svtype", "support")
+    return merge.normalize_extra(_both(spark, sf_dir)[1]).select("extra_ordinal", "start", "median_svlen", "end", "svtype", "support", "source")
 
 
-def _merged(spark, sf_dir):
-    return merge.merge_candidates(adapter(spark, sf_dir, "candidates"), adapter(spark, sf_dir, "extra_candidates"), WINDOW, 0.5, 30)
+@query(f'{_FILL} select ordinal, candidate_id, start, median_svlen, end_pos as "end", svtype, support_read_count, mean_mapq from c', *_PAIR)
+def normalize_cigar(spark, sf_dir):
+    return merge.normalize_cigar(_both(spark, sf_dir)[0]).select("ordinal", "candidate_id", "start", "median_svlen", "end", "svtype", "support_read_count", "mean_mapq")
 
 
-_LONE = "lone as (select x.*, row_number() over (order by x.extra_ordinal) as n from x anti join best using (extra_ordinal) where x.support >= 30)"
+def _lone(least: int) -> str:
+    return f"lone as (select x.*, row_number() over (order by x.extra_ordinal) as n from x anti join best using (extra_ordinal) where x.support >= {least})"
 
 
 @query(
-    f"""{_MATCH}, {_LONE} select 'EXTRA_' || lpad(n::varchar, 6, '0') as candidate_id, chrom, start, case when svtype = 'DEL' then start + sz else start + 1 end as "end", svtype, median_svlen,
-  greatest(1, support) as support_read_count, greatest(1, support) as extra_support, source as extra_source from lone""",
-    "extra_candidates",
-    "candidates",
+    f"""{_MATCH}, {_lone(1)} select 'EXTRA_' || lpad(n::varchar, 6, '0') as candidate_id, chrom, start, end_pos as "end", svtype, case when median_svlen <> 0 then median_svlen when size <> 0 then sg * round_even(size, 0) else sg * abs(end_pos - start) end::bigint as median_svlen,
+  support as support_read_count, support as extra_support, 0 as matched_extra_count, source as extra_source from lone""",
+    *_PAIR,
 )
 def merge_extra_only(spark, sf_dir):
-    return _merged(spark, sf_dir).where("candidate_source = 'EXTRA_ONLY'").select("candidate_id", "chrom", "start", "end", "svtype", "median_svlen", "support_read_count", "extra_support", "extra_source")
+    merged = merge.merge_candidates(*_both(spark, sf_dir), WINDOW, 0.5, 1).where("candidate_source = 'EXTRA_ONLY'")
+    return merged.select("candidate_id", "chrom", "start", "end", "svtype", F.col("median_svlen").cast("bigint").alias("median_svlen"), "support_read_count", "extra_support", "matched_extra_count", "extra_source")
 
 
-@query(
-    f"""{_MATCH}, {_LONE}, t as (select ordinal, sum(greatest(1, support))::bigint as es, count(*) as mc, array_to_string(list_sort(list(distinct source)), ',') as src from best group by ordinal)
-select candidate_id, chrom, start, case when es is null then 'CIGAR_ONLY' else 'CIGAR_EXTRA' end as candidate_source, coalesce(es, 0) as extra_support, coalesce(mc, 0) as matched_extra_count, coalesce(src, '') as extra_source
-from candidates left join t using (ordinal)
-union all select 'EXTRA_' || lpad(n::varchar, 6, '0'), chrom, start, 'EXTRA_ONLY', greatest(1, support), 1, source from lone""",
-    "extra_candidates",
-    "candidates",
-)
+_MERGED = f"""{_MATCH}, {_lone(30)}, t as (select ordinal, sum(support)::bigint as es, count(*) as mc, array_to_string(list_sort(list(distinct source) filter (source <> '')), ',') as src from best group by ordinal),
+merged as (select candidate_id, chrom, start, end_pos, svtype, median_svlen, case when es is null then 'CIGAR_ONLY' else 'CIGAR_EXTRA' end as candidate_source, coalesce(es, 0) as extra_support, coalesce(mc, 0) as matched_extra_count, coalesce(src, '') as extra_source, 0 as side, ordinal as o
+from c left join t using (ordinal)
+union all select 'EXTRA_' || lpad(n::varchar, 6, '0'), chrom, start, end_pos, svtype, median_svlen::double, 'EXTRA_ONLY', support, 0, source, 1, extra_ordinal from lone)"""
+
+
+@query(f'{_MERGED} select candidate_id, chrom, start, end_pos as "end", svtype, median_svlen, candidate_source, extra_support, matched_extra_count, extra_source from merged', *_PAIR)
 def merge_full(spark, sf_dir):
-    return _merged(spark, sf_dir).select("candidate_id", "chrom", "start", "candidate_source", "extra_support", "matched_extra_count", "extra_source")
+    merged = merge.merge_candidates(*_both(spark, sf_dir), WINDOW, 0.5, 30)
+    return merged.select("candidate_id", "chrom", "start", "end", "svtype", "median_svlen", "candidate_source", "extra_support", "matched_extra_count", "extra_source")
+
+
+_KEY = "case chrom when 'chr1' then 1 when 'chr2' then 2 when '10' then 10 when 'chrX' then 23 else 99 end"
+
+
+@query(f"{_MERGED} select candidate_id, candidate_source, row_number() over (order by {_KEY}, start, svtype, side, o) - 1 as place from merged", *_PAIR)
+def merge_order(spark, sf_dir):
+    """Places of the merged rows in their file."""
+    merged = merge.merge_candidates(*_both(spark, sf_dir), WINDOW, 0.5, 30)
+    return global_ordinal(merged, "place", merge.merged_order()).select("candidate_id", "candidate_source", "place")
 
 
 _LABEL = f"""lp as (select c.candidate_id, t.truth_id, t.pos, t.svlen, abs(c.start - t.pos) as dist, least(c.median_svlen, t.svlen) / greatest(c.median_svlen, t.svlen)::double as sim, t.truth_ordinal
@@ -419,7 +451,7 @@ def _ln(x: str, scale: float) -> str:
 
 _V1 = f"""{_SIG}, ev as (select * from bi union all select * from br),
 n1 as (select candidate_id, 0 as node_id, {_six(["(svtype = 'DEL')::int", "(svtype = 'INS')::int", _ln("median_svlen", 1000), _ln("support_read_count", 100), "least(1, mean_mapq / 60)", "least(1, std_pos / 1000)", "least(1, std_svlen / greatest(1, median_svlen))", *["0"] * 7, "1", "0"])} as features, start::double as place, median_svlen as size from candidates
-  union all select e.candidate_id, row_number() over (partition by e.candidate_id order by e.signal_index), {_six(["(e.svtype = 'DEL')::int", "(e.svtype = 'INS')::int", _ln("e.svlen", 1000), *["0"] * 4, _ln("e.read_len", 100000), "least(1, e.mapq / 60.0)", "case when strand = '+' then 1 else -1 end", "least(1, abs(event_pos - c.start) / 1000.0)", "least(1, abs(e.svlen - c.median_svlen)::double / c.median_svlen)", "e.has_sa", "e.is_supplementary", "0", "1"])}, event_pos::double, e.svlen from ev e join candidates c using (candidate_id))"""
+  union all select e.candidate_id, row_number() over (partition by e.candidate_id order by e.signal_index), {_six(["(e.svtype = 'DEL')::int", "(e.svtype = 'INS')::int", _ln("e.svlen", 1000), *["0"] * 4, _ln("e.read_len", 100000), "least(1, coalesce(e.mapq, 0) / 60.0)", "case when strand = '+' then 1 else -1 end", "least(1, abs(event_pos - c.start) / 1000.0)", "least(1, abs(e.svlen - c.median_svlen)::double / c.median_svlen)", "e.has_sa", "e.is_supplementary", "0", "1"])}, event_pos::double, e.svlen from ev e join candidates c using (candidate_id))"""
 
 
 @query(f"{_V1} select candidate_id, node_id::int as node_id, features from n1", "candidates", "signals")
@@ -434,7 +466,7 @@ def _hot(k: int) -> list[str]:
 _EX = ["(evidence_type = 'SOFTCLIP_LEFT')::int", "(evidence_type = 'SOFTCLIP_RIGHT')::int", "(evidence_type = 'SA_CONNECTION')::int", "(evidence_type = 'SUPPLEMENTARY')::int"]
 _V2 = f"""{_SIG}, ev as (select * from bi union all select * from br), {_XTRA},
 al as (
-  select e.candidate_id, 1 as kind, e.signal_index as o, event_pos::double as place, {_six(["(e.svtype = 'DEL')::int", "(e.svtype = 'INS')::int", _ln("least(abs(e.svlen), 1000000)", 1000000), _ln("e.read_len", 100000), "least(1, e.mapq / 60.0)", "case when strand = '+' then 1 else -1 end", "least(1, abs(event_pos - (c.start + c.end_pos) / 2.0) / 1000.0)", "e.has_sa", "e.is_supplementary", "0", "0", "0", "(e.svtype = 'DEL')::int", "(e.svtype <> 'DEL')::int", "0", "0", "0", "0"])} as features
+  select e.candidate_id, 1 as kind, e.signal_index as o, event_pos::double as place, {_six(["(e.svtype = 'DEL')::int", "(e.svtype = 'INS')::int", _ln("least(abs(e.svlen), 1000000)", 1000000), _ln("e.read_len", 100000), "least(1, coalesce(e.mapq, 0) / 60.0)", "case when strand = '+' then 1 else -1 end", "least(1, abs(event_pos - (c.start + c.end_pos) / 2.0) / 1000.0)", "e.has_sa", "e.is_supplementary", "0", "0", "0", "(e.svtype = 'DEL')::int", "(e.svtype <> 'DEL')::int", "0", "0", "0", "0"])} as features
   from ev e join candidates c using (candidate_id)
   union all
   select b.candidate_id, 2, x.extra_index, b.graph_pos::double, {_six(["(c.svtype = 'DEL')::int", "(c.svtype = 'INS')::int", _ln("least(abs(x.event_len), 1000000)", 1000000), "0", "least(1, x.mapq / 60.0)", "case when src_strand = '+' then 1 else -1 end", "least(1, abs(b.graph_pos - (c.start + c.end_pos) / 2.0) / 1000.0)", "x.has_sa", "x.is_supplementary", "x.chrom_change", "x.orientation_change", "0", "0", "0", *_EX])}
@@ -494,39 +526,42 @@ def graph_stats(spark, sf_dir):
     return graph.graph_stats(_cands(spark, sf_dir), _nodes_v2(spark, sf_dir))
 
 
-@query("select label::int as dataset, count(*) as n from embeddings where label < 3 group by 1")
+@query("select (dense_rank() over (order by label) - 1)::int as dataset, count(*) as n, sum(vec_id)::bigint as sum_id from embeddings group by label")
 def dataset_union(spark, sf_dir):
+    """One dataset per label, all labels; labels are as few as the datasets one names."""
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    return graph.merge_datasets(*[e.where(F.col("label") == k).select("vec_id") for k in range(3)]).groupBy("dataset").agg(F.count(F.lit(1)).alias("n"))
+    labels = [r.label for r in e.select("label").distinct().orderBy("label").collect()]
+    return graph.merge_datasets(*[e.where(F.col("label") == k).select("vec_id") for k in labels]).groupBy("dataset").agg(F.count(F.lit(1)).alias("n"), F.sum("vec_id").alias("sum_id"))
 
 
 # --- the graph model over embeddings: one graph per label, vectors as nodes
 
-_NODES = "nd as (select 'G' || label as candidate_id, vec_id::int as node_id, list_transform(embedding[1:8], lambda v: v::double) as features from embeddings), eg as (select a.candidate_id, a.node_id as src, b.node_id as dst from nd a join nd b on a.candidate_id = b.candidate_id and a.node_id <> b.node_id and abs(a.node_id - b.node_id) <= 30)"
+_NODES = "nd as (select 'G' || label as candidate_id, vec_id::int as node_id, list_transform(embedding, lambda v: v::double) as features from embeddings), eg as (select a.candidate_id, a.node_id as src, b.node_id as dst from nd a join nd b on a.candidate_id = b.candidate_id and a.node_id <> b.node_id and abs(a.node_id - b.node_id) <= 30)"
 
 
 def _vector_nodes(spark, sf_dir) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    return e.select(F.concat(F.lit("G"), F.col("label").cast("string")).alias("candidate_id"), F.col("vec_id").cast("int").alias("node_id"), F.col("vec_id").cast("double").alias("place"), F.lit(1.0).alias("size"), F.transform(F.slice("embedding", 1, 8), lambda v: v.cast("double")).alias("features"))
+    return e.select(F.concat(F.lit("G"), F.col("label").cast("string")).alias("candidate_id"), F.col("vec_id").cast("int").alias("node_id"), F.col("vec_id").cast("double").alias("place"), F.lit(1.0).alias("size"), F.transform("embedding", lambda v: v.cast("double")).alias("features"))
 
 
 def _vector_edges(nodes: DataFrame) -> DataFrame:
     return graph._near(nodes.withColumn("node_id", F.col("node_id") + 1), 30).select("candidate_id", (F.col("node_a") - 1).alias("src"), (F.col("node_b") - 1).alias("dst"))
 
 
-@query(f"with {_NODES}, fl as (select candidate_id, node_id as src, unnest(range(8))::int as dim, unnest(features) as v from nd) select candidate_id, eg.dst as node_id, dim, round(avg(v), 6) as mean from eg join fl using (candidate_id, src) group by all")
+@query(f"with {_NODES}, fl as (select candidate_id, node_id as src, unnest(range(len(features)))::int as dim, unnest(features) as v from nd) select candidate_id, eg.dst as node_id, dim, round(avg(v), 6) as mean from eg join fl using (candidate_id, src) group by all")
 def neighbor_mean(spark, sf_dir):
     n = _vector_nodes(spark, sf_dir)
     return gnn.neighbor_mean(n, _vector_edges(n))
 
 
-@query(f"with {_NODES}, fl as (select candidate_id, unnest(range(8))::int as dim, unnest(features) as v from nd) select candidate_id, dim, round(avg(v), 6) as mean from fl group by all")
+@query(f"with {_NODES}, fl as (select candidate_id, unnest(range(len(features)))::int as dim, unnest(features) as v from nd) select candidate_id, dim, round(avg(v), 6) as mean from fl group by all")
 def mean_pool(spark, sf_dir):
     return gnn.mean_pool(_vector_nodes(spark, sf_dir))
 
 
-_LW = np.array([[((i * 3 + j * 5) % 7 - 3) / 8 for j in range(8)] for i in range(2)])
-_RW = np.array([[((i * 2 + j * 7) % 5 - 2) / 4 for j in range(8)] for i in range(2)])
+_DIMENSIONS = 64
+_LW = np.array([[((i * 3 + j * 5) % 7 - 3) / 8 for j in range(_DIMENSIONS)] for i in range(2)])
+_RW = np.array([[((i * 2 + j * 7) % 5 - 2) / 4 for j in range(_DIMENSIONS)] for i in range(2)])
 _B = np.array([0.25, -0.5])
 
 
@@ -535,7 +570,7 @@ def _dot(column: str, row) -> str:
 
 
 @query(
-    f"""with {_NODES}, fl as (select candidate_id, node_id as src, unnest(range(8))::int as dim, unnest(features) as v from nd),
+    f"""with {_NODES}, fl as (select candidate_id, node_id as src, unnest(range(len(features)))::int as dim, unnest(features) as v from nd),
 mn as (select candidate_id, node_id, list(m order by dim) as mean from (select candidate_id, eg.dst as node_id, dim, avg(v) as m from eg join fl using (candidate_id, src) group by all) group by all),
 ly as (select candidate_id, node_id, {", ".join(f"round(greatest(0, coalesce({_dot('mean', _LW[i])}, 0) + {_B[i]} + {_dot('features', _RW[i])}), 5) as h{i}" for i in range(2))} from nd left join mn using (candidate_id, node_id))
 select * from ly"""
@@ -682,28 +717,31 @@ def train_val_test_split(spark, sf_dir):
 
 # --- VCF lines
 
-_KEY = "case chrom when 'chr1' then 1 when 'chr2' then 2 when '10' then 10 when 'chrX' then 23 else 99 end"
-
-
 def _record_sql(keep: str, genotype: str, prefix: str = "SV") -> str:
-    return f"""v as (select *, row_number() over (order by {_KEY}, start, end_pos, svtype, candidate_id) as number, case when svtype = 'DEL' then greatest(end_pos, start + median_svlen) else start + 1 end as e from predictions where {keep})
+    return f"""v as (select *, row_number() over (order by {_KEY}, start, end_pos, svtype, candidate_id) as number, case when svtype = 'DEL' then greatest(end_pos, start + n) else start + 1 end as e
+  from (select * replace (coalesce(gnn_prob, 0) as gnn_prob), case when round_even(median_svlen, 0) <> 0 then round_even(median_svlen, 0)::bigint else greatest(1, abs(end_pos - start)) end as n from raw_predictions
+    where start is not null and end_pos is not null and svtype in ('DEL', 'INS')) where {keep})
 select number, concat_ws(chr(9), chrom, (start + 1)::varchar, '{prefix}_' || number, 'N', '<' || svtype || '>', printf('%.2f', gnn_prob * 100), 'PASS',
-  'SVTYPE=' || svtype || ';END=' || e || ';SVLEN=' || case when svtype = 'DEL' then -median_svlen else median_svlen end || ';SUPPORT=' || support_read_count || ';GNN_PROB=' || printf('%.6f', gnn_prob), 'GT', '{genotype}') as line from v"""
+  'SVTYPE=' || svtype || ';END=' || e || ';SVLEN=' || case when svtype = 'DEL' then -n else n end || ';SUPPORT=' || coalesce(support_read_count, 0) || ';GNN_PROB=' || printf('%.6f', gnn_prob), 'GT', '{genotype}') as line from v"""
 
 
-@query(_record_sql("gnn_prob >= 0.65", "0/1"), "predictions")
+def _raw_preds(spark, sf_dir):
+    return adapter(spark, sf_dir, "raw_predictions")
+
+
+@query(_record_sql("gnn_prob >= 0.65", "0/1"), "raw_predictions")
 def vcf_records_v1(spark, sf_dir):
-    return vcf_out.records(_preds(spark, sf_dir), 1, 0.65)
+    return vcf_out.records(_raw_preds(spark, sf_dir), 1, 0.65)
 
 
-@query(_record_sql("gnn_prob >= 0.65 or gnn_pred = 1", "./."), "predictions")
+@query(_record_sql("gnn_prob >= 0.65 or gnn_pred = 1", "./."), "raw_predictions")
 def vcf_records_v2(spark, sf_dir):
-    return vcf_out.records(_preds(spark, sf_dir), 2, 0.65)
+    return vcf_out.records(_raw_preds(spark, sf_dir), 2, 0.65)
 
 
-@query(_record_sql("gnn_prob >= 0.8 and chrom in ('1', 'chr1')", "./."), "predictions")
+@query(_record_sql("gnn_prob >= 0.8 and chrom in ('1', 'chr1')", "./."), "raw_predictions")
 def vcf_records_sweep(spark, sf_dir):
-    return vcf_out.records(select.on_chromosome(_preds(spark, sf_dir), "chr1"), 3, 0.8)
+    return vcf_out.records(select.on_chromosome(_raw_preds(spark, sf_dir), "chr1"), 3, 0.8)
 
 
 @query(f"select chrom, row_number() over (order by {_KEY}) as place from (select distinct chrom from predictions)", "predictions")
@@ -737,6 +775,61 @@ def scalar_functions(spark, sf_dir):
     return c.select("candidate_id", six(X.size_similarity("median_svlen", span)).alias("size_similarity"), six(X.log_norm("median_svlen")).alias("log_norm"), six(X.mapq_norm("mean_mapq")).alias("mapq_norm"), six(X.center()).alias("center"))
 
 
+#: Awkward cells, each with what the readings of a cell must give: number (default -9), whole number (default -9), whole
+#: text (default -9), first field (default -9), flag, listed numbers, missing or not, size of a (median, span 8) row.
+_CELLS = (
+    ("", -9.0, -9, -9, -9, 0.0, "", 1, 8.0), ("nan", -9.0, -9, -9, -9, 0.0, "", 1, 8.0), ("12.0", 12.0, 12, -9, 12, 0.0, "", 0, 12.0), ("1e3", 1000.0, 1000, -9, 1000, 0.0, "", 0, 1000.0),
+    ("-7", -7.0, -7, -7, -7, 0.0, "-7", 0, 7.0), ("2.5", 2.5, 2, -9, 2, 0.0, "", 0, 2.5), ("3.5", 3.5, 4, -9, 3, 0.0, "", 0, 3.5), (" 4 ", 4.0, 4, 4, 4, 0.0, "4", 0, 4.0),
+    ("-2.7", -2.7, -3, -9, -2, 0.0, "", 0, 2.7), ("abc", -9.0, -9, -9, -9, 0.0, "", 0, 8.0), (None, -9.0, -9, -9, -9, 0.0, "", 1, 8.0), ("0", 0.0, 0, 0, 0, 0.0, "0", 0, 8.0),
+    ("1,2,x,-3", -9.0, -9, -9, 1, 0.0, "1,2,-3", 0, 8.0), (" True", -9.0, -9, -9, -9, 1.0, "", 0, 8.0), ("1", 1.0, 1, 1, 1, 1.0, "1", 0, 1.0), ("yes", -9.0, -9, -9, -9, 1.0, "", 0, 8.0),
+)
+
+
+def _cell(v) -> str:
+    return "null" if v is None else "'" + v + "'" if isinstance(v, str) else f"{v!r}::double" if isinstance(v, float) else f"{v}::bigint"
+
+
+@query(
+    f"""select event_id, number, whole, strict, first, flag, listed, missing::int as missing, size, printf('%.6f', size) as six from events join
+(values {", ".join(f"({i}, " + ", ".join(_cell(v) for v in row[1:]) + ")" for i, row in enumerate(_CELLS))}) v(k, number, whole, strict, first, flag, listed, missing, size) on event_id % {len(_CELLS)} = k"""
+)
+def scalar_readings(spark, sf_dir):
+    """Readings of awkward cells; the expected values are written out by hand."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    texts = F.array(*[F.lit(row[0]).cast("string") for row in _CELLS])
+    e = e.select("event_id", F.element_at(texts, (F.col("event_id") % len(_CELLS) + 1).cast("int")).alias("median_svlen"), F.lit(100).alias("start"), F.lit(108).alias("end"))
+    cell, size = F.col("median_svlen"), X.row_size(["median_svlen", "start", "end"])
+    return e.select(
+        "event_id", X.number_or(cell, -9.0).alias("number"), X.whole(cell, -9).alias("whole"), X.strict_int(cell, -9).alias("strict"), X.first_int(cell, -9).alias("first"), X.flag(cell).alias("flag"),
+        F.coalesce(F.array_join(X.index_list(cell), ","), F.lit("")).alias("listed"), X.is_missing(cell).cast("int").alias("missing"), size.alias("size"), X.sixes(size).alias("six"),
+    )
+
+
+@query(
+    """select 'chr' || n_nationkey as Chromosome, case n_nationkey when 19 then 'validation' when 20 then 'training' when 22 then 'training' when 21 then 'primary held-out test' else 'additional held-out test' end as Role,
+  case n_regionkey % 2 when 0 then 'A' else 'B' end as Tool, printf('%.6f', (50 + n_nationkey) / 100.0) as Precision, case when n_nationkey % 3 = 0 then '0.000000' else '0.250000' end as Recall, '0.000000' as F1,
+  (n_nationkey + 1)::bigint as "TP-comp", n_regionkey::bigint as "TP-base", 0::bigint as FP, case when n_nationkey % 3 = 0 then 0 else 7 end::bigint as FN, 300::bigint as BaseCount, (n_nationkey * 2)::bigint as CompCount, n_name as Summary from nation"""
+)
+def multichrom_collect(spark, sf_dir):
+    """Summaries of many chromosomes as one table; some have no recall, none has an F1."""
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    key = F.col("n_nationkey")
+    metrics = F.struct(
+        ((key + 50) / 100).alias("precision"), F.when(key % 3 != 0, 0.25).alias("recall"), (key + 1).alias("TP-comp"), F.col("n_regionkey").alias("TP-base"), F.lit(0).alias("FP"), F.when(key % 3 != 0, 7).alias("FN"),
+        F.lit(300).alias("base cnt"), (key * 2).alias("comp cnt"), F.lit(1).alias("gt_concordance"),
+    )
+    tool = F.when(F.col("n_regionkey") % 2 == 0, "A").otherwise("B")
+    chrom = F.concat(F.when(key % 2 == 0, "chr").otherwise(""), key.cast("string"))
+    return benchmarks.comparison(n.select(chrom.alias("chrom"), tool.alias("tool"), F.col("n_name").alias("path"), F.to_json(metrics).alias("value"), key.alias("place")))
+
+
+@query(None)
+def one_to_one_match(spark, sf_dir):
+    """Counts of the greedy one-to-one matcher; tests compare it with the walk over sorted pairs."""
+    calls = _cands(spark, sf_dir).withColumnRenamed("ordinal", "call_id")
+    return benchmarks.native_match(calls, adapter(spark, sf_dir, "truth"), 60, 0.5).select("tp", "tp_base", "fp", "fn")
+
+
 # --- end to end
 
 
@@ -745,12 +838,12 @@ def scalar_functions(spark, sf_dir):
 tp as (select c.candidate_id, abs(c.start - t.pos) as dist, least(c.median_svlen, t.svlen)::double / greatest(c.median_svlen, t.svlen) as sim from ca c join truth t on c.chrom = t.chrom and c.svtype = t.svtype and abs(c.start - t.pos) <= {WINDOW}),
 la as (select c.*, (c.candidate_id in (select candidate_id from tp where sim >= 0.7))::int as label from ca c)
 select svtype, count(*) as candidates, sum(label)::bigint as hits, round(avg(label), 6) as precision from la group by svtype""",
-    "signals",
+    "raw_signals",
     "truth",
     recursive=True,
 )
 def flagship(spark, sf_dir):
     """Signals to clusters to labels to precision by type."""
-    found = cluster.candidates(_sigs(spark, sf_dir), WINDOW, 2)
+    found = cluster.candidates(adapter(spark, sf_dir, "raw_signals"), WINDOW, 2)
     labeled = merge.label_candidates(found, adapter(spark, sf_dir, "truth"), WINDOW, 0.7)
     return labeled.groupBy("svtype").agg(F.count(F.lit(1)).alias("candidates"), F.sum("label").alias("hits"), F.round(F.avg("label"), 6).alias("precision"))

@@ -50,6 +50,23 @@ def read_tsv(spark: SparkSession, path: str, schema: str | None = None) -> DataF
     return cast_to(raw, schema) if schema else raw
 
 
+def read_bed(spark: SparkSession, path: str) -> DataFrame:
+    """Regions (chrom, start, end) of a BED file, plain or gzip; headers, short lines and unreadable or empty spans are skipped."""
+    if not exists(spark, path):
+        return empty(spark, "chrom string, start bigint, end bigint")
+    cell = F.split("value", r"\s+")
+    whole = lambda n: F.get(cell, F.lit(n)).try_cast("bigint")
+    rows = spark.read.text(path).where(~F.col("value").rlike(r"^(#|track\b|browser\b|\s*$)"))
+    return rows.select(F.get(cell, F.lit(0)).alias("chrom"), whole(1).alias("start"), whole(2).alias("end")).where("end > start")
+
+
+def read_tsv_inferred(spark: SparkSession, path: str) -> DataFrame:
+    """A table whose columns get the narrowest type that all their cells allow; the file is read twice."""
+    if not exists(spark, path):
+        return empty(spark, "value string")
+    return spark.read.option("sep", "\t").option("header", True).option("inferSchema", True).option("quote", "").csv(path)
+
+
 def require_columns(df: DataFrame, *needed: str) -> None:
     lacking = sorted(set(needed) - set(df.columns))
     if lacking:

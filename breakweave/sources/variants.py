@@ -23,20 +23,23 @@ def _field(n: int) -> Column:
 
 
 def truth_columns(lines: DataFrame, allowed: tuple[str, ...] = ("DEL", "INS")) -> DataFrame:
-    """Truth rows of VCF lines (value, ordinal): 0-based pos, absolute length, FILTER not looked at."""
+    """Truth rows of VCF lines (value, ordinal): 0-based pos, absolute length, FILTER not looked at.
+
+    The length is SVLEN's, else that to a positive END, else that of a literal insertion of two bases or more; rows
+    without one are skipped. Types are compared as they are written.
+    """
     rows = lines.where(~F.col("value").startswith("#") & (F.size(F.split("value", "\t")) >= 8))
     rows = rows.select("ordinal", _field(0).alias("chrom"), _field(1).alias("p"), _field(2).alias("id"), _field(4).alias("alt"), X.info_map(_field(7)).alias("info"))
     symbolic = F.col("alt").startswith("<") & F.col("alt").endswith(">")
-    told = F.split_part(F.coalesce(F.col("info")["SVTYPE"], F.lit("")), F.lit(","), F.lit(1))
-    svtype = F.upper(F.when(told != "", told).when(symbolic, F.regexp_replace("alt", "^<|>$", "")).otherwise(""))
-    rows = rows.select("*", svtype.alias("svtype"), F.when(F.col("p").rlike(r"^[+-]?\d+$"), F.col("p").try_cast("bigint") - 1).alias("pos"))
-    own = F.abs(X.first_int(F.col("info")["SVLEN"], 0))
-    end = X.first_int(F.col("info")["END"], 0)
-    literal = (F.col("svtype") == "INS") & ~symbolic
-    svlen = F.when(own > 0, own).when(F.col("info")["END"].isNotNull() & (F.abs(end - F.col("pos")) > 0), F.abs(end - F.col("pos")))
-    svlen = svlen.when(literal, F.greatest(F.lit(1).cast("bigint"), F.length("alt") - 1)).otherwise(0)
+    told = F.split_part(X.info_text(F.col("info"), "SVTYPE"), F.lit(","), F.lit(1))
+    svtype = F.when(told != "", told).when(symbolic, F.regexp_replace("alt", "^[<>]+|[<>]+$", "")).otherwise("")
+    rows = rows.select("*", svtype.alias("svtype"), F.when(F.trim("p").rlike(r"^[+-]?\d+$"), F.trim("p").try_cast("bigint") - 1).alias("pos"))
+    own, end = F.abs(X.first_int(F.col("info")["SVLEN"])), X.first_int(F.col("info")["END"])
+    reach = F.when(end > 0, F.abs(end - F.col("pos"))).otherwise(0)
+    literal = (F.col("svtype") == "INS") & (F.length("alt") > 1) & ~F.col("alt").startswith("<")
+    svlen = F.when(own > 0, own).when(reach > 0, reach).when(literal, F.length("alt") - 1).otherwise(0)
     rows = rows.select("*", svlen.cast("bigint").alias("svlen")).where(F.col("svtype").isin(*allowed) & F.col("pos").isNotNull() & (F.col("svlen") > 0))
-    named = F.coalesce(F.when(~F.col("id").isin("", "."), F.col("id")), F.concat_ws(":", "chrom", (F.col("pos") + 1).cast("string"), "svtype"))
+    named = F.coalesce(F.when(~F.col("id").isin("", "."), F.col("id")), F.concat_ws(":", "chrom", "p", "svtype"))
     return rows.select(named.alias("truth_id"), "chrom", "pos", "svtype", "svlen", F.col("ordinal").alias("truth_ordinal"))
 
 
@@ -56,17 +59,19 @@ def read_truth(spark: SparkSession, path: str, allowed: tuple[str, ...] = ("DEL"
 def caller_columns(lines: DataFrame, chrom: str | None, sizemin: int = 50) -> DataFrame:
     """DEL and INS records of a caller's VCF lines with their svtype and svlen, whole lines kept.
 
-    Lengths without SVLEN count from the 1-based position to END, unlike truth rows.
+    Without a readable SVLEN the length counts from the 1-based position to END, unlike in truth rows; without a
+    readable END either it is 0. Contigs are compared as they are written, with or without 'chr'.
     """
     rows = lines.where(~F.col("value").startswith("#") & (F.size(F.split("value", "\t")) >= 8))
-    rows = rows.select("*", _field(0).alias("chrom"), _field(1).try_cast("bigint").alias("pos1"), F.upper(_field(4)).alias("alt"), X.info_map(_field(7)).alias("info"))
-    svtype = F.upper(F.coalesce(F.nullif(F.col("info")["SVTYPE"], F.lit("")), F.regexp_replace("alt", "^<|>$", "")))
-    own = F.abs(X.first_int(F.col("info")["SVLEN"], 0))
-    span = F.abs(X.first_int(F.col("info")["END"], 0) - F.col("pos1"))
-    svlen = F.when(F.col("info")["SVLEN"].isNotNull(), own).when(F.col("info")["END"].isNotNull(), span).otherwise(0)
-    rows = rows.select("value", "ordinal", "chrom", "pos1", svtype.alias("svtype"), svlen.cast("bigint").alias("svlen"))
+    rows = rows.select("*", _field(0).alias("chrom"), X.decimal_text(_field(1)).cast("bigint").alias("pos1"), F.upper(_field(4)).alias("alt"), X.info_map(_field(7)).alias("info"))
+    told, info = F.upper(X.info_text(F.col("info"), "SVTYPE")), F.col("info")
+    svtype = F.when(told != "", told).when(F.col("alt").isin("<DEL>", "DEL", "<INS>", "INS"), F.regexp_replace("alt", "[<>]", "")).otherwise("")
+    # the whole field must be a number here, not its first part
+    end = F.when(F.map_contains_key(info, "END"), F.when(info["END"].isNull(), F.lit(1).cast("bigint")).otherwise(X.decimal_text(info["END"]).cast("bigint"))).otherwise(F.col("pos1"))
+    svlen = F.coalesce(F.abs(X.first_int(info["SVLEN"], None)), F.abs(end - F.col("pos1")), F.lit(0).cast("bigint"))
+    rows = rows.select("value", "ordinal", "chrom", "pos1", svtype.alias("svtype"), svlen.alias("svlen"))
     rows = rows.where(F.col("svtype").isin("DEL", "INS") & (F.col("svlen") >= sizemin))
-    return rows.where(F.lower("chrom").isin(*[a.lower() for a in X.chrom_aliases(chrom)])) if chrom else rows
+    return rows.where(F.col("chrom").isin(*X.chrom_aliases(chrom))) if chrom else rows
 
 
 def header_with_gt(header: list[str]) -> list[str]:

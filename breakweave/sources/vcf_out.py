@@ -14,7 +14,7 @@ INFO_LINES = (
     '##ALT=<ID=INS,Description="Insertion">',
     '##FILTER=<ID=PASS,Description="All filters passed">',
     '##INFO=<ID=SVTYPE,Number=1,Type=String,Description="Type of structural variant">',
-    '##INFO=<ID=END,Number=1,Type=Integer,Description="End position of the variant">',
+    '##INFO=<ID=END,Number=1,Type=Integer,Description="Last position that the call covers">',
     '##INFO=<ID=SVLEN,Number=1,Type=Integer,Description="Length of the variant">',
     '##INFO=<ID=SUPPORT,Number=1,Type=Integer,Description="Number of supporting reads">',
     '##INFO=<ID=GNN_PROB,Number=1,Type=Float,Description="Probability of the graph model">',
@@ -71,9 +71,9 @@ def records(pred: DataFrame, version: int = 2, threshold: float = 0.5, prefix: s
     """(number, line): the records of a version.
 
     1 keeps probability at or above the threshold with genotype 0/1; 2 also keeps what the model called, with ./.;
-    3 is version 1's filter with ./. for a threshold sweep.
+    3 is version 1's filter with ./. for a threshold sweep. Rows without a start or an end have no record.
     """
-    rows = pred.where(F.col("svtype").isin("DEL", "INS"))
+    rows = pred.where(F.col("svtype").isin("DEL", "INS") & X.number_or("start", None).isNotNull() & X.number_or("end", None).isNotNull())
     keep = X.number_or("gnn_prob") >= threshold
     if version == 2 and "gnn_pred" in pred.columns:
         keep = keep | (X.number_or("gnn_pred") == 1)

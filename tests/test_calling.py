@@ -186,4 +186,72 @@ def test_native_match(spark, signals):
     calls_ = spark.createDataFrame([(1, "c", "DEL", 100, -60), (2, "c", "DEL", 9000, 60)], "call_id bigint, chrom string, svtype string, start bigint, median_svlen bigint")
     truth = spark.createDataFrame([("t", "c", 120, "DEL", 70, 0), ("u", "c", 500000, "DEL", 70, 1), ("v", "c", 130, "DEL", 50, 2)], "truth_id string, chrom string, pos bigint, svtype string, svlen bigint, truth_ordinal bigint")
     row = native_match(calls_, truth).first()
-    assert (row.tp, row.tp_base, row.fp, row.fn) == (1, 2, 1, 1)
+    assert (row.tp, row.tp_base, row.fp, row.fn) == (1, 1, 1, 2)
+    regions = spark.createDataFrame([("c", 0, 1000), ("c", 50, 1000)], "chrom string, start bigint, end bigint")
+    row = native_match(calls_, truth, regions=regions).first()
+    assert (row.tp, row.tp_base, row.fp, row.fn) == (1, 1, 0, 1)
+
+
+def test_one_to_one_is_the_greedy_walk(spark):
+    import random
+
+    from breakweave.plans.benchmarks import one_to_one
+
+    rng = random.Random(5)
+    c = [(i, "c", "DEL", rng.randrange(3000), rng.randint(50, 150)) for i in range(150)]
+    t = [(i, "c", "DEL", rng.randrange(3000), rng.randint(50, 150)) for i in range(150)]
+    calls = spark.createDataFrame(c, "call_id bigint, chrom string, svtype string, start bigint, median_svlen bigint")
+    truth = spark.createDataFrame(t, "truth_ordinal bigint, chrom string, svtype string, pos bigint, svlen bigint")
+    pairs = sorted((abs(a[3] - b[3]), -min(a[4], b[4]) / max(a[4], b[4]), b[0], a[0]) for a in c for b in t if abs(a[3] - b[3]) <= 100 and min(a[4], b[4]) / max(a[4], b[4]) >= 0.7)
+    want, used_c, used_t = set(), set(), set()
+    for _, _, b, a in pairs:
+        if a not in used_c and b not in used_t:
+            want.add((a, b))
+            used_c.add(a)
+            used_t.add(b)
+    assert {tuple(r) for r in one_to_one(calls, truth, 100, 0.7).collect()} == want and len(want) > 50
+
+
+def test_extra_only_rows_count_no_match_and_weak_support_is_one(spark):
+    cigar = spark.createDataFrame([(0, "c", 9000, 9100, "DEL", 100)], "ordinal bigint, chrom string, start bigint, end bigint, svtype string, median_svlen bigint")
+    extra = spark.createDataFrame([(0, "c", 100, "del", None, 160, 0), (1, "c", 500, "INS", 80, None, None), (2, "c", 700, "DUP", 80, None, 9)], "extra_ordinal bigint, chrom string, start bigint, svtype string, median_svlen bigint, end bigint, support bigint")
+    got = {r.candidate_id: r for r in merge.merge_candidates(cigar, extra, min_extra_only_support=1).where("candidate_source = 'EXTRA_ONLY'").collect()}
+    a, b = got["EXTRA_000001"], got["EXTRA_000002"]
+    assert len(got) == 2 and (a.matched_extra_count, a.extra_support, a.median_svlen, a.end) == (0, 1, -60, 160)
+    assert (b.matched_extra_count, b.extra_support, b.median_svlen, b.end) == (0, 1, 80, 501)
+
+
+def test_missing_median_keeps_the_sign_of_its_type(spark):
+    schema = "ordinal bigint, chrom string, start bigint, end bigint, svtype string, median_svlen double"
+    got = merge.normalize_cigar(spark.createDataFrame([(0, "c", 100, 200, "DEL", None), (1, "c", 100, 160, "INS", None), (2, "c", 100, None, "DEL", 60.5)], schema)).orderBy("ordinal").collect()
+    assert [(r.median_svlen, r.end) for r in got] == [(-100.0, 200), (60.0, 160), (60.5, 160)]
+
+
+def test_evidence_columns_by_other_names(spark):
+    from breakweave.operators import propose
+
+    rows = [("SOFTCLIP_LEFT", "c", "120", "60", None), ("SUPPLEMENTARY", "c", "300", "-70", "ins"), ("SOFTCLIP_RIGHT", "c", "x", "60", None)]
+    extra = spark.createDataFrame(rows, "evidence_type string, CHROM string, pos string, SVLEN string, svtype string")
+    assert sorted(tuple(r) for r in propose.proposals(extra).collect()) == [("c", 120, "INS", 60, "SOFTCLIP"), ("c", 300, "INS", 70, "SUPPLEMENTARY")]
+
+
+def test_runs_are_planned_skipped_and_told(tmp_path):
+    from breakweave.plans import benchmarks
+
+    at = {"bam": "{chrom}.bam", "truth": "t{chrom}.vcf", "bed": "{chrom}.bed", "out": str(tmp_path / "{chrom}")}
+    (tmp_path / "21" / "svim").mkdir(parents=True)
+    (tmp_path / "21" / "svim" / "variants.vcf").write_text("x")
+    plan = benchmarks.plan_runs(["20", "21"], ["svim"], at, "ref.fa", skip_existing=True)
+    assert [c[0] for c in plan] == ["svim", "truvari", "truvari"]
+    ran: list = []
+    assert len(benchmarks.run_all(plan, dry_run=True, run=ran.append)) == 3 and not ran
+    benchmarks.run_all(plan, run=ran.append)
+    assert ran == plan
+
+
+def test_bed_regions(spark, tmp_path):
+    from breakweave.sources.tables import read_bed
+
+    (tmp_path / "r.bed").write_text("track x\n#c\n\nchr1\t10\t20\tname\nchr1\t30\t30\nchr2\tx\t5\nchr2 1 5\n")
+    assert [tuple(r) for r in read_bed(spark, str(tmp_path / "r.bed")).collect()] == [("chr1", 10, 20), ("chr2", 1, 5)]
+    assert read_bed(spark, str(tmp_path / "none.bed")).isEmpty()
