@@ -148,10 +148,58 @@ def test_rollup_is_idempotent_and_additive(spark, docs):
     assert [tuple(r) for r in store.totals().collect()] == want
     store.compact()
     again = token_rollup.TokenStore(spark, store.root)
-    assert [tuple(r) for r in again.totals().collect()] == want and again.committed() == {"one", "two", "none"} and not again.commit("two", two)
+    assert [tuple(r) for r in again.totals().collect()] == want and {r.batch for r in again.committed().collect()} == {"one", "two", "none"} and not again.commit("two", two)
     assert token_rollup.rollup_of(docs.where("false")).count() == 0
 
 
+_EVENTS = "doc_id bigint, source string, lang string, tokenizer string, op string, n_tokens bigint, old_tokens bigint"
+
+
+def _insert(spark, n):
+    return spark.createDataFrame([(n, "a", "en", "t", "insert", n, None)], _EVENTS)
+
+
+def test_rollup_compactions_at_the_same_time_count_once(spark):
+    store = token_rollup.TokenStore(spark, f"{Scratch(spark, 'test-rollup').at}/store")
+    other = token_rollup.TokenStore(spark, store.root)
+    store.commit("one", _insert(spark, 10))
+    store.commit("two/odd name", _insert(spark, 20))
+    mine, theirs = store.prepare_compaction(), other.prepare_compaction()
+    store.commit("three", _insert(spark, 30))  # between both steps
+    assert store.finish_compaction(mine) and not other.finish_compaction(theirs)
+    assert [tuple(r) for r in store.totals().collect()] == [("a", "en", "t", 3, 60)]
+    assert not other.commit("one", _insert(spark, 10)) and not other.commit("three", _insert(spark, 30))
+    assert other.compact() and not other.compact() and store.vacuum() >= 3
+    assert [tuple(r) for r in other.totals().collect()] == [("a", "en", "t", 3, 60)] and not store.commit("two/odd name", _insert(spark, 20))
+    # a writer that checked before the batch was folded and makes its marker afterwards
+    store._create(store._marker("one"), {"batch": "one", "generation": 0, "data": f"{store.root}/data/late"})
+    assert [tuple(r) for r in store.totals().collect()] == [("a", "en", "t", 3, 60)]
+
+
+def test_rollup_survives_torn_markers_and_racing_commits(spark):
+    store = token_rollup.TokenStore(spark, f"{Scratch(spark, 'test-rollup').at}/store")
+    store.commit("one", _insert(spark, 10))
+    for at in (store._marker("torn"), f"{store.root}/bases/000000000009.json"):
+        store._fs.mkdirs(store._path(at).getParent())
+        store._fs.create(store._path(at), False).close()
+    assert [tuple(r) for r in store.totals().collect()] == [("a", "en", "t", 1, 10)]
+    assert store.commit("torn", _insert(spark, 5)) and not store.commit("torn", _insert(spark, 5))
+    late = {"batch": "one", "generation": 0, "data": f"{store.root}/data/none"}
+    assert not store._create(store._marker("one"), late)
+    assert store.compact() and [tuple(r) for r in store.totals().collect()] == [("a", "en", "t", 2, 15)]
+
+
+def test_rollup_counts_real_tokens(spark, docs):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    store = token_rollup.TokenStore(spark, f"{Scratch(spark, 'test-rollup').at}/store")
+    store.commit("bpe", token_rollup.token_counts(docs, path, "word_bpe_49k"))
+    own = Tokenizer.from_file(path)
+    assert sum(r.n_tokens for r in store.totals().collect()) == sum(len(own.encode(r.text or "", add_special_tokens=False).ids) for r in docs.collect())
+
+
 def test_mixing_hits_targets_and_keeps_rows(make):
     rng = random.Random(5)
     n = 400
