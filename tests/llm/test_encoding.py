@@ -1,6 +1,7 @@
 """WebP media columns and BPE."""
 
 import hashlib
+import random
 import zlib
 
 import numpy as np
@@ -94,6 +95,54 @@ def test_bpe_equals_the_library(make, texts):
         assert (told[i].n_tokens, told[i].ids_sha256, told[i].decoded_sha256) == (len(ids), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
 
 
+def _cut(text):
+    data = np.frombuffer(text.encode(), np.uint8)
+    at = bpe_chunks.cut_points(data, 0, len(data))
+    return [data.tobytes()[a:b] for a, b in zip([0, *at], at)]
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_joins_are_repaired_until_they_agree(name, texts):
+    import public_tokenizers
+
+    rng = random.Random(3)
+    han = "".join(chr(0x4E00 + rng.randrange(3000)) if rng.random() < 0.9 else rng.choice("，。！") for _ in range(20000))
+    mixed = "".join(rng.choice("abcdefgh0123!?") for _ in range(20000))
+    every = [t or "" for t in texts] + HARD + [han, han[3000:15000] + mixed[:5000], mixed, "x" * 150000, "".join(rng.choice("á\u0302b'sé日 ") for _ in range(9000)), "<|endoftext|>" * 500, "ab" * 40000]
+    own = bpe_chunks.Encoder(public_tokenizers.path(name))
+    assert own.splits == (name == "word_bpe_49k.json")
+    for t in every:
+        n, ids, decoded = own.encode([_cut(t)])[0]
+        want = own.tokenizer.encode(t, add_special_tokens=False).ids
+        assert [int(i) for i in ids.split()] == want and n == len(want)
+        assert decoded[:-1].decode() == own.tokenizer.decode(want, skip_special_tokens=False)
+    assert own.repaired >= 3 and own.exact and own._repair(_cut(han)) is not None
+    shared = set(_cut(han)) & set(_cut(han[3000:15000] + mixed[:5000]))
+    assert len(shared) > 5 and all(c in own.segments for c in shared)
+
+
+def test_caches_are_bounded_in_bytes(monkeypatch):
+    monkeypatch.setattr(bpe_chunks, "WORD_BYTES", 1 << 20)
+    monkeypatch.setattr(bpe_chunks, "CHUNK_BYTES", 1 << 20)
+    rng = random.Random(4)
+    own = bpe_chunks.Encoder(bpe_chunks.default_path())
+    for _ in range(400):
+        text = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(300)) + "。" + "".join(rng.choice("abc0123456789") for _ in range(3000)) + " end"
+        own.encode([_cut(text)])
+        step = 200_000  # what one text may add before the bound is looked at
+        assert own.word_bytes <= bpe_chunks.WORD_BYTES + step and own.segment_bytes <= bpe_chunks.CHUNK_BYTES + step and own.chunk_bytes <= bpe_chunks.CHUNK_BYTES + step
+        assert sum(len(k) + len(v[1]) + len(v[2]) for k, v in own.words.items()) <= own.word_bytes
+
+
+def test_long_spaceless_text_and_empty_table(make):
+    rng = random.Random(9)
+    long = "".join(rng.choice("abcdefghijklmnop0123456789!?.,;") for _ in range(5_000_000))
+    rows = {r.doc_id: r for r in bpe_chunks.encoded_digests(make([long, "", long[:9]]), bpe_chunks.default_path()).collect()}
+    ids, decoded = plain_bpe(long)
+    assert rows[0].ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest() and rows[0].decoded_sha256 == hashlib.sha256(decoded.encode()).hexdigest()
+    assert bpe_chunks.encoded_digests(make([]), bpe_chunks.default_path()).count() == 0
+
+
 def test_chunks_are_shared_and_bounded():
     own = bpe_chunks.Encoder(bpe_chunks.default_path())
     passage = " ".join(f"word{i * 7919 % 1000}" for i in range(3000))
