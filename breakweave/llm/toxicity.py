@@ -3,15 +3,23 @@
 Many voters look at a text: a seed lexicon, lexicons mined from the labelled documents (whole words and word
 beginnings, by strength and by hash, copies counted once), and patterns over their hits (several different hits, dense hits). Each says yes
 or nothing. A generative label model over the vote patterns estimates each voter's rates given the hidden label by
-expectation maximisation, without looking at labels; correlations of votes that the hidden label does not explain
-lower the weight of voters that repeat each other. A linear classifier over hashed words and word beginnings is then
-trained on the posterior labels, in partitions whose weights are averaged, and its scores are calibrated by isotonic
-regression on labelled rows that were set apart.
-
-At most ``bound`` labelled rows are used for fitting; whole texts of all documents are scored.
-
-Defined results: null and empty texts get the score of a text without any hit; without labels every score is 0; the
-same text always scores alike; null labels are left out; other columns are ignored.
+expectation maximisation; correlations of votes that the hidden label does not explain lower the weight of voters that
+repeat each other. From gold labels come the mined lexicons, the class balance and a bound on each voter's rate among
+clean texts; the posteriors come from the votes alone. A linear classifier over hashed words and word beginnings is
+then trained on the posterior labels. Its scores are calibrated by isotonic regression over gold labels, every row
+scored by a classifier that was trained without the row's fold.
+
+At most ``bound`` labelled documents are used for fitting; whole texts of all documents are scored. Words lose
+punctuation at their ends, so 'word,' counts as 'word'.
+
+The model depends on the rows only, not on their order or partitions: copies of one text (by SHA-256) count once, with
+the largest of their labels and the smallest of their folds, and are learned from in the order of their digests.
+
+Defined results: null and empty texts get the score of a text without any hit; without labels, or without documents
+that have one, every score is 0, with one kind of label 0 or 1; the same text always scores alike, repeated rows and
+repeated or null ids give as many rows, null ids are not held out; null labels are left out, of several labels of one
+document the largest counts; an empty table gives an empty table; a very long text is a step by itself and needs some
+40 times its bytes; other columns, clashing names too, are ignored.
 """
 
 from __future__ import annotations
@@ -25,14 +33,17 @@ from .calibration import BINS, Isotonic, labelled
 from .common import Scratch, by_steps, id_crc, joined_bytes, text_rows, tree_sum
 from .wordhash import Words, mix
 
-#: Hash buckets of features, most features of the linear classifier, and most labelled rows for fitting.
-BUCKETS, FEATURES, TRAIN_ROWS = 1 << 19, 16_384, 40_000
+#: Hash buckets of features, most features of the linear classifier, most labelled rows for fitting, folds for calibration.
+BUCKETS, FEATURES, TRAIN_ROWS, FOLDS = 1 << 19, 16_384, 40_000, 5
 #: A text is called toxic from this score on.
 THRESHOLD = 0.3
 #: Seed lexicon: common insults.
 SEED = "idiot moron stupid dumb loser pathetic worthless trash scum disgusting clown fool jerk ugly garbage imbecile hate shut".split()
 #: Beginnings of words, in bytes.
 STEMS = (4, 5, 6, 7, 8)
+#: ASCII that may stand at the ends of a word and is no letter or digit.
+_PUNCTUATION = np.zeros(256, bool)
+_PUNCTUATION[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
 _SALT = tuple(np.uint64((0x6A09E667F3BCC909 * (2 * i + 1)) % 2**64) for i in range(1 + len(STEMS)))
 
 
@@ -41,14 +52,18 @@ def _pairs(data: np.ndarray, at: np.ndarray, mask: np.ndarray | None = None) ->
     w = Words(data, at)
     sums = w.sums()
     doc = np.repeat(np.arange(len(at) - 1), w.count)
+    starts, ends = w.starts.copy(), w.ends.copy()
+    for _ in range(3):
+        starts += (ends - starts > 1) & _PUNCTUATION[data[starts]]
+        ends -= (ends - starts > 1) & _PUNCTUATION[data[ends - 1]]
     buckets, docs = [], []
     for salt, size in zip(_SALT, (0, *STEMS), strict=True):
         if size:
-            use = np.flatnonzero(w.ends - w.starts > size)
-            h = w.hashes(sums=sums, starts=w.starts[use], ends=w.starts[use] + size)
+            use = np.flatnonzero(ends - starts > size)
+            h = w.hashes(sums=sums, starts=starts[use], ends=starts[use] + size)
             d = doc[use]
         else:
-            h, d = w.hashes(sums=sums), doc
+            h, d = w.hashes(sums=sums, starts=starts, ends=ends), doc
         b = (mix(h ^ salt) & np.uint64(BUCKETS - 1)).astype(np.int64)
         if mask is not None:
             hit = mask[b]
@@ -155,13 +170,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int =
         ends = np.zeros(piece.num_rows + 1, np.int32)
         ends[1:] = np.cumsum(np.bincount(doc, minlength=piece.num_rows))
         own = pa.ListArray.from_arrays(pa.array(ends), pa.array(bucket.astype(np.int32)))
-        return pa.RecordBatch.from_arrays([piece.column(2), piece.column(3), pa.array(w.count.astype(np.int32)), own, piece.column(4)], ["label", "fold", "words", "buckets", "text_hash"])
+        return pa.RecordBatch.from_arrays([piece.column(2), piece.column(3), pa.array(w.count.astype(np.int32)), own, piece.column(4)], ["label", "fold", "words", "buckets", "digest"])
 
-    rows = labelled(docs, labels, label, modulus, held, bound, doc_id, text).withColumn("text_hash", F.xxhash64("text"))
-    rows = rows.mapInArrow(by_steps("text", extract), "label int, fold int, words int, buckets array<int>, text_hash long")
-    # copies of one text would make its own words look telling
-    rows = rows.repartition(16, "text_hash").dropDuplicates(["text_hash"]).drop("text_hash")
-    rows = scratch.put("features", rows)
+    rows = labelled(docs, labels, label, modulus, held, bound, doc_id, text).withColumn("digest", F.sha2("text", 256))
+    rows = rows.mapInArrow(by_steps("text", extract), "label int, fold int, words int, buckets array<int>, digest string")
+    every = scratch.put("features", rows.withColumn("row", F.monotonically_increasing_id()))
+    # copies of one text would make its own words look telling; only digests and numbers are shuffled
+    kept = every.groupBy("digest").agg(F.max("label").alias("label"), F.min("fold").alias("fold"), F.min("row").alias("row"))
+    rows = scratch.put("distinct", every.select("words", "buckets", "row").join(kept, "row").select("label", "fold", "words", "buckets", "digest"))
+    scratch.drop(every)
 
     def arrays(batch):
         lists = batch.column(3)
@@ -182,7 +199,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int =
         total[: 2 * BUCKETS] += np.bincount(bucket + BUCKETS * (y[doc] == 1), minlength=2 * BUCKETS).astype(np.float32)
         total[-2:] += (np.sum(y != 1), np.sum(y == 1))
 
-    c = summed(rows.where("fold <> 0"), count, 2 * BUCKETS + 2, "float32").astype(float)
+    c = summed(rows, count, 2 * BUCKETS + 2, "float32").astype(float)
     clean, toxic, (n_clean, n_toxic) = c[:BUCKETS], c[BUCKETS:-2], c[-2:]
     if not n_toxic or not n_clean:
         empty = Isotonic(0, 1, np.zeros(1), np.zeros(1))
@@ -203,45 +220,64 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int =
     z = np.abs(toxic / n_toxic - clean / n_clean) / np.sqrt(np.maximum(rate * (1 - rate), 1e-9))
     z *= np.sqrt(n_toxic * n_clean / (n_toxic + n_clean))  # in standard errors
     z[(toxic + clean < 3) | (z < 2.5)] = 0
-    keep = np.zeros(BUCKETS, bool)
-    keep[np.argsort(-z, kind="stable")[:FEATURES]] = True
-    keep &= z > 0
+    chosen = np.sort(np.argsort(-z, kind="stable")[:FEATURES])
+    chosen = chosen[z[chosen] > 0]
+    place = np.full(BUCKETS, -1, np.int32)
+    place[chosen] = np.arange(len(chosen))
 
-    def learn(batches):
-        weight, bias, seen_w, seen_b = np.zeros(BUCKETS), np.log(n_toxic / n_clean), np.full(BUCKETS, 1e-2), 1e-2
-        data = []
+    def examples(batches):
         for b in batches:
-            y, words, doc, bucket = arrays(b)
-            q = posterior[voters.patterns(doc, bucket, len(y), words)]
-            use = keep[bucket]
-            doc, bucket = doc[use], bucket[use]
-            at = np.searchsorted(doc, np.arange(len(y) + 1))
-            data += [(float(t), bucket[i:j]) for t, i, j in zip(q, at[:-1], at[1:], strict=True)]
+            if b.num_rows:
+                y, words, doc, bucket = arrays(b)
+                q = posterior[voters.patterns(doc, bucket, len(y), words)]
+                own = place[bucket]
+                use = own >= 0
+                ends = np.append(0, np.cumsum(np.bincount(doc[use], minlength=len(y)))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([b.column(4), b.column(1), b.column(0), pa.array(q), pa.ListArray.from_arrays(pa.array(ends), pa.array(own[use]))], ["digest", "fold", "label", "q", "own"])
+
+    told_rows = scratch.put("examples", rows.mapInArrow(examples, "digest string, fold int, label int, q double, own array<int>"))
+    n_features, start = len(chosen), float(np.log(n_toxic / n_clean))
+
+    def learn(group: pa.Table) -> pa.Table:
+        """One classifier, on all rows but those of fold ``part``; the group is at most ``bound`` texts with their chosen features."""
+        group = group.sort_by("digest").combine_chunks()
+        q, own = group.column("q").to_numpy(), group.column("own").combine_chunks()
+        at, flat = np.asarray(own.offsets, np.int64), np.asarray(own.values)
+        data = [(float(t), flat[i:j]) for t, i, j in zip(q, at[:-1], at[1:], strict=True)]
+        weight, bias, seen_w, seen_b = np.zeros(n_features), start, np.full(n_features, 1e-2), 1e-2
         for _ in range(epochs):
-            for t, own in data:
-                p = 1 / (1 + np.exp(-np.clip(bias + weight[own].sum(), -30, 30)))
+            for t, mine in data:
+                p = 1 / (1 + np.exp(-min(max(bias + weight[mine].sum(), -30.0), 30.0)))
                 g = p - t
                 seen_b += g * g
                 bias -= 0.3 * g / np.sqrt(seen_b)
-                seen_w[own] += g * g
-                weight[own] -= 0.3 * g / np.sqrt(seen_w[own])
-        out = np.append(weight, bias) * len(data)
-        yield pa.RecordBatch.from_arrays([pa.array([np.append(out, len(data)).astype(np.float32).tobytes()], pa.binary())], ["s"])
-
-    s = tree_sum(rows.where("fold <> 0").coalesce(int(min(8, 1 + (n_toxic + n_clean) // 4000))).mapInArrow(learn, "s binary"), "s", BUCKETS + 2, "float32", sums=True).astype(float)
-    mean = s[:-1] / max(s[-1], 1)
-    model = Model(np.where(keep, mean[:-1], 0.0), float(mean[-1]), Isotonic(0, 1, np.zeros(1), np.zeros(1)), told)
-
-    def curve(total, y, words, doc, bucket):
-        use = model.mask[bucket]
-        k = Isotonic.bins(model.raw(doc[use], bucket[use], len(y)), 0, 1)
-        total += np.concatenate([np.bincount(k, minlength=BINS), np.bincount(k, y == 1, BINS)])
-
-    own = summed(rows.where("fold = 0"), curve, 2 * BINS)
-    # with few toxic rows set apart, all rows calibrate
-    own = own if own[BINS:].sum() >= 50 else summed(rows, curve, 2 * BINS)
-    model.curve = Isotonic(0, 1, own[:BINS], own[BINS:])
-    return model
+                seen_w[mine] += g * g
+                weight[mine] -= 0.3 * g / np.sqrt(seen_w[mine])
+        return pa.table({"part": group.column("part").slice(0, 1), "weights": pa.array([np.append(weight, bias).tobytes()], pa.binary())})
+
+    parts = told_rows.select("*", F.explode(F.array(*[F.lit(k) for k in range(FOLDS + 1)])).alias("part")).where("fold <> part")
+    # FOLDS + 1 rows of weights
+    learned = {r.part: np.frombuffer(r.weights) for r in parts.groupBy("part").applyInArrow(learn, "part int, weights binary").collect()}
+    none = np.append(np.zeros(n_features), start)
+    by_fold = np.array([learned.get(k, none) for k in range(FOLDS + 1)])
+
+    def curve(batches):
+        total = np.zeros(2 * BINS)
+        for b in batches:
+            if b.num_rows:
+                own = b.column(4)
+                at = np.asarray(own.offsets, np.int64)
+                doc, mine = np.repeat(np.arange(b.num_rows), np.diff(at)), np.asarray(own.values)[at[0] : at[-1]]
+                fold, y = np.asarray(b.column(1)), np.asarray(b.column(2))
+                raw = by_fold[fold, -1] + np.bincount(doc, by_fold[fold[doc], mine], minlength=b.num_rows)
+                k = Isotonic.bins(1 / (1 + np.exp(-np.clip(raw, -30, 30))), 0, 1)
+                total += np.concatenate([np.bincount(k, minlength=BINS), np.bincount(k, y == 1, BINS)])
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["s"])
+
+    own = tree_sum(told_rows.mapInArrow(curve, "s binary"), "s", 2 * BINS, sums=True)
+    weight = np.zeros(BUCKETS)
+    weight[chosen] = by_fold[FOLDS, :-1]
+    return Model(weight, float(by_fold[FOLDS, -1]), Isotonic(0, 1, own[:BINS], own[BINS:]), told)
 
 
 def scores(docs: DataFrame, model: Model, modulus: int = 4, held: int = 2, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:

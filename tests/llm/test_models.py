@@ -74,6 +74,42 @@ def test_toxicity(corpus):
     assert len(empty) == 1 and empty.pop() < 0.3
 
 
+def test_toxicity_depends_on_rows_only(corpus):
+    docs, labels = corpus
+    # copies with labels that disagree, repeated rows, null ids
+    docs = docs.unionByName(docs.where("doc_id < 90").withColumn("doc_id", F.col("doc_id") + 5000)).unionByName(docs.where("doc_id = 7")).unionByName(docs.where("doc_id = 9").withColumn("doc_id", F.lit(None).cast("bigint")))
+    labels = labels.unionByName(labels.where("doc_id < 90").selectExpr("doc_id + 5000 as doc_id", "quality", "1 - toxic as toxic"))
+    one = toxicity.scores(docs, toxicity.fit(docs, labels)).collect()
+    other = docs.repartition(7, "n_chars").sortWithinPartitions(F.col("doc_id").desc())
+    two = toxicity.scores(other, toxicity.fit(other, labels.orderBy(F.rand(3)))).collect()
+    assert len(one) == 904 + 90 + 2 and sorted(one, key=str) == sorted(two, key=str)
+    assert not next(r for r in one if r.doc_id is None).held_out
+    empty = docs.where("false")
+    assert toxicity.scores(empty, toxicity.fit(empty, labels)).count() == 0
+    assert {r.score for r in toxicity.scores(docs, toxicity.fit(empty, labels)).collect()} == {0.0}
+    assert {r.score for r in toxicity.scores(docs, toxicity.fit(docs, labels.where("toxic = 1"))).collect()} == {1.0}
+
+
+def test_toxicity_against_a_plain_version(corpus):
+    """The same model from dictionaries of words, the label model and the classifier written out."""
+    docs, labels = corpus
+    model = toxicity.fit(docs, labels)
+    scored = {r.doc_id: r for r in toxicity.scores(docs, model).collect()}
+    want = {r.doc_id: r.toxic for r in labels.collect() if r.toxic is not None}
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    train = [i for i in want if not held(i, 4, 2)]
+    seen, odds = {}, {}
+    for i in train:
+        for w in set(texts[i].lower().split()):
+            seen.setdefault(w.strip("!"), [0, 0])[want[i]] += 1
+    n = [sum(want[i] == k for i in train) for k in (0, 1)]
+    odds = {w: np.log((b + 0.5) / (n[1] + 1)) - np.log((a + 0.5) / (n[0] + 1)) for w, (a, b) in seen.items()}
+    telling = {w for w, o in odds.items() if o >= 2.5 and sum(seen[w]) >= 3}
+    for i in (i for i in want if held(i, 4, 2)):
+        plain = any(w.strip("!") in telling for w in texts[i].lower().split())
+        assert scored[i].predicted == int(plain) == want[i]
+
+
 def test_label_model_recovers_rates():
     rng = np.random.default_rng(2)
     y = rng.random(20000) < 0.15
