@@ -131,10 +131,28 @@ def filter_ids(docs: DataFrame, ids: DataFrame, n_ids: int, keep: bool, key: str
     Up to ``max_broadcast`` ids travel to the documents; beyond that both sides are shuffled on the key.
     """
     ids = ids.select(F.col(ids.columns[0]).alias(key))
-    small = F.broadcast(ids) if n_ids <= max_broadcast else ids.hint("shuffle_hash")
+    small = F.broadcast(ids) if n_ids <= max_broadcast else ids.hint("merge")
     return docs.join(small, key, "left_semi" if keep else "left_anti")
 
 
+def spread_join(many: DataFrame, one: DataFrame, key: str, amount: str, by: str, most: int = 1024) -> DataFrame:
+    """``many`` joined with the one row per ``key`` of ``one``, no task being given a whole hot key.
+
+    ``amount`` of ``one`` tells how many rows of ``many`` a key has. Rows of a key with more than ``most`` are dealt by a
+    hash of ``by`` over as many parts as it takes, and the key's row is repeated for each part. The list of hot keys is
+    broadcast; ``most`` grows by powers of four until the list has at most ``BROADCAST_ROWS`` entries.
+    """
+    limits = [most * 4**i for i in range(12)]
+    n_hot = one.agg(*[F.count_if(F.col(amount) > x).alias(str(x)) for x in limits]).first()
+    if not n_hot[0]:
+        return many.join(one.drop(amount), key)
+    most = next(x for x, n in zip(limits, n_hot, strict=True) if n <= BROADCAST_ROWS)
+    hot = F.broadcast(one.where(F.col(amount) > most).select(key, F.ceil(F.col(amount) / most).cast("int").alias("_parts")))
+    many = many.join(hot, key, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(by), F.col("_parts")).cast("int"), F.lit(0))).drop("_parts")
+    one = one.withColumn("_part", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), F.when(F.col(amount) > most, F.ceil(F.col(amount) / most)).otherwise(1)).cast("int") - 1)))
+    return many.join(one.drop(amount), [key, "_part"]).drop("_part")
+
+
 def text_rows(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Only what a text pass needs: id and text, null text as empty."""
     ship(docs.sparkSession)

@@ -3,23 +3,31 @@
 Two documents link when 100 * |A and B| >= 80 * |A or B| for their sets of distinct 5-word shingles.
 
 1. A text pass hashes the shingles of every document: set size, a 128-bit digest of the set, and a fixed-size count
-   sketch over all documents that orders shingles from rare to common. Equal sets become one class with the smallest
+   sketch over all documents, a first guess at which shingles are rare. Equal sets become one class with the smallest
    doc_id as representative, so copies are never compared.
 2. A second pass writes each document's prefix, its rarest |A| - ceil(0.8 |A|) + 1 shingles. Linked documents share a
-   prefix shingle in any fixed order, whatever the sketch says. Documents that share one form a tile.
-3. Within a tile the members of compatible size bands are linked by a star to the tile's smallest member; candidates
-   pass the bitmap bound (parity bits: differing bits are no more than differing shingles, so the overlap is at most
-   half of |A| + |B| - bits), then the intersection of sorted arrays decides.
+   prefix shingle in any fixed order. Shingles are then counted exactly over all prefixes; those that are frequent in
+   spite of the sketch, as they are once it is saturated by a large corpus, go to the end of the order, and documents
+   that had one in their prefix take another prefix. All others keep theirs, which the new order does not touch.
+3. Documents that share a prefix shingle form a tile. A tile of more than a few members is cut into size bands, each so
+   wide that linked documents are of one band or of neighbouring bands. The members of a band are linked by a star
+   to its smallest member, and those of neighbouring bands to each other; candidates of fitting sizes pass the bitmap
+   bound (parity bits: differing bits are no more than differing shingles, so the overlap is at most half of
+   |A| + |B| - bits), then the intersection of sorted arrays decides.
 4. Tiles whose members are not yet one component are cut into blocks of bounded size; the blocks that hold members
-   outside the tile's main component meet all blocks, compare only across components by bitmap, and the survivors
-   are decided exactly. Members that are already connected need no further comparison for components, which keeps
-   groups of near copies linear in their size.
+   outside the tile's main component meet the blocks of their own and the neighbouring bands, compare only across
+   components by bitmap, and the survivors are decided exactly. Members that are already connected need no further
+   comparison for components, which keeps groups of near copies linear in their size.
 5. All links lie within components. Where links are counted, the members of each component are cut into blocks of
    bounded size, and every two blocks of a component meet in one task that decides all their pairs by the exact
    overlap and gives one count per member. That work grows with the square of a component's size, its rows don't.
 
+A shingle, a star's head or a band that very many rows share is dealt over several tasks (``spread_join``, and pairs of
+block groups in step 4).
+
 Defined results: null and empty text and text without words have size 0 and link with nothing; rows that share a
-doc_id count as linked; an empty table gives an empty table; clashing or extra columns are ignored.
+doc_id count as linked, null ids link with nothing; an empty table gives an empty table; a very long text is a step by
+itself and needs some 40 times its bytes; clashing or extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,14 +37,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, Scratch, arrow_rows, by_steps, filter_ids, joined_bytes, steps, text_rows, tree_sum, trim
+from .common import BROADCAST_ROWS, Scratch, arrow_rows, by_steps, filter_ids, joined_bytes, spread_join, steps, text_rows, tree_sum, trim
 from .components import connected_components
 from .wordhash import Words, distinct, mix, shingles
 
-#: Counters of the sketch that orders shingles; a fixed half megabyte.
+#: Counters of the sketch that orders shingles first; a fixed half megabyte.
 SKETCH = 1 << 17
-#: Members of a block of a residual tile, and tiles that are small enough to list their pairs.
-BLOCK, SMALL = 256, 16
+#: Prefixes that hold a shingle from which on it is frequent, how many frequent ones are told to the tasks at most (the
+#: first number grows until they fit), and how often prefixes are taken anew.
+FREQUENT, MOST_FREQUENT, ROUNDS = 2048, 1 << 18, 2
+#: Members of a block of a residual tile, tiles that are small enough to list their pairs, and blocks that travel together.
+BLOCK, SMALL, GROUP = 256, 16, 16
 #: Shingles of a block whose links are counted, on average.
 BLOCK_VALUES = 1 << 19
 
@@ -108,15 +119,31 @@ def may_link(n_a: int, n_b: int, sig_a: bytes, sig_b: bytes, percent: int) -> bo
     return 100 * most >= percent * (n_a + n_b - most)
 
 
-def prefixes(docs: DataFrame, rank: bytes, k: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n, tokens, sig): the rarest shingles and the parity signature of each document that has any."""
+def band_starts(percent: int) -> np.ndarray:
+    """The smallest size of each band. Sets that can reach the similarity are of one band or of neighbouring ones:
+    the larger has at most 100/percent times the smaller's size, and a band ends before that times its start."""
+    starts = [1]
+    while starts[-1] < 1 << 40:
+        starts.append(starts[-1] * 100 // percent + 1)
+    return np.array(starts)
+
+
+def prefixes(docs: DataFrame, rank: bytes, k: int = 5, percent: int = 80, frequent: np.ndarray | None = None) -> DataFrame:
+    """(doc_id, n, band, tokens, sig): the rarest shingles and the parity signature of each document that has any.
+
+    Shingles are ordered by the sketch's rank and their value, those in ``frequent`` (sorted) behind all others.
+    """
+    starts = band_starts(percent)
 
     def run(piece):
         common = np.frombuffer(rank, np.uint8)
         values, at = _sets(piece, k)
         n = np.diff(at)
         kept = n - _least_overlap(n, percent) + (n > 0)
-        lead = common[values & np.uint64(SKETCH - 1)]
+        lead = common[values & np.uint64(SKETCH - 1)].astype(np.int16)
+        if frequent is not None and len(frequent) and len(values):
+            own = values.view(np.int64)
+            lead[frequent[np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)] == own] += 256
         out, sigs = [], []
         for a, b, p in zip(at[:-1], at[1:], kept, strict=True):
             # values ascend, so a stable sort by class orders by (class, value)
@@ -126,9 +153,58 @@ def prefixes(docs: DataFrame, rank: bytes, k: int = 5, percent: int = 80) -> Dat
         np.cumsum(kept, out=ends[1:])
         flat = np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
         tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-        return pa.RecordBatch.from_arrays([piece.column(0), pa.array(n), tokens, pa.array(sigs, pa.binary())], ["doc_id", "n", "tokens", "sig"])
-
-    return docs.mapInArrow(by_steps("text", run), "doc_id long, n long, tokens array<long>, sig binary").where("n > 0")
+        band = pa.array((np.searchsorted(starts, n, "right") - 1).astype(np.int32))
+        return pa.RecordBatch.from_arrays([piece.column(0), pa.array(n), band, tokens, pa.array(sigs, pa.binary())], ["doc_id", "n", "band", "tokens", "sig"])
+
+    return docs.mapInArrow(by_steps("text", run), "doc_id long, n long, band int, tokens array<long>, sig binary").where("n > 0")
+
+
+def shared_tokens(lead: DataFrame) -> DataFrame:
+    """(token, size, head, last) of each shingle that two prefixes hold or more; head and last are members with their sizes."""
+    members = lead.select(F.explode("tokens").alias("token"), F.struct("doc_id", "n").alias("m"))
+    return members.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("m").alias("head"), F.max("m").alias("last")).where("size > 1")
+
+
+def frequent_tokens(shared: DataFrame, least: int, most: int) -> np.ndarray:
+    """The shingles in more than ``least`` prefixes, sorted; the number rises by powers of two until there are at most ``most``."""
+    limits = [least << i for i in range(40)]
+    n = shared.agg(*[F.count_if(F.col("size") > x).alias(str(x)) for x in limits]).first()
+    limit = next(x for x, k in zip(limits, n, strict=True) if k <= most)
+    if not n[0]:
+        return np.zeros(0, np.int64)
+    return np.sort(shared.where(F.col("size") > limit).select("token").toPandas().token.to_numpy(np.int64))
+
+
+def settled_prefixes(scratch: Scratch, rows: DataFrame, heads: DataFrame, heads_n: int, rank: bytes, k: int, percent: int, least: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """Prefixes of the class representatives and the shingles that they share, frequent ones put last as far as they can."""
+
+    def holding(frequent):
+        def run(batches):
+            for batch in batches:
+                lists = batch.column(1)
+                at, flat = np.asarray(lists.offsets, np.int64), np.asarray(lists.values)
+                flat = flat[at[0] : at[-1]]
+                hit = frequent[np.minimum(np.searchsorted(frequent, flat), len(frequent) - 1)] == flat if len(flat) else np.zeros(0, bool)
+                some = np.bincount(np.repeat(np.arange(batch.num_rows), np.diff(at))[hit], minlength=batch.num_rows) > 0
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(some))], ["doc_id"])
+
+        return run
+
+    lead = scratch.put("prefixes", filter_ids(prefixes(rows, rank, k, percent), heads, heads_n, True))
+    shared = scratch.put("shared", shared_tokens(lead))
+    frequent = np.zeros(0, np.int64)
+    for _ in range(ROUNDS):
+        more = np.setdiff1d(frequent_tokens(shared, least, most), frequent)
+        if not len(more):
+            break
+        frequent = np.union1d(frequent, more)
+        ids = scratch.put("again", lead.select("doc_id", "tokens").mapInArrow(holding(frequent), "doc_id long").distinct())
+        n_ids = ids.count()
+        anew = filter_ids(filter_ids(prefixes(rows, rank, k, percent, frequent), heads, heads_n, True), ids, n_ids, True)
+        old, lead = lead, scratch.put("prefixes", filter_ids(lead, ids, n_ids, False).unionByName(anew))
+        before, shared = shared, scratch.put("shared", shared_tokens(lead))
+        scratch.drop(old, before, ids)
+    return lead, shared
 
 
 def bodies(docs: DataFrame, k: int = 5) -> DataFrame:
@@ -148,9 +224,10 @@ def fits(n_a, n_b, percent: int):
 
 
 def with_sides(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
-    for side in "ab":
-        pairs = pairs.join(sets.select(F.col("doc_id").alias(side), *[F.col(x).alias(f"{x}_{side}") for x in columns]), side)
-    return pairs
+    """Pairs with columns of both sides. A document may be the smaller one, ``a``, of very many pairs."""
+    side = lambda s: sets.select(F.col("doc_id").alias(s), *[F.col(x).alias(f"{x}_{s}") for x in columns])
+    often = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("_rows"))
+    return spread_join(pairs.join(side("b"), "b"), side("a").join(often, "a"), "a", "_rows", "b")
 
 
 def verify(scratch: Scratch, rows: DataFrame, pairs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
@@ -234,24 +311,44 @@ def _across_blocks(percent: int):
     return run
 
 
+def block_pairs(blocks: DataFrame) -> DataFrame:
+    """(lhs, rhs): every block outside its tile's main component with every block of its own and the neighbouring bands.
+
+    ``GROUP`` blocks travel together, and every two groups meet under a key of their own, so no task is given all
+    pairs of a hot tile; a block is repeated once for each group that it meets.
+    """
+    # the place of a block among those of its tile, band and side
+    numbered = blocks.select("*", F.floor(F.col("block") / GROUP).cast("int").alias("group"), F.floor((F.col("held_blocks") - 1) / GROUP).cast("int").alias("last"))
+    left = numbered.where("not of_main").select("token", F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)).alias("other"), F.col("group").alias("g"), F.col("last").alias("g_last"), F.col("members").alias("lhs"))
+    right = numbered.select("token", F.col("band").alias("other"), "of_main", F.col("group").alias("h"), F.col("last").alias("h_last"), F.col("members").alias("rhs"))
+    # how many groups each side has: one row per tile and band
+    most_left, most_right = left.groupBy("token", "other").agg(F.max("g_last").alias("g_last")), right.groupBy("token", "other", "of_main").agg(F.max("h_last").alias("h_last"))
+    left = left.drop("g_last").join(most_right, ["token", "other"]).withColumn("h", F.explode(F.sequence(F.lit(0), F.col("h_last")))).drop("h_last")
+    right = right.drop("h_last").join(most_left, ["token", "other"]).withColumn("g", F.explode(F.sequence(F.lit(0), F.col("g_last")))).drop("g_last")
+    return left.join(right, ["token", "other", "of_main", "g", "h"]).select("lhs", "rhs")
+
+
 def residual_pairs(scratch: Scratch, tiles: DataFrame, comps: DataFrame, sets: DataFrame, seen: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs (a, b) inside tiles of three and more members that are not one component yet.
 
-    Tiles of up to ``SMALL`` members give their pairs across components as far as the shingle's places allow. Larger ones are cut into blocks that carry bitmaps.
+    Tiles of up to ``SMALL`` members give their pairs across components as far as the shingle's places allow. Larger ones are cut into bands and blocks that carry bitmaps.
     """
-    member = tiles.select("token", "doc_id", "n", "pos", "size").join(comps, "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
+    member = tiles.select("token", "doc_id", "n", "band", "pos", "size").join(comps, "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
     member = scratch.put("members", member)
-    per = member.where(F.col("size") > SMALL).groupBy("token", "comp").agg(F.count(F.lit(1)).alias("rows"))
-    mixed = per.groupBy("token").agg(F.max_by("comp", F.struct("rows", "comp")).alias("main"), F.max("rows").alias("inner"), F.sum("rows").alias("rows")).where("rows > inner")
-    inside = member.drop("n").join(mixed, "token").join(sets, "doc_id")
-    inside = inside.withColumn("of_main", F.col("comp") == F.col("main"))
-    held = F.when(F.col("of_main"), F.col("inner")).otherwise(F.col("rows") - F.col("inner"))
-    inside = inside.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.ceil(held / BLOCK)))
-    blocks = inside.groupBy("token", "of_main", "block").agg(F.collect_list(F.struct("doc_id", "comp", "n", "sig")).alias("members"))
+    per = member.where(F.col("size") > SMALL).groupBy("token", "comp", "band").agg(F.count(F.lit(1)).alias("rows"))
+    per = scratch.put("per", per)
+    mixed = per.groupBy("token", "comp").agg(F.sum("rows").alias("rows")).groupBy("token").agg(F.max_by("comp", F.struct("rows", "comp")).alias("main"), F.max("rows").alias("inner"), F.sum("rows").alias("rows")).where("rows > inner")
+    # rows of each band inside and outside the main component; there are some hundred bands at most
+    side = F.col("band") * 2 + (F.col("comp") == F.col("main")).cast("int")
+    held = per.join(mixed.select("token", "main"), "token").groupBy("token", side.alias("side")).agg(F.sum("rows").alias("held"))
+    held = held.groupBy("token").agg(F.map_from_entries(F.collect_list(F.struct("side", "held"))).alias("held"))
+    mixed = scratch.put("mixed", mixed.select("token", "main", "rows").join(held, "token"))
+    inside = spread_join(member.where(F.col("size") > SMALL).drop("n", "size", "pos"), mixed, "token", "rows", "doc_id").join(sets, "doc_id")
+    inside = inside.withColumn("of_main", F.col("comp") == F.col("main")).withColumn("held_blocks", F.ceil(F.col("held")[side] / BLOCK))
+    inside = inside.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("held_blocks")))
+    blocks = inside.groupBy("token", "band", "of_main", "block", "held_blocks").agg(F.collect_list(F.struct("doc_id", "comp", "n", "sig")).alias("members"))
     blocks = scratch.put("blocks", blocks)
-    left = blocks.where("not of_main").select("token", F.col("members").alias("lhs"))
-    right = blocks.select("token", F.col("members").alias("rhs"))
-    found = left.join(right, "token").select("lhs", "rhs").mapInArrow(_across_blocks(percent), "a long, b long")
+    found = block_pairs(blocks).mapInArrow(_across_blocks(percent), "a long, b long")
 
     lists = member.where(F.col("size") <= SMALL).groupBy("token").agg(F.array_sort(F.collect_list(F.struct("doc_id", "comp", "n", "pos"))).alias("members"))
     lists = lists.where(F.size(F.array_distinct("members.comp")) > 1)
@@ -321,8 +418,10 @@ def link_counts(scratch: Scratch, rows: DataFrame, comps: DataFrame, k: int, per
     return out
 
 
-def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, count_links: bool = True) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, and n_links, with how many other classes its class links.
+def jaccard_components(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, count_links: bool = True, frequent: int = FREQUENT, most_frequent: int = MOST_FREQUENT
+) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, and n_links, how many other classes (equal sets) its class links.
 
     Without ``count_links`` there is no n_links, and members of one component are not compared again.
     """
@@ -337,20 +436,26 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     heads = classes.select(F.col("rep").alias("doc_id")).distinct()
     heads_n = heads.count()
 
-    lead = scratch.put("prefixes", prefixes(rows, rank, k, percent))
-    members = filter_ids(lead, heads, heads_n, True).select("doc_id", "n", F.posexplode("tokens").alias("pos", "token"))
-    shared = members.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("doc_id").alias("head"), F.max("doc_id").alias("last"))
-    shared = scratch.put("shared", shared.where("size > 1"))
+    lead, shared = settled_prefixes(scratch, rows, heads, heads_n, rank, k, percent, frequent, most_frequent)
     # two members are a pair already; only larger tiles need their members listed
-    large = shared.where("size > 2").select("token", "size", "head")
-    tiles = scratch.put("tiles", members.join(large, "token").select("token", "doc_id", "n", "pos", "size", "head"))
-    sets = scratch.put("signatures", filter_ids(lead, heads, heads_n, True).select("doc_id", "n", "sig"))
+    large = shared.where("size > 2").select("token", "size", F.col("size").alias("_rows"), "head")
+    members = lead.select("doc_id", "n", "band", F.posexplode("tokens").alias("pos", "token"))
+    tiles = scratch.put("tiles", spread_join(members, large, "token", "_rows", "doc_id").select("token", "doc_id", "n", "band", "pos", "size", "head"))
+    sets = scratch.put("signatures", lead.select("doc_id", "n", "sig"))
     scratch.drop(lead)
 
-    pairs = shared.where("size = 2").select(F.col("head").alias("a"), F.col("last").alias("b"))
-    pairs = pairs.unionByName(tiles.where(F.col("doc_id") > F.col("head")).select(F.col("head").alias("a"), F.col("doc_id").alias("b"))).distinct()
-    sized = with_sides(pairs, sets, "n")
-    stars = scratch.put("stars", sized.where(fits(F.col("n_a"), F.col("n_b"), percent)).select("a", "b"))
+    # stars: to the head of a small tile, in larger ones to the head of each band, and between heads of neighbouring bands
+    own = F.struct("doc_id", "n").alias("m")
+    bands = tiles.where(F.col("size") > SMALL).groupBy("token", "band").agg(F.min(F.struct("doc_id", "n")).alias("first"), F.count(F.lit(1)).alias("_rows"))
+    bands = scratch.put("bands", bands.withColumn("tile", F.struct("token", "band")))
+    of_band = spread_join(tiles.where(F.col("size") > SMALL).select(F.struct("token", "band").alias("tile"), own, "doc_id"), bands.select("tile", "first", "_rows"), "tile", "_rows", "doc_id")
+    next_band = bands.select("token", (F.col("band") - 1).alias("band"), F.col("first").alias("m"))
+    stars = shared.where("size = 2").select("head", F.col("last").alias("m"))
+    stars = stars.unionByName(tiles.where(F.col("size") <= SMALL).select("head", own)).unionByName(of_band.select(F.col("first").alias("head"), "m"))
+    stars = stars.unionByName(bands.join(next_band, ["token", "band"]).select(F.col("first").alias("head"), "m"))
+    stars = stars.where((F.col("head.doc_id") != F.col("m.doc_id")) & fits(F.col("head.n"), F.col("m.n"), percent))
+    stars = stars.select(F.least("head.doc_id", "m.doc_id").alias("a"), F.greatest("head.doc_id", "m.doc_id").alias("b")).distinct()
+    stars = scratch.put("stars", stars)
     links = verify(scratch, rows, stars, sets, k, percent)
     comps = connected_components(scratch, links)
     comps = scratch.put("parts", comps.withColumnRenamed("node", "doc_id"))
@@ -388,10 +493,12 @@ with recursive w as (
     else list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) end as s from w
 ), sized as (select doc_id, len(s) as n, s from sets), flat as (select doc_id, n, unnest(s) as g from sized),
 links as (
-  select a.doc_id as a, b.doc_id as b from flat a join flat b on a.g = b.g and a.doc_id < b.doc_id
+  select a.doc_id as a, b.doc_id as b, a.n = b.n and count(*) = a.n as equal from flat a join flat b on a.g = b.g and a.doc_id < b.doc_id
   group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 80 * (a.n + b.n - count(*))
-), sym as (select a, b from links union all select b, a from links),
+), sym as (select a, b, equal from links union all select b, a, equal from links),
+classes as (select d.doc_id, least(d.doc_id, coalesce(min(b), d.doc_id)) as class from documents d left join sym on a = d.doc_id and equal group by d.doc_id),
+linked as (select a as doc_id, count(distinct class)::bigint as n_links from sym join classes c on c.doc_id = b where not equal group by a),
 reach as (select doc_id as a, doc_id as b from documents union select r.a, l.b from reach r join sym l on r.b = l.a)
-select s.doc_id, s.n::bigint as n_shingles, min(r.b) as component_id
-from sized s join reach r on s.doc_id = r.a group by s.doc_id, s.n
+select s.doc_id, s.n::bigint as n_shingles, min(r.b) as component_id, any_value(coalesce(n_links, 0)) as n_links
+from sized s join reach r on s.doc_id = r.a left join linked k on k.doc_id = s.doc_id group by s.doc_id, s.n
 """

@@ -11,7 +11,7 @@ def op1_webp_media(spark, sf_dir):
 
 
 def op2_ngram_jaccard(spark, sf_dir):
-    return ngram_jaccard.jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+    return ngram_jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
 def op3_exact_dedup(spark, sf_dir):

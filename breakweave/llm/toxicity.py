@@ -172,12 +172,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int =
         own = pa.ListArray.from_arrays(pa.array(ends), pa.array(bucket.astype(np.int32)))
         return pa.RecordBatch.from_arrays([piece.column(2), piece.column(3), pa.array(w.count.astype(np.int32)), own, piece.column(4)], ["label", "fold", "words", "buckets", "digest"])
 
-    rows = labelled(docs, labels, label, modulus, held, bound, doc_id, text).withColumn("digest", F.sha2("text", 256))
-    rows = rows.mapInArrow(by_steps("text", extract), "label int, fold int, words int, buckets array<int>, digest string")
+    rows = labelled(docs, labels, label, modulus, held, bound, doc_id, text).withColumn("digest", F.unhex(F.sha2("text", 256)))
+    rows = rows.mapInArrow(by_steps("text", extract), "label int, fold int, words int, buckets array<int>, digest binary")
     every = scratch.put("features", rows.withColumn("row", F.monotonically_increasing_id()))
     # copies of one text would make its own words look telling; only digests and numbers are shuffled
-    kept = every.groupBy("digest").agg(F.max("label").alias("label"), F.min("fold").alias("fold"), F.min("row").alias("row"))
-    rows = scratch.put("distinct", every.select("words", "buckets", "row").join(kept, "row").select("label", "fold", "words", "buckets", "digest"))
+    kept = scratch.put("kept", every.groupBy("digest").agg(F.max("label").alias("label"), F.min("fold").alias("fold"), F.min("row").alias("row")).drop("digest"))
+    rows = scratch.put("distinct", every.select("words", "buckets", "digest", "row").join(kept, "row").select("label", "fold", "words", "buckets", "digest"))
     scratch.drop(every)
 
     def arrays(batch):
@@ -235,7 +235,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int =
                 ends = np.append(0, np.cumsum(np.bincount(doc[use], minlength=len(y)))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([b.column(4), b.column(1), b.column(0), pa.array(q), pa.ListArray.from_arrays(pa.array(ends), pa.array(own[use]))], ["digest", "fold", "label", "q", "own"])
 
-    told_rows = scratch.put("examples", rows.mapInArrow(examples, "digest string, fold int, label int, q double, own array<int>"))
+    told_rows = scratch.put("examples", rows.mapInArrow(examples, "digest binary, fold int, label int, q double, own array<int>"))
     n_features, start = len(chosen), float(np.log(n_toxic / n_clean))
 
     def learn(group: pa.Table) -> pa.Table:

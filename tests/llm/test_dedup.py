@@ -7,9 +7,10 @@ import re
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from breakweave.llm import exact_dedup, ngram_jaccard
-from breakweave.llm.common import Scratch
+from breakweave.llm.common import Scratch, spread_join
 from breakweave.llm.components import connected_components
 
 from .conftest import SCHEMA
@@ -101,6 +102,65 @@ def test_a_chain_of_near_copies_is_one_component(make, monkeypatch, small):
     assert near(make(texts)) == want and len({c for _, c in want.values()}) < len(texts) - 10
 
 
+def test_a_saturated_sketch_is_mended_by_exact_counts(spark, make, monkeypatch):
+    """Boilerplate that the sketch can't tell from rare text leaves the prefixes; what links stays the same."""
+    monkeypatch.setattr(ngram_jaccard, "SKETCH", 16)
+    rng = random.Random(6)
+    plate = [f"plate{i}" for i in range(40)]
+    texts = [" ".join([f"own{k}x{i}" for i in range(60)] + plate) for k in range(80)]
+    texts += [t.replace("x7 ", "y7 ") for t in texts[:20]] + [" ".join(plate), " ".join(plate) + " end", " ".join(rng.sample(plate, 40))]
+    want = plain_components(texts)
+    docs = make(texts)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard.jaccard_components(docs, frequent=8, most_frequent=64).collect()}
+    assert got == want == near(docs)
+    scratch = Scratch(spark, "t")
+    rows = docs.select("doc_id", "text")
+    ids, flat = docs.select("doc_id"), np.full(16, 7, np.uint8).tobytes()
+    most = [ngram_jaccard.settled_prefixes(scratch, rows, ids, len(texts), flat, 5, 80, least, 64)[1].agg(F.max("size")).first()[0] for least in (1000, 8)]
+    assert most[0] > 90 and most[1] < 30
+
+
+def test_many_near_copies_are_dealt_over_tasks(make, monkeypatch):
+    """A thousand near copies of one text: more heads, bands and blocks than one task is given."""
+    monkeypatch.setattr(ngram_jaccard, "SMALL", 4)
+    monkeypatch.setattr(ngram_jaccard, "BLOCK", 64)
+    monkeypatch.setattr(ngram_jaccard, "GROUP", 2)
+    monkeypatch.setattr(ngram_jaccard.spread_join, "__defaults__", (50,))
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(50)]
+    texts = []
+    for _ in range(1000):
+        own = [*words, *[f"m{i}" for i in range(rng.choice((0, 0, 8, 30)))]]
+        own[rng.randrange(len(own))] = f"n{rng.randrange(400)}"
+        texts.append(" ".join(own))
+    assert near(make(texts)) == plain_components(texts)
+
+
+def test_bands_hold_what_can_link():
+    starts = ngram_jaccard.band_starts(80)
+    band = np.searchsorted(starts, np.arange(1, 5001), "right") - 1
+    for n in range(1, 4001):
+        assert band[min(n * 100 // 80, 5000) - 1] - band[n - 1] <= 1
+
+
+def test_spread_join_is_a_join_without_hot_tasks(spark):
+    many = spark.range(1000).select(F.when(F.col("id") < 700, 1).otherwise(F.col("id") % 50).alias("k"), "id")
+    one = many.groupBy("k").agg(F.count(F.lit(1)).alias("rows")).withColumn("name", F.concat(F.lit("n"), F.col("k").cast("string")))
+    got = spread_join(many, one, "k", "rows", "id", 64)
+    assert sorted(map(tuple, got.select("k", "id", "name").collect())) == sorted((r.k, r.id, f"n{r.k}") for r in many.collect())
+    assert got.withColumn("p", F.spark_partition_id()).count() == 1000
+
+
+def test_every_outside_block_meets_every_block_of_near_bands(spark):
+    schema = "token bigint, band int, of_main boolean, block bigint, held_blocks bigint, members array<struct<doc_id:bigint>>"
+    kinds = [(b, m, n) for b, m, n in ((1, False, 5), (1, True, 40), (2, True, 18), (3, False, 20), (5, True, 2))]
+    rows = [(7, b, m, i, n, [(b * 10000 + m * 1000 + i,)]) for b, m, n in kinds for i in range(n) if (b, i) != (3, 4)]
+    got = [(r.lhs[0][0], r.rhs[0][0]) for r in ngram_jaccard.block_pairs(spark.createDataFrame(rows, schema)).collect()]
+    ids = {r[5][0][0]: (r[1], r[2]) for r in rows}
+    want = {(a, b) for a in ids for b in ids if not ids[a][1] and abs(ids[a][0] - ids[b][0]) <= 1}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 @pytest.mark.parametrize("block", [3, 256])
 def test_links_inside_components_are_counted(make, texts, monkeypatch, block):
     """Three mutual near copies have two links each, however the component was found; copies count with their class."""
