@@ -47,7 +47,7 @@ SKETCH = 1 << 17
 #: first number grows until they fit), and how often prefixes are taken anew.
 FREQUENT, MOST_FREQUENT, ROUNDS = 2048, 1 << 18, 2
 #: Members of a block of a residual tile, tiles that are small enough to list their pairs, and blocks that travel together.
-BLOCK, SMALL, GROUP = 256, 16, 16
+BLOCK, SMALL, GROUP = 256, 64, 16
 #: Shingles of a block whose links are counted, on average.
 BLOCK_VALUES = 1 << 19
 
@@ -160,14 +160,46 @@ def prefixes(docs: DataFrame, rank: bytes, k: int = 5, percent: int = 80, freque
 
 
 def shared_tokens(lead: DataFrame) -> DataFrame:
-    """(token, size, head, last) of each shingle that two prefixes hold or more; head and last are members with their sizes."""
-    members = lead.select(F.explode("tokens").alias("token"), F.struct("doc_id", "n").alias("m"))
-    return members.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("m").alias("head"), F.max("m").alias("last")).where("size > 1")
+    """(token, size, head, last) of each shingle that two prefixes hold or more; head and last are the outer members."""
+    members = lead.select(F.explode("tokens").alias("token"), "doc_id")
+    return members.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("doc_id").alias("head"), F.max("doc_id").alias("last")).where("size > 1")
+
+
+def listed_members(lead: DataFrame, large: DataFrame) -> DataFrame:
+    """(doc_id, n, band, pos, token, size, head) of the prefix places whose shingle is in ``large``.
+
+    A bitmap of the shingles, eight bits for each and 32 MB at most, keeps nearly all other places from being shuffled;
+    those it lets pass are dropped by the join.
+    """
+    spark = lead.sparkSession
+    bits = min(max(16, (8 * large.count()).bit_length()), 28)
+    slot = F.shiftrightunsigned("token", 64 - bits) + 1
+    parts = large.groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")).collect()
+    bitmap = np.zeros(max(1 << (bits - 3), 4096), np.uint8)
+    for p in parts:
+        bitmap[(p.bucket - 1) * 4096 : p.bucket * 4096] = np.frombuffer(p.bits, np.uint8)[: len(bitmap)]
+    told = spark.sparkContext.broadcast(bitmap.tobytes())
+
+    def run(batches):
+        known = np.frombuffer(told.value, np.uint8)
+        for batch in batches:
+            lists = batch.column(3)
+            at = np.asarray(lists.offsets, np.int64)
+            flat = np.asarray(lists.values)[at[0] : at[-1]]
+            slots = flat.view(np.uint64) >> np.uint64(64 - bits)
+            hit = np.flatnonzero(known[(slots >> np.uint64(3)).astype(np.int64)] >> (slots & np.uint64(7)).astype(np.uint8) & 1)
+            doc = np.searchsorted(at[1:] - at[0], hit, "right")
+            of = [batch.column(i).take(pa.array(doc)) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([*of, pa.array((hit - (at[doc] - at[0])).astype(np.int32)), pa.array(flat[hit])], ["doc_id", "n", "band", "pos", "token"])
+        trim()
+
+    found = lead.select("doc_id", "n", "band", "tokens").mapInArrow(run, "doc_id long, n long, band int, pos int, token long")
+    return spread_join(found, large.select("token", "size", F.col("size").alias("_rows"), "head"), "token", "_rows", "doc_id")
 
 
 def frequent_tokens(shared: DataFrame, least: int, most: int) -> np.ndarray:
     """The shingles in more than ``least`` prefixes, sorted; the number rises by powers of two until there are at most ``most``."""
-    limits = [least << i for i in range(40)]
+    limits = [min(least << i, 1 << 62) for i in range(40)]
     n = shared.agg(*[F.count_if(F.col("size") > x).alias(str(x)) for x in limits]).first()
     limit = next(x for x, k in zip(limits, n, strict=True) if k <= most)
     if not n[0]:
@@ -317,14 +349,15 @@ def block_pairs(blocks: DataFrame) -> DataFrame:
     ``GROUP`` blocks travel together, and every two groups meet under a key of their own, so no task is given all
     pairs of a hot tile; a block is repeated once for each group that it meets.
     """
-    # the place of a block among those of its tile, band and side
-    numbered = blocks.select("*", F.floor(F.col("block") / GROUP).cast("int").alias("group"), F.floor((F.col("held_blocks") - 1) / GROUP).cast("int").alias("last"))
-    left = numbered.where("not of_main").select("token", F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)).alias("other"), F.col("group").alias("g"), F.col("last").alias("g_last"), F.col("members").alias("lhs"))
-    right = numbered.select("token", F.col("band").alias("other"), "of_main", F.col("group").alias("h"), F.col("last").alias("h_last"), F.col("members").alias("rhs"))
-    # how many groups each side has: one row per tile and band
-    most_left, most_right = left.groupBy("token", "other").agg(F.max("g_last").alias("g_last")), right.groupBy("token", "other", "of_main").agg(F.max("h_last").alias("h_last"))
-    left = left.drop("g_last").join(most_right, ["token", "other"]).withColumn("h", F.explode(F.sequence(F.lit(0), F.col("h_last")))).drop("h_last")
-    right = right.drop("h_last").join(most_left, ["token", "other"]).withColumn("g", F.explode(F.sequence(F.lit(0), F.col("g_last")))).drop("g_last")
+    group = F.floor(F.col("block") / GROUP).cast("int")
+    near = [F.col("band") + d for d in (-1, 0, 1)]
+    # the last group of the blocks outside and inside the main component, null where a band has none
+    last = lambda band, inside: F.floor((F.ceil(F.element_at("held", (band * 2 + inside).cast("int")) / BLOCK) - 1) / GROUP).cast("int")
+    meets = F.filter(F.array(*[F.struct(b.alias("other"), F.lit(bool(i)).alias("of_main"), last(b, i).alias("last")) for b in near for i in (0, 1)]), lambda m: m["last"].isNotNull())
+    left = blocks.where("not of_main").select("token", group.alias("g"), F.explode(meets).alias("m"), F.col("members").alias("lhs"))
+    left = left.select("token", "g", "m.other", "m.of_main", F.explode(F.sequence(F.lit(0), F.col("m.last"))).alias("h"), "lhs")
+    right = blocks.select("token", F.col("band").alias("other"), "of_main", group.alias("h"), F.greatest(*[last(b, 0) for b in near]).alias("g_last"), F.col("members").alias("rhs"))
+    right = right.where("g_last is not null").withColumn("g", F.explode(F.sequence(F.lit(0), F.col("g_last")))).drop("g_last")
     return left.join(right, ["token", "other", "of_main", "g", "h"]).select("lhs", "rhs")
 
 
@@ -344,9 +377,10 @@ def residual_pairs(scratch: Scratch, tiles: DataFrame, comps: DataFrame, sets: D
     held = held.groupBy("token").agg(F.map_from_entries(F.collect_list(F.struct("side", "held"))).alias("held"))
     mixed = scratch.put("mixed", mixed.select("token", "main", "rows").join(held, "token"))
     inside = spread_join(member.where(F.col("size") > SMALL).drop("n", "size", "pos"), mixed, "token", "rows", "doc_id").join(sets, "doc_id")
-    inside = inside.withColumn("of_main", F.col("comp") == F.col("main")).withColumn("held_blocks", F.ceil(F.col("held")[side] / BLOCK))
-    inside = inside.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("held_blocks")))
-    blocks = inside.groupBy("token", "band", "of_main", "block", "held_blocks").agg(F.collect_list(F.struct("doc_id", "comp", "n", "sig")).alias("members"))
+    inside = inside.withColumn("of_main", F.col("comp") == F.col("main")).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.ceil(F.element_at("held", side) / BLOCK)))
+    # a member of the main component that has nobody outside in its own and the neighbouring bands meets no one
+    inside = inside.where(F.coalesce(*[F.element_at("held", (F.col("band") + d) * 2) for d in (-1, 0, 1)]).isNotNull())
+    blocks = inside.groupBy("token", "band", "of_main", "block").agg(F.first("held").alias("held"), F.collect_list(F.struct("doc_id", "comp", "n", "sig")).alias("members"))
     blocks = scratch.put("blocks", blocks)
     found = block_pairs(blocks).mapInArrow(_across_blocks(percent), "a long, b long")
 
@@ -438,24 +472,20 @@ def jaccard_components(
 
     lead, shared = settled_prefixes(scratch, rows, heads, heads_n, rank, k, percent, frequent, most_frequent)
     # two members are a pair already; only larger tiles need their members listed
-    large = shared.where("size > 2").select("token", "size", F.col("size").alias("_rows"), "head")
-    members = lead.select("doc_id", "n", "band", F.posexplode("tokens").alias("pos", "token"))
-    tiles = scratch.put("tiles", spread_join(members, large, "token", "_rows", "doc_id").select("token", "doc_id", "n", "band", "pos", "size", "head"))
+    tiles = scratch.put("tiles", listed_members(lead, shared.where("size > 2")))
     sets = scratch.put("signatures", lead.select("doc_id", "n", "sig"))
     scratch.drop(lead)
 
     # stars: to the head of a small tile, in larger ones to the head of each band, and between heads of neighbouring bands
-    own = F.struct("doc_id", "n").alias("m")
-    bands = tiles.where(F.col("size") > SMALL).groupBy("token", "band").agg(F.min(F.struct("doc_id", "n")).alias("first"), F.count(F.lit(1)).alias("_rows"))
-    bands = scratch.put("bands", bands.withColumn("tile", F.struct("token", "band")))
-    of_band = spread_join(tiles.where(F.col("size") > SMALL).select(F.struct("token", "band").alias("tile"), own, "doc_id"), bands.select("tile", "first", "_rows"), "tile", "_rows", "doc_id")
-    next_band = bands.select("token", (F.col("band") - 1).alias("band"), F.col("first").alias("m"))
-    stars = shared.where("size = 2").select("head", F.col("last").alias("m"))
-    stars = stars.unionByName(tiles.where(F.col("size") <= SMALL).select("head", own)).unionByName(of_band.select(F.col("first").alias("head"), "m"))
-    stars = stars.unionByName(bands.join(next_band, ["token", "band"]).select(F.col("first").alias("head"), "m"))
-    stars = stars.where((F.col("head.doc_id") != F.col("m.doc_id")) & fits(F.col("head.n"), F.col("m.n"), percent))
-    stars = stars.select(F.least("head.doc_id", "m.doc_id").alias("a"), F.greatest("head.doc_id", "m.doc_id").alias("b")).distinct()
-    stars = scratch.put("stars", stars)
+    big = tiles.where(F.col("size") > SMALL).withColumn("tile", F.struct("token", "band"))
+    bands = scratch.put("bands", big.groupBy("tile").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("_rows")))
+    of_band = spread_join(big.select("tile", "doc_id"), bands, "tile", "_rows", "doc_id")
+    next_band = bands.select(F.struct("tile.token", (F.col("tile.band") - 1).alias("band")).alias("tile"), F.col("first").alias("other"))
+    pairs = shared.where("size = 2").select(F.col("head").alias("x"), F.col("last").alias("y"))
+    for more in (tiles.where(F.col("size") <= SMALL).select("head", "doc_id"), of_band.select("first", "doc_id"), bands.join(next_band, "tile").select("first", "other")):
+        pairs = pairs.union(more)
+    pairs = scratch.put("pairs", pairs.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    stars = scratch.put("stars", with_sides(pairs, sets, "n").where(fits(F.col("n_a"), F.col("n_b"), percent)).select("a", "b"))
     links = verify(scratch, rows, stars, sets, k, percent)
     comps = connected_components(scratch, links)
     comps = scratch.put("parts", comps.withColumnRenamed("node", "doc_id"))

@@ -152,9 +152,10 @@ def test_spread_join_is_a_join_without_hot_tasks(spark):
 
 
 def test_every_outside_block_meets_every_block_of_near_bands(spark):
-    schema = "token bigint, band int, of_main boolean, block bigint, held_blocks bigint, members array<struct<doc_id:bigint>>"
+    schema = "token bigint, band int, of_main boolean, block bigint, held map<int,bigint>, members array<struct<doc_id:bigint>>"
     kinds = [(b, m, n) for b, m, n in ((1, False, 5), (1, True, 40), (2, True, 18), (3, False, 20), (5, True, 2))]
-    rows = [(7, b, m, i, n, [(b * 10000 + m * 1000 + i,)]) for b, m, n in kinds for i in range(n) if (b, i) != (3, 4)]
+    held = {b * 2 + m: n * ngram_jaccard.BLOCK for b, m, n in kinds}
+    rows = [(7, b, m, i, held, [(b * 10000 + m * 1000 + i,)]) for b, m, n in kinds for i in range(n) if (b, i) != (3, 4)]
     got = [(r.lhs[0][0], r.rhs[0][0]) for r in ngram_jaccard.block_pairs(spark.createDataFrame(rows, schema)).collect()]
     ids = {r[5][0][0]: (r[1], r[2]) for r in rows}
     want = {(a, b) for a in ids for b in ids if not ids[a][1] and abs(ids[a][0] - ids[b][0]) <= 1}
