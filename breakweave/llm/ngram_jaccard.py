@@ -46,8 +46,9 @@ SKETCH = 1 << 17
 #: Prefixes that hold a shingle from which on it is frequent, how many frequent ones are told to the tasks at most (the
 #: first number grows until they fit), and how often prefixes are taken anew.
 FREQUENT, MOST_FREQUENT, ROUNDS = 2048, 1 << 18, 2
-#: Members of a block of a residual tile, tiles that are small enough to list their pairs, and blocks that travel together.
-BLOCK, SMALL, GROUP = 256, 64, 16
+#: Members of a block of a residual tile, tiles that are small enough for a list of their members, tiles whose pairs are
+#: looked at without bitmaps, and blocks that travel together.
+BLOCK, SMALL, TINY, GROUP = 256, 64, 16, 16
 #: Shingles of a block whose links are counted, on average.
 BLOCK_VALUES = 1 << 19
 
@@ -168,11 +169,11 @@ def shared_tokens(lead: DataFrame) -> DataFrame:
 def listed_members(lead: DataFrame, large: DataFrame) -> DataFrame:
     """(doc_id, n, band, pos, token, size, head) of the prefix places whose shingle is in ``large``.
 
-    A bitmap of the shingles, eight bits for each and 32 MB at most, keeps nearly all other places from being shuffled;
+    A bitmap of the shingles, 32 bits for each and 32 MB at most, keeps nearly all other places from being shuffled;
     those it lets pass are dropped by the join.
     """
     spark = lead.sparkSession
-    bits = min(max(16, (8 * large.count()).bit_length()), 28)
+    bits = min(max(16, (32 * large.count()).bit_length()), 28)
     slot = F.shiftrightunsigned("token", 64 - bits) + 1
     parts = large.groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")).collect()
     bitmap = np.zeros(max(1 << (bits - 3), 4096), np.uint8)
@@ -290,8 +291,25 @@ def verify(scratch: Scratch, rows: DataFrame, pairs: DataFrame, sets: DataFrame,
     return links
 
 
+def _signature_packs(sigs: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Signatures by width: which rows, and their bytes as a matrix."""
+    width = np.array([len(x) for x in sigs])
+    of = [np.flatnonzero(width == w) for w in np.unique(width)]
+    return [(at, np.frombuffer(b"".join(sigs[i] for i in at), np.uint8).reshape(len(at), -1)) for at in of]
+
+
+def _may_link(n: int, sig: bytes, sizes: np.ndarray, bits: np.ndarray, percent: int) -> np.ndarray:
+    """``may_link`` of one set with others whose signatures have one width."""
+    own = np.frombuffer(sig, np.uint8)
+    size = min(bits.shape[1], len(own))
+    other = np.bitwise_xor.reduce(bits.reshape(len(bits), -1, size), axis=1) if bits.shape[1] > size else bits
+    apart = np.bitwise_count(other ^ fold(own, size)).sum(axis=1, dtype=np.int64)
+    most = np.minimum((sizes + n - apart) // 2, np.minimum(sizes, n))
+    return 100 * most >= percent * (sizes + n - most)
+
+
 def _across_members(percent: int):
-    """Pairs of a small tile's members in different components that its shingle can still make link.
+    """Pairs of a small tile's members in different components that its shingle, and their bitmaps if they are there, still let link.
 
     The first shingle that two documents share has all their other shared ones behind it. A pair is left to another
     tile, or can't link, where too few shingles follow in one of the two.
@@ -301,13 +319,18 @@ def _across_members(percent: int):
         for batch in batches:
             out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for k in range(batch.num_rows):
-                ids, comps, n, pos = (np.asarray(c[k].values, np.int64) for c in batch.columns)
-                i, j = np.triu_indices(len(ids), 1)
-                # overlap o links if 100 o >= percent (n_i + n_j - o)
-                least = -(-percent * (n[i] + n[j]) // (100 + percent))
-                ok = (comps[i] != comps[j]) & (n[i] - pos[i] >= least) & (n[j] - pos[j] >= least)
-                out_a.append(np.minimum(ids[i], ids[j])[ok])
-                out_b.append(np.maximum(ids[i], ids[j])[ok])
+                own = batch.column(0)[k].values
+                ids, comps, n, pos = (np.asarray(own.field(x), np.int64) for x in ("doc_id", "comp", "n", "pos"))
+                sigs = own.field("sig").to_pylist() if own.type.get_field_index("sig") >= 0 else None
+                for at, bits in _signature_packs(sigs) if sigs else [(np.arange(len(ids)), None)]:
+                    for i in range(len(ids)):
+                        # overlap o links if 100 o >= percent (n_i + n_j - o)
+                        least = -(-percent * (n[i] + n[at]) // (100 + percent))
+                        ok = np.flatnonzero((at > i) & (comps[at] != comps[i]) & (n[i] - pos[i] >= least) & (n[at] - pos[at] >= least))
+                        if len(ok):
+                            j = at[ok[_may_link(n[i], sigs[i], n[at[ok]], bits[ok], percent)]] if sigs else at[ok]
+                            out_a.append(np.minimum(ids[j], ids[i]))
+                            out_b.append(np.maximum(ids[j], ids[i]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "b"])
 
     return run
@@ -325,17 +348,10 @@ def _across_blocks(percent: int):
             for k in range(batch.num_rows):
                 out_a, out_b = [], []
                 ids, comps, sizes, sigs = members(batch.column(1)[k])
-                width = np.array([len(s) for s in sigs])
-                packs = [(np.flatnonzero(width == w), int(w)) for w in np.unique(width)]
-                packs = [(at, w, np.frombuffer(b"".join(sigs[i] for i in at), np.uint8).reshape(len(at), w)) for at, w in packs]
+                packs = _signature_packs(sigs)
                 for doc_id, comp, n, sig in zip(*members(batch.column(0)[k]), strict=True):
-                    own = np.frombuffer(sig, np.uint8)
-                    for at, w, bits in packs:
-                        size = min(w, len(own))
-                        other = np.bitwise_xor.reduce(bits.reshape(len(at), -1, size), axis=1) if w > size else bits
-                        apart = np.bitwise_count(other ^ fold(own, size)).sum(axis=1, dtype=np.int64)
-                        most = np.minimum((sizes[at] + n - apart) // 2, np.minimum(sizes[at], n))
-                        for x in ids[at][(100 * most >= percent * (sizes[at] + n - most)) & (comps[at] != comp)].tolist():
+                    for at, bits in packs:
+                        for x in ids[at][_may_link(n, sig, sizes[at], bits, percent) & (comps[at] != comp)].tolist():
                             out_a.append(min(doc_id, x))
                             out_b.append(max(doc_id, x))
                 yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
@@ -364,7 +380,8 @@ def block_pairs(blocks: DataFrame) -> DataFrame:
 def residual_pairs(scratch: Scratch, tiles: DataFrame, comps: DataFrame, sets: DataFrame, seen: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs (a, b) inside tiles of three and more members that are not one component yet.
 
-    Tiles of up to ``SMALL`` members give their pairs across components as far as the shingle's places allow. Larger ones are cut into bands and blocks that carry bitmaps.
+    Tiles of up to ``SMALL`` members give their pairs across components as far as the shingle's places and bitmaps allow.
+    Larger ones are cut into bands and blocks that carry bitmaps.
     """
     member = tiles.select("token", "doc_id", "n", "band", "pos", "size").join(comps, "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
     member = scratch.put("members", member)
@@ -388,7 +405,11 @@ def residual_pairs(scratch: Scratch, tiles: DataFrame, comps: DataFrame, sets: D
     lists = lists.where(F.size(F.array_distinct("members.comp")) > 1)
     # Tiles with the same members count once, at the earliest of their shingles: the order of shingles is the same in
     # every document, so the least array of places is the least in each place.
-    lists = lists.groupBy(F.col("members.doc_id").alias("ids")).agg(F.first("members.comp").alias("comps"), F.first("members.n").alias("sizes"), F.min("members.pos").alias("places"))
+    lists = lists.groupBy(F.col("members.doc_id").alias("doc_id")).agg(F.first("members.comp").alias("comp"), F.first("members.n").alias("n"), F.min("members.pos").alias("pos"), F.min("token").alias("token"))
+    lists = scratch.put("lists", lists.select("token", F.arrays_zip("doc_id", "comp", "n", "pos").alias("members")))
+    found = found.unionByName(lists.where(F.size("members") <= TINY).select("members").mapInArrow(_across_members(percent), "a long, b long"))
+    lists = lists.where(F.size("members") > TINY).select("token", F.explode("members").alias("m")).select("token", "m.*").join(sets.select("doc_id", "sig"), "doc_id")
+    lists = lists.groupBy("token").agg(F.collect_list(F.struct("doc_id", "comp", "n", "pos", "sig")).alias("members")).select("members")
     found = found.unionByName(lists.mapInArrow(_across_members(percent), "a long, b long")).distinct()
     return found.join(seen, ["a", "b"], "left_anti")
 
