@@ -5,8 +5,9 @@ all training texts; counts are summed by shuffle. From the 4-gram counts follow
 orders and one interpolated Kneser-Ney model per language. Models are stored together in sorted hash arrays: for each
 order, the sorted hashes of all n-grams that any language knows and one row of log probabilities per n-gram. The
 language with the lowest cross-entropy per symbol wins. Its margin is turned into a probability by isotonic
-calibration on all training texts, and a text whose cross-entropy lies far above what the language's
-own texts show is marked as rejected.
+calibration, and a text is rejected if its cross-entropy is above that which all but ``1 - ACCEPT`` of a language's own
+texts stay below. Both come from all training texts, and each is judged by a model that has not seen it: texts are
+halved by a hash of the id, and each half is judged by the model of the other one.
 
 Every n-gram of the training texts stays in the model. Beyond ``GRAMS`` (language, 4-gram) rows the model is cut into
 shards by the two middle symbols of a 4-gram: all that a 4-gram's probability needs, its context, its 3-gram and 2-gram
@@ -15,11 +16,16 @@ after the other and broadcast, and a task loads one at a time, so driver and tas
 the model is.
 
 Defined results: a null text or one without letters is 'und' with score 0 and rejected; with nothing to learn from,
-every text is 'und'; rows without language are not learned from; other columns are ignored.
+every text is 'und'; rows without language or id are not learned from; a language none of whose texts the other
+half's model gets right rejects nothing; of languages with the same cross-entropy the first by name wins; repeated rows and repeated or null ids give as many rows, null ids are
+not held out; an empty table gives an empty table; a very long text is a step by itself and needs some 40 times its
+bytes; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,8 +38,9 @@ from .wordhash import mix
 ORDER = 4
 #: Most (language, 4-gram) rows of a shard of the model.
 GRAMS = 1_000_000
-#: Standard deviations above the mean cross-entropy of a language's own texts from which a text is rejected.
-REJECT = 4.0
+#: The share of a language's own unseen texts that must not be rejected, the cross-entropies (bits) at which that is
+#: told apart, and the highest of them.
+ACCEPT, LEVELS, HIGHEST = 0.999, 4096, 32.0
 _PIECE = 1 << 20
 _symbols: list[np.ndarray] = []
 
@@ -175,7 +182,7 @@ class Model:
             self.ctxs.append(ctxs)
             self.back.append(back)
             self.logp.append(logp.astype(np.float32))
-        self.curve, self.mean, self.sd = None, np.zeros(n), np.full(n, np.inf)
+        self.curve, self.limit = None, np.full(n, np.inf)
 
     def _lower(self, order: int, keys: np.ndarray, ctxs: SortedHashes, back: np.ndarray, n: int) -> np.ndarray:
         """Log probabilities by backing off from ``order``."""
@@ -211,7 +218,7 @@ class Model:
         two = np.sort(ce, axis=1)
         margin = two[:, 1] - two[:, 0] if ce.shape[1] > 1 else np.ones(len(ce))
         raw = np.where(size > 0, 1 - np.exp(-margin * np.sqrt(np.maximum(size, 1)) / 4), 0)
-        rejected = (best < 0) | (two[:, 0] > self.mean[best] + REJECT * self.sd[best])
+        rejected = (best < 0) | (two[:, 0] > self.limit[best])
         return best, raw, two[:, 0], rejected
 
 
@@ -228,7 +235,7 @@ class Sharded(Model):
 
     def __init__(self, langs: list[str], cuts: list[int], shards: list):
         self.langs, self.cuts, self.shards = langs, np.array(cuts, np.uint64), shards
-        self.curve, self.mean, self.sd = None, np.zeros(len(langs)), np.full(len(langs), np.inf)
+        self.curve, self.limit = None, np.full(len(langs), np.inf)
 
     def log_probs(self, keys: np.ndarray, order: int = ORDER) -> np.ndarray:
         if order != ORDER:
@@ -253,6 +260,7 @@ def fit(docs: DataFrame, modulus: int = 4, held: int = 2, doc_id: str = "doc_id"
     """Learns from all texts with a language outside the held-out remainder. None if there are none."""
     scratch = Scratch(docs.sparkSession, "language-id")
     train = _texts(docs, doc_id, text, F.col(lang).cast("string").alias("lang")).where(F.col("lang").isNotNull() & (F.col("doc_id").isNotNull()) & (id_crc() % modulus != held))
+    train = train.withColumn("half", F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int"))
 
     def count(batches):
         held_: dict[str, tuple[np.ndarray, np.ndarray]] = {}
@@ -280,19 +288,23 @@ def fit(docs: DataFrame, modulus: int = 4, held: int = 2, doc_id: str = "doc_id"
                     yield from out()
         yield from out()
 
-    counted = train.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    counted = scratch.put("grams", counted)
+    name = F.concat(F.col("half").cast("string"), "lang").alias("lang")
+    counted = train.select("doc_id", "text", name).mapInArrow(count, "lang string, gram long, n long")
+    first = F.sum(F.when(F.col("lang").startswith("0"), F.col("n")).otherwise(0))
+    counted = scratch.put("grams", counted.groupBy(F.substring("lang", 2, 1 << 30).alias("lang"), "gram").agg(F.sum("n").alias("n"), first.alias("n0")))
     langs = sorted(r[0] for r in counted.select("lang").distinct().collect())
     if not langs:
         return None
     number = F.create_map(*[F.lit(x) for i, v in enumerate(langs) for x in (v, i)])
-    counted = counted.select(number[F.col("lang")].alias("l"), "gram", "n")
-    model = Model(langs, [_kneser_ney(*x) for x in _by_language(counted, len(langs))]) if counted.count() <= most else _sharded(scratch, counted, langs, most)
+    counted = counted.select(number[F.col("lang")].alias("l"), "gram", "n", "n0")
+
+    def build(rows: DataFrame) -> Model:
+        return Model(langs, [_kneser_ney(*x) for x in _by_language(rows, len(langs))]) if rows.count() <= most else _sharded(scratch, rows, langs, most)
 
     n = len(langs)
 
-    def calibrate(batches):
-        total = np.zeros(2 * BINS + 3 * n)
+    def calibrate(batches, model):
+        total = np.zeros(2 * BINS + LEVELS * n)
         for batch in batches:
             for piece in steps(batch, "text", model.piece):
                 best, raw, ce, _ = model.judge(*joined_bytes(piece.column(1)))
@@ -301,16 +313,22 @@ def fit(docs: DataFrame, modulus: int = 4, held: int = 2, doc_id: str = "doc_id"
                 k = Isotonic.bins(raw[use], 0, 1)
                 right = best[use] == true[use]
                 total[: 2 * BINS] += np.concatenate([np.bincount(k, minlength=BINS), np.bincount(k, right, BINS)])
-                for j, w in enumerate((np.ones(right.sum()), ce[use][right], ce[use][right] ** 2)):
-                    total[2 * BINS + j * n : 2 * BINS + (j + 1) * n] += np.bincount(best[use][right], w, n)
+                level = np.minimum((ce[use][right] * (LEVELS / HIGHEST)).astype(np.int64), LEVELS - 1)
+                total[2 * BINS :] += np.bincount(best[use][right] * LEVELS + level, minlength=LEVELS * n)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["s"])
 
-    s = tree_sum(train.select("doc_id", "text", "lang").mapInArrow(calibrate, "s binary"), "s", 2 * BINS + 3 * n, sums=True)
+    s = np.zeros(2 * BINS + LEVELS * n)
+    for half, own in enumerate((F.col("n0"), F.col("n") - F.col("n0"))):
+        other = build(counted.select("l", "gram", own.alias("n")).where("n > 0"))
+        unseen = train.where(F.col("half") != half).select("doc_id", "text", "lang")
+        s += tree_sum(unseen.mapInArrow(partial(calibrate, model=other), "s binary"), "s", len(s), sums=True)
+    model = build(counted.select("l", "gram", "n"))
     model.curve = Isotonic(0, 1, s[:BINS], s[BINS : 2 * BINS])
     model.counted = int(s[:BINS].sum())
-    c, x, xx = s[2 * BINS :].reshape(3, n)
-    model.mean = x / np.maximum(c, 1)
-    model.sd = np.where(c > 1, np.sqrt(np.maximum(xx / np.maximum(c, 1) - model.mean**2, 0.01)), np.inf)
+    below = np.cumsum(s[2 * BINS :].reshape(n, LEVELS), axis=1)
+    # the first level's end that at least the accepted share stays below, and a little room for small folds
+    level = (below < ACCEPT * below[:, -1:]).sum(axis=1) + 1
+    model.limit = np.where(below[:, -1] > 0, level * (HIGHEST / LEVELS) + 1 / np.sqrt(np.maximum(below[:, -1], 1)), np.inf)
     return model
 
 

@@ -149,12 +149,59 @@ def test_language_keeps_all_ngrams_in_shards(make):
 
 
 def test_language_calibrates_on_all_training_texts(make):
-    """A language too rare for a sample of 20,000 texts has its own spread of cross-entropy."""
+    """All texts count, each judged by a model of the half that it is not in; a rare language has its own limit."""
     n, rare = 28_000, ["der wald und das haus " * 3, "die leute gehen heim " * 4]
     docs = make(["the house"] * n + rare * 6, ["en"] * n + ["de"] * 12)
     model = language_id.fit(docs)
     used = sum(not held(i, 4, 2) for i in range(n + 12))
-    assert model.langs == ["de", "en"] and np.isfinite(model.sd).all() and model.counted == used > 20_000
+    assert model.langs == ["de", "en"] and np.isfinite(model.limit).all() and model.counted == used > 20_000
+
+
+def test_language_model_against_a_plain_version(make):
+    """Interpolated Kneser-Ney from dictionaries gives the same cross-entropies."""
+    rng = random.Random(12)
+    words = {"en": "the of and water house".split(), "de": "der und das wasser haus".split()}
+    texts = [" ".join(rng.choice(words[("en", "de")[i % 2]]) for _ in range(8)) for i in range(60)]
+    langs = [("en", "de")[i % 2] for i in range(60)]
+    docs = make([*texts, "thunder house", "", None, "9 9"], [*langs, "en", "en", "de", "de"])
+    rows = {r.doc_id: r for r in language_id.identify(docs, language_id.fit(docs)).collect()}
+
+    def symbols(t):
+        return "\0\0\0" + "".join(c if c.isalpha() else "\0" for c in t.lower())
+
+    def model(lang):
+        c = {4: {}}
+        for i, t in enumerate(texts):
+            if langs[i] == lang and not held(i, 4, 2):
+                s = symbols(t)
+                for k in range(3, len(s)):
+                    c[4][s[k - 3 : k + 1]] = c[4].get(s[k - 3 : k + 1], 0) + 1
+        for order in (3, 2, 1):
+            c[order] = {}
+            for g in c[order + 1]:
+                c[order][g[1:]] = c[order].get(g[1:], 0) + 1
+        d = {}
+        for order in c:
+            n1, n2 = (sum(v == k for v in c[order].values()) for k in (1, 2))
+            d[order] = min(max(n1 / max(n1 + 2 * n2, 1), 0.1), 0.9)
+
+        def p(g):
+            if not g:
+                return 1 / 65536
+            own = [v for k, v in c[len(g)].items() if k[:-1] == g[:-1]]
+            if not own:
+                return p(g[1:])
+            return max(c[len(g)].get(g, 0) - d[len(g)], 0) / sum(own) + d[len(g)] * len(own) / sum(own) * p(g[1:])
+
+        return p
+
+    models = {x: model(x) for x in ("de", "en")}
+    for i in [k for k in range(60) if held(k, 4, 2)] + [60]:
+        s = symbols(texts[i] if i < 60 else "thunder house")
+        ce = {x: -sum(np.log2(p(s[k - 3 : k + 1])) for k in range(3, len(s))) / (len(s) - 3) for x, p in models.items()}
+        assert rows[i].lang_pred == min(ce, key=ce.get) and rows[i].cross_entropy == pytest.approx(min(ce.values()), abs=1e-3)
+    assert {rows[k].lang_pred for k in (61, 62, 63)} == {"und"}
+    assert language_id.identify(docs.where("false"), language_id.fit(docs)).count() == 0
 
 
 def test_kneser_ney_sums_to_one():
