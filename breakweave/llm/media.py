@@ -1,11 +1,14 @@
 """Media columns: texts stored losslessly as WebP pixels and read back.
 
 A payload is the UTF-8 text and bytes 255 up to a positive multiple of 576, so each row of an image is 144 R, G, B, A
-pixels. Every ``ROWS`` rows make one WebP file, and a longer payload is several files one after the other; each is
-decoded with memory bounded by its size. Reading takes any lossless WebP file.
+pixels. A payload is one WebP file, which any reader of the format opens, up to the format's 16,383 rows (9.4 MB); a
+longer one is as many files as it takes, one after the other, and ``n_files`` says how many. Reading takes any lossless
+WebP file, and refuses one that ends early or whose prefix codes don't fit.
 
 Defined results: null and empty texts have a payload of 576 bytes 255; equal texts give equal values; repeated rows
-give repeated rows; other columns are ignored.
+and repeated or null ids give as many rows; an empty table gives an empty table; a very long text is a step by itself,
+its stream is decoded window by window, and beside its pixels and bytes it needs some 20 times its size to encode;
+other columns, clashing names too, are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from pyspark.sql import types as T
 from .common import by_steps, joined_bytes, text_rows
 from .webp_lossless import decode_stream, encode, encode_rows, files, samples
 
-ROW, WIDTH, ROWS = 576, 144, 256
+ROW, WIDTH, ROWS = 576, 144, 16_383
 
 
 def payload_of(text: np.ndarray) -> np.ndarray:
@@ -95,8 +98,8 @@ def decode_column(media: DataFrame, column: str = "media") -> DataFrame:
 
 
 def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature: encoded, stored
-    form read back, and digests of what was read."""
+    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, n_files: encoded,
+    stored form read back, and digests of what was read."""
 
     def run(piece):
         data, at = joined_bytes(piece.column(1))
@@ -105,11 +108,11 @@ def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
             media = store(payload_of(data[a:b]))
             px = load(media)
             back = px.tobytes()
-            rows.append((b - a, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature(px)))
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-        names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-        columns = zip(*rows, strict=True) if rows else [()] * 7
+            rows.append((b - a, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature(px), len(files(media))))
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32())
+        names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_files"]
+        columns = zip(*rows, strict=True) if rows else [()] * 8
         return pa.RecordBatch.from_arrays([piece.column(0), *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]], ["doc_id", *names])
 
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_files int"
     return text_rows(docs, text, doc_id).mapInArrow(by_steps("text", run, 1 << 20), schema)

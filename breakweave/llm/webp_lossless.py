@@ -61,9 +61,15 @@ def canonical(lengths) -> dict[int, tuple[int, int]]:
 
 
 class Prefix:
-    """A prefix code as a lookup table over its longest code."""
+    """A prefix code as a lookup table over its longest code.
+
+    Lengths must make a whole code, as the format asks, or name one symbol, which takes no bits.
+    """
 
     def __init__(self, lengths):
+        used = [n for n in lengths if n]
+        if len(used) > 1 and sum(1 << (15 - n) for n in used) != 1 << 15:
+            raise ValueError("the lengths of a prefix code leave gaps or overlap")
         codes = canonical(lengths)
         self.most = max((n for _, n in codes.values()), default=0)
         self.symbol = np.zeros(1 << self.most, np.int32)
@@ -105,6 +111,8 @@ def read_prefix(bits: Bits, size: int) -> Prefix:
             at, last = at + 1, s or last
         else:
             n = _repeat(bits, s)
+            if at + n > size:
+                raise ValueError("a run of code lengths is too long")
             if s == 16:
                 lengths[at : at + n] = [last] * n
             at += n
@@ -123,6 +131,11 @@ def _value(bits: Bits, p: int) -> int:
     return ((2 + (p & 1)) << extra) + bits.read(extra) + 1
 
 
+def _ends(bits: Bits) -> None:
+    if bits.at > 8 * len(bits.data):
+        raise ValueError("the stream ends early")
+
+
 #: Header of codes already parsed in this process: first bytes -> (bits, value, groups).
 _headers: dict[int, tuple[int, int, list]] = {}
 
@@ -153,6 +166,7 @@ def _image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     group = groups[0]
     at = 0
     while at < total:
+        _ends(bits)
         if groups_of is not None:
             group = groups[groups_of[(at // width >> block) * across + (at % width >> block)]]
         s = group[0].read(bits)
@@ -197,9 +211,29 @@ def _known(bits: Bits) -> list:
     return groups
 
 
+#: Bytes of a stream that are looked at together, so memory does not grow with the image.
+_WINDOW = 1 << 17
+
+
 def _literals(bits: Bits, group: list, n: int) -> np.ndarray:
-    """n pixels of literals: all bit positions at once, then the chain of pixel starts."""
-    raw = np.frombuffer(bits.data, np.uint8)[bits.at >> 3 :]
+    """n pixels of literals, window by window of the stream."""
+    out = []
+    while n > 0:
+        part = _window_literals(bits, group, n)
+        out.append(part)
+        n -= len(part)
+    _ends(bits)
+    return np.concatenate(out) if len(out) != 1 else out[0]
+
+
+def _window_literals(bits: Bits, group: list, n: int) -> np.ndarray:
+    """Up to n pixels that begin in the next window: all bit positions at once, then the chain of pixel starts."""
+    _ends(bits)
+    first = bits.at >> 3
+    raw = np.frombuffer(bits.data, np.uint8, min(len(bits.data) - first, _WINDOW + 8), first)
+    # a pixel has four codes of 15 bits at most, so one that begins before the limit ends inside
+    partial = len(raw) > _WINDOW
+    limit = 8 * _WINDOW if partial else max(8 * len(raw), n)
     raw = np.concatenate([raw, np.zeros(4, np.uint8)]).astype(np.uint32)
     words = raw[:-3] | raw[1:-2] << 8 | raw[2:-1] << 16
     window = (words[:, None] >> np.arange(8, dtype=np.uint32)).ravel().astype(np.int32)
@@ -215,11 +249,19 @@ def _literals(bits: Bits, group: list, n: int) -> np.ndarray:
     step = nexts[0]
     for follow in nexts[1:]:
         step = follow[step]
-    starts = np.empty(n, np.int32)
     jump, at = memoryview(step), bits.at & 7
-    for i in range(n):
-        starts[i] = at
-        at = jump[at]
+    starts = np.empty(min(n, limit), np.int32)
+    if not partial:
+        for i in range(n):
+            starts[i] = at
+            at = jump[at]
+    else:
+        i = 0
+        while i < len(starts) and at < limit:
+            starts[i] = at
+            at = jump[at]
+            i += 1
+        starts = starts[:i]
     out, pos = [], starts
     for code, follow in zip(group[:4], nexts, strict=True):
         out.append(code.symbol[window[pos] & ((1 << code.most) - 1)].astype(np.uint32))
@@ -245,8 +287,8 @@ def _clip(parts) -> int:
 
 
 def predicted(mode: int, left: int, top: int, right: int, corner: int) -> int:
-    """The predictor's value from left, top, top-right and top-left pixels."""
-    if mode == 0:
+    """The predictor's value from left, top, top-right and top-left pixels; modes 14 and 15 are opaque black as mode 0."""
+    if mode in (0, 14, 15):
         return 0xFF000000
     if mode <= 4:
         return (left, top, right, corner)[mode - 1]
@@ -344,6 +386,7 @@ def decode_stream(data: bytes) -> np.ndarray:
             undo.append((kind, w, _bundle(size), (table[0] << 24 | table[1] << 16 | table[2] << 8 | table[3]).astype(np.uint32)))
             w = (w + (1 << _bundle(size)) - 1) >> _bundle(size)
     px = _image(bits, w, height, True)
+    _ends(bits)
     for kind, w, block, more in reversed(undo):
         if kind == PREDICT:
             px = np.array(_predictor(px.tolist(), w, block, (more >> 8 & 15).tolist(), False), np.uint32)

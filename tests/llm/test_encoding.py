@@ -48,7 +48,75 @@ def test_webp_header_and_errors():
         webp.files(b"not a file at all")
 
 
-def test_payloads_of_many_files_and_kinds():
+def _file(*fields):
+    """A file from (value, bits) fields, written out by hand from the format's description."""
+    value, n = 0, 0
+    for v, size in fields:
+        value, n = value | v << n, n + size
+    stream = value.to_bytes((n + 7) // 8, "little")
+    body = stream + b"\0" * (len(stream) & 1)
+    return b"RIFF" + (12 + len(body)).to_bytes(4, "little") + b"WEBPVP8L" + len(stream).to_bytes(4, "little") + body
+
+
+def _lone(symbol):
+    return (1, 1), (0, 1), (1, 1), (symbol, 8)  # a simple code of one symbol of eight bits
+
+
+_NO_DISTANCE = ((1, 1), (0, 1), (0, 1), (0, 1))
+_PLAIN = ((0, 1), (0, 1), (0, 1))  # no transform, no colour cache, one group of codes
+
+
+def test_golden_streams():
+    """Streams put together by hand, with the pixels that the format gives them."""
+    size = lambda w, h: ((0x2F, 8), (w - 1, 14), (h - 1, 14), (0, 1), (0, 3))
+    one = _file(*size(1, 1), *_PLAIN, *_lone(20), *_lone(10), *_lone(30), *_lone(255), *_NO_DISTANCE)
+    assert webp.decode(one).tolist() == [[[10, 20, 30, 255]]]
+    # green takes two symbols, 7 and 9, one bit each
+    two = ((1, 1), (1, 1), (1, 1), (7, 8), (9, 8))
+    row = _file(*size(4, 1), *_PLAIN, *two, *_lone(1), *_lone(2), *_lone(3), *_NO_DISTANCE, (0b0110, 4))
+    assert webp.decode(row)[0, :, 1].tolist() == [7, 9, 9, 7] and webp.decode(row)[0, 0].tolist() == [1, 7, 2, 3]
+    # the last two predictor modes are opaque black; the first row and column have rules of their own
+    residual = (*_lone(20), *_lone(10), *_lone(30), *_lone(0), *_NO_DISTANCE)
+    for mode in (14, 15):
+        head = ((1, 1), (0, 2), (0, 3), (0, 1), *_lone(mode), *_lone(0), *_lone(0), *_lone(255), *_NO_DISTANCE)
+        assert webp.decode(_file(*size(2, 2), *head, *_PLAIN, *residual)).tolist() == [[[10, 20, 30, 255], [20, 40, 60, 255]], [[20, 40, 60, 255], [10, 20, 30, 255]]]
+    # subtract green, then a palette of two colours with eight pixels in a byte
+    green = _file(*size(1, 1), (1, 1), (2, 2), *_PLAIN, *_lone(20), *_lone(10), *_lone(250), *_lone(255), *_NO_DISTANCE)
+    assert webp.decode(green).tolist() == [[[30, 20, 14, 255]]]
+    table = ((1, 1), (3, 2), (1, 8), (0, 1), *_lone(5), *_lone(6), *_lone(7), *_lone(128), *_NO_DISTANCE)
+    palette = _file(*size(3, 1), *table, *_PLAIN, *_lone(0b010), *_lone(0), *_lone(0), *_lone(255), *_NO_DISTANCE)
+    assert webp.decode(palette).tolist() == [[[6, 5, 7, 128], [12, 10, 14, 0], [6, 5, 7, 128]]]
+
+
+def test_broken_streams_are_refused():
+    rng = np.random.default_rng(5)
+    whole = webp.encode_rows(rng.integers(0, 256, 576 * 4, dtype=np.uint8), 144)
+    stream = webp.files(whole)[0]
+    for bad in (stream[:-40], stream[: len(stream) // 2]):
+        with pytest.raises(ValueError, match="early"):
+            webp.decode_stream(bad)
+    packed = webp.files(webp.encode(rng.integers(0, 3, (30, 20, 4), dtype=np.uint8) * 80, cache_bits=4, references=True))[0]
+    with pytest.raises(ValueError):
+        webp.decode_stream(packed[: len(packed) // 2])
+    with pytest.raises(ValueError, match="gaps or overlap"):
+        webp.Prefix([1, 1, 1])
+    with pytest.raises(ValueError, match="gaps or overlap"):
+        webp.Prefix([2, 2, 2])
+
+
+def test_streams_of_many_windows(monkeypatch):
+    text = (b"some prose with Capitals and 12 numbers. " * 40_000)[:1_080_000]
+    noisy = np.random.default_rng(3).integers(32, 127, 700_000, dtype=np.uint8)
+    for raw in (np.frombuffer(text, np.uint8), noisy):
+        p = media.payload_of(raw)
+        stored = media.store(p)
+        assert len(webp.files(stored)) == 1 and media.load(stored).tobytes() == p.tobytes()
+    monkeypatch.setattr(webp, "_WINDOW", 64)
+    assert media.load(stored).tobytes() == p.tobytes()
+
+
+def test_payloads_of_many_files_and_kinds(monkeypatch):
+    monkeypatch.setattr(media, "ROWS", 256)
     for text in (b"", b"a", b"In. " * 2000, bytes(range(256)) * 5, b"THE!! END!! " * 400, "prosa größer ñandú ".encode() * 9000):
         p = media.payload_of(np.frombuffer(text, np.uint8))
         assert len(p) % 576 == 0 and len(p) >= max(576, len(text)) and len(p) - len(text) <= 576
