@@ -302,3 +302,34 @@ def lm_scores(docs: DataFrame, modulus: int = 7, held: int = 2, doc_id: str = "d
     told = replies.where("block >= 0").select("block", "part", "counts", "states")
     walk = lambda left, right: _walk(left, right, model)
     return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(walk, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
+def scores(docs: DataFrame, **how) -> DataFrame:
+    """``lm_scores`` with both scores to six places, as the SQL gives them."""
+    return lm_scores(docs, **how).withColumns({c: F.round(c, 6) for c in ("base_score", "score")})
+
+
+#: The model in DuckDB: crc32 by its table, pairs by position, the discounts of ``discounts``.
+SQL = r"""
+with tab as (select list(v order by i) as t from (
+    select i, list_reduce(list_prepend(i, range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as v from range(256) x(i))),
+d as (
+  select row_number() over () as r, doc_id,
+    coalesce(xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), lambda x: ascii(x)::bigint)),
+      lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295::bigint) % 7, -1) as k,
+    list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), ' e') as w
+  from documents, tab),
+s as (select r, k, unnest(list_prepend(' s', w[:-2])) as h, unnest(w) as w from d),
+p as (select h, w, count(*) as c from s where k not in (2, -1) group by all),
+m as (select count(*) filter (c = 1) as n1, count(*) filter (c = 2) as n2, count(*) filter (c = 3) as n3, count(*) filter (c = 4) as n4, coalesce(sum(c), 0)::bigint as n, count(distinct w) as v from p),
+y as (select *, case when n1 > 0 then n1 / (n1 + 2 * n2) else 0.5::double end as y from m),
+g as (select n, v, [greatest(0.1, least(0.9, case when n1 > 0 and n2 > 0 then 1 - 2 * y * n2 / n1 else y end)), greatest(0.1, least(1.9, case when n2 > 0 and n3 > 0 then 2 - 3 * y * n3 / n2 else y end)),
+    greatest(0.1, least(2.9, case when n3 > 0 and n4 > 0 then 3 - 4 * y * n4 / n3 else y end))]::double[] as d from y),
+u as (select w, sum(c)::bigint as c from p group by w),
+f as (select h, sum(c)::bigint as c, sum(d[least(c, 3)::int]) as left_over from p, g group by h),
+x as (
+  select s.r, coalesce(u.c, 0) as cw, (coalesce(u.c, 0) + 1) / (n + v + 1)::double as base, p.c, f.c as ch, case when p.c is null then 0 else p.c - d[least(p.c, 3)::int] end as over_, f.left_over
+  from s cross join g left join u on s.w = u.w left join p on s.h = p.h and s.w = p.w left join f on s.h = f.h)
+select any_value(doc_id) as doc_id, any_value(k) = 2 as held_out, count(*) as n_tokens, count(*) filter (cw > 0) as n_known, any_value(g.n) as train_tokens, round(sum(log10(base)), 6) as base_score,
+  round(sum(log10(case when ch is null then base else over_ / ch + left_over / ch * base end)), 6) as score
+from x join d using (r), g group by r"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_chunks, exact_dedup, language_id, media, mixing, ngram_jaccard, quality, token_rollup, toxicity, url_rules
+from . import bpe_chunks, exact_dedup, language_id, lm_scoring, media, mixing, ngram_jaccard, quality, token_alignment, token_rollup, toxicity, url_rules
 from .common import table
 
 
@@ -49,11 +49,20 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.scores(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_webp_media, op2_ngram_jaccard, op3_exact_dedup, op4_token_rollup, op5_language_id, op6_mixing, op7_quality, op8_url_rules, op9_bpe_chunks, op10_toxicity)}
+def op11_lm_scoring(spark, sf_dir):
+    return lm_scoring.scores(table(spark, sf_dir, "documents"))
+
+
+def op12_token_alignment(spark, sf_dir):
+    return token_alignment.aligned_documents(table(spark, sf_dir, "documents"), *token_alignment.default_paths())
+
+
+QUERIES = {f.__name__: f for f in (op1_webp_media, op2_ngram_jaccard, op3_exact_dedup, op4_token_rollup, op5_language_id, op6_mixing, op7_quality, op8_url_rules, op9_bpe_chunks, op10_toxicity, op11_lm_scoring, op12_token_alignment)}
 SQL = {
     "op2_ngram_jaccard": ngram_jaccard.SQL,
     "op3_exact_dedup": exact_dedup.SQL,
     "op4_token_rollup": token_rollup.SQL,
     "op6_mixing": mixing.sql(),
     "op8_url_rules": url_rules.SQL,
+    "op11_lm_scoring": lm_scoring.SQL,
 }
