@@ -18,15 +18,19 @@ from ..functions import exprs as X
 from .bandjoin import numbered
 
 
-def gap_islands(df: DataFrame, keys: list[str], pos: str, window: int, name: str = "island") -> DataFrame:
-    """Adds the smallest position of each row's island: rows of one key chained by gaps of at most ``window``."""
-    step = max(1, int(window))
-    binned = df.withColumn("_bin", F.floor(F.col(pos) / step))
-    bins = binned.groupBy(*keys, "_bin").agg(F.min(pos).alias("_low"), F.max(pos).alias("_high"))
+def island_bins(df: DataFrame, keys: list[str], pos: str, window: int, name: str = "island") -> DataFrame:
+    """Every occupied bin (keys, _bin) of the window's width with the smallest position of its island, and its own smallest and largest."""
+    bins = df.groupBy(*keys, F.floor(F.col(pos) / max(1, int(window))).alias("_bin")).agg(F.min(pos).alias("_low"), F.max(pos).alias("_high"))
     order = Window.partitionBy(*keys).orderBy("_bin")
     begins = F.when(F.coalesce(F.col("_low") - F.lag("_high").over(order) > window, F.lit(True)), F.col("_low"))
-    bins = bins.withColumn("_begin", begins).withColumn(name, F.last("_begin", True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return binned.join(bins.select(*keys, "_bin", name), [*keys, "_bin"]).select(*df.columns, name)
+    return bins.withColumn("_begin", begins).withColumn(name, F.last("_begin", True).over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_begin")
+
+
+def gap_islands(df: DataFrame, keys: list[str], pos: str, window: int, name: str = "island") -> DataFrame:
+    """Adds the smallest position of each row's island: rows of one key chained by gaps of at most ``window``."""
+    bins = island_bins(df, keys, pos, window, name).select(*keys, "_bin", name)
+    binned = df.withColumn("_bin", F.floor(F.col(pos) / max(1, int(window))))
+    return binned.join(bins, [*keys, "_bin"]).select(*df.columns, name)
 
 
 def _fold(window: int, min_ratio: float):

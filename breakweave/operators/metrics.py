@@ -91,28 +91,28 @@ def roc_auc(pred: DataFrame, score: str = "gnn_prob") -> DataFrame:
     return sums.select(F.round(F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("w") / (F.col("p") * F.col("n"))), 6).alias("auc"))
 
 
-def sweep(pred: DataFrame, thresholds=SWEEP, digits: int | None = 6) -> DataFrame:
-    """One row per threshold, in one pass: each row goes to the thresholds it reaches by position, not by a join."""
-    rows = usable(pred).select("label", X.number_or("gnn_prob").alias("p"))
+def sweep(pred: DataFrame, thresholds=SWEEP, digits: int | None = 6, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row per threshold (of each group), in one pass: each row goes to the thresholds it reaches by position, not by a join."""
+    rows = usable(pred).select(*by, "label", X.number_or("gnn_prob").alias("p"))
     reached = F.size(F.filter(F.array(*[F.lit(float(t)) for t in thresholds]), lambda t: t <= F.col("p")))
-    per = rows.groupBy(reached.alias("reached")).agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg"))
+    per = rows.groupBy(*by, reached.alias("reached")).agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg"))
     # thresholds are given in ascending order: a row that reaches k of them reaches the first k
-    all_ = per.agg(F.collect_list(F.struct("reached", "pos", "neg")).alias("c"))
+    all_ = per.groupBy(*by).agg(F.collect_list(F.struct("reached", "pos", "neg")).alias("c"))
     points = F.explode(F.array(*[F.struct(F.lit(i + 1).alias("k"), F.lit(float(t)).alias("threshold")) for i, t in enumerate(thresholds)])).alias("t")
 
     def total(field: str, least: Column) -> Column:
         return F.aggregate(F.filter("c", lambda x: x["reached"] >= least), F.lit(0).cast("bigint"), lambda s, x: s + x[field])
 
-    out = all_.select("c", points).select("c", "t.*")
-    out = out.select("k", "threshold", total("pos", F.col("k")).alias("tp"), total("neg", F.col("k")).alias("fp"), total("pos", F.lit(0)).alias("p"), total("neg", F.lit(0)).alias("n"))
-    return with_prf(out.select("k", "threshold", "tp", "fp", (F.col("p") - F.col("tp")).alias("fn"), (F.col("n") - F.col("fp")).alias("tn")), digits)
+    out = all_.select(*by, "c", points).select(*by, "c", "t.*")
+    out = out.select(*by, "k", "threshold", total("pos", F.col("k")).alias("tp"), total("neg", F.col("k")).alias("fp"), total("pos", F.lit(0)).alias("p"), total("neg", F.lit(0)).alias("n"))
+    return with_prf(out.select(*by, "k", "threshold", "tp", "fp", (F.col("p") - F.col("tp")).alias("fn"), (F.col("n") - F.col("fp")).alias("tn")), digits)
 
 
-def best_threshold(pred: DataFrame, thresholds=SEARCH) -> DataFrame:
-    """The first threshold with the largest (f1, recall, precision)."""
+def best_threshold(pred: DataFrame, thresholds=SEARCH, by: tuple[str, ...] = ()) -> DataFrame:
+    """The first threshold (of each group) with the largest (f1, recall, precision)."""
     rank = F.struct("f1", "recall", "precision", (-F.col("k")).alias("first"))
-    best = sweep(pred, thresholds, None).agg(F.max_by(F.struct("threshold", "f1", "recall", "precision"), rank).alias("b"))
-    return best.select(F.round("b.threshold", 6).alias("threshold"), *[F.round(f"b.{c}", 6).alias(c) for c in ("f1", "recall", "precision")])
+    best = sweep(pred, thresholds, None, by).groupBy(*by).agg(F.max_by(F.struct("threshold", "f1", "recall", "precision"), rank).alias("b"))
+    return best.select(*by, F.round("b.threshold", 6).alias("threshold"), *[F.round(f"b.{c}", 6).alias(c) for c in ("f1", "recall", "precision")])
 
 
 def positive_weight(pred: DataFrame, mode: str = "auto") -> DataFrame:

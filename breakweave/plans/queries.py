@@ -6,6 +6,7 @@ defaults because the adapted events lie farther apart than reads do.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -15,7 +16,8 @@ from pyspark.sql import functions as F
 from ..functions import exprs as X
 from ..operators import cluster, extract, gnn, graph, merge, metrics, propose, select
 from ..operators.bandjoin import global_ordinal
-from ..sources import alignments, variants, vcf_out
+from ..sources import alignments, bgzf, variants, vcf_out
+from ..sources.stages import shared_folder
 from . import benchmarks
 from .adapters import SQL as TABLES
 from .adapters import adapter
@@ -63,6 +65,14 @@ def sam_parse(spark, sf_dir):
     return alignments.sam_columns(_sam_lines(spark, sf_dir))
 
 
+@query("select row_number() over (order by record_ordinal, qname, flag, rname, pos, mapq, cigar, seq_len, sa nulls first, nm) - 1 as record_ordinal, qname, flag, rname, pos, mapq, cigar, seq_len, sa, nm from alignments", "alignments")
+def bam_scan(spark, sf_dir):
+    """All alignments written as one BAM file in the shared folder and read again in splits."""
+    path = f"{shared_folder(spark)}/bam-{uuid.uuid4().hex}/alignments.bam"
+    alignments.write_bam(adapter(spark, sf_dir, "alignments"), path, [("chr1", 250_000_000), ("chr2", 250_000_000), ("chrX", 250_000_000)])
+    return alignments.read_bam(spark, path)
+
+
 @query("select 'chr' || (n_nationkey + 1) as chrom, 1000000 + n_regionkey * 1000 as length, n_nationkey::bigint as ordinal from nation")
 def header_contigs(spark, sf_dir):
     n = spark.read.parquet(f"{sf_dir}/nation.parquet")
@@ -744,6 +754,18 @@ def vcf_records_sweep(spark, sf_dir):
     return vcf_out.records(select.on_chromosome(_raw_preds(spark, sf_dir), "chr1"), 3, 0.8)
 
 
+_BINS = " ".join(f"when start >> {shift} = (e - 1) >> {shift} then {first} + (start >> {shift})" for shift, first in ((14, 4681), (17, 585), (20, 73), (23, 9), (26, 1)))
+
+
+@query(f"{_record_sql('gnn_prob >= 0.65 or gnn_pred = 1', './.').split('select number')[0]} select chrom, case {_BINS} else 0 end as bin, count(*) as records from v group by all", "raw_predictions")
+def vcf_index_bins(spark, sf_dir):
+    """Calls written as blocked gzip with a tabix index; the bins of the index and their records."""
+    path = f"{shared_folder(spark)}/vcf-{uuid.uuid4().hex}/calls.vcf.gz"
+    rows = vcf_out.records(_raw_preds(spark, sf_dir), 2, 0.65)
+    head = spark.createDataFrame([(0, "##fileformat=VCFv4.2")], "number bigint, line string")
+    return bgzf.write_bgzf_vcf(head.unionByName(rows), path, ["number"])
+
+
 @query(f"select chrom, row_number() over (order by {_KEY}) as place from (select distinct chrom from predictions)", "predictions")
 def chrom_sort(spark, sf_dir):
     d = global_ordinal(_preds(spark, sf_dir).select("chrom").distinct(), "place", [X.chrom_key("chrom")])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -83,28 +84,39 @@ def cells(df: DataFrame, shown: list[str]) -> list:
     return out
 
 
-def write_lines(lines: DataFrame, path: str, order: list[str], compress: bool = False) -> None:
-    """One text file of the column ``line`` in the given order."""
-    spark = lines.sparkSession
+def join_parts(spark: SparkSession, parts: str, path: str, head: bytes = b"", tail: bytes = b"") -> None:
+    """Part files of a written folder, in order, as one file at ``path``, which appears when it is whole; the folder goes."""
     fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    to = fs_path(path)
-    fs = to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    part = fs_path(f"{path}.parts")
-    fs.delete(part, True)
-    # range partitions are written in parallel and put together in order; only the file is single
-    lines.orderBy(*order).select("line").write.option("compression", "gzip" if compress else "none").text(part.toString())
-    fs.delete(to, True)
+    part, to, draft = fs_path(parts), fs_path(path), fs_path(f"{path}.draft-{uuid.uuid4().hex[:8]}")
+    fs = part.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.mkdirs(to.getParent()) if to.getParent() else None
-    out = fs.create(to, True)
+    out = fs.create(draft, True)
     copy = spark.sparkContext._jvm.org.apache.hadoop.io.IOUtils
-    for f in sorted((s.getPath().toString() for s in fs.listStatus(part) if s.getPath().getName().startswith("part-"))):
+    if head:
+        out.write(bytearray(head))
+    for f in sorted(s.getPath().toString() for s in fs.listStatus(part) if s.getPath().getName().startswith("part-")):
         stream = fs.open(fs_path(f))
         copy.copyBytes(stream, out, 1 << 20, False)
         stream.close()
+    if tail:
+        out.write(bytearray(tail))
     out.close()
+    fs.delete(to, True)
+    fs.rename(draft, to)
     fs.delete(part, True)
 
 
+def write_lines(lines: DataFrame, path: str, order: list[str], compress: bool = False) -> None:
+    """One text file of the column ``line`` in the given order."""
+    spark = lines.sparkSession
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    part = fs_path(f"{path}.parts")
+    part.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(part, True)
+    # range partitions are written in parallel and put together in order; only the file is single
+    lines.orderBy(*order).select("line").write.option("compression", "gzip" if compress else "none").text(part.toString())
+    join_parts(spark, part.toString(), path)
+
+
 def write_tsv(df: DataFrame, path: str, order: list[str] | None = None) -> None:
     """One tab-separated file with a header, also for an empty table. ``order`` names columns that sort the rows."""
     shown = [c for c in df.columns if not c.startswith("_order")]

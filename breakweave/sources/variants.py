@@ -83,7 +83,11 @@ def header_with_gt(header: list[str]) -> list[str]:
 
 
 def filter_caller_vcf(spark: SparkSession, path: str, out: str, chrom: str | None = None, sizemin: int = 50, compress: bool = False) -> int:
-    """Writes the caller's DEL and INS records sorted by position under its own header; returns how many."""
+    """Writes the caller's DEL and INS records sorted by position under its own header; returns how many.
+
+    A compressed file is blocked gzip, with its tabix index beside it.
+    """
+    from .bgzf import write_bgzf_vcf
     from .tables import write_lines
 
     lines = read_lines(spark, path)
@@ -93,7 +97,11 @@ def filter_caller_vcf(spark: SparkSession, path: str, out: str, chrom: str | Non
     head = spark.createDataFrame([(h, i) for i, h in enumerate(header_with_gt(header))], "line string, ordinal bigint")
     body = rows.select(F.col("value").alias("line"), F.lit(1).alias("_part"), "_key", "pos1", "ordinal")
     head = head.select("line", F.lit(0).alias("_part"), F.lit(None).cast(body.schema["_key"].dataType).alias("_key"), F.lit(0).cast("bigint").alias("pos1"), "ordinal")
-    write_lines(head.unionByName(body), out, ["_part", "_key", "pos1", "ordinal"], compress)
+    order = ["_part", "_key", "pos1", "ordinal"]
+    if compress:
+        write_bgzf_vcf(head.unionByName(body), out, order)
+    else:
+        write_lines(head.unionByName(body), out, order)
     return rows.count()
 
 

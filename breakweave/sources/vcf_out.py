@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from .bgzf import write_bgzf_vcf
 from .tables import write_lines
 
 #: Header lines that every version shares: fixed values of the format.
@@ -82,11 +83,17 @@ def records(pred: DataFrame, version: int = 2, threshold: float = 0.5, prefix: s
 
 
 def write_vcf(pred: DataFrame, path: str, version: int = 2, threshold: float = 0.5, source: str | None = None, lengths: dict[str, int] | None = None, fallback: int | None = None, sample: str = "SAMPLE", prefix: str = "SV", compress: bool = False) -> int:
-    """Writes one VCF file; returns the number of records. Contigs come from all predictions, filtered or not."""
+    """Writes one VCF file; returns the number of records. Contigs come from all predictions, filtered or not.
+
+    A compressed file is blocked gzip, with its tabix index beside it.
+    """
     rows = records(pred, version, threshold, prefix)
     head = header(source or f"breakweave_v0.{version}", chromosomes(pred), lengths, fallback, sample)
     lines = pred.sparkSession.createDataFrame([(i - len(head), h) for i, h in enumerate(head)], "number bigint, line string")
-    write_lines(lines.unionByName(rows), path, ["number"], compress)
+    if compress:
+        write_bgzf_vcf(lines.unionByName(rows), path, ["number"])
+    else:
+        write_lines(lines.unionByName(rows), path, ["number"])
     return rows.count()
 
 

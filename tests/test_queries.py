@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from breakweave.plans import queries as plans
+from jobs import queries as jobs
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -32,13 +33,16 @@ def rows(df):
     return sorted(tuple(cell(v) for v in r) for r in df[sorted(df.columns)].itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", list(plans.QUERIES))
+QUERIES, SQL = plans.QUERIES | jobs.QUERIES, plans.ORACLES | jobs.SQL
+
+
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, duck, name):
-    got = plans.QUERIES[name](spark, SF).toPandas()
-    if name not in plans.ORACLES:
+    got = QUERIES[name](spark, SF).toPandas()
+    if name not in SQL:
         assert len(got)
         return
-    want = duck.sql(plans.ORACLES[name]).df()
+    want = duck.sql(SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got.astype(object)) == rows(want.astype(object))
 
