@@ -7,10 +7,11 @@ touch. A hot bin is an ordinary skewed join key for adaptive execution.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.stages import StageTables
+
 _BIN = "_band_bin"
 
 
@@ -38,36 +39,47 @@ def best_of(pairs: DataFrame, by: list[str], order: list[Column], keep: list[str
 
 
 def numbered(df: DataFrame, name: str, group: list[str], group_order: list[Column], order: list[Column], first: int = 0) -> DataFrame:
-    """A running number over groups in ``group_order`` and rows in ``order``.
+    """A running number over groups in ``group_order`` and rows in ``order``, by one range sort of all rows."""
+    keys = [f"_g{i}" for i in range(len(group_order))]
+    own = df.groupBy(*group).agg(*[c.alias(k) for c, k in zip(group_order, keys, strict=True)]).withColumnsRenamed({g: f"_of_{g}" for g in group})
+    same = F.lit(True)
+    for g in group:
+        same = same & df[g].eqNullSafe(own[f"_of_{g}"])
+    placed = global_ordinal(df.join(own, same), name, [*map(F.col, [*keys, *group]), *order])
+    return placed.select(*df.columns, (F.col(name) + first).cast("bigint").alias(name))
+
+
+def in_order(df: DataFrame, order: list[Column], parts: int | None = None) -> DataFrame:
+    """The rows sorted over all partitions, as a table, with ``_at``: the partition above bit 33, the place in it below.
 
-    Rows are numbered within their group; the groups' sizes, one row each, give the offsets.
+    It is a table because sampled range bounds must be the same for whatever is summed over partitions and for the rows.
     """
-    own = df.withColumn("_n", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
-    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_size"), *[c.alias(f"_g{i}") for i, c in enumerate(group_order)])
-    before = F.coalesce(F.sum("_size").over(Window.orderBy(*[f"_g{i}" for i in range(len(group_order))]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select(*group, before.alias("_before"))
-    out = own.join(offsets, [own[g].eqNullSafe(offsets[g]) for g in group][0] if len(group) == 1 else _all([own[g].eqNullSafe(offsets[g]) for g in group]))
-    return out.select(*[own[c] for c in df.columns], (F.col("_n") - 1 + F.col("_before") + first).cast("bigint").alias(name))
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    return StageTables(df.sparkSession, temporary=True).put("sorted", placed)
 
 
-def _all(conditions: list[Column]) -> Column:
-    out = conditions[0]
-    for c in conditions[1:]:
-        out = out & c
-    return out
+def _part() -> Column:
+    return F.shiftright("_at", 33)
 
 
-def global_ordinal(df: DataFrame, name: str, order: list[Column], parts: int | None = None) -> DataFrame:
-    """0-based position of each row in the order of ``order``: a range sort, then partition offsets.
+def _before(placed: DataFrame, amount: Column) -> DataFrame:
+    """The sum of ``amount`` over all earlier partitions; one row per partition, whose number bounds window and broadcast."""
+    totals = placed.groupBy(_part().alias("_part")).agg(amount.alias("_total"))
+    before = F.sum("_total").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    return F.broadcast(totals.select("_part", F.coalesce(before, F.lit(0)).alias("_before")))
 
-    The sorted rows are kept, because sampled range bounds must be the same for the offsets and for the rows.
-    """
-    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()).persist(StorageLevel.MEMORY_AND_DISK)
-    part = F.shiftright("_at", 33).alias("_part")
-    sizes = placed.groupBy(part).agg(F.count(F.lit(1)).alias("_size"))
-    before = F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select("_part", before.alias("_before"))
-    # one row per partition: bounded by ``parts``
-    out = placed.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+
+def global_ordinal(df: DataFrame, name: str, order: list[Column], parts: int | None = None) -> DataFrame:
+    """0-based position of each row in the order of ``order``: a range sort, then partition offsets."""
+    placed = in_order(df, order, parts)
+    out = placed.withColumn("_part", _part()).join(_before(placed, F.count(F.lit(1))), "_part")
     return out.select(*df.columns, (F.col("_at").bitwiseAND((1 << 33) - 1) + F.col("_before")).cast("bigint").alias(name))
+
+
+def running_sum(df: DataFrame, name: str, value: str, order: list[Column], parts: int | None = None) -> DataFrame:
+    """Adds the sum of ``value`` over all rows before each one in ``order``: sums within range partitions and those before."""
+    placed = in_order(df, order, parts)
+    own = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    out = placed.withColumn("_part", _part()).join(_before(placed, F.sum(value)), "_part")
+    return out.select(*df.columns, (F.coalesce(F.sum(value).over(own), F.lit(0)) + F.coalesce("_before", F.lit(0))).alias(name))

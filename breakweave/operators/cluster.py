@@ -3,27 +3,45 @@
 A gap above the window always splits, so rows fall into islands. Islands are found from one row per occupied bin of the
 window's width (rows of one bin can't be further apart than the window), so no chromosome has to pass through one
 window partition. Inside an island the length rule needs the running median of the accepted members, a sequential
-fold; it streams over sorted partitions and keeps only the current cluster's lengths.
+fold; it streams over sorted partitions and keeps only the current cluster's lengths. An island too long for one task is
+folded in chunks whose seams are repaired.
 """
 
 from __future__ import annotations
 
 from bisect import insort
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from .bandjoin import numbered
+from ..sources.stages import StageTables
+from .bandjoin import in_order, numbered
 
 
-def island_bins(df: DataFrame, keys: list[str], pos: str, window: int, name: str = "island") -> DataFrame:
-    """Every occupied bin (keys, _bin) of the window's width with the smallest position of its island, and its own smallest and largest."""
+#: Bins of a window of the scan for islands; a second one has a row for each of these.
+SCAN = 4096
+
+
+def island_bins(df: DataFrame, keys: list[str], pos: str, window: int, name: str = "island", scan: int = SCAN) -> DataFrame:
+    """Every occupied bin (keys, _bin) of the window's width with the smallest position of its island, and its own smallest and largest.
+
+    A scan in two passes: gaps are found within stretches of ``scan`` bins, and between stretches from one row of each, so
+    that no window holds more than a stretch's bins or a chromosome's stretches.
+    """
     bins = df.groupBy(*keys, F.floor(F.col(pos) / max(1, int(window))).alias("_bin")).agg(F.min(pos).alias("_low"), F.max(pos).alias("_high"))
-    order = Window.partitionBy(*keys).orderBy("_bin")
-    begins = F.when(F.coalesce(F.col("_low") - F.lag("_high").over(order) > window, F.lit(True)), F.col("_low"))
-    return bins.withColumn("_begin", begins).withColumn(name, F.last("_begin", True).over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_begin")
+    bins = bins.withColumn("_stretch", F.floor(F.col("_bin") / scan))
+    within = Window.partitionBy(*keys, "_stretch").orderBy("_bin")
+    bins = bins.withColumn("_begin", F.when(F.col("_low") - F.lag("_high").over(within) > window, F.col("_low")))
+    bins = bins.withColumn("_own", F.last("_begin", True).over(within.rowsBetween(Window.unboundedPreceding, 0))).drop("_begin")
+    order = Window.partitionBy(*keys).orderBy("_stretch")
+    each = bins.groupBy(*keys, "_stretch").agg(F.min("_low").alias("_from"), F.max("_high").alias("_to"), F.max("_own").alias("_last"))
+    each = each.withColumn("_head", F.when(F.coalesce(F.col("_from") - F.lag("_to").over(order) > window, F.lit(True)), F.col("_from")))
+    carried = F.last(F.coalesce("_last", "_head"), True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    heads = each.select(*keys, "_stretch", F.coalesce("_head", carried).alias("_carried"))
+    return bins.join(heads, [*keys, "_stretch"]).select(*keys, "_bin", "_low", "_high", F.coalesce("_own", "_carried").alias(name))
 
 
 def gap_islands(df: DataFrame, keys: list[str], pos: str, window: int, name: str = "island") -> DataFrame:
@@ -33,36 +51,124 @@ def gap_islands(df: DataFrame, keys: list[str], pos: str, window: int, name: str
     return binned.join(bins, [*keys, "_bin"]).select(*df.columns, name)
 
 
-def _fold(window: int, min_ratio: float):
-    """Streams rows sorted by (chrom, svtype, island, order): adds the first member's index of each row's cluster."""
+def _median(lengths: list[float]) -> float:
+    n = len(lengths)
+    return lengths[n // 2] if n % 2 else (lengths[n // 2 - 1] + lengths[n // 2]) / 2
+
+
+class Fold:
+    """The open cluster: its island, last position, first row, and the sorted lengths of its members."""
+
+    def __init__(self, window: int, min_ratio: float, key=None, last=None, first=None, lengths=()):
+        self.window, self.min_ratio, self.key, self.last, self.first, self.lengths = window, min_ratio, key, last, first, list(lengths)
+
+    def take(self, key, pos: int, length: float, index: int) -> tuple[int, int]:
+        """The first row of this row's cluster, and the row's place in it."""
+        mid, size = abs(_median(self.lengths)) if self.lengths and key == self.key else 0, abs(length)
+        alike = not mid or not size or min(size, mid) / max(size, mid) >= self.min_ratio
+        if key != self.key or pos - self.last > self.window or not alike:
+            self.key, self.first, self.lengths = key, index, []
+        insort(self.lengths, length)
+        self.last = pos
+        return self.first, len(self.lengths) - 1
+
+
+_PART = ["chrom", "svtype", "island"]
+_ROW = [*_PART, "event_pos", "svlen", "signal_index"]
+_TOLD = "signal_index bigint, cluster bigint, member bigint"
 
-    def median(lengths: list[float]) -> float:
-        n = len(lengths)
-        return lengths[n // 2] if n % 2 else (lengths[n // 2 - 1] + lengths[n // 2]) / 2
+
+def _each(pdf: pd.DataFrame):
+    return zip(zip(pdf.chrom, pdf.svtype, pdf.island, strict=True), pdf.event_pos, pdf.svlen, pdf.signal_index, strict=True)
+
+
+def _stream(window: int, min_ratio: float):
+    """Folds rows sorted by island and order as they come."""
 
     def run(batches):
-        key = last = first = None
-        lengths: list[float] = []
-        number = 0
+        fold = Fold(window, min_ratio)
         for pdf in batches:
-            firsts, numbers = [], []
-            for chrom, svtype, island, pos, length, index in zip(pdf.chrom, pdf.svtype, pdf.island, pdf.event_pos, pdf.svlen, pdf.signal_index, strict=True):
-                here = (chrom, svtype, island)
-                mid, size = abs(median(lengths)) if lengths and here == key else 0, abs(length)
-                alike = not mid or not size or min(size, mid) / max(size, mid) >= min_ratio
-                if here != key or pos - last > window or not alike:
-                    key, first, lengths, number = here, index, [], 0
-                insort(lengths, length)
-                last = pos
-                firsts.append(first)
-                numbers.append(number)
-                number += 1
-            yield pd.DataFrame({"chrom": pdf.chrom, "svtype": pdf.svtype, "signal_index": pdf.signal_index, "cluster": firsts, "member": numbers})
+            told = [fold.take(*row) for row in _each(pdf)]
+            yield pd.DataFrame({"signal_index": pdf.signal_index, "cluster": [a for a, _ in told], "member": [b for _, b in told]})
 
     return run
 
 
-def cigar_clusters(signals: DataFrame, window: int = 500, min_ratio: float = 0.5) -> DataFrame:
+def _order() -> list[Column]:
+    return [F.col(c) for c in (*_PART, "event_pos", "svlen")] + [F.col("read_name").asc_nulls_last(), F.col("signal_index")]
+
+
+_STATE = "chunk bigint, chrom string, svtype string, island bigint, last bigint, first bigint, lengths array<double>"
+
+
+def _in_chunks(placed: DataFrame, window: int, min_ratio: float, chunk_rows: int) -> DataFrame:
+    """The fold of islands that are too long for one task.
+
+    Rows are cut into chunks in their order. Every chunk is folded as if a cluster began with it; then each one that goes
+    on in the island of the chunk before it is folded again from that chunk's open cluster. Where this leaves another
+    open cluster at a chunk's end, the next chunk is folded once more, until nothing changes: a cluster that begins at
+    the same row either way ends the matter. Chunks and their open clusters are all that a task holds.
+    """
+    spark = placed.sparkSession
+    stage = StageTables(spark, temporary=True)
+    parts = max(1, -(-placed.count() // chunk_rows))
+    rows = in_order(placed.select(*_ROW, "read_name"), _order(), parts)
+    chunk = F.shiftright("_at", 33)
+    rows = stage.put("chunks", rows.select(chunk.alias("chunk"), "_at", *_ROW))
+    ends = lambda f: f(F.struct(*_PART, "event_pos"), "_at")
+    # one row per chunk
+    each = sorted(rows.groupBy("chunk").agg(ends(F.min_by).alias("a"), ends(F.max_by).alias("b")).collect())
+    goes_on = {q.chunk: p.chunk for p, q in zip(each, each[1:], strict=False) if tuple(p.b)[:3] == tuple(q.a)[:3] and q.a.event_pos - p.b.event_pos <= window}
+    kinds = f"chunk bigint, signal_index bigint, cluster bigint, member bigint, {_STATE.split(', ', 1)[1]}"
+
+    def fold(pdf: pd.DataFrame, held: pd.DataFrame | None) -> pd.DataFrame:
+        pdf = pdf.sort_values("_at")
+        state = Fold(window, min_ratio)
+        if held is not None and len(held):
+            h = held.iloc[0]
+            state = Fold(window, min_ratio, (h.chrom, h.svtype, h.island), h["last"], h["first"], h.lengths)
+        told = [state.take(*row) for row in _each(pdf)]
+        n = len(told)
+        out = {"chunk": [int(pdf.chunk.iloc[0])] * (n + 1), "signal_index": [*pdf.signal_index, None], "cluster": [a for a, _ in told] + [None], "member": [b for _, b in told] + [None]}
+        end = (*state.key, state.last, state.first, state.lengths)
+        out |= {c: [None] * n + [v] for c, v in zip(("chrom", "svtype", "island", "last", "first", "lengths"), end, strict=True)}
+        return pd.DataFrame(out, dtype=object)
+
+    made = [stage.put("round0", rows.groupBy("chunk").applyInPandas(lambda g: fold(g, None), kinds))]
+    latest, todo = dict.fromkeys((e.chunk for e in each), 0), set(goes_on)
+    told = lambda df: {r.chunk: (r["first"], r.n) for r in df.where("cluster is null").select("chunk", "first", F.size("lengths").alias("n")).collect()}
+    state = told(made[0])
+    while todo:
+        turn = len(made)
+        which = spark.createDataFrame([(c, goes_on[c], latest[goes_on[c]]) for c in sorted(todo)], "to bigint, chunk bigint, turn int")
+        before = [df.where("cluster is null").drop("signal_index", "cluster", "member").withColumn("turn", F.lit(i)) for i, df in enumerate(made)]
+        held = reduce(DataFrame.unionByName, before).join(F.broadcast(which), ["chunk", "turn"]).drop("turn", "chunk").withColumnRenamed("to", "chunk")
+        mine = rows.join(F.broadcast(which.select(F.col("to").alias("chunk"))), "chunk")
+        made.append(stage.put(f"round{turn}", mine.groupBy("chunk").cogroup(held.groupBy("chunk")).applyInPandas(fold, kinds)))
+        now = told(made[-1])
+        changed = {c for c in todo if now[c] != state[c]}
+        state |= now
+        latest |= dict.fromkeys(todo, turn)
+        todo = {c for c, p in goes_on.items() if p in changed}
+    last = F.broadcast(spark.createDataFrame(list(latest.items()), "chunk bigint, turn int"))
+    every = reduce(DataFrame.unionByName, [df.where("cluster is not null").select("chunk", "signal_index", "cluster", "member").withColumn("turn", F.lit(i)) for i, df in enumerate(made)])
+    return every.join(last, ["chunk", "turn"]).select("signal_index", "cluster", "member")
+
+
+#: Rows of an island, and of a chunk of a longer one, that one task folds.
+CHUNK_ROWS = 200_000
+
+
+def split_long(placed: DataFrame, keys: list[str], most: int) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of islands with up to ``most`` rows, and those of longer ones, None if there are none."""
+    long = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most).select(*keys)
+    if not long.limit(1).count():
+        return placed, None
+    # an island has more than ``most`` rows, so there are as few of them as the rows allow
+    return placed.join(long, keys, "left_anti"), placed.join(long, keys, "left_semi")
+
+
+def cigar_clusters(signals: DataFrame, window: int = 500, min_ratio: float = 0.5, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Signals with ``cluster`` (signal_index of its first member) and ``member`` (0-based place in it).
 
     Rows without chrom, svtype, position or length are dropped; a missing mapping quality is 0.
@@ -71,11 +177,12 @@ def cigar_clusters(signals: DataFrame, window: int = 500, min_ratio: float = 0.5
     rows = signals.select("read_name", "chrom", "svtype", whole("event_pos"), whole("svlen"), X.number_or("mapq").alias("mapq"), "signal_index")
     rows = rows.dropna(subset=["chrom", "svtype", "event_pos", "svlen"])
     placed = gap_islands(rows, ["chrom", "svtype"], "event_pos", window)
-    part = ["chrom", "svtype", "island"]
-    order = [F.col(c) for c in (*part, "event_pos", "svlen")] + [F.col("read_name").asc_nulls_last(), F.col("signal_index")]
-    sorted_ = placed.repartition(*part).sortWithinPartitions(*order)
-    told = sorted_.select(*part, "event_pos", "svlen", "signal_index").mapInPandas(_fold(window, min_ratio), "chrom string, svtype string, signal_index bigint, cluster bigint, member bigint")
-    return rows.join(told.select("signal_index", "cluster", "member"), "signal_index")
+    short, long = split_long(placed, _PART, chunk_rows)
+    sorted_ = short.repartition(*_PART).sortWithinPartitions(*_order())
+    told = sorted_.select(*_ROW).mapInPandas(_stream(window, min_ratio), _TOLD)
+    if long is not None:
+        told = told.unionByName(_in_chunks(long, window, min_ratio, chunk_rows))
+    return rows.join(told, "signal_index")
 
 
 def round4(x: Column) -> Column:

@@ -82,12 +82,11 @@ def roc_auc(pred: DataFrame, score: str = "gnn_prob") -> DataFrame:
 
     Counts are taken per distinct score first; only those rows are put in order.
     """
-    from pyspark.sql import Window
+    from .bandjoin import running_sum
 
     per = usable(pred).groupBy(F.col(score).alias("s")).agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    won = per.select("pos", "neg", (F.col("pos") * (below + F.col("neg") / F.lit(2.0))).alias("won"))
-    sums = won.agg(F.sum("won").alias("w"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    below = running_sum(per, "below", "neg", [F.col("s")])
+    sums = below.agg(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / F.lit(2.0))).alias("w"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     return sums.select(F.round(F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("w") / (F.col("p") * F.col("n"))), 6).alias("auc"))
 
 

@@ -6,6 +6,8 @@ that, and a lost executor loses nothing.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -27,12 +29,19 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 class StageTables:
-    """Tables of one run."""
+    """Tables of one run; those of an operator that needs them for itself go when the process ends."""
 
-    def __init__(self, spark: SparkSession):
+    def __init__(self, spark: SparkSession, temporary: bool = False):
         self.spark, self.at = spark, f"{shared_folder(spark)}/stages-{uuid.uuid4().hex[:12]}"
+        if temporary:
+            atexit.register(self.drop)
 
     def put(self, name: str, df: DataFrame) -> DataFrame:
         path = f"{self.at}/{name}"
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        with contextlib.suppress(Exception):  # the session may have ended before
+            at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.at)
+            at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
