@@ -160,7 +160,7 @@ def _vcf_lines(spark, sf_dir) -> DataFrame:
     chrom = F.when((F.col("chrom") == "10") & (F.col("truth_ordinal") % 6 == 5), "CHR10").otherwise(F.col("chrom"))
     pos = F.when(k == 15, "x1").otherwise((F.col("pos") + 1).cast("string"))
     line = F.concat_ws("\t", chrom, pos, F.when(F.col("truth_ordinal") % 3 == 0, ".").otherwise(F.col("truth_id")), F.lit("N"), alt, F.lit("."), F.lit("PASS"), F.when(k != 11, info))
-    head = t.limit(1).select(F.lit("##fileformat=VCFv4.2").alias("value"), F.lit(-1).cast("bigint").alias("ordinal"))
+    head = spark.createDataFrame([("##fileformat=VCFv4.2", -1)], "value string, ordinal bigint")
     return t.select(line.alias("value"), F.col("truth_ordinal").alias("ordinal")).unionByName(head)
 
 
@@ -715,14 +715,17 @@ def pos_weight(spark, sf_dir):
     return metrics.positive_weight(_preds(spark, sf_dir))
 
 
-@query(None)
+@query(
+    """r as (select candidate_id, row_number() over (order by md5('42:' || candidate_id), candidate_id) - 1 as place, count(*) over () as n from candidates),
+t as (select *, least(greatest(1, round_even(n * 0.2, 0))::bigint, n - 1) as t from r), v as (select *, least(greatest(1, round_even(n * 0.1, 0))::bigint, n - 1 - t) as v from t)
+select candidate_id, place, case when place < t then 'test' when place < t + v then 'val' else 'train' end as part from v""",
+    "candidates",
+)
 def train_val_test_split(spark, sf_dir):
-    """Places of a seeded split; rows only, the shuffle is Python's."""
-    from ..operators.train import split_indices
+    """The part that each candidate falls to, by the order of digests of the seed and its id."""
+    from ..operators.train import split_rows
 
-    n = _cands(spark, sf_dir).count()
-    parts = zip(("train", "val", "test"), split_indices(n), strict=True)
-    return spark.createDataFrame([(name, len(p), int(sum(p))) for name, p in parts], "part string, n bigint, sum_index bigint")
+    return split_rows(_cands(spark, sf_dir).select("candidate_id")).select("candidate_id", "place", "part")
 
 
 # --- VCF lines
