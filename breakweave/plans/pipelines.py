@@ -120,7 +120,7 @@ def run_v2(
         calls = extract.global_ordinal(kept, "ordinal", [X.chrom_key("chrom"), F.col("start"), F.col("candidate_id")])
         calls = stage.put("calls", calls)
         if truth:
-            calls = select.supplement(calls, labeled.withColumn("ordinal", F.monotonically_increasing_id()))
+            calls = select.supplement(calls, extract.global_ordinal(labeled, "ordinal", [X.chrom_key("chrom"), F.col("start"), F.col("svtype"), F.col("candidate_id")]))
         best = stage.put("best", select.deduplicate(calls, dedup_window, dedup_size_sim))
         final = best.drop("ordinal")
         out.tables["filtered_candidates_dedup"] = final

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from ..functions import exprs as X
 from ..operators import cluster, extract, gnn, graph, merge, metrics, propose, select
 from ..operators.bandjoin import global_ordinal
-from ..sources import alignments, bgzf, variants, vcf_out
+from ..sources import alignments, bgzf, tables, variants, vcf_out
+from ..sources.schemas import CANDIDATES, PREDICTIONS, SIGNALS, names
 from ..sources.stages import shared_folder
 from . import benchmarks
 from .adapters import SQL as TABLES
@@ -659,7 +660,7 @@ from predictions p left join (select * from predictions where ordinal % 2 = 1) l
 )
 def supplement_labeled(spark, sf_dir):
     p = _preds(spark, sf_dir)
-    labeled = p.where("ordinal % 2 = 1").select("candidate_id", F.lit("FROM_TABLE").alias("candidate_source"), (F.col("ordinal") % 10).alias("extra_support"), "ordinal")
+    labeled = p.select(F.when(F.col("ordinal") % 2 == 1, F.col("candidate_id")).otherwise(F.concat("candidate_id", F.lit("_other"))).alias("candidate_id"), F.lit("FROM_TABLE").alias("candidate_source"), (F.col("ordinal") % 10).alias("extra_support"), "ordinal")
     labeled = labeled.unionByName(labeled.withColumn("candidate_source", F.lit("LATER")).withColumn("ordinal", F.col("ordinal") + 1_000_000))
     return select.supplement(p, labeled).select("candidate_id", "candidate_source", F.coalesce("extra_support", F.lit(-1)).alias("extra_support"))
 
@@ -855,6 +856,136 @@ def one_to_one_match(spark, sf_dir):
     return benchmarks.native_match(calls, adapter(spark, sf_dir, "truth"), 60, 0.5).select("tp", "tp_base", "fp", "fn")
 
 
+# --- files: whole tables written by the sinks to the shared folder and read again by the sources
+
+
+def _path(spark, name: str) -> str:
+    return f"{shared_folder(spark)}/files-{uuid.uuid4().hex}/{name}"
+
+
+_SIGNAL_COLUMNS = names(SIGNALS)
+_TEXTS = ", ".join(f"coalesce({c}::varchar, '-') as {c}" for c in _SIGNAL_COLUMNS)
+
+
+@query(f"select {', '.join(_SIGNAL_COLUMNS)} from signals", "signals")
+def tsv_signals(spark, sf_dir):
+    """The signal table as a tab-separated file and back with its types."""
+    path = _path(spark, "signals.tsv")
+    tables.write_tsv(adapter(spark, sf_dir, "signals").select(*_SIGNAL_COLUMNS), path, ["chrom", "event_pos"])
+    return tables.read_tsv(spark, path, SIGNALS)
+
+
+@query(f"select {_TEXTS} from signals", "signals")
+def tsv_text_cells(spark, sf_dir):
+    """The same file with all its cells as text."""
+    path = _path(spark, "signals.tsv")
+    tables.write_tsv(adapter(spark, sf_dir, "signals").select(*_SIGNAL_COLUMNS), path)
+    return tables.read_tsv(spark, path).na.fill("-")
+
+
+@query("select signal_index, event_pos, svlen, chrom from raw_signals where event_pos is not null and svlen is not null", "raw_signals")
+def tsv_inferred(spark, sf_dir):
+    """A file whose column types are found from its cells."""
+    path = _path(spark, "some.tsv")
+    rows = adapter(spark, sf_dir, "raw_signals").select("signal_index", "event_pos", "svlen", "chrom").dropna()
+    tables.write_tsv(rows, path)
+    found = tables.read_tsv_inferred(spark, path)
+    return found.select(*[F.col(c).cast("bigint").alias(c) if k == "int" else F.col(c) for c, k in found.dtypes])
+
+
+_PREDICTED = names(PREDICTIONS)
+_SHOWN = ", ".join('end_pos as "end"' if c == "end" else c for c in _PREDICTED)
+
+
+@query(f"select {_SHOWN} from predictions", "predictions")
+def tsv_predictions(spark, sf_dir):
+    """The prediction table as a file and back."""
+    path = _path(spark, "predictions.tsv")
+    tables.write_tsv(_preds(spark, sf_dir).select(*_PREDICTED), path, ["chrom", "start"])
+    return tables.read_tsv(spark, path, PREDICTIONS)
+
+
+@query("""select candidate_id, chrom, start, end_pos as "end", svtype, median_svlen, array_to_string(signal_indices, ',') as signal_indices from candidates""", "candidates")
+def tsv_candidates(spark, sf_dir):
+    """Candidates with their lists of signals as joined text and back."""
+    path = _path(spark, "candidates.tsv")
+    shown = ["candidate_id", "chrom", "start", "end", "svtype", "median_svlen", "signal_indices"]
+    tables.write_tsv(_cands(spark, sf_dir).select(*shown), path)
+    return tables.read_tsv(spark, path, CANDIDATES).select(*shown).withColumn("signal_indices", F.array_join(F.col("signal_indices").cast("array<string>"), ","))
+
+
+@query("""select chrom, start, end_pos as "end" from candidates where end_pos > start""", "candidates")
+def bed_regions(spark, sf_dir):
+    """Candidates' spans as a BED file, with a header line that a reader skips."""
+    path = _path(spark, "spans.bed")
+    spans = _cands(spark, sf_dir).select(F.concat_ws("\t", "chrom", F.col("start").cast("string"), F.col("end").cast("string")).alias("line"), F.col("start").alias("at"))
+    head = spark.createDataFrame([("track name=spans", -1)], "line string, at bigint")
+    tables.write_lines(head.unionByName(spans), path, ["at"])
+    return tables.read_bed(spark, path)
+
+
+@query(
+    """select extra_index as event_id, row_number() over (order by case src_chrom when 'chr1' then 1 when 'chr2' then 2 when '10' then 10 when 'chrX' then 23 else 99 end, event_pos, evidence_type, read_name, extra_index) - 1 as place
+from extra""",
+    "extra",
+)
+def extra_order(spark, sf_dir):
+    """Places of the evidence rows in their file."""
+    rows = adapter(spark, sf_dir, "extra").withColumn("record_ordinal", F.col("extra_index")).withColumn("event_ordinal", F.lit(0)).withColumnRenamed("extra_index", "event_id")
+    return global_ordinal(rows, "place", extract.extra_order()).select("event_id", "place")
+
+
+@query("select extra_ordinal, row_number() over (order by chrom, start, svtype, abs(median_svlen) nulls first, extra_ordinal) - 1 as place from raw_extra_candidates", "raw_extra_candidates")
+def extra_candidate_order(spark, sf_dir):
+    """Places of the proposed candidates in their file."""
+    rows = adapter(spark, sf_dir, "raw_extra_candidates").withColumn("svlen", F.col("median_svlen"))
+    return global_ordinal(rows, "place", [*cluster.extra_candidate_order(), F.col("extra_ordinal")]).select("extra_ordinal", "place")
+
+
+_LENGTHS = {"chr1": 248956422, "2": 242193529, "chr10": 133797422}
+_HEAD = f"""h as (select 0 as part, 0 as k, '##fileformat=VCFv4.2' as line union all select 0, 1, '##source=breakweave_v0.2' union all
+select 1, {_KEY}, '##contig=<ID=' || chrom || ',length=' || case chrom when 'chr1' then 248956422 when 'chr2' then 242193529 when '10' then 133797422 else 5000 end || '>' from (select distinct chrom from raw_predictions) union all
+select 2, k, line from (values {", ".join(f"({i}, '{x}')" for i, x in enumerate(vcf_out.INFO_LINES))}) v(k, line) union all select 3, 0, concat_ws(chr(9), '#CHROM', 'POS', 'ID', 'REF', 'ALT', 'QUAL', 'FILTER', 'INFO', 'FORMAT', 'SAMPLE'))"""
+_LINES = _record_sql("gnn_prob >= 0.65 or gnn_pred = 1", "./.").replace("\nselect number,", ", r as (select number,", 1)
+
+
+@query(f"{_LINES}), {_HEAD}, a as (select part, k, line from h union all select 4, number, line from r) select row_number() over (order by part, k) - 1 as place, line from a", "raw_predictions")
+def vcf_file(spark, sf_dir):
+    """The whole file of version 2: header with contig lengths by name, other name or fallback, and records in order."""
+    path = _path(spark, "calls.vcf")
+    vcf_out.write_vcf(_raw_preds(spark, sf_dir), path, 2, 0.65, lengths=_LENGTHS, fallback=5000)
+    return global_ordinal(variants.read_lines(spark, path), "place", [F.col("ordinal")]).select("place", F.col("value").alias("line"))
+
+
+@query(
+    f"""r as (select {_CONF.format("true")} from predictions where label in (0, 1)), g as (select {_CONF.format("gnn_prob >= 0.5")} from predictions where label in (0, 1)),
+t as (select 0 as o, 'Raw' as name, * from r union all select 10, 'GNN', * from g), m as (select *, {_PRF} from t), f as (select *, coalesce(2 * p * r / nullif(p + r, 0), 0) as f from m),
+l as (select o + k as k, name || ' ' || what || ': ' || v as line from f, lateral (values (0, 'TP', tp::varchar), (1, 'FP', fp::varchar), (2, 'FN', fn::varchar), (3, 'TN', tn::varchar),
+  (4, 'Precision', printf('%.6f', p)), (5, 'Recall', printf('%.6f', r)), (6, 'F1', printf('%.6f', f))) x(k, what, v)),
+d as (select (select fp from r) - (select fp from g) as a, (select fp from r) as b, (select tp from r) - (select tp from g) as c, (select tp from r) as e)
+select k, line from l union all select 20, 'FP reduction: ' || a || ' (' || printf('%.6f', coalesce(a::double / nullif(b, 0), 0)) || ')' from d
+union all select 21, 'TP loss: ' || c || ' (' || printf('%.6f', coalesce(c::double / nullif(e, 0), 0)) || ')' from d""",
+    "predictions",
+)
+def evaluation_text(spark, sf_dir):
+    """The lines of the evaluation report."""
+    lines = [x for x in metrics.evaluation_report(_preds(spark, sf_dir)).splitlines() if x]
+    return spark.createDataFrame(list(zip([*range(7), *range(10, 17), 20, 21], lines, strict=True)), "k bigint, line string")
+
+
+@query(
+    f"""{_WIN}, n as (select count(*) as a, count(*) filter (k = 1) as b from wn), t as (select svtype, count(*) as n from wn where k > 1 group by 1)
+select 'input_records' as line, a as n from n union all select 'output_records', b from n union all select 'removed_records', a - b from n union all select * from t""",
+    "predictions",
+    recursive=True,
+)
+def dedup_text(spark, sf_dir):
+    """The lines of the report on duplicates."""
+    p = _preds(spark, sf_dir)
+    report = select.dedup_report(p, select.deduplicate(p, WINDOW)).splitlines()
+    return spark.createDataFrame([(a, int(b)) for a, b in (x.split("\t") for x in report if "\t" in x)], "line string, n bigint")
+
+
 # --- end to end
 
 

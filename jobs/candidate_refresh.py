@@ -90,10 +90,10 @@ def run(spark: SparkSession, source: str, out: str, checkpoint: str, config: dic
     read = read.select("signal_index", "read_name", whole("event_pos"), "svtype", whole("svlen"), X.number_or("mapq", None).alias("mapq"), "chrom").dropna(subset=["chrom", "svtype", "event_pos", "svlen"])
 
     def take(batch: DataFrame, number: int) -> None:
-        spark_ = batch.sparkSession
+        # the stream's own session plans without adaptive execution; what is read back is planned by the caller's
         overwrite = lambda df: df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         overwrite(batch.withColumn("batch", F.lit(number).cast("bigint"))).partitionBy("batch", "chrom").parquet(f"{out}/signals")
-        signals = spark_.read.schema(SIGNALS).parquet(f"{out}/signals")
+        signals = spark.read.schema(SIGNALS).parquet(f"{out}/signals")
         new = signals.where(F.col("batch") == number)
         n, chroms = new.agg(F.count(F.lit(1)), F.collect_set("chrom")).first()
         log.info("batch %d: read %d usable signals of %d chromosomes", number, n, len(chroms))
@@ -102,7 +102,7 @@ def run(spark: SparkSession, source: str, out: str, checkpoint: str, config: dic
         near = signals.where(F.col("chrom").isin(chroms))
         regions = touched_regions(near, new, config["window"], config["region"])
         overwrite(regions.withColumn("batch", F.lit(number).cast("bigint"))).partitionBy("batch").parquet(f"{out}/touched")
-        regions = spark_.read.schema(TOUCHED).parquet(f"{out}/touched").where(F.col("batch") == number).drop("batch")
+        regions = spark.read.schema(TOUCHED).parquet(f"{out}/touched").where(F.col("batch") == number).drop("batch")
         result = refreshed(near, regions, config)
         overwrite(result.hint("rebalance", "chrom", "region")).partitionBy("chrom", "region").parquet(f"{out}/candidates")
         log.info("batch %d: candidates of %d touched regions written to %s/candidates", number, regions.count(), out)
