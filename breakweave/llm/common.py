@@ -89,10 +89,10 @@ class Scratch:
         self.spark, self.at, self.kept = spark, f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex[:12]}", []
         atexit.register(self.close)
 
-    def put(self, name: str, df: DataFrame) -> DataFrame:
-        """Writes ``df`` as Parquet and reads it again."""
+    def put(self, name: str, df: DataFrame, **options: str) -> DataFrame:
+        """Writes ``df`` as Parquet, with the writer's ``options``, and reads it again."""
         path = f"{self.at}/{name}-{len(self.kept)}"
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
         self.kept.append(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path

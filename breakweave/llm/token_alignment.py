@@ -36,11 +36,11 @@ from pyspark.sql import functions as F
 from .common import Scratch, ship
 
 #: Passages that are broadcast at most, and the bytes of one, of its groups' text, and the pairs it may have for that.
-HOT, HOT_BYTES, HOT_TEXT, HOT_PAIRS = 200_000, 64, 256, 32
-#: Links of a group up to which they are listed one by one; beyond that ids are counted first.
-LISTED = 64
-#: A pair of ids as one number.
-PAIR = 1 << 20
+HOT, HOT_BYTES, HOT_TEXT, HOT_PAIRS = 500_000, 64, 256, 32
+#: Links of a passage up to which its pairs are listed in its row, and of a group up to which ids need not be counted first.
+LISTED, SMALL = 256, 64
+#: Text bytes that a task puts together at a time, and pairs of ids whose counts are broadcast at most.
+TASK_BYTES, BROADCAST_PAIRS = 8 << 20, 1_000_000
 #: Where every tokenizer with the properties that ``cuts_hold`` asks for starts anew.
 CUT = r"(?<=[\p{L}\p{N}\p{P}\p{S}])(?=[ \n][\p{L}\p{N}\p{P}\p{S}])"
 #: The byte-level pattern's alternatives, as the library names them, all end before white space that follows other characters.
@@ -99,9 +99,10 @@ def _encode(batches, paths: tuple[str, str]):
         ib = [x if t[:1] == " " else x[1:] for x, t in zip(ib, texts, strict=True)]
         ba, bb = [[a_bytes.get(i, b"") for i in x] for x in ia], [[b_bytes[i] for i in x] for x in ib]
         ok = [b"".join(x) == r and b"".join(y) == r for x, y, r in zip(ba, bb, raw, strict=True)]
-        ints = pa.list_(pa.int32())
-        out = [pa.array(ok), *(pa.array(x, ints) for x in (ia, [[len(t) for t in x] for x in ba], ib, [[len(t) for t in x] for x in bb]))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *out], ["sid", "passage", "n", "ok", "a", "a_len", "b", "b_len"])
+        ids, lens = pa.list_(pa.int32()), pa.list_(pa.int16())
+        out = [pa.array(ok), pa.array(ia, ids), pa.array([[len(t) for t in x] for x in ba], lens), pa.array(ib, ids), pa.array([[len(t) for t in x] for x in bb], lens)]
+        told = pa.StructArray.from_arrays([batch.column(1), batch.column(2), *out], ["passage", "n", "ok", "a", "a_len", "b", "b_len"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), told], ["sid", "x"])
 
 
 @contextlib.contextmanager
@@ -118,37 +119,49 @@ def _settings(spark: SparkSession, **values: str):
             spark.conf.unset(n) if v is None else spark.conf.set(n, v)
 
 
-def align_passages(encoded: DataFrame) -> DataFrame:
-    """Per passage (sid): n_a, n_b, n_groups, n_links, groups (text), pairs (array of k, m) from its encoded tokens."""
-    encoded = encoded.where("ok").select("sid", "a", "a_len", "b", "b_len").repartition("sid")
-    by = Window.partitionBy("sid")
+def align_passages(encoded: DataFrame, base: int, listed: int = LISTED) -> DataFrame:
+    """Encoded passages (sid, x) that both tokenizers give back, with n_a, n_b, n_groups, n_links, groups (text), pairs (array of k,
+    m; a pair may repeat), or, with more than ``listed`` links, parts (array of the groups' ids a, b) instead of pairs."""
+    by, dealt = Window.partitionBy("sid"), encoded.where("x.ok").repartition("sid")
 
     def ends(side: str) -> DataFrame:
-        rows = encoded.select("sid", F.posexplode(f"{side}_len").alias(f"{side}_pos", "len"))
+        rows = dealt.select("sid", F.posexplode(f"x.{side}_len").alias(f"{side}_pos", "len"))
         return rows.select("sid", f"{side}_pos", F.sum("len").over(by.orderBy(f"{side}_pos").rowsBetween(Window.unboundedPreceding, 0)).alias("end"))
 
-    cuts = ends("a").join(ends("b"), ["sid", "end"])
     order = by.orderBy("end")
-    from_ = [F.coalesce(F.lag(f"{s}_pos").over(order) + 1, F.lit(0)).alias(f"{s}_from") for s in "ab"]
-    groups = cuts.select("sid", F.row_number().over(order).alias("g"), "a_pos", "b_pos", *from_)
-    groups = groups.join(encoded.select("sid", "a", "b"), "sid").select("sid", "g", *[F.slice(s, F.col(f"{s}_from") + 1, F.col(f"{s}_pos") - F.col(f"{s}_from") + 1).alias(s) for s in "ab"])
-    text = F.concat_ws("|", *[F.array_join(F.col(s).cast("array<string>"), ",") for s in "ab"])
-    n = {s: F.size(s).cast("long") for s in "ab"}
-    listed = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("g", text.alias("t")))), lambda x: x.t), ";")
-    whole = groups.groupBy("sid").agg(F.sum(n["a"]).alias("n_a"), F.sum(n["b"]).alias("n_b"), F.count(F.lit(1)).alias("n_groups"), F.sum(n["a"] * n["b"]).alias("n_links"), listed.alias("groups"))
-    small = groups.where(n["a"] * n["b"] <= LISTED).select("sid", F.explode("a").alias("a"), "b").select("sid", "a", F.explode("b").alias("b"), F.lit(1).cast("long").alias("m"))
-    large = groups.where(n["a"] * n["b"] > LISTED)
-    sides = [large.select("sid", "g", F.explode(s).alias(s)).groupBy("sid", "g", s).agg(F.count(F.lit(1)).alias(f"n_{s}")) for s in "ab"]
+    cuts = ends("a").join(ends("b"), ["sid", "end"])
+    # the running number of cuts is the group; the cut before it is where its tokens begin
+    froms = [F.coalesce(F.lag(f"{s}_pos").over(order) + 1, F.lit(0)).alias(f"{s}_from") for s in "ab"]
+    groups = cuts.select("sid", F.row_number().over(order).alias("g"), "a_pos", "b_pos", *froms)
+    spans = groups.groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("g", "a_from", "a_pos", "b_from", "b_pos"))).alias("spans"))
+    cut = lambda s: lambda x: F.slice(F.col(s), x[f"{s}_from"] + 1, x[f"{s}_pos"] - x[f"{s}_from"] + 1)
+    parts = F.transform("spans", lambda x: F.struct(cut("a")(x).alias("a"), cut("b")(x).alias("b")))
+    out = dealt.join(spans, "sid").select("sid", "x.*", "spans").withColumn("parts", parts).drop("spans")
+    text = lambda ids: F.array_join(ids.cast("array<string>"), ",")
+    links = F.aggregate("parts", F.lit(0).cast("long"), lambda n, x: n + F.size(x["a"]).cast("long") * F.size(x["b"]))
+    key = lambda x: F.flatten(F.transform(x["a"], lambda i: F.transform(x["b"], lambda j: F.struct((i.cast("long") * base + j).alias("k"), F.lit(1).cast("long").alias("m")))))
+    out = out.select(
+        "sid", "passage", "n", "ok", F.size("a").cast("long").alias("n_a"), F.size("b").cast("long").alias("n_b"), F.size("parts").cast("long").alias("n_groups"),
+        links.alias("n_links"), F.array_join(F.transform("parts", lambda x: F.concat_ws("|", text(x["a"]), text(x["b"]))), ";").alias("groups"), "parts",
+    )
+    few = F.col("n_links") <= listed
+    return out.select("*", F.when(few, F.flatten(F.transform("parts", key))).alias("pairs")).withColumn("parts", F.when(~few, F.col("parts")))
+
+
+def counted_pairs(passages: DataFrame, base: int, small: int = SMALL) -> DataFrame:
+    """sid, k, m of the passages with many links: ids of a large group are counted before they are paired."""
+    groups = passages.where("parts is not null").select("sid", F.posexplode("parts").alias("g", "x")).select("sid", "g", "x.a", "x.b")
+    size = F.size("a").cast("long") * F.size("b")
+    listed = groups.where(size <= small).select("sid", F.explode("a").alias("a"), "b").select("sid", "a", F.explode("b").alias("b"), F.lit(1).cast("long").alias("m"))
+    sides = [groups.where(size > small).select("sid", "g", F.explode(s).alias(s)).groupBy("sid", "g", s).agg(F.count(F.lit(1)).alias(f"n_{s}")) for s in "ab"]
     large = sides[0].join(sides[1], ["sid", "g"]).select("sid", "a", "b", (F.col("n_a") * F.col("n_b")).alias("m"))
-    pairs = small.unionByName(large).select("sid", (F.col("a").cast("long") * PAIR + F.col("b")).alias("k"), "m")
-    pairs = pairs.groupBy("sid", "k").agg(F.sum("m").alias("m")).groupBy("sid").agg(F.collect_list(F.struct("k", "m")).alias("pairs"))
-    return whole.join(pairs, "sid")
+    return listed.unionByName(large).groupBy("sid", (F.col("a").cast("long") * base + F.col("b")).alias("k")).agg(F.sum("m").alias("m"))
 
 
 @dataclass
 class Alignment:
-    """documents: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256. passages: passage, n, a, a_len, b,
-    b_len, n_a, n_b, n_groups, n_links, groups. pairs: a, b, documents, is_best. Tables in the shared folder."""
+    """documents: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256. passages: passage, n, ok,
+    n_a, n_b, n_groups, n_links, groups. pairs: a, b, documents, is_best. Tables in the shared folder."""
 
     documents: DataFrame
     passages: DataFrame
@@ -156,84 +169,109 @@ class Alignment:
 
 
 _SUMS = ("n_a", "n_b", "n_groups", "n_links")
+#: One row per document is put together in a hash table, which has as many entries as a task has documents.
+_ROWWISE = {"spark__sql__objectHashAggregate__sortBased__fallbackThreshold": str(1 << 20)}
+#: What a table's making has shuffled goes when it is written.
+_CLEAN = {"spark__sql__classic__shuffleDependency__fileCleanup__enabled": "true"}
+#: Passages travel once, as one column, for all three uses, and are grouped as they are sorted.
+_SORTED = {"spark__sql__optimizer__nestedSchemaPruning__enabled": "false", "spark__sql__requireAllClusterKeysForCoPartition": "false", "spark__sql__execution__useObjectHashAggregateExec": "false"}
 
 
-def align(docs: DataFrame, path_a: str, path_b: str, doc_id: str = "doc_id", text: str = "text", hot: int = HOT) -> Alignment:
+def align(docs: DataFrame, path_a: str, path_b: str, doc_id: str = "doc_id", text: str = "text", hot: int = HOT, listed: int = LISTED, small: int = SMALL) -> Alignment:
     """Aligns the tokens of all documents."""
+    ship(docs.sparkSession)
+    with _settings(docs.sparkSession, **_CLEAN):
+        return _align(docs, path_a, path_b, doc_id, text, hot, listed, small)
+
+
+def _align(docs: DataFrame, path_a: str, path_b: str, doc_id: str, text: str, hot: int, listed: int, small: int) -> Alignment:
     spark = docs.sparkSession
-    ship(spark)
     scratch, paths = Scratch(spark, "token-alignment"), (path_a, path_b)
+    base = load(*paths)[1].get_piece_size()
+    narrow = "int" if (max(load(*paths)[2]) + 1) * base < 1 << 31 else "long"
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     spaced = F.concat(F.lit(" "), F.col("text"))
     cut = F.when(F.col("text") != "", F.split(spaced, CUT) if cuts_hold(*paths) else F.array(spaced))
     found = rows.select(F.explode(cut).alias("passage")).groupBy("passage").agg(F.count(F.lit(1)).alias("n"))
     found = found.select(F.monotonically_increasing_id().alias("sid"), "passage", "n")
-    ints = "array<int>"
-    encoded = scratch.put("encoded", found.mapInArrow(lambda x: _encode(x, paths), f"sid long, passage string, n long, ok boolean, a {ints}, a_len {ints}, b {ints}, b_len {ints}"))
-    with _settings(spark, spark__sql__requireAllClusterKeysForCoPartition="false"):
-        aligned = scratch.put("aligned", align_passages(encoded))
-    known = encoded.select("sid", "passage", "n", "ok").join(aligned, "sid", "left")
-    known = known.withColumn("keys", F.coalesce(F.transform("pairs", lambda p: p.k), F.array().cast("array<long>")))
-    short = (F.octet_length("passage") <= HOT_BYTES) & (F.coalesce(F.octet_length("groups"), F.lit(0)) <= HOT_TEXT) & (F.size("keys") <= HOT_PAIRS)
-    known = scratch.put("passages", known.withColumn("short", short))
+    ids, lens = "array<int>", "array<smallint>"
+    encoded = scratch.put("encoded", found.mapInArrow(lambda x: _encode(x, paths), f"sid long, x struct<passage: string, n: long, ok: boolean, a: {ids}, a_len: {lens}, b: {ids}, b_len: {lens}>"))
+    with _settings(spark, **_SORTED):
+        broken = encoded.where("not x.ok").select("sid", "x.passage", "x.n", "x.ok").withColumns({c: F.lit(0).cast("long") for c in _SUMS})
+        known = scratch.put("passages", align_passages(encoded, base, listed).unionByName(broken, allowMissingColumns=True))
+    scratch.drop(encoded)
+    short = (F.octet_length("passage") <= HOT_BYTES) & F.col("pairs").isNotNull() & (F.octet_length("groups") <= HOT_TEXT) & (F.size("pairs") <= HOT_PAIRS)
     # the least count above which no more than ``hot`` short passages lie
-    least = [2**i for i in range(48)]
-    above = known.agg(F.count(F.lit(1)), *[F.count_if(F.col("short") & (F.col("n") >= x)) for x in least]).first()
-    least = next(x for x, n in zip(least, above[1:], strict=True) if n <= hot)
-    is_hot = F.col("short") & (F.col("n") >= least)
-    told = ["passage", "sid", "ok", *_SUMS, "groups", "keys"]
-    top = F.broadcast(known.where(is_hot).select(*told))
-    has_rare = above[0] > above[1:][[2**i for i in range(48)].index(least)]
-
-    dealt = rows.repartition("row").select("row", "doc_id", F.posexplode_outer(cut).alias("pos", "passage"))
+    least = [2**i for i in range(48)] if hot < HOT else [*range(1, 64), *[2**i for i in range(6, 48)]]
+    above = known.agg(F.sum(F.octet_length("passage") * F.col("n")), F.count(F.lit(1)), F.count("parts"), *[F.count_if(short & (F.col("n") >= x)) for x in least]).first()
+    text_bytes, n_known, n_long = int(above[0] or 0), above[1], above[2]
+    at = next(i for i, n in enumerate(above[3:]) if n <= hot)
+    is_hot = F.coalesce(short, F.lit(False)) & (F.col("n") >= least[at])
+    has_rare = n_known > above[3 + at]
+    more = scratch.put("counted", counted_pairs(known, base, small)) if n_long else None
+    keys = F.array_distinct(F.transform("pairs", lambda p: p["k"].cast(narrow)))
+    # hot passages by falling count, so that the numbers that documents keep are mostly small; bounded by ``hot`` rows
+    place = F.row_number().over(Window.orderBy(F.desc("n"), "sid"))
+    top = scratch.put("hot", known.where(is_hot).withColumn("place", place).select("sid", "place", "passage", *[F.col(c).cast("int").alias(c) for c in _SUMS], "groups", keys.alias("keys")))
+    # what a rare passage's groups tell need not travel; those of a broken one are null, and many pairs are listed
+    rare = known.where(~is_hot).select(F.col("sid").alias("place"), "passage", "groups")
+    if more is not None:
+        own = more.groupBy(F.col("sid").alias("place")).agg(F.collect_list(F.col("k").cast(narrow)).alias("own"))
+        rare = rare.join(own, "place", "left")
+    dealt = rows.repartition(max(1, -(-text_bytes // TASK_BYTES)), "row").select("row", "doc_id", F.posexplode_outer(cut).alias("pos", "passage"))
 
     def gathered(met: DataFrame, kind: str) -> DataFrame:
         sums = [F.sum(c).alias(f"{kind}_{c}") for c in _SUMS]
-        here = F.col("sid").isNotNull()
-        parts = F.collect_list(F.when(here & F.col("ok"), F.struct("pos", "groups"))).alias(f"{kind}_groups")
-        keys = F.array_distinct(F.flatten(F.collect_list("keys"))).alias(f"{kind}_keys")
-        more = [F.first("doc_id").alias("doc_id")] if kind == "hot" else []
-        return met.groupBy("row").agg(*more, F.bool_and("ok").alias(f"{kind}_ok"), F.count_if(F.col("pos").isNotNull()).alias(f"{kind}_any"), *sums, parts, keys, F.collect_list("sid").alias(f"{kind}_sids"))
+        all_ = F.collect_list(F.when(F.col("place").isNotNull(), F.struct("pos", "groups", "place", "keys"))).alias(kind)
+        return met.groupBy("row").agg(F.first("doc_id").alias(f"{kind}_id"), F.count("pos").alias(f"{kind}_any"), *sums, all_)
 
-    per = gathered(dealt.join(top, "passage", "left"), "hot")
+    per = gathered(dealt.join(F.broadcast(top.drop("sid")), "passage", "left"), "hot")
     kinds = ["hot"]
     if has_rare:
         kinds.append("rare")
-        rare = dealt.where(F.col("passage").isNotNull()).join(top.select("passage"), "passage", "left_anti")
-        rare = rare.select("row", "pos", "passage").join(known.where(~is_hot).select(*told).hint("merge"), "passage")
-        per = per.join(gathered(rare, "rare"), "row", "left")
-    valid = (F.col("hot_any") > 0) & F.coalesce(F.col("hot_ok"), F.lit(True))
-    valid = valid & F.coalesce(F.col("rare_ok"), F.lit(True)) if has_rare else valid
-    total = [F.when(F.col("valid"), sum((F.coalesce(F.col(f"{k}_{c}"), F.lit(0)) for k in kinds), F.lit(0))).otherwise(0).cast("long").alias(c) for c in _SUMS]
-    empty = {k: [F.coalesce(f"{k}_{c}", F.array()) for c in ("groups", "keys", "sids")] for k in kinds} if has_rare else {"hot": [F.col(f"hot_{c}") for c in ("groups", "keys", "sids")]}
-    merged = F.concat(*[empty[k][0] for k in kinds])
-    digest = F.sha2(F.array_join(F.transform(F.sort_array(merged), lambda x: x.groups), ";"), 256)
-    keys = F.array_distinct(F.concat(*[empty[k][1] for k in kinds])) if has_rare else empty["hot"][1]
-    none = F.array().cast("array<long>")
-    per = per.withColumn("valid", valid).select(
-        "row", "doc_id", *total, F.when(F.col("valid"), digest).otherwise("").alias("groups_sha256"), F.when(F.col("valid"), keys).otherwise(none).alias("keys"),
-        *[F.when(F.col("valid"), empty[k][2]).otherwise(none).alias(f"{k}_sids") for k in kinds],
+        missed = dealt.join(F.broadcast(top.select("passage")), "passage", "left_anti").where(F.col("passage").isNotNull())
+        missed = missed.join(rare.hint("merge"), "passage").select("row", "doc_id", "pos", "place", "groups", *(["own"] if more is not None else [])).repartition(max(1, -(-text_bytes // TASK_BYTES)), "row")
+        parts = F.transform(F.split("groups", ";"), lambda g: F.struct(F.split(F.substring_index(g, "|", 1), ",").cast("array<int>").alias("a"), F.split(F.substring_index(g, "|", -1), ",").cast("array<int>").alias("b")))
+        missed = missed.withColumn("parts", parts)
+        add = lambda f: F.aggregate("parts", F.lit(0).cast("long"), lambda n, x: n + f(x).cast("long"))
+        size = {"n_a": lambda x: F.size(x["a"]), "n_b": lambda x: F.size(x["b"]), "n_groups": lambda x: F.lit(1), "n_links": lambda x: F.size(x["a"]).cast("long") * F.size(x["b"])}
+        key = lambda x: F.flatten(F.transform(x["a"], lambda i: F.transform(x["b"], lambda j: (i.cast("long") * base + j).cast(narrow))))
+        few = F.flatten(F.transform("parts", key))
+        missed = missed.withColumns({c: add(f) for c, f in size.items()})
+        missed = missed.withColumn("keys", F.when(F.col("own").isNotNull(), F.col("own")).otherwise(few) if more is not None else few)
+        per = per.join(gathered(missed, "rare"), "row", "left")
+    lists = F.concat(*[F.coalesce(k, F.array()) for k in kinds]) if has_rare else F.col("hot")
+    per = per.withColumn("all", F.sort_array(lists)).withColumn("valid", (F.col("hot_any") > 0) & ~F.exists("all", lambda x: x["groups"].isNull()))
+    sums = [F.when(F.col("valid"), sum((F.coalesce(F.col(f"{k}_{c}"), F.lit(0)) for k in kinds), F.lit(0))).otherwise(0).cast("long").alias(c) for c in _SUMS]
+    digest = F.sha2(F.array_join(F.transform("all", lambda x: x["groups"]), ";"), 256)
+    kept = lambda c, kind: F.when(F.col("valid"), c).otherwise(F.array().cast(f"array<{kind}>"))
+    places = lambda k: F.transform(F.coalesce(k, F.array()), lambda x: x["place"])
+    per = per.select(
+        "row", F.coalesce(*[F.col(f"{k}_id") for k in kinds]).alias("doc_id"), *sums, F.when(F.col("valid"), digest).otherwise("").alias("groups_sha256"),
+        kept(F.array_distinct(F.flatten(F.transform("all", lambda x: x["keys"]))), narrow).alias("keys"), *[kept(places(k), "int" if k == "hot" else "long").alias(k) for k in kinds],
     )
-    per = scratch.put("documents", per)
+    with _settings(spark, **_ROWWISE):
+        per = scratch.put("documents", per, compression="zstd", **{"parquet.dictionary.page.size": str(16 << 20)})
 
     pairs = per.select(F.explode("keys").alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("documents"))
-    a = F.floor(F.col("k") / PAIR).cast("int")
-    pairs = pairs.select("k", a.alias("a"), (F.col("k") % PAIR).cast("int").alias("b"), "documents")
-    best = F.max("documents").over(Window.partitionBy("a"))
-    pairs = scratch.put("pairs", pairs.withColumn("is_best", F.col("documents") == best))
-    met = known.select("sid", "n", "short", F.explode("pairs").alias("p")).select("sid", "n", "short", "p.k", "p.m").join(pairs.select("k", "documents", "is_best"), "k")
-    worth = met.groupBy("sid", "n", "short").agg(F.sum(F.when(F.col("is_best"), F.col("m")).otherwise(0)).alias("n_best"), F.sum(F.col("m") * F.col("documents")).alias("count_sum"))
+    pairs = pairs.select(F.col("k").cast("long").alias("k"), F.floor(F.col("k") / base).cast("int").alias("a"), (F.col("k") % base).cast("int").alias("b"), "documents")
+    pairs = scratch.put("pairs", pairs.withColumn("is_best", F.col("documents") == F.max("documents").over(Window.partitionBy("a"))))
+    counts = pairs.select("k", "documents", "is_best")
+    counts = F.broadcast(counts) if pairs.count() <= BROADCAST_PAIRS else counts.hint("merge")
+    met = known.where("pairs is not null").select("sid", F.explode("pairs").alias("p")).select("sid", "p.k", "p.m")
+    met = (met.unionByName(more.select("sid", "k", "m")) if more is not None else met).join(counts, "k")
+    worth = met.groupBy("sid").agg(F.sum(F.when(F.col("is_best"), F.col("m")).otherwise(0)).alias("n_best"), F.sum(F.col("m") * F.col("documents")).alias("count_sum"))
     worth = scratch.put("worth", worth)
-    summed = [F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum")]
-    gains = per.select("row", F.explode("hot_sids").alias("sid")).join(F.broadcast(worth.where(is_hot).select("sid", "n_best", "count_sum")), "sid").groupBy("row").agg(*summed)
+    total = [F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum")]
+    of_hot = F.broadcast(worth.join(top.select("sid", "place"), "sid").drop("sid"))
+    gains = per.select("row", F.explode("hot").alias("place")).join(of_hot, "place").groupBy("row").agg(*total)
     if has_rare:
-        more = per.select("row", F.explode("rare_sids").alias("sid")).join(worth.where(~is_hot).select("sid", "n_best", "count_sum").hint("merge"), "sid").groupBy("row").agg(*summed)
-        gains = gains.unionByName(more).groupBy("row").agg(*summed)
-    out = per.select("row", "doc_id", *_SUMS, "groups_sha256").join(gains, "row", "left")
+        of_rare = worth.join(top.select("sid"), "sid", "left_anti").withColumnRenamed("sid", "place")
+        gains = gains.unionByName(per.select("row", F.explode("rare").alias("place")).join(of_rare.hint("merge"), "place").groupBy("row").agg(*total)).groupBy("row").agg(*total)
     zero = F.lit(0).cast("long")
+    out = per.select("row", "doc_id", *_SUMS, "groups_sha256").join(gains, "row", "left")
     out = out.select("doc_id", *_SUMS, F.coalesce("n_best", zero).alias("n_best"), F.coalesce("count_sum", zero).alias("count_sum"), "groups_sha256")
-    passages = known.drop("keys", "short", "pairs").join(encoded.drop("passage", "n", "ok"), "sid")
-    return Alignment(out, passages, pairs.drop("k"))
+    return Alignment(out, known.drop("sid", "pairs", "parts"), pairs.drop("k"))
 
 
 def aligned_documents(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
