@@ -18,7 +18,7 @@ from ..operators import cluster, extract, gnn, graph, merge, metrics, propose, s
 from ..operators.bandjoin import global_ordinal
 from ..sources import alignments, bgzf, tables, variants, vcf_out
 from ..sources.schemas import CANDIDATES, PREDICTIONS, SIGNALS, names
-from ..sources.stages import shared_folder
+from ..sources.stages import StageTables, shared_folder
 from . import benchmarks
 from .adapters import SQL as TABLES
 from .adapters import adapter
@@ -452,6 +452,11 @@ def _nodes_v2(spark, sf_dir):
     return graph.nodes_v2(_cands(spark, sf_dir), _sigs(spark, sf_dir), adapter(spark, sf_dir, "extra"), 1000, 2000)
 
 
+def _stored_nodes(spark, sf_dir):
+    """The nodes as a table, for plans that use them several times."""
+    return StageTables(spark, temporary=True).put("nodes", _nodes_v2(spark, sf_dir))
+
+
 def _six(columns: list[str]) -> str:
     return "concat_ws(',', " + ", ".join(f"printf('%.6f', ({c})::double + 1e-9)" for c in columns) + ")"
 
@@ -500,7 +505,7 @@ def graph_nodes_v2(spark, sf_dir):
 
 @query(f"{_V2} select candidate_id, 0 as src, node_id::int as dst from n2 where node_id > 0 union all select candidate_id, node_id::int, 0 from n2 where node_id > 0", *_ALL)
 def star_edges(spark, sf_dir):
-    return graph.star_edges(_nodes_v2(spark, sf_dir))
+    return graph.star_edges(_stored_nodes(spark, sf_dir))
 
 
 @query(
@@ -517,7 +522,7 @@ def edges_v1(spark, sf_dir):
 
 @query(f"{_V2}, {_E2} select * from e2", *_ALL)
 def edges_v2(spark, sf_dir):
-    return graph.edges(_nodes_v2(spark, sf_dir), 2, 400)
+    return graph.edges(_stored_nodes(spark, sf_dir), 2, 400)
 
 
 @query(
@@ -595,7 +600,7 @@ def sage_layer(spark, sf_dir):
 @query(None)
 def gnn_predict(spark, sf_dir):
     """The full model with fixed weights on evidence graphs; tests compare it with the parts."""
-    c, n = _cands(spark, sf_dir), _nodes_v2(spark, sf_dir)
+    c, n = _cands(spark, sf_dir), _stored_nodes(spark, sf_dir)
     return gnn.predict(graph.graphs(c, n, graph.edges(n, 2, 400)), gnn.init_weights(18, 16, 7))
 
 
