@@ -12,8 +12,8 @@ then follows the number of distinct passages, which grows slower than the corpus
 Distinct passages are encoded; their tokens are exploded with positions; windowed sums of lengths give ends; an
 equi-join on passage and end gives the cuts, whose running number is the group; each cut and the one before it span the
 tokens of a group, and a group's two sides make its links, counted by id where a group is large. Documents meet their
-passages in a join: the ``HOT`` most frequent short ones by broadcast, all others by shuffle. How many documents hold a
-pair follows from each document's distinct pairs.
+passages in a join: the ``HOT`` most frequent short ones by broadcast, all others by shuffle. Arrow batches put a document's
+groups together from its passages. How many documents hold a pair follows from each document's distinct pairs.
 
 Defined results: texts that are null, empty or not given back byte for byte by the tokens of A or B have no tokens: zeros
 and an empty digest, and their links are not counted; special tokens' strings are plain text; repeated rows and repeated
@@ -26,9 +26,11 @@ table first.
 from __future__ import annotations
 
 import contextlib
+import hashlib
 import os
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -41,6 +43,8 @@ HOT, HOT_BYTES, HOT_TEXT, HOT_PAIRS = 500_000, 64, 256, 32
 LISTED, SMALL = 256, 64
 #: Text bytes that a task puts together at a time, and pairs of ids whose counts are broadcast at most.
 TASK_BYTES, BROADCAST_PAIRS = 8 << 20, 1_000_000
+#: Counts of a passage or document.
+_SUMS = ("n_a", "n_b", "n_groups", "n_links")
 #: Where every tokenizer with the properties that ``cuts_hold`` asks for starts anew.
 CUT = r"(?<=[\p{L}\p{N}\p{P}\p{S}])(?=[ \n][\p{L}\p{N}\p{P}\p{S}])"
 #: The byte-level pattern's alternatives, as the library names them, all end before white space that follows other characters.
@@ -158,6 +162,58 @@ def counted_pairs(passages: DataFrame, base: int, small: int = SMALL) -> DataFra
     return listed.unionByName(large).groupBy("sid", (F.col("a").cast("long") * base + F.col("b")).alias("k")).agg(F.sum("m").alias("m"))
 
 
+@dataclass
+class _Hot:
+    """The hot passages by their numbers: groups' texts, sums, and pairs, those of passage i at start[i] to start[i + 1]."""
+
+    groups: pa.Array
+    sums: np.ndarray
+    keys: np.ndarray
+    start: np.ndarray
+
+
+def _table(top: DataFrame) -> _Hot:
+    """Number 0 is no passage."""
+    rows = top.orderBy("place").select(*_SUMS, "groups", "keys").toArrow().combine_chunks()
+    one = lambda c: pa.concat_arrays(rows.column(c).chunks) if rows.num_rows else pa.array([], rows.schema.field(c).type)
+    keys = one("keys")
+    sums = np.stack([one(c).to_numpy(zero_copy_only=False) for c in _SUMS], axis=1).reshape(-1, 4).astype(np.int64)
+    size = keys.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    return _Hot(one("groups"), np.concatenate([np.zeros((1, 4), np.int64), sums]), keys.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0, 0], np.cumsum(size)]).astype(np.int64))
+
+
+def _put_together(batches, table, base: int, narrow: str):
+    """Documents from their passages in order: sums, the digest of all groups, distinct pairs, and the rare passages."""
+    hot, kind = table.value, pa.int32() if narrow == "int" else pa.int64()
+    told = ["", *hot.groups.to_pylist()]
+    for batch in batches:
+        out = []
+        places, rares = batch.column(2), batch.column(3)
+        for i in range(batch.num_rows):
+            own, rare = places[i].values.to_numpy(zero_copy_only=False), rares[i].as_py() or []
+            texts, sums, more = [told[p] for p in own.tolist()], hot.sums[own].sum(axis=0), []
+            for x in rare:
+                texts[x["pos"]] = x["groups"]
+                if x["groups"] is None:
+                    continue
+                sides = [[[int(t) for t in side.split(",")] for side in g.split("|")] for g in x["groups"].split(";")]
+                sums = sums + [sum(len(a) for a, _ in sides), sum(len(b) for _, b in sides), len(sides), sum(len(a) * len(b) for a, b in sides)]
+                more += x["own"] or [a * base + b for u, v in sides for a in u for b in v]
+            valid = len(own) > 0 and None not in texts and (len(own) > 1 or bool(texts[0]))
+            if not valid:
+                out.append((False, 0, 0, 0, 0, "", [], []))
+                continue
+            seen = np.unique(own)
+            begin, size = hot.start[seen], hot.start[seen + 1] - hot.start[seen]
+            at = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
+            keys = np.unique(np.concatenate([hot.keys[at].astype(np.int64), np.array(more, np.int64)]))
+            out.append((True, *sums.tolist(), hashlib.sha256(";".join(texts).encode()).hexdigest(), keys, [x["place"] for x in rare]))
+        cols = list(zip(*out, strict=True)) if out else [[]] * 8
+        types = [pa.bool_(), *[pa.int64()] * 4, pa.string(), pa.list_(kind), pa.list_(pa.int64())]
+        names = ["row", "doc_id", "valid", *_SUMS, "groups_sha256", "keys", "rare"]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, t) for c, t in zip(cols, types, strict=True)]], names)
+
+
 @dataclass
 class Alignment:
     """documents: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256. passages: passage, n, ok,
@@ -168,7 +224,6 @@ class Alignment:
     pairs: DataFrame
 
 
-_SUMS = ("n_a", "n_b", "n_groups", "n_links")
 #: One row per document is put together in a hash table, which has as many entries as a task has documents.
 _ROWWISE = {"spark__sql__objectHashAggregate__sortBased__fallbackThreshold": str(1 << 20)}
 #: What a table's making has shuffled goes when it is written.
@@ -213,64 +268,52 @@ def _align(docs: DataFrame, path_a: str, path_b: str, doc_id: str, text: str, ho
     # hot passages by falling count, so that the numbers that documents keep are mostly small; bounded by ``hot`` rows
     place = F.row_number().over(Window.orderBy(F.desc("n"), "sid"))
     top = scratch.put("hot", known.where(is_hot).withColumn("place", place).select("sid", "place", "passage", *[F.col(c).cast("int").alias(c) for c in _SUMS], "groups", keys.alias("keys")))
-    # what a rare passage's groups tell need not travel; those of a broken one are null, and many pairs are listed
+    dealt = rows.repartition(max(1, -(-text_bytes // TASK_BYTES)), "row").select("row", "doc_id", F.posexplode_outer(cut).alias("pos", "passage"))
+    met = dealt.join(F.broadcast(top.select("passage", "place")), "passage", "left")
+    # a document's passages in order: the number of a hot one, 0 for a rare one, which follows by its place and its bytes
+    packed = F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.coalesce("place", F.lit(0)).cast("long"))
+    rest = F.when(F.col("place").isNull() & F.col("pos").isNotNull(), F.struct("pos", "passage"))
+    met = met.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list(packed)).alias("places"), F.collect_list(rest).alias("rest"))
+    numbers = F.transform("places", lambda x: x.bitwiseAND((1 << 32) - 1).cast("int"))
+    with _settings(spark, **_ROWWISE):
+        met = scratch.put("met", met.select("row", "doc_id", numbers.alias("places"), "rest"), compression="zstd", **{"parquet.dictionary.page.size": str(16 << 20)})
+    parts = max(1, -(-text_bytes // TASK_BYTES))
+    # of a rare passage the text of its groups travels, null for a broken one, and its pairs only where they are many
     rare = known.where(~is_hot).select(F.col("sid").alias("place"), "passage", "groups")
     if more is not None:
-        own = more.groupBy(F.col("sid").alias("place")).agg(F.collect_list(F.col("k").cast(narrow)).alias("own"))
+        own = more.groupBy(F.col("sid").alias("place")).agg(F.collect_list("k").alias("own"))
         rare = rare.join(own, "place", "left")
-    dealt = rows.repartition(max(1, -(-text_bytes // TASK_BYTES)), "row").select("row", "doc_id", F.posexplode_outer(cut).alias("pos", "passage"))
-
-    def gathered(met: DataFrame, kind: str) -> DataFrame:
-        sums = [F.sum(c).alias(f"{kind}_{c}") for c in _SUMS]
-        all_ = F.collect_list(F.when(F.col("place").isNotNull(), F.struct("pos", "groups", "place", "keys"))).alias(kind)
-        return met.groupBy("row").agg(F.first("doc_id").alias(f"{kind}_id"), F.count("pos").alias(f"{kind}_any"), *sums, all_)
-
-    per = gathered(dealt.join(F.broadcast(top.drop("sid")), "passage", "left"), "hot")
-    kinds = ["hot"]
-    if has_rare:
-        kinds.append("rare")
-        missed = dealt.join(F.broadcast(top.select("passage")), "passage", "left_anti").where(F.col("passage").isNotNull())
-        missed = missed.join(rare.hint("merge"), "passage").select("row", "doc_id", "pos", "place", "groups", *(["own"] if more is not None else [])).repartition(max(1, -(-text_bytes // TASK_BYTES)), "row")
-        parts = F.transform(F.split("groups", ";"), lambda g: F.struct(F.split(F.substring_index(g, "|", 1), ",").cast("array<int>").alias("a"), F.split(F.substring_index(g, "|", -1), ",").cast("array<int>").alias("b")))
-        missed = missed.withColumn("parts", parts)
-        add = lambda f: F.aggregate("parts", F.lit(0).cast("long"), lambda n, x: n + f(x).cast("long"))
-        size = {"n_a": lambda x: F.size(x["a"]), "n_b": lambda x: F.size(x["b"]), "n_groups": lambda x: F.lit(1), "n_links": lambda x: F.size(x["a"]).cast("long") * F.size(x["b"])}
-        key = lambda x: F.flatten(F.transform(x["a"], lambda i: F.transform(x["b"], lambda j: (i.cast("long") * base + j).cast(narrow))))
-        few = F.flatten(F.transform("parts", key))
-        missed = missed.withColumns({c: add(f) for c, f in size.items()})
-        missed = missed.withColumn("keys", F.when(F.col("own").isNotNull(), F.col("own")).otherwise(few) if more is not None else few)
-        per = per.join(gathered(missed, "rare"), "row", "left")
-    lists = F.concat(*[F.coalesce(k, F.array()) for k in kinds]) if has_rare else F.col("hot")
-    per = per.withColumn("all", F.sort_array(lists)).withColumn("valid", (F.col("hot_any") > 0) & ~F.exists("all", lambda x: x["groups"].isNull()))
-    sums = [F.when(F.col("valid"), sum((F.coalesce(F.col(f"{k}_{c}"), F.lit(0)) for k in kinds), F.lit(0))).otherwise(0).cast("long").alias(c) for c in _SUMS]
-    digest = F.sha2(F.array_join(F.transform("all", lambda x: x["groups"]), ";"), 256)
-    kept = lambda c, kind: F.when(F.col("valid"), c).otherwise(F.array().cast(f"array<{kind}>"))
-    places = lambda k: F.transform(F.coalesce(k, F.array()), lambda x: x["place"])
-    per = per.select(
-        "row", F.coalesce(*[F.col(f"{k}_id") for k in kinds]).alias("doc_id"), *sums, F.when(F.col("valid"), digest).otherwise("").alias("groups_sha256"),
-        kept(F.array_distinct(F.flatten(F.transform("all", lambda x: x["keys"]))), narrow).alias("keys"), *[kept(places(k), "int" if k == "hot" else "long").alias(k) for k in kinds],
-    )
+    else:
+        rare = rare.withColumn("own", F.lit(None).cast("array<long>"))
+    missed = met.select("row", F.explode("rest").alias("x")).select("row", "x.pos", "x.passage").join(rare.hint("merge"), "passage")
+    missed = missed.select("row", "pos", "place", "groups", "own").repartition(parts, "row").groupBy("row").agg(F.collect_list(F.struct("pos", "place", "groups", "own")).alias("rare"))
+    both = met.select("row", "doc_id", "places").repartition(parts, "row").join(missed, "row", "left") if has_rare else met.select("row", "doc_id", "places", F.lit(None).cast("array<struct<pos:int,place:long,groups:string,own:array<long>>>").alias("rare"))
+    # the table that all tasks hold: at most ``hot`` passages
+    table = spark.sparkContext.broadcast(_table(top))
+    schema = f"row long, doc_id long, valid boolean, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, keys array<{narrow}>, rare array<long>"
     with _settings(spark, **_ROWWISE):
-        per = scratch.put("documents", per, compression="zstd", **{"parquet.dictionary.page.size": str(16 << 20)})
+        put_together = both.mapInArrow(lambda batches: _put_together(batches, table, base, narrow), schema)
+        per = scratch.put("documents", put_together, compression="zstd", **{"parquet.dictionary.page.size": str(16 << 20)})
 
     pairs = per.select(F.explode("keys").alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("documents"))
     pairs = pairs.select(F.col("k").cast("long").alias("k"), F.floor(F.col("k") / base).cast("int").alias("a"), (F.col("k") % base).cast("int").alias("b"), "documents")
     pairs = scratch.put("pairs", pairs.withColumn("is_best", F.col("documents") == F.max("documents").over(Window.partitionBy("a"))))
     counts = pairs.select("k", "documents", "is_best")
     counts = F.broadcast(counts) if pairs.count() <= BROADCAST_PAIRS else counts.hint("merge")
-    met = known.where("pairs is not null").select("sid", F.explode("pairs").alias("p")).select("sid", "p.k", "p.m")
-    met = (met.unionByName(more.select("sid", "k", "m")) if more is not None else met).join(counts, "k")
-    worth = met.groupBy("sid").agg(F.sum(F.when(F.col("is_best"), F.col("m")).otherwise(0)).alias("n_best"), F.sum(F.col("m") * F.col("documents")).alias("count_sum"))
+    held = known.where("pairs is not null").select("sid", F.explode("pairs").alias("p")).select("sid", "p.k", "p.m")
+    held = (held.unionByName(more.select("sid", "k", "m")) if more is not None else held).join(counts, "k")
+    worth = held.groupBy("sid").agg(F.sum(F.when(F.col("is_best"), F.col("m")).otherwise(0)).alias("n_best"), F.sum(F.col("m") * F.col("documents")).alias("count_sum"))
     worth = scratch.put("worth", worth)
     total = [F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum")]
     of_hot = F.broadcast(worth.join(top.select("sid", "place"), "sid").drop("sid"))
-    gains = per.select("row", F.explode("hot").alias("place")).join(of_hot, "place").groupBy("row").agg(*total)
+    gains = met.select("row", F.explode("places").alias("place")).join(of_hot, "place").groupBy("row").agg(*total)
     if has_rare:
         of_rare = worth.join(top.select("sid"), "sid", "left_anti").withColumnRenamed("sid", "place")
         gains = gains.unionByName(per.select("row", F.explode("rare").alias("place")).join(of_rare.hint("merge"), "place").groupBy("row").agg(*total)).groupBy("row").agg(*total)
     zero = F.lit(0).cast("long")
-    out = per.select("row", "doc_id", *_SUMS, "groups_sha256").join(gains, "row", "left")
-    out = out.select("doc_id", *_SUMS, F.coalesce("n_best", zero).alias("n_best"), F.coalesce("count_sum", zero).alias("count_sum"), "groups_sha256")
+    out = per.select("row", "doc_id", "valid", *_SUMS, "groups_sha256").join(gains, "row", "left")
+    of = lambda c: F.when(F.col("valid"), F.coalesce(c, zero)).otherwise(zero).alias(c)
+    out = out.select("doc_id", *_SUMS, of("n_best"), of("count_sum"), "groups_sha256")
     return Alignment(out, known.drop("sid", "pairs", "parts"), pairs.drop("k"))
 
 
