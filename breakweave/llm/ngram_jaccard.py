@@ -18,15 +18,17 @@ Two documents link when 100 * |A and B| >= 80 * |A or B| for their sets of disti
    outside the tile's main component meet the blocks of their own and the neighbouring bands, compare only across
    components by bitmap, and the survivors are decided exactly. Members that are already connected need no further
    comparison for components, which keeps groups of near copies linear in their size.
-5. All links lie within components. Where links are counted, the members of each component are cut into blocks of
-   bounded size, and every two blocks of a component meet in one task that decides all their pairs by the exact
-   overlap and gives one count per member. That work grows with the square of a component's size, its rows don't.
+5. All links lie within components. Where links are counted, a component of up to ``BLOCK`` classes is decided by one
+   task. The members of a larger one are written as differences to a head, the shingles that it lacks and those it
+   adds: the overlap of two follows from the differences, and their numbers alone bound it from both sides. Members of
+   like numbers form a cell; pairs of cells that the bounds settle are counted by multiplication. Only blocks of cells that
+   are not settled meet, with differences in place of whole arrays, and give one count per member.
 
 A shingle, a star's head or a band that very many rows share is dealt over several tasks (``spread_join``, and pairs of
 block groups in step 4).
 
 Defined results: null and empty text and text without words have size 0 and link with nothing; rows that share a
-doc_id count as linked, null ids link with nothing; an empty table gives an empty table; a very long text is a step by
+doc_id count as one component, null ids link with nothing, n_links counts classes of equal sets whatever their ids; an empty table gives an empty table; a very long text is a step by
 itself and needs some 40 times its bytes; clashing or extra columns are ignored.
 """
 
@@ -49,7 +51,7 @@ FREQUENT, MOST_FREQUENT, ROUNDS = 2048, 1 << 18, 2
 #: Members of a block of a residual tile, tiles that are small enough for a list of their members, tiles whose pairs are
 #: looked at without bitmaps, and blocks that travel together.
 BLOCK, SMALL, TINY, GROUP = 256, 64, 16, 16
-#: Shingles of a block whose links are counted, on average.
+#: Shingles of a component, or differences of a block, beyond which links are counted by more than one block.
 BLOCK_VALUES = 1 << 19
 
 
@@ -240,15 +242,16 @@ def settled_prefixes(scratch: Scratch, rows: DataFrame, heads: DataFrame, heads_
     return lead, shared
 
 
-def bodies(docs: DataFrame, k: int = 5) -> DataFrame:
-    """(doc_id, body): the sorted shingle hashes of each document with words."""
+def bodies(docs: DataFrame, k: int = 5, digests: bool = False) -> DataFrame:
+    """(doc_id, body): the sorted shingle hashes of each document with words; with ``digests`` h1 and h2 of the set too."""
 
     def run(piece):
         values, at = _sets(piece, k)
         own = [values[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
-        return pa.RecordBatch.from_arrays([piece.column(0), pa.array(own, pa.binary())], ["doc_id", "body"])
+        more = [pa.array(x) for x in _digest(values, at)] if digests else []
+        return pa.RecordBatch.from_arrays([piece.column(0), pa.array(own, pa.binary()), *more], ["doc_id", "body", *["h1", "h2"][: len(more)]])
 
-    return docs.mapInArrow(by_steps("text", run), "doc_id long, body binary").where("length(body) > 0")
+    return docs.mapInArrow(by_steps("text", run), "doc_id long, body binary" + ", h1 long, h2 long" * digests).where("length(body) > 0")
 
 
 def fits(n_a, n_b, percent: int):
@@ -414,63 +417,230 @@ def residual_pairs(scratch: Scratch, tiles: DataFrame, comps: DataFrame, sets: D
     return found.join(seen, ["a", "b"], "left_anti")
 
 
-def _links_between(lhs, rhs, percent: int):
-    """Ids of both blocks and how many ids of the other block each links with; of one block alone if ``rhs`` is null."""
+def cell(x: np.ndarray) -> np.ndarray:
+    """The least number of the cell that holds x: cells hold one number each up to 31, then a sixteenth of a power of two."""
+    shift = np.maximum(np.frexp(x.astype(np.float64))[1] - 5, 0)
+    return (x >> shift) << shift
+
+
+def settled(n_head: int, m: int, d: int, ms: np.ndarray, ds: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Whether all pairs of a set of cell (m, d) with sets of the cells (ms, ds) link, and whether none does.
+
+    A set of cell (m, d) lacks m shingles of the head's n_head and has d that the head hasn't. Two sets share at least
+    what neither lacks, and at most the head but for the larger lack, with the smaller number of added ones.
+    """
+    last = lambda x: x + (1 << np.maximum(np.frexp(np.asarray(x, np.float64))[1].astype(np.int64) - 5, 0)) - 1
+    m_last, d_last, ms_last, ds_last = last(m), last(d), last(ms), last(ds)
+    least, sizes = n_head - m_last - ms_last, 2 * n_head - m_last - ms_last + d_last + ds_last
+    most = n_head - np.maximum(m, ms) + np.minimum(d_last, ds_last)
+    return (100 + percent) * least >= percent * sizes, (100 + percent) * most < percent * (2 * n_head - m_last - ms_last + d + ds)
+
+
+def _consensus(batches):
+    """The shingles that more than half of some members of a component hold."""
+    for batch in batches:
+        heads = []
+        for own in batch.column(1):
+            values, n = np.unique(np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in own.values]), return_counts=True)
+            heads.append(values[2 * n > len(own.values)].tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(heads, pa.binary())], ["component", "head"])
+
+
+def _differences(batches):
+    """How many shingles of the head a member lacks (m) and how many it adds (d), and both kinds as one sorted array."""
+    for batch in batches:
+        c = {x: batch.column(i) for i, x in enumerate(batch.schema.names)}
+        sizes, diffs = [], []
+        for body, head in zip(c["body"], c["head"], strict=True):
+            x, h = np.frombuffer(body.as_buffer(), np.uint64), np.frombuffer(head.as_buffer(), np.uint64)
+            diff = np.setxor1d(x, h, assume_unique=True)
+            both = (len(x) + len(h) - len(diff)) // 2
+            sizes.append((len(h), len(h) - both, len(x) - both))
+            diffs.append(diff.tobytes())
+        n_head, m, d = np.array(sizes, np.int64).reshape(-1, 3).T
+        cols = [*(c[x] for x in ("component", "doc_id", "h1", "h2")), pa.array(n_head), pa.array(m), pa.array(d), pa.array(cell(m)), pa.array(cell(d)), pa.array(diffs, pa.binary())]
+        yield pa.RecordBatch.from_arrays(cols, ["component", "doc_id", "h1", "h2", "n_head", "m", "d", "cell_m", "cell_d", "body"])
+
+
+PLAN = "component long, cell_m long, cell_d long, rows long, grp int, parts int, certain long, open boolean, other int, other_parts int"
+
+
+def _plan(percent: int, block: int, block_values: int):
+    """Of each component's cells: how many links are certain, which group of blocks holds a cell, and which groups must meet.
+
+    Consecutive cells make up a group of one block; a cell that is too large for one is a group of several parts. There are
+    as many cells as sizes of differences, not as members: each of two axes has at most 16 for each power of two.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                own = batch.column(2)[k].values
+                m, d, rows, values = (np.asarray(own.field(x), np.int64) for x in ("cell_m", "cell_d", "rows", "values"))
+                order = np.lexsort((m, m + d))
+                m, d, rows, values = m[order], d[order], rows[order], values[order]
+                need = np.maximum(-(-rows // block), -(-values // block_values)).astype(np.int32)
+                grp, at, held, used = np.zeros(len(m), np.int32), -1, block, 0
+                for i in range(len(m)):
+                    if need[i] > 1 or held + rows[i] > block or used + values[i] > block_values:
+                        at, held, used = at + 1, 0, 0
+                    # a group of several parts takes no other cell
+                    held, used = (block, 0) if need[i] > 1 else (held + rows[i], used + values[i])
+                    grp[i] = at
+                parts = np.maximum.reduceat(need, np.flatnonzero(np.diff(grp, prepend=-1)))
+                certain, is_open, meets = np.zeros(len(m), np.int64), np.zeros(len(m), bool), set()
+                for i in range(len(m)):
+                    every, none = settled(batch.column(1)[k].as_py(), m[i], d[i], m, d, percent)
+                    certain[i] = rows[every].sum() - every[i]
+                    unknown = ~every & ~none
+                    unknown[i] &= rows[i] > 1
+                    is_open[i] = unknown.any()
+                    meets.update((int(grp[i]), int(g)) for g in np.unique(grp[unknown]) if g >= grp[i])
+                none_of = lambda n, t: pa.nulls(n, t)
+                g, h = np.array(sorted(meets), np.int32).reshape(-1, 2).T
+                shape = pa.schema([("component", pa.int64()), ("cell_m", pa.int64()), ("cell_d", pa.int64()), ("rows", pa.int64()), ("grp", pa.int32()), ("parts", pa.int32()), ("certain", pa.int64()), ("open", pa.bool_()), ("other", pa.int32()), ("other_parts", pa.int32())])
+                name = lambda n: pa.array(np.full(n, batch.column(0)[k].as_py(), np.int64))
+                n = len(m)
+                yield pa.RecordBatch.from_arrays([name(n), *map(pa.array, (m, d, rows, grp, parts[grp], certain, is_open)), none_of(n, pa.int32()), none_of(n, pa.int32())], schema=shape)
+                n = len(g)
+                yield pa.RecordBatch.from_arrays([name(n), *[none_of(n, pa.int64())] * 3, pa.array(g), pa.array(parts[g]), none_of(n, pa.int64()), none_of(n, pa.bool_()), pa.array(h), pa.array(parts[h])], schema=shape)
+
+    return run
+
+
+def _links_between(n_head: int, lhs, rhs, percent: int):
+    """Keys of both blocks' members and how many of the other block each links with, of one block alone if ``rhs`` is null.
+
+    Pairs that the sizes of the differences settle are left out; they are counted by cells.
+    """
 
     def members(row):
-        ids, values = np.asarray(row.values.field("doc_id"), np.int64), [np.frombuffer(x.as_buffer(), np.uint64) for x in row.values.field("body")]
-        order = np.argsort(ids, kind="stable")
-        values = [values[i] for i in order]
-        return ids[order], values, np.cumsum([0, *[len(v) for v in values]])
-
-    a_ids, a_values, a_at = members(lhs)
-    b_ids, b_values, b_at = members(rhs) if rhs.is_valid else (a_ids, [], a_at)
-    known, places = np.unique(np.concatenate([*a_values, *b_values]), return_inverse=True)
-    of_b = places[a_at[-1] :] if rhs.is_valid else places
-    held, b_n = np.zeros(len(known), np.int32), np.diff(b_at)
-    linked = np.zeros((len(a_ids), len(b_ids)), bool)
+        own = row.values
+        values = [np.frombuffer(x.as_buffer(), np.uint64) for x in own.field("body")]
+        m, d = (np.asarray(own.field(x), np.int64) for x in ("m", "d"))
+        return np.stack([np.asarray(own.field(x), np.int64) for x in ("doc_id", "h1", "h2")], axis=1), m, d, values
+
+    a_keys, a_m, a_d, a_values = members(lhs)
+    alone = not rhs.is_valid
+    b_keys, b_m, b_d, b_values = (a_keys, a_m, a_d, []) if alone else members(rhs)
+    _, places = np.unique(np.concatenate([*a_values, *b_values, np.zeros(0, np.uint64)]), return_inverse=True)
+    a_at = np.cumsum([0, *[len(v) for v in a_values]])
+    of_b = places if alone else places[a_at[-1] :]
+    b_of = np.repeat(np.arange(len(b_keys)), b_m + b_d)  # whose each difference is
+    held = np.zeros(len(places) + 1, bool)
+    linked = np.zeros((len(a_keys), len(b_keys)), bool)
+    cells, cell_of = np.unique(np.stack([cell(b_m), cell(b_d)], axis=1), axis=0, return_inverse=True)
+    cell_of = cell_of.reshape(-1)
+    a_cells = np.stack([cell(a_m), cell(a_d)], axis=1)
+    unknown: dict[tuple, np.ndarray] = {}
     for i, (a, b) in enumerate(zip(a_at[:-1], a_at[1:], strict=True)):
-        held[places[a:b]] = 1
-        both = np.add.reduceat(held[of_b], b_at[:-1])
-        linked[i] = 100 * both >= percent * (b - a + b_n - both)
-        held[places[a:b]] = 0
-    # rows that share a doc_id count as one
-    (a_ids, a_first), (b_ids, b_first) = (np.unique(x, return_index=True) for x in (a_ids, b_ids))
-    linked = np.logical_or.reduceat(np.logical_or.reduceat(linked, a_first, axis=0), b_first, axis=1) & (a_ids[:, None] != b_ids)
-    if not rhs.is_valid:
-        return a_ids, linked.sum(axis=1)
-    return np.concatenate([a_ids, b_ids]), np.concatenate([linked.sum(axis=1), linked.sum(axis=0)])
-
-
-def link_counts(scratch: Scratch, rows: DataFrame, comps: DataFrame, k: int, percent: int) -> DataFrame:
-    """(rep, n_links): with how many others each member of a component (doc_id, component) links."""
-    ids = comps.select("doc_id")
-    arrays = bodies(filter_ids(rows, ids, ids.count(), True), k).join(comps, "doc_id")
-    arrays = scratch.put("members", arrays)
-    per = arrays.groupBy("component").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.length("body") / 8).alias("values"))
-    per = per.select("component", F.ceil(F.greatest(F.col("rows") / BLOCK, F.col("values") / BLOCK_VALUES)).cast("int").alias("blocks")).where("blocks > 1")
-    # only components of more than one block: at most one in BLOCK members, or in BLOCK_VALUES shingles
-    sides = arrays.join(F.broadcast(per), "component", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    sides = sides.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    sides = scratch.put("sides", sides.groupBy("component", "blocks", "block").agg(F.collect_list(F.struct("doc_id", "body")).alias("members")))
-    scratch.drop(arrays)
-    alone = sides.select(F.col("members").alias("lhs"), F.lit(None).cast(sides.schema["members"].dataType).alias("rhs"))
-    many = sides.where("blocks > 1")
-    left = many.where("block + 1 < blocks").select("component", F.col("block").alias("i"), F.explode(F.sequence(F.col("block") + 1, F.col("blocks") - 1)).alias("j"), F.col("members").alias("lhs"))
-    right = many.where("block > 0").select("component", F.explode(F.sequence(F.lit(0), F.col("block") - 1)).alias("i"), F.col("block").alias("j"), F.col("members").alias("rhs"))
-
+        of = (int(a_cells[i, 0]), int(a_cells[i, 1]))
+        if of not in unknown:
+            every, none = settled(n_head, *of, cells[:, 0], cells[:, 1], percent)
+            unknown[of] = (~every & ~none)[cell_of]
+        if not unknown[of].any():
+            continue
+        held[places[a:b]] = True
+        both = np.bincount(b_of[held[of_b]], minlength=len(b_keys))
+        held[places[a:b]] = False
+        sizes = 2 * n_head - a_m[i] + a_d[i] - b_m + b_d
+        # the sets differ where their differences to the head do
+        overlap = (sizes - (a_m[i] + a_d[i] + b_m + b_d - 2 * both)) // 2
+        linked[i] = unknown[of] & (100 * overlap >= percent * (sizes - overlap))
+    if alone:
+        np.fill_diagonal(linked, False)
+        return a_keys, linked.sum(axis=1)
+    return np.concatenate([a_keys, b_keys]), np.concatenate([linked.sum(axis=1), linked.sum(axis=0)])
+
+
+def _count_links(percent: int):
     def run(batches):
         for batch in batches:
-            for lhs, rhs in zip(batch.column(0), batch.column(1), strict=True):
-                found, n = _links_between(lhs, rhs, percent)
-                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64))], ["rep", "n"])
+            for n_head, lhs, rhs in zip(*batch.columns, strict=True):
+                keys, n = _links_between(n_head.as_py(), lhs, rhs, percent)
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(x)) for x in keys.T), pa.array(n.astype(np.int64))], ["doc_id", "h1", "h2", "n"])
         trim()
 
-    with arrow_rows(scratch.spark, 16):  # a row may hold two blocks
-        found = alone.mapInArrow(run, "rep long, n long").unionByName(left.join(right, ["component", "i", "j"]).select("lhs", "rhs").mapInArrow(run, "rep long, n long"))
-        out = scratch.put("n_links", found.groupBy("rep").agg(F.sum("n").alias("n_links")))
-    scratch.drop(sides)
-    return out
+    return run
+
+
+COUNTED = "doc_id long, h1 long, h2 long, n long"
+
+
+def class_arrays(scratch: Scratch, rows: DataFrame, kinds: DataFrame, k: int) -> DataFrame:
+    """(doc_id, h1, h2, body, component, large) of the classes in ``kinds``, each once."""
+    ids = kinds.select("doc_id").distinct()
+    key = ["doc_id", "h1", "h2"]
+    arrays = scratch.put("members", bodies(filter_ids(rows, ids, ids.count(), True), k, True).join(kinds, key))
+    if arrays.count() == kinds.count():
+        return arrays
+    # rows that repeat id and text
+    once = scratch.put("members", arrays.groupBy(*key).agg(*[F.first(x).alias(x) for x in ("body", "component", "large")]))
+    scratch.drop(arrays)
+    return once
+
+
+def differences(scratch: Scratch, arrays: DataFrame, per: DataFrame) -> DataFrame:
+    """The members of large components as their differences to the component's head.
+
+    The head is a consensus of up to 15 members that a hash chooses. Any other would give the same links; one near to
+    most members makes the differences short.
+    """
+    key = F.xxhash64("doc_id", "h1", "h2")
+    some = arrays.select("component", "doc_id", "h1", "h2", key.alias("_key")).groupBy("component", F.pmod("_key", F.lit(15)).alias("_of"))
+    some = some.agg(F.min(F.struct("_key", "doc_id", "h1", "h2")).alias("s")).select("s.doc_id", "s.h1", "s.h2")
+    heads = arrays.join(some, ["doc_id", "h1", "h2"], "left_semi").groupBy("component").agg(F.collect_list("body").alias("bodies"))
+    with arrow_rows(scratch.spark, 16):
+        heads = scratch.put("heads", heads.mapInArrow(_consensus, "component long, head binary"))
+    to_head = spread_join(arrays, heads.join(per, "component").select("component", "head", "rows"), "component", "rows", "doc_id")
+    shape = "component long, doc_id long, h1 long, h2 long, n_head long, m long, d long, cell_m long, cell_d long, body binary"
+    return scratch.put("differences", to_head.select("component", "doc_id", "h1", "h2", "body", "head").mapInArrow(_differences, shape))
+
+
+def link_counts(scratch: Scratch, rows: DataFrame, kinds: DataFrame, k: int, percent: int) -> DataFrame:
+    """(doc_id, h1, h2, n_links): with how many others each class (doc_id, h1, h2, n, component) links."""
+    per = scratch.put("per", kinds.groupBy("component").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("values")))
+    large = (F.col("rows") > BLOCK) | (F.col("values") > BLOCK_VALUES)
+    kinds = scratch.put("kinds", spread_join(kinds.drop("n"), per.select("component", large.alias("large"), F.col("rows").alias("_rows")), "component", "_rows", "doc_id"))
+    arrays = class_arrays(scratch, rows, kinds, k)
+    member = F.struct("doc_id", "h1", "h2", "m", "d", "body")
+    nobody = F.lit(None).cast("array<struct<doc_id:bigint,h1:bigint,h2:bigint,m:bigint,d:bigint,body:binary>>")
+
+    # a small component is one block, with an empty head
+    small = arrays.where("not large").withColumn("m", F.lit(0).cast("long")).withColumn("d", F.expr("length(body) div 8"))
+    small = small.groupBy("component").agg(F.collect_list(member).alias("lhs"))
+    with arrow_rows(scratch.spark, 16):  # a row holds a block or two
+        found = [scratch.put("in_small", small.select(F.lit(0).cast("long").alias("n_head"), "lhs", nobody.alias("rhs")).mapInArrow(_count_links(percent), COUNTED))]
+
+    if per.where(large).take(1):
+        diffs = differences(scratch, arrays.where("large"), per)
+        cells = diffs.groupBy("component", "n_head", "cell_m", "cell_d").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.expr("length(body) div 8")).alias("values"))
+        cells = cells.groupBy("component", "n_head").agg(F.collect_list(F.struct("cell_m", "cell_d", "rows", "values")).alias("cells"))
+        with arrow_rows(scratch.spark, 16):
+            plan = scratch.put("plan", cells.mapInArrow(_plan(percent, 4 * BLOCK, BLOCK_VALUES), PLAN))
+        at = F.struct("component", "cell_m", "cell_d").alias("cell")
+        of_cell = plan.where("other is null").select(at, "rows", "grp", "parts", "certain", "open")
+        placed = scratch.put("placed", spread_join(diffs.withColumn("cell", at), of_cell, "cell", "rows", "doc_id"))
+        found.append(placed.select("doc_id", "h1", "h2", F.col("certain").alias("n")))
+        blocks = placed.where("open").groupBy("component", "n_head", "grp", F.pmod(F.xxhash64("doc_id", "h1"), F.col("parts")).cast("int").alias("part")).agg(F.collect_list(member).alias("members"))
+        blocks = scratch.put("blocks", blocks)
+        meet = plan.where("other is not null").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        meet = meet.withColumn("other_part", F.explode(F.sequence(F.lit(0), F.col("other_parts") - 1))).select("component", "grp", "part", "other", "other_part")
+        self_pair = (F.col("grp") == F.col("other")) & (F.col("part") == F.col("other_part"))
+        mine, keys = ["component", "grp", "part"], ["component", "grp", "part", "other", "other_part"]
+        alone = blocks.join(meet.where(self_pair), mine, "left_semi").select("n_head", F.col("members").alias("lhs"), nobody.alias("rhs"))
+        meet = meet.where((F.col("grp") < F.col("other")) | (F.col("part") < F.col("other_part")))
+        lhs = blocks.withColumnRenamed("members", "lhs").join(meet, mine)
+        rhs = blocks.select("component", F.col("grp").alias("other"), F.col("part").alias("other_part"), F.col("members").alias("rhs")).join(meet, ["component", "other", "other_part"])
+        with arrow_rows(scratch.spark, 16):
+            pairs = alone.unionByName(lhs.join(rhs, keys).select("n_head", "lhs", "rhs"))
+            found.append(scratch.put("in_large", pairs.mapInArrow(_count_links(percent), COUNTED)))
+        scratch.drop(diffs, blocks)
+    scratch.drop(arrays)
+    total = found[0]
+    for more in found[1:]:
+        total = total.unionByName(more)
+    return scratch.put("n_links", total.groupBy("doc_id", "h1", "h2").agg(F.sum("n").alias("n_links")))
 
 
 def jaccard_components(
@@ -521,7 +691,8 @@ def jaccard_components(
     scratch.drop(sets, tiles)
     found = classes.join(comps.withColumnRenamed("doc_id", "rep"), "rep", "left")
     if count_links:
-        found = found.join(link_counts(scratch, rows, comps, k, percent), "rep", "left")
+        kinds = classes.withColumnRenamed("rep", "doc_id").join(comps, "doc_id")
+        found = found.join(link_counts(scratch, rows, kinds, k, percent).withColumnRenamed("doc_id", "rep"), ["rep", "h1", "h2"], "left")
     else:
         found = found.withColumn("n_links", F.lit(None))
     out = summary.join(found.select("h1", "h2", "n", "rep", "component", "n_links"), ["h1", "h2", "n"], "left")

@@ -180,6 +180,51 @@ def test_links_inside_components_are_counted(make, texts, monkeypatch, block):
     assert "n_links" not in ngram_jaccard.jaccard_components(make(own), count_links=False).columns
 
 
+def shingle_sets(texts):
+    words = [re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for t in texts]
+    return [frozenset({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()) for w in words]
+
+
+@pytest.mark.parametrize("block, values", [(8, 1 << 19), (8, 600)])
+def test_links_of_a_large_component_by_differences_to_its_head(make, monkeypatch, block, values):
+    """Versions with one to many changes, families of changes, a chain and repeated rows: counts are those of all pairs."""
+    monkeypatch.setattr(ngram_jaccard, "BLOCK", block)
+    monkeypatch.setattr(ngram_jaccard, "BLOCK_VALUES", values)
+    rng = random.Random(21)
+    words = [f"w{i}" for i in range(120)]
+    texts = []
+    for _ in range(150):
+        own = list(words)
+        for _ in range(rng.choice((0, 1, 1, 2, 3, 4))):
+            own[rng.randrange(120)] = f"n{rng.randrange(30)}"
+        texts.append(" ".join(own + [f"tail{rng.randrange(3)}x{i}" for i in range(rng.choice((0, 0, 12)))]))
+    for k in range(40):
+        words[rng.randrange(120)] = f"c{k}"
+        texts.append(" ".join(words))
+    texts += texts[:5]
+    sets = shingle_sets(texts)
+    want = {i: sum(a != b and 100 * len(a & b) >= 80 * len(a | b) for b in set(sets)) for i, a in enumerate(sets)}
+    docs = make(texts)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in ngram_jaccard.jaccard_components(docs.union(docs.limit(7))).collect()}
+    assert got == {i: (*c, want[i]) for i, c in plain_components(texts).items()}
+    assert len(set(want.values())) > 10
+
+
+def test_sizes_of_differences_settle_only_what_they_may():
+    rng = np.random.default_rng(5)
+    head, other = np.arange(200), np.arange(1000, 1200)
+    seen = [0, 0, 0]
+    for _ in range(3000):
+        a, b = (np.concatenate([head[rng.random(200) < x], other[rng.random(200) < y]]) for x, y in rng.choice([0.3, 0.8, 0.9, 0.97], 4).reshape(2, 2) * [[1, 0.1]])
+        (m, d), (m2, d2) = ((200 - np.sum(x < 1000), np.sum(x >= 1000)) for x in (a, b))
+        every, none = ngram_jaccard.settled(200, *(int(ngram_jaccard.cell(np.array([x]))[0]) for x in (m, d)), *(ngram_jaccard.cell(np.array([x])) for x in (m2, d2)), 80)
+        both = len(np.intersect1d(a, b))
+        links = 100 * both >= 80 * (len(a) + len(b) - both)
+        assert not (every[0] and not links) and not (none[0] and links)
+        seen[0 if every[0] else 1 if none[0] else 2] += 1
+    assert min(seen) > 0
+
+
 def test_bitmap_bound_never_rejects_a_link():
     rng = np.random.default_rng(3)
     for _ in range(200):
