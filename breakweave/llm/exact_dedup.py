@@ -7,7 +7,8 @@ read. The remaining digests, whose groups are bounded by that share, meet by an
 
 Defined results: null text counts as empty; of equal rows with one doc_id exactly one is kept; a null doc_id
 loses against any other, and a group of null ids only has a null keep_id; an empty table gives an empty table;
-other columns, whatever their names, are not looked at.
+a very long text is hashed where it is read and only its digest travels; other columns, whatever their names, are not
+looked at, but that a hash of them chooses which of several rows with one doc_id and equal texts is kept as a row.
 """
 
 from __future__ import annotations
@@ -88,7 +89,7 @@ def drop_exact_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     """``docs`` without the copies; columns and whole rows as they were.
 
     Only ids travel. Rows that repeat both doc_id and text can't be told apart by id; where there are any, they alone
-    are shuffled whole and made distinct.
+    are shuffled whole and made distinct; the row with the smallest hash of its columns (maps aside) stays.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "exact-dedup")
@@ -108,7 +109,9 @@ def drop_exact_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     odd = odd.withColumn(key, F.unhex(F.sha2(normalised(F.col(text)), 256)))
     stay = told.join(clash, told.doc_id.eqNullSafe(clash.doc_id), "left_semi").where("kept").select(F.col("doc_id").alias("_breakweave_id"), F.col("digest").alias("_breakweave_kept"))
     odd = odd.join(stay, odd[doc_id].eqNullSafe(F.col("_breakweave_id")) & (F.col(key) == F.col("_breakweave_kept")), "left_semi")
-    odd = odd.withColumn("_breakweave_no", F.row_number().over(Window.partitionBy(doc_id, key).orderBy(F.lit(1)))).where("_breakweave_no = 1").drop(key, "_breakweave_no")
+    # of rows that differ in other columns only, a hash of the whole row chooses, so that a repeated task chooses alike
+    whole = F.xxhash64(*[F.col(f"`{c}`") for c, t in docs.dtypes if "map<" not in t and "variant" not in t])
+    odd = odd.withColumn("_breakweave_no", F.row_number().over(Window.partitionBy(doc_id, key).orderBy(whole))).where("_breakweave_no = 1").drop(key, "_breakweave_no")
     return plain.unionByName(odd.select(*plain.columns))
 
 

@@ -42,6 +42,12 @@ def test_repeated_ids_and_null_ids(spark):
     assert len(got) == 8 and sum(r.kept for r in got) == 4 and [r.group_size for r in got if r.text_sha256 == hashlib.sha256(b"a").hexdigest()] == [3, 3, 3]
 
 
+def test_rows_that_differ_in_other_columns_keep_the_same_one(spark):
+    rows = [(1, "a  b", "en", f"s{k}", k, "x", None, "y") for k in range(12)] + [(2, "a b", "en", "s", 0, "x", None, "y")]
+    kept = [sorted(map(tuple, exact_dedup.drop_exact_copies(spark.createDataFrame(r, SCHEMA).repartition(n)).collect()), key=str) for r, n in ((rows, 1), (rows[::-1], 5))]
+    assert kept[0] == kept[1] and len(kept[0]) == 1 and kept[0][0][0] == 1
+
+
 def test_misra_gries_finds_every_frequent_value(spark):
     rng = random.Random(1)
     values = ["hot"] * 400 + ["warm"] * 150 + [f"v{i}" for i in range(1000)]
