@@ -107,7 +107,7 @@ def _in_chunks(placed: DataFrame, window: int, min_ratio: float, chunk_rows: int
     Rows are cut into chunks in their order. Every chunk is folded as if a cluster began with it; then each one that goes
     on in the island of the chunk before it is folded again from that chunk's open cluster. Where this leaves another
     open cluster at a chunk's end, the next chunk is folded once more, until nothing changes: a cluster that begins at
-    the same row either way ends the matter. Chunks and their open clusters are all that a task holds.
+    the same row either way ends the matter. Rows stream through a task in batches; the open cluster is all that it holds.
     """
     spark = placed.sparkSession
     stage = StageTables(spark, temporary=True)
@@ -121,20 +121,45 @@ def _in_chunks(placed: DataFrame, window: int, min_ratio: float, chunk_rows: int
     goes_on = {q.chunk: p.chunk for p, q in zip(each, each[1:], strict=False) if tuple(p.b)[:3] == tuple(q.a)[:3] and q.a.event_pos - p.b.event_pos <= window}
     kinds = f"chunk bigint, signal_index bigint, cluster bigint, member bigint, {_STATE.split(', ', 1)[1]}"
 
-    def fold(pdf: pd.DataFrame, held: pd.DataFrame | None) -> pd.DataFrame:
-        pdf = pdf.sort_values("_at")
-        state = Fold(window, min_ratio)
-        if held is not None and len(held):
-            h = held.iloc[0]
-            state = Fold(window, min_ratio, (h.chrom, h.svtype, h.island), h["last"], h["first"], h.lengths)
-        told = [state.take(*row) for row in _each(pdf)]
-        n = len(told)
-        out = {"chunk": [int(pdf.chunk.iloc[0])] * (n + 1), "signal_index": [*pdf.signal_index, None], "cluster": [a for a, _ in told] + [None], "member": [b for _, b in told] + [None]}
-        end = (*state.key, state.last, state.first, state.lengths)
-        out |= {c: [None] * n + [v] for c, v in zip(("chrom", "svtype", "island", "last", "first", "lengths"), end, strict=True)}
-        return pd.DataFrame(out, dtype=object)
-
-    made = [stage.put("round0", rows.groupBy("chunk").applyInPandas(lambda g: fold(g, None), kinds))]
+    names = [c.split()[0] for c in kinds.split(", ")]
+
+    def fold(batches):
+        """Rows sorted by chunk and place; the open cluster of the chunk before comes first, as a row without a place."""
+        state, open_chunk = None, None
+
+        def frame(n: int, **columns) -> pd.DataFrame:
+            return pd.DataFrame({c: columns.get(c, [None] * n) for c in names}, dtype=object)
+
+        def end() -> pd.DataFrame:
+            own = dict(zip((*_PART, "last", "first", "lengths"), (*state.key, state.last, state.first, state.lengths), strict=True))
+            return frame(1, chunk=[open_chunk], **{c: [v] for c, v in own.items()})
+
+        for pdf in batches:
+            told = []
+            columns = zip(pdf.chunk, pdf._at, _each(pdf), pdf["last"], pdf["first"], pdf.lengths, strict=True)
+            for chunk, at, row, last, first, lengths in columns:
+                if chunk != open_chunk:
+                    if told:
+                        yield frame(len(told), chunk=[open_chunk] * len(told), **{c: list(v) for c, v in zip(names[1:4], zip(*told, strict=True), strict=True)})
+                        told = []
+                    if open_chunk is not None:
+                        yield end()
+                    state, open_chunk = Fold(window, min_ratio), chunk
+                if at < 0:
+                    state = Fold(window, min_ratio, row[0], last, first, lengths)
+                else:
+                    told.append((row[3], *state.take(*row)))
+            if told:
+                yield frame(len(told), chunk=[open_chunk] * len(told), **{c: list(v) for c, v in zip(names[1:4], zip(*told, strict=True), strict=True)})
+        if open_chunk is not None:
+            yield end()
+
+    def folded(df: DataFrame) -> DataFrame:
+        return df.repartition("chunk").sortWithinPartitions("chunk", "_at").mapInPandas(fold, kinds)
+
+    zero, none = F.lit(0).cast("bigint"), F.array().cast("array<double>")
+    rows = rows.withColumns({"last": zero, "first": zero, "lengths": none})
+    made = [stage.put("round0", folded(rows))]
     latest, todo = dict.fromkeys((e.chunk for e in each), 0), set(goes_on)
     told = lambda df: {r.chunk: (r["first"], r.n) for r in df.where("cluster is null").select("chunk", "first", F.size("lengths").alias("n")).collect()}
     state = told(made[0])
@@ -144,7 +169,8 @@ def _in_chunks(placed: DataFrame, window: int, min_ratio: float, chunk_rows: int
         before = [df.where("cluster is null").drop("signal_index", "cluster", "member").withColumn("turn", F.lit(i)) for i, df in enumerate(made)]
         held = reduce(DataFrame.unionByName, before).join(F.broadcast(which), ["chunk", "turn"]).drop("turn", "chunk").withColumnRenamed("to", "chunk")
         mine = rows.join(F.broadcast(which.select(F.col("to").alias("chunk"))), "chunk")
-        made.append(stage.put(f"round{turn}", mine.groupBy("chunk").cogroup(held.groupBy("chunk")).applyInPandas(fold, kinds)))
+        held = held.withColumns({"_at": F.lit(-1).cast("bigint"), "event_pos": zero, "svlen": zero, "signal_index": zero})
+        made.append(stage.put(f"round{turn}", folded(mine.unionByName(held))))
         now = told(made[-1])
         changed = {c for c in todo if now[c] != state[c]}
         state |= now
