@@ -141,3 +141,18 @@ def test_labels_do_not_list_a_dense_band(spark, monkeypatch):
     got = merge.label_candidates(calls, truth).collect()
     assert {(r.matched_truth_id, r.matched_truth_svlen, r.pos_distance, r.size_similarity) for r in got} == {("t0", -90, 3, 0.9)} and len(got) == 300
     assert seen and sum(p.count() for p in seen) < 300
+
+
+def test_long_islands_stream_through_their_tasks(spark):
+    """Neither fold nor components take a chunk as one group: plans of long islands have no grouped Python step."""
+    import inspect
+
+    for step in (cluster._in_chunks, select._in_chunks):
+        assert "applyInPandas" not in inspect.getsource(step) and "mapInPandas" in inspect.getsource(step)
+    rows = [(0, "1", 5, 60.0, 1), (0, "1", 9, 61.0, 0), (0, "2", 9, 61.0, 2), (1, "2", 9, 61.0, 3)]
+    import pandas as pd
+
+    frame = pd.DataFrame(rows, columns=["chunk", "chrom", "start", "size", "ordinal"])
+    # one island over two batches
+    got = pd.concat(select._components(10, 0.5, ["chunk", "chrom"], ["ordinal"])(iter([frame[:1], frame[1:]])))
+    assert got.values.tolist() == [[1, 0], [0, 0], [2, 2], [3, 3]]
