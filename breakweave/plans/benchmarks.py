@@ -15,9 +15,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from ..operators.bandjoin import band_join, best_of, interval_join
+from ..operators import matching
+from ..operators.bandjoin import interval_join
 from ..operators.metrics import with_prf
-from ..sources.stages import StageTables
 from ..sources.tables import write_text
 from ..sources.variants import SUMMARY_COUNTS, SUMMARY_FLOATS, read_summary
 
@@ -88,23 +88,9 @@ def in_regions(rows: DataFrame, regions: DataFrame, start: str, end: Column) ->
 
 
 def one_to_one(calls: DataFrame, truth: DataFrame, refdist: int = REFDIST, pctsize: float = PCTSIZE) -> DataFrame:
-    """(call_id, truth_ordinal): greedy one-to-one matches, nearest first, then the more similar, then by id.
-
-    A pair that is the best left for both of its rows is what the greedy walk would take next for them, so all such
-    pairs are taken at once, round after round, until no pair is left; every round takes the best pair of all at least.
-    """
-    c = calls.select("call_id", "chrom", "svtype", F.col("start").alias("c_pos"), F.abs("median_svlen").alias("c_len"))
-    t = truth.select("truth_ordinal", "chrom", "svtype", F.col("pos").alias("t_pos"), F.col("svlen").alias("t_len"))
-    pairs = band_join(c, t, ["chrom", "svtype"], "c_pos", "t_pos", refdist).withColumn("sim", X.size_similarity("c_len", "t_len")).where(F.col("sim") >= pctsize)
-    stage, taken, k = StageTables(calls.sparkSession), None, 0
-    left = stage.put("pairs0", pairs.select("call_id", "truth_ordinal", F.abs(F.col("c_pos") - F.col("t_pos")).alias("dist"), "sim"))
-    order = [F.col("dist"), -F.col("sim"), F.col("truth_ordinal"), F.col("call_id")]
-    while not left.isEmpty():
-        mutual = best_of(left, ["call_id"], order, ["truth_ordinal"]).join(best_of(left, ["truth_ordinal"], order, ["call_id"]), ["call_id", "truth_ordinal"])
-        mutual = stage.put(f"taken{k}", mutual.select("call_id", "truth_ordinal"))
-        taken, k = mutual if taken is None else taken.unionByName(mutual), k + 1
-        left = stage.put(f"pairs{k}", left.join(mutual.select("call_id"), "call_id", "left_anti").join(mutual.select("truth_ordinal"), "truth_ordinal", "left_anti"))
-    return left.select("call_id", "truth_ordinal") if taken is None else taken
+    """(call_id, truth_ordinal): greedy one-to-one matches, nearest first, then the more similar, then by id."""
+    c = calls.select("call_id", "chrom", "svtype", F.col("start").alias("pos"), F.col("median_svlen").alias("size"))
+    return matching.one_to_one(c, truth.select("truth_ordinal", "chrom", "svtype", "pos", F.col("svlen").alias("size")), refdist, pctsize)
 
 
 def native_match(calls: DataFrame, truth: DataFrame, refdist: int = REFDIST, pctsize: float = PCTSIZE, regions: DataFrame | None = None) -> DataFrame:

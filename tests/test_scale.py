@@ -156,3 +156,29 @@ def test_long_islands_stream_through_their_tasks(spark):
     # one island over two batches
     got = pd.concat(select._components(10, 0.5, ["chunk", "chrom"], ["ordinal"])(iter([frame[:1], frame[1:]])))
     assert got.values.tolist() == [[1, 0], [0, 0], [2, 2], [3, 3]]
+
+
+def test_one_to_one_in_chunks_is_the_greedy_walk(spark, monkeypatch):
+    """Copies, ties and very small chunks; the pairs of a dense band are not listed by a join."""
+    import random
+
+    from breakweave.operators import bandjoin, matching
+
+    monkeypatch.setattr(bandjoin, "band_join", lambda *a, **k: 1 / 0)
+    for seed, span, sizes in ((1, 4000, (50, 150)), (2, 300, (1, 4)), (3, 40, (0, 3)), (4, 6000, (10, 11))):
+        rng = random.Random(seed)
+        rows = lambda: [(i, rng.choice("ab"), "DEL", rng.randrange(span), rng.randint(*sizes)) for i in rng.sample(range(10**17, 10**17 + 5000), 300)]  # noqa: B023, E731
+        c, t = rows(), rows()
+        calls = spark.createDataFrame(c, "call_id bigint, chrom string, svtype string, pos bigint, size bigint")
+        truth = spark.createDataFrame(t, "truth_ordinal bigint, chrom string, svtype string, pos bigint, size bigint")
+        alike = lambda a, b: min(a, b) / max(a, b) if a and b else 0.0
+        pairs = sorted((abs(a[3] - b[3]), -alike(a[4], b[4]), b[0], a[0]) for a in c for b in t if a[1] == b[1] and abs(a[3] - b[3]) <= 60 and alike(a[4], b[4]) >= 0.5)
+        want, used_c, used_t = set(), set(), set()
+        for _, _, b, a in pairs:
+            if a not in used_c and b not in used_t:
+                want.add((a, b))
+                used_c.add(a)
+                used_t.add(b)
+        for half in (20, 10_000):
+            got = [tuple(r) for r in matching.one_to_one(calls, truth, 60, 0.5, half).collect()]
+            assert set(got) == want and len(got) == len(want) > 100
