@@ -175,7 +175,8 @@ def cigar_ops(cigar) -> Column:
 
 def reference_span(cigar) -> Column:
     """Bases of the reference that an alignment covers."""
-    return F.aggregate(F.filter(cigar_ops(cigar), lambda x: x.op.isin("M", "D", "N", "=", "X")), F.lit(0).cast("bigint"), lambda s, x: s + x.len)
+    lengths = F.regexp_extract_all(F.coalesce(_c(cigar), F.lit("")), F.lit(r"(\d+)[MDN=X]"), F.lit(1))
+    return F.aggregate(lengths, F.lit(0).cast("bigint"), lambda s, n: s + n.cast("bigint"))
 
 
 def end_clip(cigar, left: bool, behind_hard: bool = False) -> Column:

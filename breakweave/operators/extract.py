@@ -54,12 +54,12 @@ def extract_signals(records: DataFrame, min_size: int = 50) -> DataFrame:
     """The 16 signal columns, with record_ordinal and event_ordinal for ties."""
     rows = primary_lines(records).where(_usable(F.col("cigar")) & F.col("pos").isNotNull() & F.col("rname").isNotNull() & (F.col("rname") != "*"))
     rows = rows.select(
-        "record_ordinal", F.col("qname").alias("read_name"), F.col("rname").alias("chrom"), F.posexplode(cigar_events(F.col("cigar"), F.col("pos"), min_size)).alias("event_ordinal", "e"),
+        "record_ordinal", F.col("qname").alias("read_name"), F.col("rname").alias("chrom"), F.posexplode_outer(cigar_events(F.col("cigar"), F.col("pos"), min_size)).alias("event_ordinal", "e"),
         "mapq", F.when(_bit(REVERSE) == 1, "-").otherwise("+").alias("strand"), F.coalesce("seq_len", F.lit(0)).cast("bigint").alias("read_len"),
         _bit(SUPPLEMENTARY).alias("is_supplementary"), F.col("sa").isNotNull().cast("int").alias("has_sa"),
         X.end_clip("cigar", True).alias("softclip_left"), X.end_clip("cigar", False).alias("softclip_right"), "cigar",
     )
-    return rows.select(
+    return rows.where("event_ordinal is not null").select(
         "read_name", "chrom", "e.event_pos", "e.event_end", "e.svtype", "e.svlen", "mapq", "strand", "read_len", "e.read_event_start", "e.read_event_end",
         "is_supplementary", "has_sa", "softclip_left", "softclip_right", "cigar", "record_ordinal", "event_ordinal",
     )
@@ -129,7 +129,8 @@ def extract_extra(records: DataFrame, min_clip: int = 50) -> DataFrame:
 
     splits = F.when((F.col("_supp") == 0) & F.col("sa").isNotNull(), F.transform(sa_entries("sa"), split)).otherwise(F.array().cast(f"array<struct<{_EXTRA}>>"))
     rows = rows.withColumn("_all", F.array_compact(F.concat(F.array(left, right), splits, F.array(supp))))
-    rows = rows.select("*", F.posexplode("_all").alias("event_ordinal", "e"))
+    # with the plain posexplode Spark infers a filter on the array and works out all of it twice, once for the filter
+    rows = rows.select("*", F.posexplode_outer("_all").alias("event_ordinal", "e")).where("event_ordinal is not null")
     origin = F.when(F.col("e.evidence_type").startswith("SOFTCLIP"), "CIGAR").when(F.col("e.evidence_type") == "SA_CONNECTION", "SA").otherwise("SUPPLEMENTARY")
     return rows.select(
         F.col("qname").alias("read_name"), "e.evidence_type", F.col("rname").alias("src_chrom"), F.col("pos").alias("src_start"), F.col("_end").alias("src_end"),

@@ -182,3 +182,14 @@ def test_one_to_one_in_chunks_is_the_greedy_walk(spark, monkeypatch):
         for half in (20, 10_000):
             got = [tuple(r) for r in matching.one_to_one(calls, truth, 60, 0.5, half).collect()]
             assert set(got) == want and len(got) == len(want) > 100
+
+
+def test_extraction_works_out_its_arrays_once(spark):
+    """A filter that Spark infers from a plain explode would hold the whole extraction a second time."""
+    from breakweave.operators import extract
+    from breakweave.plans.adapters import adapter
+
+    records = adapter(spark, "/root/testdata/sf0.001", "alignments")
+    for df in (extract.extract_extra(records).where("evidence_type = 'SUPPLEMENTARY'"), extract.extract_signals(records)):
+        filters = [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if " Filter " in line]
+        assert filters and not any("regexp_extract" in line for line in filters)
