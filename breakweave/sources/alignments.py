@@ -7,8 +7,10 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from py4j.protocol import Py4JJavaError
 from pyspark import TaskContext
 from pyspark.errors import AnalysisException
@@ -79,34 +81,44 @@ _SIZES = {"A": 1, "c": 1, "C": 1, "s": 2, "S": 2, "i": 4, "I": 4, "f": 4}
 _KINDS = {"c": "<b", "C": "<B", "s": "<h", "S": "<H", "i": "<i", "I": "<I"}
 
 
+_TAGS = {b"SA": "SA", b"NM": "NM"}
+
+
 def _tags(data: bytes) -> dict[str, object]:
     """SA and NM among the optional fields."""
     out, at = {}, 0
     while at + 3 <= len(data):
-        name, kind = data[at : at + 2].decode(), chr(data[at + 2])
+        name, kind = _TAGS.get(data[at : at + 2]), chr(data[at + 2])
         at += 3
         if kind in "ZH":
             end = data.index(b"\0", at)
-            value, at = data[at:end].decode(), end + 1
+            value, at = data[at:end].decode() if name else None, end + 1
         elif kind == "B":
             n = struct.unpack_from("<i", data, at + 1)[0]
             value, at = None, at + 5 + n * _SIZES[chr(data[at])]
         else:
             value = struct.unpack_from(_KINDS[kind], data, at)[0] if kind in _KINDS else None
             at += _SIZES[kind]
-        if name in ("SA", "NM"):
+        if name:
             out[name] = value
     return out
 
 
+_RECORD = struct.Struct("<iiBBHHHi")
+
+
+@lru_cache(1 << 14)
+def _cigar_text(ops: bytes) -> str | None:
+    return "".join(f"{x >> 4}{_OPS[x & 15]}" for (x,) in struct.iter_unpack("<I", ops)) or None
+
+
 def bam_record(data: bytes, contigs: list[str]) -> tuple:
     """The alignment columns, but for the ordinal, of one record without its length."""
-    ref, pos, l_name, mapq, _, n_ops, flag, l_seq = struct.unpack_from("<iiBBHHHi", data)
+    ref, pos, l_name, mapq, _, n_ops, flag, l_seq = _RECORD.unpack_from(data)
     at = 32
     name = data[at : at + l_name - 1].decode()
     at += l_name
-    ops = struct.unpack_from(f"<{n_ops}I", data, at)
-    cigar = "".join(f"{x >> 4}{_OPS[x & 15]}" for x in ops) or None
+    cigar = _cigar_text(data[at : at + 4 * n_ops])
     at += 4 * n_ops + (l_seq + 1) // 2 + l_seq
     tags = _tags(data[at:])
     return name, flag, contigs[ref] if ref >= 0 else None, pos if pos >= 0 else None, mapq, cigar, l_seq, tags.get("SA"), tags.get("NM")
@@ -155,20 +167,29 @@ def _frame(rows: list[tuple], schema: str) -> pd.DataFrame:
     return out
 
 
+_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    fields = [c.split() for c in schema.split(", ")]
+    columns = zip(*rows, strict=True) if rows else [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(v, _ARROW[kind]) for v, (_, kind) in zip(columns, fields, strict=True)], names=[name for name, _ in fields])
+
+
 def _split_records(values: Iterator[bytes], split: int, contigs: list[str], lengths: list[int], header: int) -> Iterator[tuple]:
     """Records of a split as rows, and at last one row of what it holds of records of other splits."""
     held, skip, started, n, prefix, torn, nothing = bytearray(), header if split == 0 else 0, split == 0, 0, b"", False, (None,) * 9
 
     def records():
         nonlocal n
-        at = 0
-        while at + 4 <= len(held):
-            size = struct.unpack_from("<i", held, at)[0]
+        at, data = 0, bytes(held)
+        while at + 4 <= len(data):
+            size = int.from_bytes(data[at : at + 4], "little", signed=True)
             if size < 32:
                 raise ValueError("a BAM record can't be that short")
-            if at + 4 + size > len(held):
+            if at + 4 + size > len(data):
                 break
-            yield (split, n, *bam_record(bytes(held[at + 4 : at + 4 + size]), contigs), None, None, None, None)
+            yield (split, n, *bam_record(data[at + 4 : at + 4 + size], contigs), None, None, None, None)
             n, at = n + 1, at + 4 + size
         del held[:at]
 
@@ -205,13 +226,13 @@ def _split_records(values: Iterator[bytes], split: int, contigs: list[str], leng
 def _bam_splits(frames, contigs, lengths, header):
     """All splits of a partition; rows of a split come one after the other."""
     def values():
-        for pdf in frames:
-            yield from zip(pdf.split.tolist(), pdf.value.tolist(), strict=True)
+        for batch in frames:
+            yield from zip(batch["split"].to_pylist(), (v.as_py() for v in batch["value"]), strict=True)
 
     for split, rows in itertools.groupby(values(), key=lambda x: x[0]):
         made = _split_records((v for _, v in rows), split, contigs, lengths, header)
         while some := list(itertools.islice(made, 5000)):
-            yield _frame(some, _ROWS)
+            yield _batch(some, _ROWS)
 
 
 def _between(pdf: pd.DataFrame, contigs: list[str]) -> pd.DataFrame:
@@ -247,7 +268,7 @@ def _read_bam(spark: SparkSession, path: str) -> DataFrame:
     raw, stages = bgzf.raw_blocks(spark, path), StageTables(spark)
     work = lambda frames: _bam_splits(frames, contigs, lengths, header)
     fields = [c.split()[0] for c in _FIELDS.split(", ")]
-    rows = stages.put("splits", raw.select("value", "split").mapInPandas(work, _ROWS))
+    rows = stages.put("splits", raw.select("value", "split").mapInArrow(work, _ROWS))
     # one row per split
     told = rows.where("starts is not null").select("split", F.col("seq").alias("n"), "prefix", "suffix", "starts", "torn")
     group = F.sum(F.col("starts").cast("bigint")).over(Window.orderBy("split"))
@@ -258,7 +279,7 @@ def _read_bam(spark: SparkSession, path: str) -> DataFrame:
     between = stages.put("between", pieces.groupBy("group").applyInPandas(lambda g: _between(g, contigs), f"group bigint, seq bigint, {_FIELDS}, torn boolean"))
     if told.where("torn").limit(1).count() or between.where("torn or group < 1").limit(1).count():
         whole = raw.withColumn("row", F.monotonically_increasing_id()).repartition(1).sortWithinPartitions("split", "row").select("value", F.lit(0).cast("bigint").alias("split"))
-        rows = stages.put("whole", whole.mapInPandas(work, _ROWS))
+        rows = stages.put("whole", whole.mapInArrow(work, _ROWS))
         last = rows.where("starts is not null").first()
         if last and (last.torn or last.suffix):
             raise ValueError(f"{path} is no whole BAM file")
@@ -272,38 +293,48 @@ def _read_bam(spark: SparkSession, path: str) -> DataFrame:
     return own.unionByName(other)
 
 
-def _bam_bytes(row, refs: dict[str, int]) -> bytes:
-    """A record of the alignment columns: sequence and qualities have their length only."""
-    name = row.qname.encode() + b"\0"
-    ops = [(int(n) << 4) | _OPS.index(op) for n, op in _CIGAR.findall(row.cigar or "")]
-    tags = (b"SAZ" + row.sa.encode() + b"\0" if isinstance(row.sa, str) else b"") + (struct.pack("<2sci", b"NM", b"i", int(row.nm)) if row.nm is not None and row.nm == row.nm else b"")
-    n = int(row.seq_len or 0)
-    pos = -1 if row.pos is None or row.pos != row.pos else int(row.pos)
-    body = struct.pack("<iiBBHHHiiii", refs.get(row.rname, -1), pos, len(name), int(row.mapq or 0), 0, len(ops), int(row.flag), n, -1, -1, 0)
-    body += name + struct.pack(f"<{len(ops)}I", *ops) + b"\x11" * ((n + 1) // 2) + b"\xff" * n + tags
-    return struct.pack("<i", len(body)) + body
+@lru_cache(1 << 14)
+def _cigar_bytes(cigar: str | None) -> tuple[int, bytes]:
+    """How many operations, and these."""
+    ops = [(int(n) << 4) | _OPS.index(op) for n, op in _CIGAR.findall(cigar or "")]
+    return len(ops), struct.pack(f"<{len(ops)}I", *ops)
+
+
+def _whole(x, none: int) -> int:
+    return none if x is None or x != x else int(x)
+
+
+def _bam_bytes(refs: dict[str, int], qname, flag, rname, pos, mapq, cigar, seq_len, sa, nm) -> bytes:
+    """A record of the alignment columns with its length before it: sequence and qualities have their length only."""
+    name, (n_ops, ops), n = qname.encode() + b"\0", _cigar_bytes(cigar), _whole(seq_len, 0)
+    tags = b"" if sa is None else b"SAZ" + sa.encode() + b"\0"
+    if nm is not None and nm == nm:
+        tags += b"NMi" + int(nm).to_bytes(4, "little", signed=True)
+    size = 32 + len(name) + len(ops) + (n + 1) // 2 + n + len(tags)
+    head = _WRITTEN.pack(size, refs.get(rname, -1), _whole(pos, -1), len(name), _whole(mapq, 0), 0, n_ops, int(flag), n, -1, -1, 0)
+    return b"".join((head, name, ops, b"\x11" * ((n + 1) // 2), b"\xff" * n, tags))
 
 
 _CIGAR = re.compile(r"(\d+)([MIDNSHP=X])")
+_WRITTEN = struct.Struct("<iiiBBHHHiiii")
 
 
 def write_bam(records: DataFrame, path: str, contigs: list[tuple[str, int]]) -> None:
     """Alignment columns as one BAM file in the order of record_ordinal, those with the same one by the other columns."""
     spark, refs = records.sparkSession, {c: i for i, (c, _) in enumerate(contigs)}
 
-    fields = [c.split()[0] for c in _FIELDS.split(", ")]
+    fields, packed_rows = [c.split()[0] for c in _FIELDS.split(", ")], "part int, number int, data binary"
 
     def pack(frames):
-        packer, part = bgzf.Packer(), TaskContext.get().partitionId()
-        for pdf in frames:
+        packer, part = bgzf.Packer(3), TaskContext.get().partitionId()
+        for batch in frames:
             first, made = packer.number, []
-            for row in pdf.itertuples(index=False):
-                made += packer.add(_bam_bytes(row, refs))
-            yield pd.DataFrame({"part": part, "number": range(first, first + len(made)), "data": made})
-        first, made = packer.number, list(packer.rest())
-        yield pd.DataFrame({"part": part, "number": range(first, first + len(made)), "data": made})
+            for row in zip(*(batch[f].to_numpy(zero_copy_only=False).tolist() for f in fields), strict=True):
+                made += packer.add(_bam_bytes(refs, *row))
+            yield _batch([(part, first + i, data) for i, data in enumerate(made)], packed_rows)
+        yield _batch([(part, packer.number, data) for data in packer.rest()], packed_rows)
 
-    packed = StageTables(spark).put("packed", records.orderBy("record_ordinal", *fields).mapInPandas(pack, "part int, number int, data binary"))
+    packed = StageTables(spark).put("packed", records.orderBy("record_ordinal", *fields).mapInArrow(pack, packed_rows))
     text = "".join(f"@SQ\tSN:{c}\tLN:{n}\n" for c, n in contigs).encode()
     head = b"BAM\x01" + struct.pack("<i", len(text)) + text + struct.pack("<i", len(contigs))
     for c, n in contigs:

@@ -72,8 +72,8 @@ def content(data: bytes) -> bytes:
 class Packer:
     """Bytes into blocks, with the place (block, offset) of whatever comes next."""
 
-    def __init__(self):
-        self.held, self.number = bytearray(), 0
+    def __init__(self, level: int = 6):
+        self.held, self.number, self.level = bytearray(), 0, level
 
     @property
     def place(self) -> tuple[int, int]:
@@ -82,13 +82,13 @@ class Packer:
     def add(self, data: bytes) -> Iterator[bytes]:
         self.held += data
         while len(self.held) >= MOST:
-            yield block(bytes(self.held[:MOST]))
+            yield block(bytes(self.held[:MOST]), self.level)
             del self.held[:MOST]
             self.number += 1
 
     def rest(self) -> Iterator[bytes]:
         if self.held:
-            yield block(bytes(self.held))
+            yield block(bytes(self.held), self.level)
             self.held.clear()
             self.number += 1
 

@@ -193,3 +193,20 @@ def test_extraction_works_out_its_arrays_once(spark):
     for df in (extract.extract_extra(records).where("evidence_type = 'SUPPLEMENTARY'"), extract.extract_signals(records)):
         filters = [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if " Filter " in line]
         assert filters and not any("regexp_extract" in line for line in filters)
+
+
+def test_bam_records_travel_as_arrow():
+    """Records of a split come and go in Arrow batches, with nulls and numbers as they were."""
+    import pyarrow as pa
+
+    from breakweave.sources import alignments, bgzf
+
+    rows = [("q", 0, "a", 7, 60, "5S10M", 15, "b,1,+,10M,5,0;", 3), ("r", 4, None, None, 0, None, 0, None, None), ("s", 16, "b", 2**31 - 2, 255, "1H2X", 2, None, -(2**31))]
+    data = b"".join(alignments._bam_bytes({"a": 0, "b": 1}, *row) for row in rows * 2000)
+    packer = bgzf.Packer(3)
+    blocks = [*packer.add(data), *packer.rest()]
+    batch = pa.RecordBatch.from_pydict({"value": [b"", *[b[4:] for b in blocks]], "split": [0] * (len(blocks) + 1)})
+    got = list(alignments._bam_splits([batch], ["a", "b"], [2**31 - 1] * 2, 0))
+    assert all(isinstance(b, pa.RecordBatch) for b in got)
+    told = [tuple(r.values()) for b in got for r in b.to_pylist()]
+    assert [r[2:11] for r in told[:-1]] == rows * 2000 and [r[1] for r in told[:-1]] == list(range(6000)) and told[-1][-2:] == (True, False)
