@@ -210,3 +210,18 @@ def test_bam_records_travel_as_arrow():
     assert all(isinstance(b, pa.RecordBatch) for b in got)
     told = [tuple(r.values()) for b in got for r in b.to_pylist()]
     assert [r[2:11] for r in told[:-1]] == rows * 2000 and [r[1] for r in told[:-1]] == list(range(6000)) and told[-1][-2:] == (True, False)
+
+
+def test_duplicate_pairs_meet_once(spark):
+    """All pairs, equal starts and ordinals in either order too, of bins that are met on one side only."""
+    import random
+
+    from breakweave.operators import select
+
+    rng = random.Random(9)
+    rows = [(i, rng.choice("ab"), "DEL", rng.randrange(-400, 400), rng.randint(0, 9)) for i in rng.sample(range(1000), 200)]
+    calls = spark.createDataFrame(rows, "ordinal bigint, chrom string, svtype string, start bigint, median_svlen bigint")
+    got = select.duplicate_pairs(calls, 50)
+    near = lambda x, y: x[0] < y[0] and x[1] == y[1] and abs(x[3] - y[3]) <= 50 and x[4] * y[4] and min(x[4], y[4]) / max(x[4], y[4]) >= 0.5
+    assert sorted(map(tuple, got.collect())) == sorted((x[0], y[0]) for x in rows for y in rows if near(x, y))
+    assert "array(-1, 0, 1)" not in got._jdf.queryExecution().toString() and "[-1,0,1]" not in got._jdf.queryExecution().toString()
