@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from breakweave.functions import exprs as X
 from breakweave.operators import cluster
+from breakweave.sources.stages import StageTables
 from breakweave.sources.tables import exists
 
 CONFIG = Path(__file__).with_suffix(".json")
@@ -56,21 +57,19 @@ def _spans(bins: DataFrame, region: int) -> DataFrame:
     return spans.select(*KEYS, "island", F.explode(F.sequence(F.floor(F.col("island") / region), F.floor(F.col("last") / region))).alias("region"))
 
 
-def touched_regions(signals: DataFrame, new: DataFrame, window: int, region: int) -> DataFrame:
-    """Regions (chrom, region) spanned by islands with a ``new`` signal."""
-    bins = cluster.island_bins(signals, KEYS, "event_pos", window)
+def touched_regions(bins: DataFrame, new: DataFrame, window: int, region: int) -> DataFrame:
+    """Regions (chrom, region) spanned by islands with a ``new`` signal, from the islands' bins."""
     fresh = bins.join(new.select(*KEYS, _bin(window).alias("_bin")).distinct(), [*KEYS, "_bin"], "left_semi").select(*KEYS, "island").distinct()
     return _spans(bins, region).join(fresh, [*KEYS, "island"], "left_semi").select("chrom", "region").distinct()
 
 
-def refreshed(signals: DataFrame, regions: DataFrame, config: dict) -> DataFrame:
+def refreshed(signals: DataFrame, bins: DataFrame, regions: DataFrame, config: dict) -> DataFrame:
     """The new content of the candidate table in ``regions``, a row without a candidate where there is none."""
     window, region = config["window"], config["region"]
-    bins = cluster.island_bins(signals, KEYS, "event_pos", window)
     reached = _spans(bins, region).join(regions, ["chrom", "region"], "left_semi").select(*KEYS, "island").distinct()
-    bins = bins.join(reached, [*KEYS, "island"], "left_semi").select(*KEYS, "_bin")
-    rows = signals.withColumn("_bin", _bin(window)).join(bins, [*KEYS, "_bin"], "left_semi").drop("_bin", "batch")
-    found = cluster.summarize_clusters(cluster.cigar_clusters(rows, window, config["min_ratio"]), config["min_support"])
+    bins = bins.join(reached, [*KEYS, "island"], "left_semi")
+    rows = signals.withColumn("mapq", X.number_or("mapq"))
+    found = cluster.summarize_clusters(cluster.fold_islands(rows, bins, window, config["min_ratio"]), config["min_support"])
     found = found.withColumn("candidate_id", F.concat_ws(":", "chrom", "svtype", F.col("cluster").cast("string"))).withColumn("region", F.floor(F.col("start") / region))
     kinds = dict(c.split() for c in CANDIDATES.split(", "))
     return regions.join(found, ["chrom", "region"], "left").select(*[F.col(c).cast(k).alias(c) for c, k in kinds.items()])
@@ -100,10 +99,12 @@ def run(spark: SparkSession, source: str, out: str, checkpoint: str, config: dic
         if not n:
             return
         near = signals.where(F.col("chrom").isin(chroms))
-        regions = touched_regions(near, new, config["window"], config["region"])
+        # one row per occupied bin, read by all that follows
+        bins = StageTables(spark, temporary=True).put("bins", cluster.island_bins(near, KEYS, "event_pos", config["window"]))
+        regions = touched_regions(bins, new, config["window"], config["region"])
         overwrite(regions.withColumn("batch", F.lit(number).cast("bigint"))).partitionBy("batch").parquet(f"{out}/touched")
         regions = spark.read.schema(TOUCHED).parquet(f"{out}/touched").where(F.col("batch") == number).drop("batch")
-        result = refreshed(near, regions, config)
+        result = refreshed(near, bins, regions, config)
         overwrite(result.hint("rebalance", "chrom", "region")).partitionBy("chrom", "region").parquet(f"{out}/candidates")
         log.info("batch %d: candidates of %d touched regions written to %s/candidates", number, regions.count(), out)
 

@@ -60,6 +60,14 @@ def test_a_batch_that_failed_is_taken_again(spark, tmp_path, monkeypatch):
     assert spark.read.schema(candidate_refresh.SIGNALS).parquet(f"{out}/signals").count() == 3
 
 
+def test_bins_of_a_batch_are_worked_out_once(spark, tmp_path, monkeypatch):
+    calls, bins = [], candidate_refresh.cluster.island_bins
+    monkeypatch.setattr(candidate_refresh.cluster, "island_bins", lambda *a, **k: calls.append(1) or bins(*a, **k))
+    signals(spark, [(i, "1", 10 * i, "DEL", 100) for i in range(50)], tmp_path / "signals")
+    got = shown(candidate_refresh.run(spark, str(tmp_path / "signals"), str(tmp_path / "out"), str(tmp_path / "mark"), PLAIN))
+    assert len(calls) == 1 and got == whole(spark, tmp_path / "signals", PLAIN)
+
+
 def test_no_usable_signals(spark, tmp_path):
     source = tmp_path / "signals"
     spark.createDataFrame([], SCHEMA).coalesce(1).write.parquet(str(source))

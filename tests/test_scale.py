@@ -55,6 +55,26 @@ def test_one_island_of_all_rows_with_many_repairs(spark):
     assert {r.cluster for r in cluster.cigar_clusters(calm, 100, chunk_rows=9).collect()} == {0}
 
 
+def test_only_heads_of_chunks_are_folded_again(spark, monkeypatch):
+    """A chunk is mended up to the first cluster that begins either way; what is read for that is no second copy of the rows."""
+    rows, put, sizes = signals(spark, 900, 7), cluster.StageTables.put, {}
+    one = told(cluster.cigar_clusters(rows, 1000), "signal_index", "cluster", "member")
+    monkeypatch.setattr(cluster.StageTables, "put", lambda *a: sizes.setdefault(a[1], put(*a)))
+    monkeypatch.setattr(cluster, "HEAD", 2)
+    assert told(cluster.cigar_clusters(rows, 1000, chunk_rows=100), "signal_index", "cluster", "member") == one
+    rounds = [t.count() for name, t in sizes.items() if name.startswith("round")]
+    assert rounds[0] >= 800 and len(rounds) > 1 and sum(rounds[1:]) < 300
+
+
+@pytest.mark.parametrize("head", [1, 3])
+def test_heads_that_are_too_short(spark, monkeypatch, head):
+    names = ("signal_index", "cluster", "member", "event_pos", "svlen", "mapq")
+    monkeypatch.setattr(cluster, "HEAD", head)
+    rows = spark.createDataFrame([(i, "r" if i % 3 else None, "1", "DEL", i, (100, 150, 220, 330, 500)[i % 5 if i < 60 else 0], 1.0) for i in range(120)], SCHEMA)
+    one = told(cluster.cigar_clusters(rows, 100), *names)
+    assert told(cluster.cigar_clusters(rows, 100, chunk_rows=20), *names) == one and len(one) == 120
+
+
 def calls(spark, n, seed, spread=30):
     rng = random.Random(seed)
     rows = [(i, "1", rng.choice(["DEL", "INS"]), rng.randint(0, n * spread), rng.choice([50, 70, 90, 150, 400, 900, 0])) for i in range(n)]
