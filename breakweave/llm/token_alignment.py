@@ -94,17 +94,24 @@ def cuts_hold(path_a: str, path_b: str) -> bool:
 def _encode(batches, paths: tuple[str, str]):
     """Tokens of passages with their lengths, and whether their bytes are the passage's."""
     a, b, a_bytes, b_bytes = load(*paths)
+    a_all = [a_bytes.get(i, b"") for i in range(max(a.get_vocab(with_added_tokens=True).values()) + 1)]
+    a_of, b_of = a_all.__getitem__, b_bytes.__getitem__
+    a_len, b_len = (np.array([len(t) for t in x], np.int16) for x in (a_all, b_bytes))
+    fast = getattr(a, "encode_batch_fast", a.encode_batch)  # no offsets
+
+    def side(ids: list[list[int]], lens: np.ndarray) -> list[pa.Array]:
+        ids = pa.array(ids, pa.list_(pa.int32()))
+        return [ids, pa.ListArray.from_arrays(ids.offsets, pa.array(lens[ids.values.to_numpy(zero_copy_only=False)], pa.int16()))]
+
     for batch in batches:
         texts = batch.column(1).to_pylist()
         raw = [t.encode() for t in texts]
-        ia = [e.ids for e in a.encode_batch(texts, add_special_tokens=False)]
+        ia = [e.ids for e in fast(texts, add_special_tokens=False)]
         # B puts a space before what it is given: a passage's own, or one that is taken off again
         ib = b.encode([t[1:] if t[:1] == " " else t for t in texts], num_threads=1)
         ib = [x if t[:1] == " " else x[1:] for x, t in zip(ib, texts, strict=True)]
-        ba, bb = [[a_bytes.get(i, b"") for i in x] for x in ia], [[b_bytes[i] for i in x] for x in ib]
-        ok = [b"".join(x) == r and b"".join(y) == r for x, y, r in zip(ba, bb, raw, strict=True)]
-        ids, lens = pa.list_(pa.int32()), pa.list_(pa.int16())
-        out = [pa.array(ok), pa.array(ia, ids), pa.array([[len(t) for t in x] for x in ba], lens), pa.array(ib, ids), pa.array([[len(t) for t in x] for x in bb], lens)]
+        ok = [b"".join(map(a_of, x)) == r and b"".join(map(b_of, y)) == r for x, y, r in zip(ia, ib, raw, strict=True)]
+        out = [pa.array(ok), *side(ia, a_len), *side(ib, b_len)]
         told = pa.StructArray.from_arrays([batch.column(1), batch.column(2), *out], ["passage", "n", "ok", "a", "a_len", "b", "b_len"])
         yield pa.RecordBatch.from_arrays([batch.column(0), told], ["sid", "x"])
 
@@ -182,36 +189,88 @@ def _table(top: DataFrame) -> _Hot:
     return _Hot(one("groups"), np.concatenate([np.zeros((1, 4), np.int64), sums]), keys.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0, 0], np.cumsum(size)]).astype(np.int64))
 
 
+#: Passages of documents that are put together at a time; a longer document is by itself.
+PIECE = 1 << 16
+
+
+def _numbers(texts: list[str]) -> tuple[np.ndarray, ...]:
+    """Of passages' groups as text: each group's passage, its number of A and B ids, all A ids and all B ids, both by group."""
+    raw = np.frombuffer((";".join(texts) + ";").encode(), np.uint8) if texts else np.zeros(0, np.uint8)
+    stop = np.flatnonzero((raw < 48) | (raw > 57))
+    size, ids = np.diff(stop, prepend=-1) - 1, np.zeros(len(stop), np.int64)
+    for d in range(int(size.max(initial=0))):
+        has = size > d
+        ids[has] += (raw[stop[has] - 1 - d].astype(np.int64) - 48) * 10**d
+    ends, bars = raw[stop] == ord(";"), raw[stop] == ord("|")
+    group = np.cumsum(ends) - ends
+    is_b = (np.cumsum(bars) - bars - group).astype(bool)  # a group's bar lies behind
+    n = int(ends.sum())
+    last = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1) - 1
+    return np.searchsorted(last, stop[ends]), np.bincount(group[~is_b], minlength=n), np.bincount(group[is_b], minlength=n), ids[~is_b], ids[is_b]
+
+
+def _spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, ``size`` of them, one span after the other."""
+    return np.arange(int(size.sum())) + np.repeat(start - np.cumsum(size) + size, size)
+
+
+def _lists(size: np.ndarray, values: np.ndarray, kind) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(values, kind))
+
+
+def _piece(batch: pa.RecordBatch, hot: _Hot, told: np.ndarray, base: int, kind) -> list[pa.Array]:
+    n, places, rares = batch.num_rows, batch.column(2), batch.column(3)
+    count = lambda x: x.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    size, own, n_rare, rare = count(places), places.flatten().to_numpy(zero_copy_only=False), count(rares), rares.flatten()
+    start, doc, rare_doc = np.cumsum(size) - size, np.repeat(np.arange(n), size), np.repeat(np.arange(n), n_rare)
+    groups, listed, sid = rare.field("groups").to_pylist(), rare.field("own"), rare.field("place").to_numpy(zero_copy_only=False)
+    known = np.array([g is not None for g in groups], bool)
+    texts = told[own]
+    texts[start[rare_doc] + rare.field("pos").to_numpy(zero_copy_only=False)] = groups
+    valid = size > 0
+    valid[rare_doc[~known]] = False
+    alone = np.flatnonzero(valid & (size == 1))
+    valid[alone] = [bool(t) for t in texts[start[alone]]]
+    total = np.concatenate([np.zeros((1, 4), np.int64), np.cumsum(hot.sums[own], axis=0)])
+    sums = total[start + size] - total[start]
+    # rare passages: their ids from the text of their groups
+    passage, n_a, n_b, a, b = _numbers([g for g in groups if g is not None])
+    n_own = count(listed)
+    paired, of = (n_own == 0)[known][passage], rare_doc[known][passage]
+    for i, x in enumerate((n_a, n_b, np.ones_like(n_a), n_a * n_b)):
+        sums[:, i] += np.bincount(of, x, n).astype(np.int64)
+    meets = np.repeat(np.where(paired, n_b, 0), n_a)
+    first_b = np.repeat(np.cumsum(n_b) - n_b, n_a)
+    more = np.repeat(a, meets) * base + b[_spans(first_b, meets)]
+    # hot passages, each once in a document
+    seen = np.unique(doc * len(hot.start) + own)
+    seen_doc, seen = seen // len(hot.start), seen % len(hot.start)
+    n_keys = hot.start[seen + 1] - hot.start[seen]
+    keys = np.concatenate([hot.keys[_spans(hot.start[seen], n_keys)].astype(np.int64), more, listed.flatten().to_numpy(zero_copy_only=False).astype(np.int64)])
+    key_doc = np.concatenate([np.repeat(seen_doc, n_keys), np.repeat(np.repeat(of, n_a), meets), np.repeat(rare_doc, n_own)])
+    shift = int(keys.max(initial=0)).bit_length()
+    both = np.unique((key_doc << shift | keys)[valid[key_doc]])
+    text, ends = texts.tolist(), (start + size).tolist()
+    digests = [hashlib.sha256(";".join(text[i:j]).encode()).hexdigest() if v else "" for v, i, j in zip(valid.tolist(), start.tolist(), ends, strict=True)]
+    sums[~valid] = 0
+    out = [pa.array(valid), *[pa.array(sums[:, i]) for i in range(4)], pa.array(digests, pa.string())]
+    keys = both & ((1 << shift) - 1)
+    keys = _lists(np.bincount(both >> shift, minlength=n), keys.astype(np.int32) if kind == pa.int32() else keys, kind)
+    return [*out, keys, _lists(np.where(valid, n_rare, 0), sid[valid[rare_doc]].astype(np.int64), pa.int64())]
+
+
 def _put_together(batches, table, base: int, narrow: str):
     """Documents from their passages in order: sums, the digest of all groups, distinct pairs, and the rare passages."""
     hot, kind = table.value, pa.int32() if narrow == "int" else pa.int64()
-    told = ["", *hot.groups.to_pylist()]
+    told = np.array(["", *hot.groups.to_pylist()], object)
+    names = ["row", "doc_id", "valid", *_SUMS, "groups_sha256", "keys", "rare"]
     for batch in batches:
-        out = []
-        places, rares = batch.column(2), batch.column(3)
-        for i in range(batch.num_rows):
-            own, rare = places[i].values.to_numpy(zero_copy_only=False), rares[i].as_py() or []
-            texts, sums, more = [told[p] for p in own.tolist()], hot.sums[own].sum(axis=0), []
-            for x in rare:
-                texts[x["pos"]] = x["groups"]
-                if x["groups"] is None:
-                    continue
-                sides = [[[int(t) for t in side.split(",")] for side in g.split("|")] for g in x["groups"].split(";")]
-                sums = sums + [sum(len(a) for a, _ in sides), sum(len(b) for _, b in sides), len(sides), sum(len(a) * len(b) for a, b in sides)]
-                more += x["own"] or [a * base + b for u, v in sides for a in u for b in v]
-            valid = len(own) > 0 and None not in texts and (len(own) > 1 or bool(texts[0]))
-            if not valid:
-                out.append((False, 0, 0, 0, 0, "", [], []))
-                continue
-            seen = np.unique(own)
-            begin, size = hot.start[seen], hot.start[seen + 1] - hot.start[seen]
-            at = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
-            keys = np.unique(np.concatenate([hot.keys[at].astype(np.int64), np.array(more, np.int64)]))
-            out.append((True, *sums.tolist(), hashlib.sha256(";".join(texts).encode()).hexdigest(), keys, [x["place"] for x in rare]))
-        cols = list(zip(*out, strict=True)) if out else [[]] * 8
-        types = [pa.bool_(), *[pa.int64()] * 4, pa.string(), pa.list_(kind), pa.list_(pa.int64())]
-        names = ["row", "doc_id", "valid", *_SUMS, "groups_sha256", "keys", "rare"]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, t) for c, t in zip(cols, types, strict=True)]], names)
+        total, first = np.cumsum(batch.column(2).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)), 0
+        while first < batch.num_rows:
+            last = max(first + 1, int(np.searchsorted(total, (total[first - 1] if first else 0) + PIECE, "right")))
+            piece = batch.slice(first, last - first)
+            yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), *_piece(piece, hot, told, base, kind)], names)
+            first = last
 
 
 @dataclass
@@ -250,19 +309,22 @@ def _align(docs: DataFrame, path_a: str, path_b: str, doc_id: str, text: str, ho
     found = rows.select(F.explode(cut).alias("passage")).groupBy("passage").agg(F.count(F.lit(1)).alias("n"))
     found = found.select(F.monotonically_increasing_id().alias("sid"), "passage", "n")
     ids, lens = "array<int>", "array<smallint>"
-    encoded = scratch.put("encoded", found.mapInArrow(lambda x: _encode(x, paths), f"sid long, x struct<passage: string, n: long, ok: boolean, a: {ids}, a_len: {lens}, b: {ids}, b_len: {lens}>"))
+    encoded = scratch.put("encoded", found.mapInArrow(lambda x: _encode(x, paths), f"sid long, x struct<passage: string, n: long, ok: boolean, a: {ids}, a_len: {lens}, b: {ids}, b_len: {lens}>"), compression="zstd")
     with _settings(spark, **_SORTED):
         broken = encoded.where("not x.ok").select("sid", "x.passage", "x.n", "x.ok").withColumns({c: F.lit(0).cast("long") for c in _SUMS})
-        known = scratch.put("passages", align_passages(encoded, base, listed).unionByName(broken, allowMissingColumns=True))
+        known = scratch.put("passages", align_passages(encoded, base, listed).unionByName(broken, allowMissingColumns=True), compression="zstd")
     scratch.drop(encoded)
     short = (F.octet_length("passage") <= HOT_BYTES) & F.col("pairs").isNotNull() & (F.octet_length("groups") <= HOT_TEXT) & (F.size("pairs") <= HOT_PAIRS)
-    # the least count above which no more than ``hot`` short passages lie
+    # the least count above which no more than ``hot`` short passages lie: single counts up to 63, then powers of two
     least = [2**i for i in range(48)] if hot < HOT else [*range(1, 64), *[2**i for i in range(6, 48)]]
-    above = known.agg(F.sum(F.octet_length("passage") * F.col("n")), F.count(F.lit(1)), F.count("parts"), *[F.count_if(short & (F.col("n") >= x)) for x in least]).first()
-    text_bytes, n_known, n_long = int(above[0] or 0), above[1], above[2]
-    at = next(i for i, n in enumerate(above[3:]) if n <= hot)
+    bits = F.length(F.bin("n"))
+    level = F.when(short, bits if hot < HOT else F.when(F.col("n") < 64, F.col("n")).otherwise(bits + 57).cast("int"))
+    by_level = known.groupBy(F.coalesce(level, F.lit(0)).alias("level")).agg(F.sum(F.octet_length("passage") * F.col("n")).alias("bytes"), F.count(F.lit(1)).alias("n"), F.count("parts").alias("long")).collect()
+    text_bytes, n_known, n_long = (sum(r[c] for r in by_level) for c in ("bytes", "n", "long"))
+    above = [sum(r.n for r in by_level if r.level > i) for i in range(len(least))]
+    at = next(i for i, n in enumerate(above) if n <= hot)
     is_hot = F.coalesce(short, F.lit(False)) & (F.col("n") >= least[at])
-    has_rare = n_known > above[3 + at]
+    has_rare = n_known > above[at]
     more = scratch.put("counted", counted_pairs(known, base, small)) if n_long else None
     keys = F.array_distinct(F.transform("pairs", lambda p: p["k"].cast(narrow)))
     # hot passages by falling count, so that the numbers that documents keep are mostly small; bounded by ``hot`` rows

@@ -5,8 +5,11 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -183,3 +186,35 @@ def test_passages_and_pairs(spark):
     passages = {r.passage: r for r in found.passages.collect()}
     assert set(passages) == {" the", " cat"} and passages[" the"].n == 3 and passages[" the"].n_groups == 1
     assert sorted(r.documents for r in found.pairs.collect()) == [2, 2] and all(r.is_best for r in found.pairs.collect())
+
+
+def test_groups_of_many_passages_are_read_at_once():
+    """Ids, sides and passages from the text of groups, as splitting each text gives them."""
+    texts = ["1|2", "30,4|5;6|7,88,9", "12345|1;2,3|4,5;6,1000000|70"]
+    passage, n_a, n_b, a, b = token_alignment._numbers(texts)
+    sides = [(i, *([int(t) for t in side.split(",")] for side in g.split("|"))) for i, text in enumerate(texts) for g in text.split(";")]
+    assert passage.tolist() == [i for i, _, _ in sides]
+    assert (n_a.tolist(), n_b.tolist()) == ([len(x) for _, x, _ in sides], [len(y) for _, _, y in sides])
+    assert (a.tolist(), b.tolist()) == ([t for _, x, _ in sides for t in x], [t for _, _, y in sides for t in y])
+    assert [x.tolist() for x in token_alignment._numbers([])] == [[]] * 5
+
+
+@pytest.mark.parametrize("piece", [1, 4, 1 << 16])
+def test_documents_put_together_in_pieces(monkeypatch, piece):
+    """Hot, rare, broken, empty and often linked passages; documents of all pieces come in order."""
+    monkeypatch.setattr(token_alignment, "PIECE", piece)
+    groups = ["1|2", "3,4|5"]
+    hot = token_alignment._Hot(pa.array(groups), np.array([[0] * 4, [1, 1, 1, 1], [2, 1, 1, 2]]), np.array([102, 305, 405], np.int32), np.array([0, 0, 1, 3]))
+    rare = lambda pos, place, text, own=None: {"pos": pos, "place": place, "groups": text, "own": own}
+    rows = [([1, 2, 1], None), ([1, 0], [rare(1, 70, "6|7,8;9|2")]), ([0, 2], [rare(0, 71, None)]), ([], None), ([0], [rare(0, 72, "1,1|2;3|5", [11, 12])]), ([2], [])]
+    kind = pa.list_(pa.struct([("pos", pa.int32()), ("place", pa.int64()), ("groups", pa.string()), ("own", pa.list_(pa.int64()))]))
+    n = len(rows)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(range(n)), pa.array([p for p, _ in rows], pa.list_(pa.int32())), pa.array([r for _, r in rows], kind)], ["row", "doc_id", "places", "rare"])
+    got = [tuple(r.values()) for b in token_alignment._put_together([batch], SimpleNamespace(value=hot), 100, "int") for r in b.to_pylist()]
+    digest = lambda *t: hashlib.sha256(";".join(t).encode()).hexdigest()
+    none = (False, 0, 0, 0, 0, "", [], [])
+    assert [r[2:] for r in got] == [
+        (True, 4, 3, 3, 4, digest("1|2", "3,4|5", "1|2"), [102, 305, 405], []), (True, 3, 4, 3, 4, digest("1|2", "6|7,8;9|2"), [102, 607, 608, 902], [70]), none, none,
+        (True, 3, 2, 2, 3, digest("1,1|2;3|5"), [11, 12], [72]), (True, 2, 1, 1, 2, digest("3,4|5"), [305, 405], []),
+    ]
+    assert [r[:2] for r in got] == [(i, i) for i in range(n)]
