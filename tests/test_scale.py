@@ -255,7 +255,7 @@ def test_growing_tables_are_not_broadcast(spark):
     cigar = spark.range(50).selectExpr("'1' as chrom", "id * 10 as start", "id * 10 + 60 as end", "'DEL' as svtype", "60D as median_svlen", "id as ordinal")
     extra = spark.range(50).selectExpr("'1' as chrom", "id * 11 as start", "id * 11 + 60 as end", "'DEL' as svtype", "-60 as median_svlen", "40 as support", "'SA' as source", "id as extra_ordinal")
     truth = spark.range(50).selectExpr("'1' as chrom", "id * 11 as pos", "'DEL' as svtype", "60 as svlen", "id as truth_ordinal", "concat('t', id) as truth_id")
-    plans = [bandjoin.band_join(left, left.withColumnRenamed("a", "b"), ["chrom"], "a", "b", 5), merge.best_cigar_match(merge.normalize_cigar(cigar), merge.normalize_extra(extra)), merge.label_candidates(cigar, truth)]
+    plans = [bandjoin.band_join(left, left.withColumnRenamed("a", "b"), ["chrom"], "a", "b", 5), merge.best_cigar_match(merge.normalize_cigar(cigar), merge.normalize_extra(extra)), merge.label_candidates(cigar, truth), select.duplicate_pairs(cigar)]
     for df in plans:
         assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString() and df.count()
     # offsets of partitions are all that is broadcast in merging
